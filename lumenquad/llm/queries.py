@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .packing import op1_packing
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sharding import op5_sharding
+from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
