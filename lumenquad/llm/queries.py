@@ -6,6 +6,7 @@ from .packing import op1_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sharding import op5_sharding
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op6_token_counts
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
