@@ -113,3 +113,32 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+_BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; kept per worker."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 17, n)
+        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text: differences of prefix sums of a polynomial over its bytes."""
+    if not raw:
+        return np.empty(0, np.uint64)
+    a = np.frombuffer(raw + b" ", np.uint8)
+    edge = np.diff(_SPACE[a].view(np.int8), prepend=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _powers_to(len(a))
+    sums = np.cumsum(_BYTE_NAMES[a] * up[: len(a)], dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    return mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .katz import op4_katz
 from .near_dedup import op3_near_dedup
 from .packing import op1_packing
 from .quality_classifier import op2_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_near_dedup": op3_near_dedup,
+    "op4_katz": op4_katz,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op9_suffix_dedup": op9_suffix_dedup,
