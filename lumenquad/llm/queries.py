@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .katz import op4_katz
 from .near_dedup import op3_near_dedup
 from .packing import op1_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_katz": op4_katz,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
