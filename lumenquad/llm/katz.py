@@ -5,7 +5,7 @@ backoff), and the backoff weight of each context makes its probabilities over th
 to one. Evaluation is recursive: a seen pair by its discounted count, else backoff weight times the word's own
 probability, whose unseen mass belongs to the unknown word.
 
-Chunks are the file blocks of the table. Each asks for its distinct words and pairs in packed blocks; bucket by bucket
+Chunks are parts of the file blocks of the table, of bounded size. Each asks for its distinct words and pairs in packed blocks; bucket by bucket
 the corpus counts are summed and stored as a table (one row a bucket and chunk), and go back to the chunks that asked.
 A second round sums, for the contexts that held-out texts use, the seen mass and the words' own mass to backoff
 weights. Hot words are one entry a chunk.
@@ -32,6 +32,7 @@ U = np.uint64
 END, BEGIN = U(1), U(2)
 TOP = 5  # counts up to this are discounted by Good-Turing
 TAIL = 0.1
+CHUNK_BYTES = 8 << 20  # of a file block
 WORD, PAIR = 0, 1
 
 
@@ -73,6 +74,17 @@ class Level:
         return float(1 - kept / self.total)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of one row of each, and each row's place among them."""
+    order = np.argsort(x).astype(np.int32)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], at
+
+
 class Chunk:
     """Tokens of the texts of a chunk, its distinct words and pairs in order of their names."""
 
@@ -85,8 +97,7 @@ class Chunk:
         starts = ends - self.lengths
         self.doc = np.repeat(np.arange(len(raws), dtype=np.int32), self.lengths)
         self.train = ~held[self.doc]
-        self.words, word = np.unique(tokens, return_inverse=True)
-        self.word = word.astype(np.int32)
+        self.words, _, self.word = distinct(tokens)
         self.context = np.empty(len(tokens), np.int32)  # place in words, or len(words) for the begin
         self.context[1:] = self.word[:-1]
         self.context[starts] = len(self.words)
@@ -94,8 +105,7 @@ class Chunk:
         before[starts] = BEGIN
         names = mix(before * U(0x9E3779B97F4A7C15) + mix(tokens + U(0x5851F42D4C957F2D)))
         del tokens, before
-        self.pairs, first, pair = np.unique(names, return_index=True, return_inverse=True)
-        self.pair = pair.astype(np.int32)
+        self.pairs, first, self.pair = distinct(names)
         self.pair_word, self.pair_context = self.word[first], self.context[first]
 
     def counts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,26 +128,30 @@ BLOCK = "kind int, bucket int, chunk long, names binary, counts binary, used bin
 
 def ask_counts(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, raws, held = None, [], []
+        at, open_ = None, {}
 
         def done():
-            for kind, names, counts, used in Chunk(raws, np.array(held)).counts():
+            for (_, chunk), (raws, held) in list(open_.items()):
+                yield from packed(chunk, Chunk(raws, np.array(held)))
+            open_.clear()
+
+        def packed(chunk, content):
+            for kind, names, counts, used in content.counts():
                 parts = blocks.cut(names, buckets)
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([at] * n, pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([planes(counts[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(used[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["kind", "bucket", "chunk", "names", "counts", "used"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([planes(counts[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(used[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["kind", "bucket", "chunk", "names", "counts", "used"])
 
         for b in batches:
-            for k, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
-                if k != at and raws:
+            for block, chunk, h, raw in zip(*(b.column(i).to_pylist() for i in range(3)), text_bytes(b.column(3)), strict=True):
+                if block != at:
                     yield from done()
-                    raws, held = [], []
-                at = k
+                at = block
+                raws, held = open_.setdefault((block, chunk), ([], []))
                 raws.append(raw)
                 held.append(h)
-        if raws:
-            yield from done()
+        yield from done()
 
-    return docs.select("chunk", "held_out", "text").mapInArrow(run, BLOCK)
+    return docs.select("block", "chunk", "held_out", "text").mapInArrow(run, BLOCK)
 
 
 def sum_counts(group: pa.Table) -> pa.Table:
@@ -189,7 +203,8 @@ def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = staged(docs, "katz-input") if stage else docs
-    docs = docs.withColumn("held_out", held).withColumn("chunk", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    docs = docs.withColumn("held_out", held).withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    docs = docs.withColumn("chunk", F.xxhash64("block", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / CHUNK_BYTES)))))
     buckets = max(shuffle_width(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 40_000_000)
     summed = ask_counts(docs, buckets).groupBy("kind", "bucket").applyInArrow(sum_counts, "kind int, bucket int, chunk long, counts binary, bits binary, stats array<long>")
     model = staged(summed, "katz-counts")
@@ -204,6 +219,7 @@ def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
 
     def evaluate(rows: pa.Table, replies: pa.Table) -> pa.Table:
         c = Chunk(text_bytes(rows.column("text")), rows.column("held_out").to_numpy(zero_copy_only=False))
+        rows = rows.drop_columns(["text"])
         said = {(k, b): (x, y) for k, b, x, y in zip(*(replies.column(n).to_pylist() for n in ("kind", "bucket", "counts", "bits")), strict=True)}
         found = []
         for kind, names in ((WORD, c.words), (PAIR, c.pairs)):
@@ -248,7 +264,7 @@ def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
         })
 
     half = "chunk long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, backs binary, asks array<struct<bucket:int,names:binary,sums:binary>>"
-    halves = staged(docs.groupBy("chunk").cogroup(model.drop("stats").groupBy("chunk")).applyInArrow(evaluate, half), "katz-halves")
+    halves = staged(docs.drop("block").groupBy("chunk").cogroup(model.drop("stats").groupBy("chunk")).applyInArrow(evaluate, half), "katz-halves")
     asks = halves.where("asks is not null").select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*")
     weights = asks.groupBy("bucket").applyInArrow(weigh, "bucket int, chunk long, weights binary")
 

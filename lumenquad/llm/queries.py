@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .html_extraction import op8_html_extraction
 from .katz import op4_katz
 from .near_dedup import op3_near_dedup
 from .packing import op1_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
