@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables staged in the current scope, where there is one.
+_scope: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
+
+
+@contextmanager
+def scope(paths: list[str]) -> Iterator[None]:
+    """Notes in `paths` what is staged inside, for remove() once nothing reads it any more."""
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage.
 
-    The files outlive lost executors. They stay until the folder is cleared: a lazy result may read them late.
+    The files outlive lost executors. They stay until the folder is cleared or their scope removed: a lazy result may
+    read them late.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -142,3 +169,24 @@ def word_hashes(raw: bytes) -> np.ndarray:
     sums = np.cumsum(_BYTE_NAMES[a] * up[: len(a)], dtype=np.uint64)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     return mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as idle Python workers stay alive beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterable[pa.RecordBatch]:
+    """The batches cut into slices of about `most` bytes of text in the given column, which bounds what a step holds."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z > a:
+                yield b.slice(a, z - a)
+    trim()

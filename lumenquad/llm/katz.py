@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import crc_of_id, mix, shuffle_width, staged, text_bytes, word_hashes
+from .common import crc_of_id, mix, pieces, shuffle_width, staged, text_bytes, trim, word_hashes
 
 U = np.uint64
 END, BEGIN = U(1), U(2)
@@ -134,6 +134,7 @@ def ask_counts(docs: DataFrame, buckets: int) -> DataFrame:
             for (_, chunk), (raws, held) in list(open_.items()):
                 yield from packed(chunk, Chunk(raws, np.array(held)))
             open_.clear()
+            trim()
 
         def packed(chunk, content):
             for kind, names, counts, used in content.counts():
@@ -141,7 +142,7 @@ def ask_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([planes(counts[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(used[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["kind", "bucket", "chunk", "names", "counts", "used"])
 
-        for b in batches:
+        for b in pieces(batches, 3):
             for block, chunk, h, raw in zip(*(b.column(i).to_pylist() for i in range(3)), text_bytes(b.column(3)), strict=True):
                 if block != at:
                     yield from done()
@@ -256,12 +257,15 @@ def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
         cut = np.concatenate([[0], np.cumsum(np.bincount(c.doc[back], minlength=n_docs))])
         backs = place[c.context[back]]
         assert len(backs) == 0 or backs.min() >= 0
-        return pa.table({
+        out = pa.table({
             "chunk": pa.array([rows.column("chunk")[0].as_py()] * n_docs, pa.int64()), "doc_id": rows.column("doc_id").combine_chunks(), "held_out": rows.column("held_out").combine_chunks(),
             "n_tokens": pa.array(c.lengths, pa.int64()), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(scores),
             "backs": pa.array([backs[a:b].tobytes() if b > a else None for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
             "asks": pa.array([asks] + [None] * (n_docs - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("names", pa.binary()), ("sums", pa.binary())]))),
         })
+        del c, said, found, asks
+        trim()
+        return out
 
     half = "chunk long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, backs binary, asks array<struct<bucket:int,names:binary,sums:binary>>"
     halves = staged(docs.drop("block").groupBy("chunk").cogroup(model.drop("stats").groupBy("chunk")).applyInArrow(evaluate, half), "katz-halves")
