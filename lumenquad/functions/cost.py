@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PATCH = 32
 #: Greatest width, height and patches (0: no limit) at each level of detail; tokens a patch by model.
@@ -43,7 +44,7 @@ def _patches(w: Column, h: Column) -> Column:
     return F.ceil(w / PATCH) * F.ceil(h / PATCH)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _capped(width: pd.Series, height: pd.Series, most: pd.Series) -> pd.Series:
     """Patches of sizes over the cap: scaled by the root of the excess, then by 2 % steps until they fit."""
 

@@ -13,15 +13,16 @@ import unicodedata
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC with white space (Unicode) collapsed and trimmed; null reads as empty."""
     return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t).split()) if t else "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def nfkc_each(texts: pd.Series) -> pd.Series:
     return texts.map(lambda a: None if a is None else [" ".join(unicodedata.normalize("NFKC", t or "").split()) for t in a])
 
@@ -29,7 +30,7 @@ def nfkc_each(texts: pd.Series) -> pd.Series:
 def python_round(column, digits: int = 0):
     """Rounding of the exact binary value, ties to even, as Python's round()."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def rounded(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None or math.isnan(v) else round(v, digits))
 
@@ -39,14 +40,14 @@ def python_round(column, digits: int = 0):
 def fixed(column, digits: int = 1):
     """Text with so many digits after the point, as Python formats; null gives an empty text."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def formatted(x: pd.Series) -> pd.Series:
         return x.map(lambda v: "" if v is None or math.isnan(v) else f"{v:.{digits}f}")
 
     return formatted(column.cast("double"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def random_named(video_path: pd.Series, total: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     """Seeded draw without replacement by the video's name, in temporal order."""
 
@@ -58,7 +59,7 @@ def random_named(video_path: pd.Series, total: pd.Series, n: pd.Series, seed: pd
     return pd.Series([pick(*x) for x in zip(video_path, total, n, seed, strict=True)])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def random_numpy(total: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     """Seeded draw without replacement by numpy's generator; all of a clip that is short."""
 
@@ -68,7 +69,7 @@ def random_numpy(total: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series([pick(*x) for x in zip(total, n, seed, strict=True)])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def shuffled_named(items: pd.Series, video_path: pd.Series, seed: pd.Series) -> pd.Series:
     """Seeded permutation by the video's name."""
 
@@ -80,7 +81,7 @@ def shuffled_named(items: pd.Series, video_path: pd.Series, seed: pd.Series) ->
     return pd.Series([permute(*x) for x in zip(items, video_path, seed, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact test on discordant pairs: twice the binomial tail of the lesser count, at most 1."""
 

@@ -135,3 +135,24 @@ def escape_html(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out
+
+
+def longest_token(name: Column, tokens: list[str]) -> Column:
+    """The longest of the tokens that a name starts with (alone or before an underscore), null for none."""
+    out = F.lit(None).cast("string")
+    for t in sorted(tokens, key=lambda t: (len(t), t)):
+        out = F.when((name == t) | F.startswith(name, F.lit(f"{t}_")), t).otherwise(out)
+    return out
+
+
+def run_of(file_name: Column, subjects: list[str], datasets: dict[str, list[str]]) -> Column:
+    """struct(subject, dataset, prefix) of a prediction file: the longest subject, then a token of an item set; null
+    if either isn't known. prefix: what stands before the cell."""
+    name = F.regexp_replace(base_name(file_name), r"\.json$", "")
+    subject = longest_token(name, subjects)
+    rest = F.split_part(F.ltrim(F.substring(name, F.length(subject) + 1, F.length(name)), F.lit("_")), F.lit("_"), F.lit(1))
+    dataset = F.lit(None).cast("string")
+    for known, tokens in datasets.items():
+        dataset = F.when(rest.isin(*tokens), known).otherwise(dataset)
+    prefix = F.regexp_replace(without_ablation(name), CELL, "")
+    return F.when(subject.isNotNull() & dataset.isNotNull(), F.struct(subject.alias("subject"), dataset.alias("dataset"), prefix.alias("prefix")))

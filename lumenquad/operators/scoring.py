@@ -85,9 +85,9 @@ def confusion(rows: DataFrame, gold: Column, said: Column, by: list[str] | None
 
 def mcq_coded(predictions: DataFrame, items: DataFrame) -> DataFrame:
     """Predictions of four-way items with gold and choice codes (0 to 3, -1); items come once an index."""
-    joined = predictions.select("index", "model_output").join(items, "index")
-    code = extract.choice(nfkc("model_output"), nfkc_each("options"))
-    return joined.withColumn("gold_code", extract.gold_letter(nfkc("answer"))).withColumn("code", F.when(F.coalesce(F.trim("model_output"), F.lit("")) == "", -1).otherwise(code))
+    joined = predictions.select("index", "model_output").join(items, "index").withColumns({"norm": nfkc("model_output"), "options": nfkc_each("options"), "_gold": nfkc("answer")})
+    code = F.when(F.col("norm") == "", -1).otherwise(extract.choice(F.col("norm"), F.col("options")))
+    return joined.withColumn("gold_code", extract.gold_letter(F.col("_gold"))).withColumn("code", code).drop("norm", "_gold")
 
 
 def mcq_scores(coded: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ def fact_rows(predictions: DataFrame, truth: DataFrame, selections: DataFrame |
     """
     t = truth.select("index", F.col("video_path").alias("_path"), F.col("question").alias("_question"), F.col("answer").alias("gold"), "type", "options", "duration", "task_type")
     rows = predictions.where("index is not null").drop("question").join(t, "index")
-    code = extract.answer(F.when(F.coalesce(F.trim("model_output"), F.lit("")) == "", "").otherwise(nfkc("model_output")), F.col("type"), nfkc_each("options"))
-    rows = rows.withColumn("code", code).withColumn("extracted", extract.label(F.col("code"), F.col("type")))
+    rows = rows.withColumns({"norm": nfkc("model_output"), "options": nfkc_each("options")})
+    rows = rows.withColumn("code", extract.answer(F.col("norm"), F.col("type"), F.col("options"))).withColumn("extracted", extract.label(F.col("code"), F.col("type")))
     rows = rows.withColumn("correct", ((F.col("code") >= 0) & (F.col("extracted") == F.col("gold"))).cast("int"))
     rows = rows.withColumn("video_path", F.coalesce(F.nullif("video_path", F.lit("")), "_path"))
     out = rows.select(
@@ -42,13 +42,13 @@ def fact_rows(predictions: DataFrame, truth: DataFrame, selections: DataFrame |
 def checked_export(rows: DataFrame, truth: DataFrame) -> DataFrame:
     """A combined export with gold, label and verdict derived anew, and whether what it held differs from the key."""
     t = truth.select("index", F.col("video_path").alias("_path"), F.col("answer").alias("_gold"), "type", "options")
-    both = rows.join(t, "index", "left")
-    code = extract.answer(nfkc("model_output"), F.coalesce("type", F.lit("yes_no")), nfkc_each("options"))
+    both = rows.join(t, "index", "left").withColumns({"norm": nfkc("model_output"), "options": nfkc_each("options")})
+    code = extract.answer(F.col("norm"), F.coalesce("type", F.lit("yes_no")), F.col("options"))
     known = F.col("_gold").isNotNull()
     both = both.withColumn("mismatch", known & ((F.lower(F.trim("gold")) != F.col("_gold")) | ~F.col("video_path").eqNullSafe(F.col("_path"))))
     both = both.withColumn("extracted", F.when(known, extract.label(code, F.col("type"))).otherwise(F.col("extracted")))
     both = both.withColumn("gold", F.coalesce("_gold", "gold")).withColumn("video_path", F.when(known, F.col("_path")).otherwise(F.col("video_path")))
-    return both.withColumn("correct", F.when(known, ((F.col("extracted") != "") & (F.col("extracted") == F.col("gold"))).cast("int")).otherwise(F.col("correct"))).drop("_path", "_gold", "type", "options")
+    return both.withColumn("correct", F.when(known, ((F.col("extracted") != "") & (F.col("extracted") == F.col("gold"))).cast("int")).otherwise(F.col("correct"))).drop("_path", "_gold", "type", "options", "norm")
 
 
 def cell_guard(rows: DataFrame, by: list[str], expected: int) -> DataFrame:

@@ -13,7 +13,12 @@ from .. import schemas
 from ..functions import text
 
 
-def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _filled(row: str) -> Column:
+    """Whether a parsed row holds anything: what doesn't parse is a row of nulls."""
+    return F.col(row).isNotNull() & (F.to_json(row) != "{}")
+
+
+def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of files that hold a JSON array or a JSON object a line; which one, each file's first character tells.
 
     Columns `_file` and `_pos` (0-based place in its file) come along; files that don't parse give no rows.
@@ -21,15 +26,18 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), F.col("value"))
     array = F.startswith(F.ltrim("value"), F.lit("["))
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    entry = T.ArrayType(schema)
-    listed = F.when(array, F.from_json("value", entry)).otherwise(F.transform(lines, lambda x: F.from_json(x, schema)))
-    return files.select("_file", F.posexplode(listed).alias("_pos", "_row")).where("_row is not null").select("_file", "_pos", "_row.*")
+    listed = F.when(array, F.from_json("value", f"array<struct<{schema}>>")).otherwise(F.transform(lines, lambda x: F.from_json(x, schema)))
+    return files.select("_file", F.posexplode(listed).alias("_pos", "_row")).where(_filled("_row")).select("_file", "_pos", "_row.*")
 
 
-def json_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row a file of one JSON object; files that don't parse or hold something else are left out."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), F.from_json("value", schema).alias("_row"), F.startswith(F.ltrim("value"), F.lit("{")).alias("_ok"))
-    return files.where("_ok and _row is not null").select("_file", "_row.*")
+    return files.where(F.col("_ok") & _filled("_row")).select("_file", "_row.*")
+
+
+def names(schema: str) -> list[str]:
+    return T.StructType.fromDDL(schema).fieldNames()
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
@@ -77,13 +85,13 @@ def _metric_cell(prefix: str) -> Column:
 
 def quad_metrics(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     rows = json_files(spark, path, schemas.QUAD_METRICS).withColumn("_cell", _metric_cell(prefix)).where("_cell is not null")
-    return rows.select("_cell.*", *(c for c in schemas.QUAD_METRICS.fieldNames()))
+    return rows.select("_cell.*", *names(schemas.QUAD_METRICS))
 
 
 def mcq_metrics(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     rows = json_files(spark, path, schemas.MCQ_METRICS).withColumn("_cell", _metric_cell(prefix)).where("_cell is not null")
     plain = F.coalesce("config.ablation", F.lit("none")) == "none"
-    return rows.where(plain).select("_cell.*", *(c for c in schemas.MCQ_METRICS.fieldNames()))
+    return rows.where(plain).select("_cell.*", *names(schemas.MCQ_METRICS))
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +137,7 @@ def first_readable(readers: list[Callable[[], DataFrame]]) -> DataFrame:
     raise FileNotFoundError("; ".join(errors))
 
 
-def rows_of(spark: SparkSession, source: str, schema: T.StructType = schemas.MCQ_ITEM) -> DataFrame:
+def rows_of(spark: SparkSession, source: str, schema: str = schemas.MCQ_ITEM) -> DataFrame:
     """A table by its extension."""
     if source.endswith(".parquet"):
         return spark.read.parquet(source)

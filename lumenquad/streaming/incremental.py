@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
 def predicted(items: DataFrame, load: Callable[[], object], call: Callable[[object, pd.DataFrame], pd.Series]) -> DataFrame:
     """items with model_output and error of a model that each task loads once. A failing batch is an error in its rows."""
-    schema = items.schema.add("model_output", "string").add("error", "string")
+    schema = T.StructType([*items.schema.fields, T.StructField("model_output", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
