@@ -5,7 +5,8 @@ measures are staged as narrow rows. Rule failures are counted by domain (the `so
 rates are shrunk with a beta prior fitted to all domains by moments, and each domain's verdict is joined back.
 
 Defined cases: null text counts as empty (no words: the base rule fails); a null source has no domain, so only the
-base rule speaks; repeated rows each count; an empty table gives no rows; other columns are ignored.
+base rule speaks; repeated rows each count; an empty table gives no rows; other columns are ignored. Windows are told
+apart by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -17,34 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, SYMBOLS, staged, text_bytes
+from .common import SPACES, SYMBOLS, pieces, shingle_hashes, staged, text_bytes, word_hashes
 
 MEASURES = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
 
 
-class WordIds(dict):
-    """Small numbers for words, kept per worker and dropped between documents when they near 2**21."""
-
-    LIMIT = 1 << 21
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def repeated_words(words: list[bytes], ids: WordIds) -> int:
-    """Words that lie in a 3-word window found at least twice."""
-    n = len(words)
+def repeated_words(h: np.ndarray) -> int:
+    """Words (by their hashes) that lie in a 3-word window found at least twice."""
+    n = len(h)
     if n < 4:
         return 0
-    if len(ids) + n > ids.LIMIT:
-        ids.clear()
-    x = np.fromiter(map(ids.__getitem__, words), np.uint64, n)
-    if len(ids) <= ids.LIMIT:
-        key = (x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]
-    else:  # one document with over two million distinct words
-        key = np.unique(np.stack([x[:-2], x[1:-1], x[2:]], 1), axis=0, return_inverse=True)[1]
-    order = np.argsort(key, kind="stable")
+    key = shingle_hashes(h, 3)
+    order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     if not same.any():
         return 0
@@ -57,15 +42,18 @@ def repeated_words(words: list[bytes], ids: WordIds) -> int:
     return int(covered.sum())
 
 
+def lines_of(text: bytes) -> list[bytes]:
+    """Lines that hold a word."""
+    return [x for x in text.split(b"\n") if x.strip()]
+
+
 def measure(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        for batch in batches:
+        for batch in pieces(batches, 2):
             rows = []
             for text in text_bytes(batch.column(2)):
-                words = text.split()
-                lines = [x for x in text.split(b"\n") if x.strip()]
-                rows.append((len(words), len(text.decode("utf-8", "replace")) - len(text) + len(text.translate(None, SPACES)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), len(lines), repeated_words(words, ids)))
+                h, lines = word_hashes(text), lines_of(text)
+                rows.append((len(h), len(text.decode("utf-8", "replace")) - len(text) + len(text.translate(None, SPACES)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), len(lines), repeated_words(h)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6))], names=[x.split()[0] for x in MEASURES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, MEASURES)
@@ -94,4 +82,4 @@ def quality_rules(docs: DataFrame, max_rate: float = 0.5, min_words: int = 50, m
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", "host_rate")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"))
