@@ -13,7 +13,6 @@ both kinds every score is the prior (0.5 without labels); an empty table gives n
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,38 +22,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, SYMBOLS, crc32, crc_of_id, text_bytes
-from .quality_rules import WordIds, repeated_words
+from .common import SPACES, SYMBOLS, crc_of_id, pieces, text_bytes, word_hashes
+from .quality_rules import lines_of, repeated_words
 
 SHAPES = 256
 #: Letters to a and A, digits to 0, bytes of other scripts to a; the rest stays.
 CLASSES = bytes(ord("a") if 97 <= i <= 122 or i >= 128 else ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else i for i in range(256))
-RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 COUNTED = (b"!", b"|", b",.;:", b"0123456789", b"@/\\_=~^", SYMBOLS, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"()[]{}\"'")
-PLAIN = 9 + len(COUNTED)
+PLAIN = 8 + len(COUNTED)
 
 
-class Shapes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        n = self[word] = crc32(RUNS.sub(rb"\1+", word.translate(CLASSES))[:24]) % SHAPES
-        return n
+def shapes_of(text: bytes) -> np.ndarray:
+    """Bucket of each word's shape: its bytes by class, runs of one class cut to two."""
+    a = np.frombuffer(text.translate(CLASSES), np.uint8)
+    keep = np.ones(len(a), bool)
+    keep[2:] = (a[2:] != a[1:-1]) | (a[2:] != a[:-2])
+    return (word_hashes(a[keep].tobytes()) % np.uint64(SHAPES)).astype(np.int64)
 
 
-def features(texts: list[bytes], shapes: Shapes, ids: WordIds) -> np.ndarray:
+def features(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), PLAIN + SHAPES), np.float32)
     for i, text in enumerate(texts):
-        words = text.split()
-        n, size = len(words), len(text)
+        h = word_hashes(text)
+        n = len(h)
         if not n:
             out[i, 0] = -1
             continue
-        lines = [x for x in text.split(b"\n") if x.strip()]
+        lines = lines_of(text)
         size = len(text.translate(None, SPACES))
-        out[i, :9] = (np.log1p(n), size / n, len(set(words)) / n ** 0.8, 1 - len(set(lines)) / len(lines), repeated_words(words, ids) / n, len(lines) / n, len(text.translate(None, bytes(range(128)))) / size, max(map(len, words)) ** 0.5, sum(map(bytes.__eq__, words, words[1:])) / n)
-        out[i, 9:PLAIN] = [(len(text) - len(text.translate(None, x))) / size for x in COUNTED]
-        out[i, PLAIN:] = np.sqrt(np.bincount(np.fromiter(map(shapes.__getitem__, words), np.int64, n), minlength=SHAPES) / n)
+        out[i, :8] = (np.log1p(n), size / n, len(np.unique(h)) / n**0.8, 1 - len(set(lines)) / len(lines), repeated_words(h) / n, len(lines) / n, len(text.translate(None, bytes(range(128)))) / size, (h[1:] == h[:-1]).sum() / n)
+        out[i, 8:PLAIN] = [(len(text) - len(text.translate(None, x))) / size for x in COUNTED]
+        out[i, PLAIN:] = np.sqrt(np.bincount(shapes_of(text), minlength=SHAPES) / n)
     return out
 
 
@@ -127,9 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     rows = rows.withColumn("unlabelled", F.coalesce(picked(F.col("doc_id"), 2, min(1.0, sample / n_docs)), F.lit(False))).where(F.col("unlabelled") | F.col("quality").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, ids = Shapes(), WordIds()
-        for b in batches:
-            x = features(text_bytes(b.column(1)), shapes, ids)
+        for b in pieces(batches, 1):
+            x = features(text_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "unlabelled", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, quality int, unlabelled boolean, x binary").toPandas().sort_values(["doc_id", "x"])
@@ -146,9 +143,8 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
     place = [f.name for f in docs.schema.fields].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, ids = Shapes(), WordIds()
-        for b in batches:
-            s = model.scores(features(text_bytes(b.column(place)), shapes, ids))
+        for b in pieces(batches, place):
+            s = model.scores(features(text_bytes(b.column(place))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(s >= threshold)], names=[*b.schema.names, "quality_score", "quality_kept"])
 
     return docs.mapInArrow(run, schema)
