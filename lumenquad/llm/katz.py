@@ -285,4 +285,5 @@ def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out(F.col("doc_id")), stage=False)
+    scored = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out(F.col("doc_id")), stage=False)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontamination import op7_decontamination
 from .html_extraction import op8_html_extraction
 from .katz import op4_katz
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": oracles.NEAR_DEDUP,
+    "op4_katz": oracles.KATZ,
+    "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op10_quality_rules": oracles.QUALITY_RULES,
+}
