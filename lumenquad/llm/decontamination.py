@@ -9,6 +9,8 @@ deviations above the distance expected at the threshold.
 Windows without any shingle of an item of their length can't be similar at all and are not fingerprinted. The items
 go to the tasks in slices of bounded size; a larger benchmark takes more passes over the documents.
 
+Words are compared without case and ASCII punctuation.
+
 Defined cases: null, empty and wordless texts match nothing, nor do such items; an item of fewer words than a shingle
 is one shingle; a document shorter than an item is one window; repeated rows are matched each; empty tables give no
 rows, or keep all documents; clashing column names of the benchmark never meet those of the documents.
@@ -32,6 +34,12 @@ BITS = 128
 SHINGLE = 5
 SLICE_BYTES = 16 << 20
 U = np.uint64
+PLAIN = bytes(i if chr(i).isalnum() or i >= 128 else 32 for i in range(256))
+
+
+def words_of(raw: bytes) -> np.ndarray:
+    """Hashes of the words without case (Unicode) and ASCII punctuation."""
+    return word_hashes(raw.decode("utf-8", "replace").lower().encode().translate(PLAIN))
 
 
 def bits_of(shingles: np.ndarray) -> np.ndarray:
@@ -60,7 +68,7 @@ class Items:
         self.edges = np.linspace(0, BITS, min(BITS, self.radius + 1) + 1).astype(int)
         groups = defaultdict(list)
         for item, raw in items:
-            h = word_hashes(raw.lower())
+            h = words_of(raw)
             if len(h):
                 groups[len(h)].append((item, shingle_hashes(h, SHINGLE)))
         self.by_length = {}
@@ -109,7 +117,7 @@ class Items:
 
     def of(self, raw: bytes) -> list[tuple[int, int, int, float]]:
         """Items found in a text: item, first word, words, similarity of the best window."""
-        h = word_hashes(raw.lower())
+        h = words_of(raw)
         if not len(h) or not self.by_length:
             return []
         best: dict[int, tuple[int, int, int, float]] = {}

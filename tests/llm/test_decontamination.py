@@ -14,12 +14,16 @@ def shingles(words):
     return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
 
 
+def words(text):
+    return "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+
+
 def brute(docs, items):
     out = {}
     for d, text in docs:
-        w = (text or "").lower().split()
+        w = words(text)
         for i, item in items:
-            v = (item or "").lower().split()
+            v = words(item)
             if not w or not v:
                 continue
             n = len(v)
@@ -46,7 +50,7 @@ def tables():
                 item[r.randrange(len(item))] = "EDIT"
             at = r.randrange(len(w) + 1)
             w[at:at] = [x.upper() for x in item]
-        docs.append((d, " \n".join(w)))
+        docs.append((d, r.choice([" ", ", ", "!! \n"]).join(w)))
     docs.append((100, " ".join(items[5][1].split()[:-1])))
     docs.append((101, items[5][1]))
     return docs, items
