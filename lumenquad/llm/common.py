@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -180,6 +182,20 @@ def trim() -> None:
         pass
 
 
+def trimmed(f: Callable) -> Callable:
+    """A function of a group of rows that frees memory once it's done."""
+
+    @functools.wraps(f)
+    def run(*tables: pa.Table) -> pa.Table:
+        out = f(*tables)
+        trim()
+        return out
+
+    # Spark tells functions with a key from those without by their arguments.
+    run.__signature__ = inspect.signature(f)
+    return run
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterable[pa.RecordBatch]:
     """The batches cut into slices of about `most` bytes of text in the given column, which bounds what a step holds."""
     for b in batches:

@@ -7,8 +7,9 @@ and h further on, as far as the threshold. A place is compared over the corpus o
    have anchors at equal offsets. Spark compares the anchors' names of width - span bytes, and beside them the names of
    all windows of an anchor together. Anchors with a unique name drop out, and with them their windows; anchors whose
    windows are all found elsewhere together are settled. One row a chunk and bucket of names is shuffled, not one a byte.
-2. What is left lies at the edges of repeats. Its bytes, and one witness of each settled group, go by name of the
-   anchor, and there the names of the single windows of `width` bytes are compared.
+2. What is left lies at the edges of repeats. Its bytes, and one witness of each settled group, go by the names of the
+   next longer strings, one before and one after the anchor, and there the single windows of `width` bytes are
+   compared by theirs.
 3. Documents with windows found in step 2 get their final spans.
 
 Names are 64-bit fingerprints (a pair of them settles a window). Results are exact but for a clash of these.
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .common import mix, shuffle_width, staged, text_bytes
+from .common import mix, pieces, shuffle_width, staged, text_bytes, trimmed
 
 GRAM = 32
-CHUNK_ROWS = 14  # bits: at most 16,384 rows a chunk
+CHUNK_ROWS = 12  # bits: at most 4,096 rows a chunk
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 U = np.uint64
 
@@ -68,8 +69,8 @@ class Anchors:
     """Anchors q of one text with the first and last window start lo, hi of each, and their names."""
 
     def __init__(self, raw: bytes, width: int, span: int):
-        core = width - span
-        names = names_of(raw, sorted({GRAM, core, width}))
+        core, half = width - span, span // 2
+        names = names_of(raw, sorted({GRAM, core, core + half, width}))
         starts = len(raw) - width + 1
         # 40 bits of the 32-byte name and the place: the least is the leftmost of the least names.
         packed = (names[GRAM][: starts + span - 1] & ~U(0xFFFFFF)) | (np.arange(starts + span - 1, dtype=np.uint64) & U(0xFFFFFF))
@@ -79,6 +80,10 @@ class Anchors:
         first = np.flatnonzero(np.diff(low, prepend=-1))
         self.lo, self.hi, self.q = first, np.append(first[1:], starts) - 1, low[first]
         self.core = names[core][self.q]
+        # Windows that start at least `half` before the anchor share the longer string that starts `half` before it;
+        # the others share the longer string that starts at it.
+        self.half, longer = half, names[core + half]
+        self.early, self.late = longer[np.maximum(self.q - half, 0)], longer[np.minimum(self.q, len(longer) - 1)]
         whole = names[width]
         self.whole = mix(mix(whole[self.lo] + U(7)) + whole[self.hi] * U(0x9E3779B97F4A7C15) + ((self.q - self.lo) * 1024 + self.hi - self.lo).astype(np.uint64))
 
@@ -108,7 +113,7 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
             parts = blocks.cut(names, buckets)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "chunk", "names", "twice"])
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for k, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 if k != chunk and found:
                     yield done()
@@ -119,6 +124,7 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
         if found:
             yield done()
 
+    @trimmed
     def answer(group: pa.Table) -> pa.Table:
         group = group.sort_by("chunk")
         parts = [blocks.unpack(x) for x in group.column("names").to_pylist()]
@@ -166,9 +172,10 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
     other = [f for f in table.schema.fields if f.name not in ("text", "rid", "chunk")]
     names = [f.name for f in other]
     answers = compare_names(table, width, span, buckets)
-    edges_type = "array<struct<core:long,at:int,q:int,witness:boolean,bytes:binary>>"
+    edges_type = "array<struct<key:long,at:int,q:int,witness:boolean,bytes:binary>>"
     first = T.StructType([*other, *T._parse_datatype_string(f"rid long, {RESULT}, text binary, starts binary, edges {edges_type}").fields])
 
+    @trimmed
     def settle(rows: pa.Table, bits: pa.Table) -> pa.Table:
         rows = rows.sort_by("rid")
         raws = text_bytes(rows.column("text"))
@@ -195,20 +202,25 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
                             continue
                         unseen[whole[j]] = False  # one witness is enough
                     pending = pending or not witness
-                    edges.append({"core": int(a.core[j].view(np.int64)), "at": lo, "q": int(a.q[j]) - lo, "witness": witness, "bytes": raw[lo : hi + width]})
+                    q = int(a.q[j])
+                    turn = min(max(q - a.half + 1, lo), hi + 1)  # first start that is less than `half` before the anchor
+                    for key, x, y in ((a.early[j], lo, turn), (a.late[j], turn, hi + 1)):
+                        if x < y:
+                            edges.append({"key": int(key.view(np.int64)), "at": x, "q": q - x, "witness": witness, "bytes": raw[x : y - 1 + width]})
             n_bytes, removed, spans, digest, left = outcome(raw, mask, width)
             for k, v in zip(out, (n_bytes, removed, spans, digest, raw if pending else left if keep_text else None, np.packbits(mask).tobytes() if pending else None, edges), strict=True):
                 out[k].append(v)
         columns = {n: rows.column(n) for n in (*names, "rid")} | {k: pa.array(v, pa.int64()) for k, v in list(out.items())[:3]}
-        kind = pa.list_(pa.struct([("core", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
         return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "starts": pa.array(out["starts"], pa.binary()), "edges": pa.array(out["edges"], kind)})
 
     settled = staged(table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, first), "suffix-settled")
 
+    @trimmed
     def compare_windows(batches: pa.Table) -> pa.Table:
-        """All windows of edges and witnesses with one bucket of anchor names: which arise more than once."""
+        """All windows of edges and witnesses in one bucket of longer names: which arise more than once."""
         raw = batches.column("bytes").to_pylist()
-        core = batches.column("core").to_numpy().view(np.uint64)
+        key = batches.column("key").to_numpy().view(np.uint64)
         n = np.array([len(r) - width + 1 for r in raw])
         each = np.array([len(r) for r in raw])
         at = np.cumsum(each) - each
@@ -216,7 +228,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         row = np.repeat(np.arange(len(raw)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         q = batches.column("q").to_numpy()
-        name = mix(window[at[row] + place] ^ mix(core[row] + (q[row] - place).astype(np.uint64)))
+        name = mix(window[at[row] + place] ^ mix(key[row] + (q[row] - place).astype(np.uint64)))
         witness = batches.column("witness").to_numpy(zero_copy_only=False)[row]
         order = np.argsort(name, kind="stable")
         same = name[order[1:]] == name[order[:-1]]
@@ -230,14 +242,16 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         return pa.table({"rid": batches.column("rid").take(pa.array(row[cut])).combine_chunks(), "lo": pa.array(place[cut], pa.int32()), "hi": pa.array(place[last], pa.int32())})
 
     edges = settled.select("rid", F.explode("edges").alias("e")).select("rid", "e.*")
-    edges = edges.withColumn("bucket", F.pmod("core", F.lit(buckets)).cast("int"))
+    edges = edges.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     found = edges.groupBy("bucket").applyInArrow(compare_windows, "rid long, lo int, hi int")
     found = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     pending = settled.where(F.col("starts").isNotNull()).drop("edges", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(found, "rid", "left")
     last = T.StructType([*other, *T._parse_datatype_string(RESULT + ", text binary").fields])
 
+    text_at = pending.columns.index("text")
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, text_at):
             out = []
             for raw, bits, ranges in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("text", "starts", "found")), strict=True):
                 mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(raw) - width + 1).astype(bool)
