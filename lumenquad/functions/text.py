@@ -53,21 +53,27 @@ def without_ablation(name: Column) -> Column:
 def cell_of(file_name: Column) -> Column:
     """struct(sampler, num_frames, ablation, variant) of a prediction file; null if the name has no cell.
 
-    The arm without video has neither sampler nor budget: none and 0.
+    The arm without video has neither sampler nor budget: none and 0. Each pattern runs once a name: the struct is made
+    inside a lambda, which keeps its parts from being inlined into every use.
     """
     name = F.regexp_replace(file_name, r"\.json$", "")
-    arm, rest = ablation(name), without_ablation(name)
-    sampler = F.nullif(F.regexp_extract(rest, CELL, 1), F.lit(""))
-    blind = (arm == "no_video") & sampler.isNull()
-    return F.when(
-        sampler.isNotNull() | blind,
-        F.struct(
-            F.coalesce(sampler, F.lit("none")).alias("sampler"),
-            F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(rest, CELL, 2), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0)).alias("num_frames"),
-            arm.alias("ablation"),
-            F.ltrim(F.regexp_extract(rest, CELL, 3), F.lit("_")).alias("variant"),
-        ),
-    )
+
+    def made(parts: Column) -> Column:
+        arm, cell = parts["arm"], F.split(parts["cell"], " ")
+        found = F.size(cell) == 3
+        return F.when(
+            found | (arm == "no_video"),
+            F.struct(
+                F.when(found, cell[0]).otherwise("none").alias("sampler"),
+                F.when(found, F.try_element_at(cell, F.lit(2))).otherwise("0").cast("int").alias("num_frames"),
+                arm.alias("ablation"),
+                F.when(found, F.ltrim(F.try_element_at(cell, F.lit(3)), F.lit("_"))).otherwise("").alias("variant"),
+            ),
+        )
+
+    cell = F.regexp_replace(F.nullif(F.regexp_substr(without_ablation(name), F.lit(CELL)), F.lit("")), CELL, "$1 $2 $3")
+    parts = F.struct(ablation(name).alias("arm"), F.coalesce(cell, F.lit("")).alias("cell"))
+    return F.try_element_at(F.transform(F.array(parts), made), F.lit(1))
 
 
 def readable_prediction(file_name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ranking
 
 
 def with_selection(rows: DataFrame, selections: DataFrame) -> DataFrame:
@@ -82,3 +83,29 @@ def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """First row of each key."""
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def resolved(rows: DataFrame, local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
+    """rows with the path of a local copy, else of a remote one, and which it is. local, remote: key, path."""
+    out = rows.join(local.select(key, F.col("path").alias("_l")), key, "left").join(remote.select(key, F.col("path").alias("_r")), key, "left")
+    origin = F.when(F.col("_l").isNotNull(), "local").when(F.col("_r").isNotNull(), "remote")
+    return out.withColumn("path", F.coalesce("_l", "_r")).withColumn("origin", origin).drop("_l", "_r")
+
+
+def templated(rows: DataFrame, templates: DataFrame, name: str = "template", slot: str = "{question}") -> DataFrame:
+    """rows with the prompt of their template and its system text. templates: name, text, system; the list is short."""
+    t = templates.select(F.col("name").alias("_n"), F.col("text").alias("_t"), F.col("system").alias("_s"))
+    out = rows.join(F.broadcast(t), F.col(name) == F.col("_n"), "left")
+    return out.withColumn("prompt", F.coalesce(F.replace("_t", F.lit(slot), F.col("question")), F.col("question"))).withColumn("system", F.coalesce("_s", F.lit(""))).drop("_n", "_t", "_s")
+
+
+def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """Rows of two tables side by side, first to first; the longer one's rest drops out."""
+    return ranking.dense_index(a, order_a, "_place").join(ranking.dense_index(b, order_b, "_place"), "_place").drop("_place")
+
+
+def checked_size(rows: DataFrame, expected: int, what: str = "rows") -> DataFrame:
+    """rows, or an error when they are not exactly as many as expected."""
+    n = rows.agg(F.count("*").alias("_n"))
+    same = n.select(F.assert_true(F.col("_n") == expected, F.concat(F.lit(f"expected {expected} {what}, got "), F.col("_n").cast("string"))).alias("_ok"))
+    return rows.join(F.broadcast(same)).where("_ok is null").drop("_ok")

@@ -169,3 +169,13 @@ def report_text(metrics: DataFrame) -> DataFrame:
     """Console lines of a confusion table."""
     line = F.format_string("TP=%d FP=%d FN=%d TN=%d invalid=%d", "TP", "FP", "FN", "TN", "invalid")
     return metrics.withColumn("report", F.concat_ws("\n", line, F.when((F.col("Acc") < 0.4) | (F.col("Acc") > 0.6), F.lit("yes/no accuracy lies outside 40 to 60 percent")).otherwise(F.lit("yes/no accuracy near chance"))))
+
+
+def makeup(items: DataFrame, category: str = "category") -> DataFrame:
+    """Instances, distinct clips and items of each category."""
+    return items.groupBy(category).agg(F.countDistinct(text.instance_id(F.col("index"))).alias("n_instances"), F.countDistinct("video_path").alias("n_clips"), F.count("*").alias("n_items"))
+
+
+def spending(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Calls, tokens and cost of each group, and how many failed."""
+    return calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.sum("tokens").cast("long").alias("tokens"), F.sum("cost").alias("cost"), F.count_if(F.coalesce(F.trim("error"), F.lit("")) != "").alias("n_failed"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import cost, extract, pythonic, sampling, stats, text
 from .operators import joins, ranking, scoring, segments, vectors
 from .plans import reports
-from .schemas import CATEGORIES, SAMPLERS
+from .schemas import CATEGORIES
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,4 +679,49 @@ def console_report(t):
     return reports.report_text(scoring.confusion(label_predictions(t), F.col("g"), F.col("s"))).select("report")
 
 
-assert set(SAMPLERS) >= {"uniform", "random", "hornet"}
+@query(f"""WITH c AS (SELECT *, 10 * floor(10.0 * good / n) AS i, 10 * floor(10.0 * other / n) AS a FROM ({CELLS})), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY i DESC, {RANK}, num_frames DESC) AS ri, row_number() OVER (PARTITION BY model ORDER BY a DESC, {RANK}, num_frames DESC) AS ra FROM c),
+t AS (SELECT l_returnflag || l_linestatus AS model, max(l_tax) AS tb FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), v AS (SELECT 'AF' AS model, 0.5::DOUBLE AS tb UNION ALL SELECT 'NO', 0.7)
+SELECT x.model, x.i AS I_Acc, y.a AS Acc, x.sampler || '-' || x.num_frames AS config, y.sampler || '-' || y.num_frames AS Acc_config, coalesce(t.tb, v.tb) AS tb, CASE WHEN t.tb IS NOT NULL THEN 'measured' WHEN v.tb IS NOT NULL THEN 'cited' END AS tb_source FROM r x JOIN r y ON y.model = x.model AND y.ra = 1 LEFT JOIN t ON t.model = x.model LEFT JOIN v ON v.model = x.model WHERE x.ri = 1""")
+def leaderboard(t):
+    c = line_cells(t).select("model", "sampler", "num_frames", (10 * F.floor(10 * F.col("good") / F.col("n"))).cast("double").alias("I_Acc"), (10 * F.floor(10 * F.col("other") / F.col("n"))).cast("double").alias("Acc"))
+    tb = t("lineitem").where("l_linestatus = 'O'").groupBy(F.concat("l_returnflag", "l_linestatus").alias("model")).agg(F.max("l_tax").alias("tb"))
+    cited = c.sparkSession.createDataFrame([("AF", 0.5), ("NO", 0.7)], "model string, tb double")
+    return reports.leaderboard(c, [(tb, ["tb"])], cited)
+
+
+@query("SELECT o_orderpriority AS category, count(DISTINCT o_orderkey // 4) AS n_instances, count(DISTINCT o_custkey) AS n_clips, count(*) AS n_items FROM orders GROUP BY 1")
+def dataset_makeup(t):
+    return reports.makeup(t("orders").select(F.col("o_orderpriority").alias("category"), F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("video_path")))
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Look closely. ' || text || ' Think first.' WHEN 1 THEN text ELSE text END AS prompt, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN 'Order matters.' ELSE '' END AS system FROM conversations")
+def templated_prompts(t):
+    rows = t("conversations").select("conv_id", "turn", F.col("text").alias("question"), F.element_at(F.array(F.lit("cot"), F.lit("bare"), F.lit("unknown")), (F.col("turn") % 3 + 1).cast("int")).alias("template"))
+    templates = rows.sparkSession.createDataFrame([("cot", "Look closely. {question} Think first.", None), ("bare", "{question}", "Order matters.")], "name string, text string, system string")
+    return joins.templated(rows, templates).select("conv_id", "turn", "prompt", "system")
+
+
+@query("SELECT c_custkey, CASE WHEN s.s_suppkey IS NOT NULL THEN s_name WHEN c_custkey % 2 = 0 THEN c_name END AS path, CASE WHEN s.s_suppkey IS NOT NULL THEN 'local' WHEN c_custkey % 2 = 0 THEN 'remote' END AS origin FROM customer LEFT JOIN supplier s ON s_suppkey = c_custkey")
+def resolved_paths(t):
+    rows = t("customer").select("c_custkey")
+    local = t("supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("path"))
+    remote = t("customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("path"))
+    return joins.resolved(rows, local, remote, "c_custkey")
+
+
+@query("WITH a AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS p FROM events WHERE event_type <> 'error'), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS p FROM orders) SELECT event_id, o_orderkey FROM a JOIN b USING (p)")
+def side_by_side(t):
+    a = t("events").where("event_type <> 'error'").select("event_id")
+    b = t("orders").select("o_orderkey", (-F.col("o_orderkey")).alias("back"))
+    return joins.by_position(a, b, "event_id", "back").drop("back")
+
+
+@query("SELECT event_type, count(*) AS n_calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(value), 4) AS cost, count(*) FILTER (event_id % 13 = 0) AS n_failed FROM events GROUP BY 1")
+def call_spending(t):
+    calls = t("events").select("event_type", F.col("user_id").alias("tokens"), F.col("value").alias("cost"), F.when(F.col("event_id") % 13 == 0, "429").otherwise(" ").alias("error"))
+    return reports.spending(calls, ["event_type"]).withColumn("cost", F.round("cost", 4))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def checked_size(t):
+    return joins.checked_size(t("region"), 5).select("r_regionkey", "r_name")

@@ -178,6 +178,12 @@ def test_incremental_runs(spark, tmp_path):
     assert (ok.model_output, ok.error) == ("A", None)
 
 
+def test_size_guard(spark):
+    assert joins.checked_size(spark.range(3), 3).count() == 3
+    with pytest.raises(Exception, match="expected 4 rows, got 3"):
+        joins.checked_size(spark.range(3), 4).collect()
+
+
 def test_cache_simulation(spark):
     r = spark.createDataFrame([("k", i, x, 4) for i, x in enumerate("abcab")], "key string, pos long, item string, size int")
     run = lambda policy: [(x.item, x.hit, x.evicted) for x in incremental.cache_simulation(r, 8, policy).orderBy("pos").collect()]
