@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import inspect
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lumenquad-")
+        folder = tempfile.mkdtemp(prefix="lumenquad-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 

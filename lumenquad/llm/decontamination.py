@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import find
-from .common import mix, shingle_hashes, text_bytes, word_hashes
+from .common import mix, pieces, shingle_hashes, text_bytes, word_hashes
 
 BITS = 128
 SHINGLE = 5
@@ -161,7 +161,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Dat
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Items(items, threshold)
-            for b in batches:
+            for b in pieces(batches, 1):
                 rows = [(d, *m) for d, raw in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for m in index.of(raw)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
@@ -178,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Items(items, threshold)
-            for b in batches:
+            for b in pieces(batches, place):
                 yield b.filter(pa.array([not index.of(raw) for raw in text_bytes(b.column(place))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

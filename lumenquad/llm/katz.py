@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import crc_of_id, mix, pieces, shuffle_width, staged, text_bytes, trim, word_hashes
+from .common import crc_of_id, mix, pieces, shuffle_width, staged, text_bytes, trim, trimmed, word_hashes
 
 U = np.uint64
 END, BEGIN = U(1), U(2)
 TOP = 5  # counts up to this are discounted by Good-Turing
 TAIL = 0.1
-CHUNK_BYTES = 8 << 20  # of a file block
+CHUNK_BYTES = 4 << 20  # of a file block
 WORD, PAIR = 0, 1
 
 
@@ -155,6 +155,7 @@ def ask_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("block", "chunk", "held_out", "text").mapInArrow(run, BLOCK)
 
 
+@trimmed
 def sum_counts(group: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's names for each block, with bits: first here of all blocks; used in held-out texts."""
     group = group.sort_by("chunk")
@@ -181,6 +182,7 @@ def sum_counts(group: pa.Table) -> pa.Table:
     })
 
 
+@trimmed
 def weigh(group: pa.Table) -> pa.Table:
     """Backoff weight of each context of a bucket, for each block that asked."""
     group = group.sort_by("chunk")
@@ -272,6 +274,7 @@ def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
     asks = halves.where("asks is not null").select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*")
     weights = asks.groupBy("bucket").applyInArrow(weigh, "bucket int, chunk long, weights binary")
 
+    @trimmed
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         replies = replies.sort_by("bucket")
         raw = b"".join(replies.column("weights").to_pylist())

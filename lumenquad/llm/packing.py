@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32, staged, tokenizer_path
+from .common import crc32, pieces, staged, tokenizer_path
 
 TOKENIZED = "doc_id long, part int, first_token long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -78,7 +78,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, ids = TaskContext.get().partitionId(), 0, ids_of(tokenizer)
         end = np.asarray([end_id], ids.dtype).tobytes()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows = [ids.of(t or "") + end for t in batch.column(1).to_pylist()]
             lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // ids.dtype.itemsize
             before = at + np.cumsum(lengths) - lengths
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, w
         offsets[r.part], at = at, at + r.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 3):
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
             for doc, part, first, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(raw, f"<u{size}").astype("<u4")

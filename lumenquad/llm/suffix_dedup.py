@@ -15,8 +15,7 @@ and h further on, as far as the threshold. A place is compared over the corpus o
 Names are 64-bit fingerprints (a pair of them settles a window). Results are exact but for a clash of these.
 
 Defined cases: null text counts as empty; texts shorter than the window keep all; repeated rows are repeats of one
-another; an empty table gives no rows; other columns come along, and those called rid, chunk or like a result column
-are replaced. A cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
+another; an empty table gives no rows; other columns come along, and those called like a result column are replaced. A cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
 """
 
 from __future__ import annotations
@@ -90,9 +89,9 @@ class Anchors:
 
 def prepared(docs: DataFrame) -> DataFrame:
     """docs as a table with a number for each row and its chunk: rows that follow one another in a partition."""
-    docs = docs.drop("rid", "chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return staged(docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("chunk", F.shiftright("rid", CHUNK_ROWS)), "suffix-input")
+    return staged(docs.withColumn("_sd_rid", F.monotonically_increasing_id()).withColumn("_sd_chunk", F.shiftright("_sd_rid", CHUNK_ROWS)), "suffix-input")
 
 
 def chunk_names(anchors: list[Anchors]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +139,7 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
         bits = [np.packbits(np.concatenate([again[a:b], first[a:b]])).tobytes() for a, b in zip(at, at[1:], strict=False)]
         return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    asked = table.select("chunk", "text").mapInArrow(ask, "bucket int, chunk long, names binary, twice binary")
+    asked = table.select("_sd_chunk", "text").mapInArrow(ask, "bucket int, chunk long, names binary, twice binary")
     return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, bits binary")
 
 
@@ -169,15 +168,15 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
     table = prepared(docs)
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // (span * 1_000_000))  # about four million names a bucket
-    other = [f for f in table.schema.fields if f.name not in ("text", "rid", "chunk")]
+    other = [f for f in table.schema.fields if f.name not in ("text", "_sd_rid", "_sd_chunk")]
     names = [f.name for f in other]
     answers = compare_names(table, width, span, buckets)
     edges_type = "array<struct<key:long,at:int,q:int,witness:boolean,bytes:binary>>"
-    first = T.StructType([*other, *T._parse_datatype_string(f"rid long, {RESULT}, text binary, starts binary, edges {edges_type}").fields])
+    first = T.StructType([*other, *T._parse_datatype_string(f"_sd_rid long, {RESULT}, text binary, _sd_starts binary, _sd_edges {edges_type}").fields])
 
     @trimmed
     def settle(rows: pa.Table, bits: pa.Table) -> pa.Table:
-        rows = rows.sort_by("rid")
+        rows = rows.sort_by("_sd_rid")
         raws = text_bytes(rows.column("text"))
         anchors = [Anchors(r, width, span) if len(r) >= width else None for r in raws]
         known, _ = chunk_names([a for a in anchors if a is not None])
@@ -210,11 +209,11 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
             n_bytes, removed, spans, digest, left = outcome(raw, mask, width)
             for k, v in zip(out, (n_bytes, removed, spans, digest, raw if pending else left if keep_text else None, np.packbits(mask).tobytes() if pending else None, edges), strict=True):
                 out[k].append(v)
-        columns = {n: rows.column(n) for n in (*names, "rid")} | {k: pa.array(v, pa.int64()) for k, v in list(out.items())[:3]}
+        columns = {n: rows.column(n) for n in (*names, "_sd_rid")} | {k: pa.array(v, pa.int64()) for k, v in list(out.items())[:3]}
         kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
-        return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "starts": pa.array(out["starts"], pa.binary()), "edges": pa.array(out["edges"], kind)})
+        return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "_sd_starts": pa.array(out["starts"], pa.binary()), "_sd_edges": pa.array(out["edges"], kind)})
 
-    settled = staged(table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, first), "suffix-settled")
+    settled = staged(table.groupBy("_sd_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, first), "suffix-settled")
 
     @trimmed
     def compare_windows(batches: pa.Table) -> pa.Table:
@@ -241,11 +240,11 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         last = np.append(cut[1:], len(row)) - 1 if len(cut) else cut
         return pa.table({"rid": batches.column("rid").take(pa.array(row[cut])).combine_chunks(), "lo": pa.array(place[cut], pa.int32()), "hi": pa.array(place[last], pa.int32())})
 
-    edges = settled.select("rid", F.explode("edges").alias("e")).select("rid", "e.*")
+    edges = settled.select(F.col("_sd_rid").alias("rid"), F.explode("_sd_edges").alias("e")).select("rid", "e.*")
     edges = edges.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     found = edges.groupBy("bucket").applyInArrow(compare_windows, "rid long, lo int, hi int")
-    found = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    pending = settled.where(F.col("starts").isNotNull()).drop("edges", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(found, "rid", "left")
+    found = found.groupBy(F.col("rid").alias("_sd_rid")).agg(F.collect_list(F.struct("lo", "hi")).alias("_sd_found"))
+    pending = settled.where(F.col("_sd_starts").isNotNull()).drop("_sd_edges", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(found, "_sd_rid", "left")
     last = T.StructType([*other, *T._parse_datatype_string(RESULT + ", text binary").fields])
 
     text_at = pending.columns.index("text")
@@ -253,7 +252,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text_at):
             out = []
-            for raw, bits, ranges in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("text", "starts", "found")), strict=True):
+            for raw, bits, ranges in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("text", "_sd_starts", "_sd_found")), strict=True):
                 mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(raw) - width + 1).astype(bool)
                 for r in ranges or ():
                     mask[r["lo"] : r["hi"] + 1] = True
@@ -261,7 +260,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4] if keep_text else [None] * len(out), pa.binary())], names=last.fieldNames())
 
-    done = settled.where(F.col("starts").isNull()).select(*last.fieldNames()).unionByName(pending.mapInArrow(finish, last))
+    done = settled.where(F.col("_sd_starts").isNull()).select(*last.fieldNames()).unionByName(pending.mapInArrow(finish, last))
     if not keep_text:
         return done.drop("text")
     # Bytes of characters that a cut went through are no text.

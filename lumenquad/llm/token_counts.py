@@ -16,6 +16,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces as slices
 from .common import tokenizer_path
 
 MARK = "▁"
@@ -93,12 +95,25 @@ class Counts(dict):
         return sum(n for n, _ in found), sum(s for _, s in found)
 
 
+_kept: dict[str, Counts] = {}
+
+
+def counts_of(key: str, pieces: list[tuple[str, float]]) -> Counts:
+    """The counts of one vocabulary, kept for the tasks that follow in the same worker."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Counts(pieces)
+    return _kept[key]
+
+
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """doc_id, n_tokens and the score of the best segmentation. The vocabulary goes along with the tasks."""
 
+    key = hashlib.md5(repr(pieces).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(pieces)
-        for b in batches:
+        counts = counts_of(key, pieces)
+        for b in slices(batches, 1):
             rows = [counts.of(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.float64())], names=["doc_id", "n_tokens", "best_score"])
 

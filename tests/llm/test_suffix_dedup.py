@@ -42,7 +42,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_equals_brute_force(spark, seed):
     texts = corpus(seed)
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, chunk string").repartition(3)
+    df = spark.createDataFrame([(i, t, "z", 7, "s") for i, t in enumerate(texts)], "doc_id long, text string, chunk string, rid int, starts string").repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
