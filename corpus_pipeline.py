@@ -47,10 +47,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_staging
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = common.staged(near_dedup.near_dedup(docs, k=5, percent=80).select("doc_id", "kept"), "near-verdicts")
-    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     # A list of known length goes to all tasks only below a bound.
     gone = gone if gone.count() > near_dedup.BROADCAST_ROWS else F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     if not verdicts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept.select(*docs.columns)
@@ -84,7 +84,13 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        out, written = stage(spark, docs, sf_dir), []
+        with common.scope(written):
+            docs = common.staged(out, f"pipeline-{name}")
+        common.remove(spark, read)
+        read = written
+    packed_rows = STAGES[-1][1](spark, docs, sf_dir)
+    common.remove(spark, read)  # the last stage has tokenized its documents into a table of its own
+    return packed_rows
