@@ -71,12 +71,12 @@ def missing_of(wanted: Column, have: Column, most: int = 5) -> Column:
     return F.slice(F.array_sort(F.array_except(wanted, have)), 1, most)
 
 
-def missing_cells(axes: list[DataFrame], present: DataFrame) -> DataFrame:
-    """Cells of a grid of a few short axes that aren't present. The axes are dimension lists, not data."""
-    grid = axes[0]
-    for axis in axes[1:]:
-        grid = grid.join(F.broadcast(axis))
-    return grid.join(present, grid.columns, "left_anti")
+def missing_cells(rows: DataFrame, axes: list[str], present: DataFrame) -> DataFrame:
+    """Cells of the grid of the axes' values that aren't present. Axes are dimensions of few values."""
+    grid = rows.agg(*(F.collect_set(a).alias(a) for a in axes))
+    for a in axes:
+        grid = grid.withColumn(a, F.explode(a))
+    return grid.join(present, axes, "left_anti")
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -105,7 +105,7 @@ def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataF
 
 
 def checked_size(rows: DataFrame, expected: int, what: str = "rows") -> DataFrame:
-    """rows, or an error when they are not exactly as many as expected."""
-    n = rows.agg(F.count("*").alias("_n"))
-    same = n.select(F.assert_true(F.col("_n") == expected, F.concat(F.lit(f"expected {expected} {what}, got "), F.col("_n").cast("string"))).alias("_ok"))
-    return rows.join(F.broadcast(same)).where("_ok is null").drop("_ok")
+    """rows, or an error when they are not exactly as many as expected. Counts at once."""
+    if (n := rows.count()) != expected:
+        raise ValueError(f"expected {expected} {what}, got {n}")
+    return rows

@@ -48,9 +48,9 @@ def dense_index(rows: DataFrame, order: str, name: str = "index") -> DataFrame:
 
 
 def finished_prefix(rows: DataFrame, position: str, done: str) -> DataFrame:
-    """Rows before the first one that isn't done."""
-    gap = rows.agg(F.min(F.when(~F.col(done), F.col(position))).alias("_gap"))
-    return rows.join(F.broadcast(gap)).where(F.col("_gap").isNull() | (F.col(position) < F.col("_gap"))).drop("_gap")
+    """Rows before the first one that isn't done. The gap is found at once, so the scan can skip what lies behind it."""
+    gap = rows.agg(F.min(F.when(~F.col(done), F.col(position)))).first()[0]
+    return rows if gap is None else rows.where(F.col(position) < gap)
 
 
 def running_mean(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:

@@ -144,10 +144,9 @@ def stacked(tables: list[DataFrame], names: DataFrame, order: list[Column]) -> D
 
 
 def best_marks(table: DataFrame, group: str, excluded: str, columns: list[str]) -> DataFrame:
-    """Whether each value is its column's best outside one group."""
-    best = table.where(F.col(group) != excluded).agg(*(F.max(c).alias(f"_{c}") for c in columns))
-    out = table.join(F.broadcast(best))
-    return out.select(*table.columns, *((F.abs(F.col(c) - F.col(f"_{c}")) < 1e-9).alias(f"{c}_best") for c in columns))
+    """Whether each value is its column's best outside one group. The best values, one row, are found at once."""
+    best = table.where(F.col(group) != excluded).agg(*(F.max(c).alias(c) for c in columns)).first()
+    return table.select(*table.columns, *((F.abs(F.col(c) - F.lit(best[c])) < 1e-9).alias(f"{c}_best") for c in columns))
 
 
 def prepared_mcq(raw: DataFrame, durations: list[str], index: DataFrame | None = None, most_videos: int | None = None, require_video: bool = False) -> DataFrame:

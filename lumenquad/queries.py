@@ -393,8 +393,8 @@ def missing_frames(t):
 @query("SELECT r.l_returnflag, s.l_linestatus, y.y AS year FROM (SELECT DISTINCT l_returnflag FROM lineitem) r, (SELECT DISTINCT l_linestatus FROM lineitem) s, (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS y FROM lineitem) y WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_quantity > 49 AND l.l_linenumber = 7 AND l.l_discount > 0.09 AND l.l_returnflag = r.l_returnflag AND l.l_linestatus = s.l_linestatus AND year(l.l_shipdate) = y.y)")
 def missing_cells(t):
     l = t("lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"), "l_quantity", "l_linenumber", "l_discount")
-    axes = [l.select(c).distinct() for c in ("l_returnflag", "l_linestatus", "year")]
-    return joins.missing_cells(axes, l.where("l_quantity > 49 and l_linenumber = 7 and l_discount > 0.09").drop("l_quantity", "l_linenumber", "l_discount"))
+    axes = ["l_returnflag", "l_linestatus", "year"]
+    return joins.missing_cells(l, axes, l.where("l_quantity > 49 and l_linenumber = 7 and l_discount > 0.09").drop("l_quantity", "l_linenumber", "l_discount"))
 
 
 @query("SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY 1")
@@ -527,10 +527,10 @@ def segmented_series(t):
 
 @query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]), 5) AS relevance FROM embeddings, q")
 def cosine_relevance(t):
-    # The query is one vector: it comes along as a column of one row.
     v = t("embeddings")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    return v.join(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("relevance"))
+    found = v.where("vec_id = 0").select("embedding").first()  # the query: one vector
+    q = F.array(*(F.lit(float(x)) for x in found.embedding)) if found else F.lit(None).cast("array<double>")
+    return v.select("vec_id", F.round(vectors.cosine(F.col("embedding"), q), 5).alias("relevance")) if found else v.where("false").select("vec_id", F.lit(0.0).alias("relevance"))
 
 
 @query("WITH p AS (SELECT a.label, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS m FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1) SELECT label, n, round(m, 5) AS mean_similarity FROM p JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) USING (label)")

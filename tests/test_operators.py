@@ -181,7 +181,7 @@ def test_incremental_runs(spark, tmp_path):
 def test_size_guard(spark):
     assert joins.checked_size(spark.range(3), 3).count() == 3
     with pytest.raises(Exception, match="expected 4 rows, got 3"):
-        joins.checked_size(spark.range(3), 4).collect()
+        joins.checked_size(spark.range(3), 4)
 
 
 def test_cache_simulation(spark):
