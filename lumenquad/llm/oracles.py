@@ -62,3 +62,31 @@ b AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS a FROM b),
 y AS (SELECT source, (k + m * a) / (n + a) AS host_rate FROM h, s)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept, x.source, round(host_rate, 6) AS host_rate FROM x LEFT JOIN y ON y.source = x.source"""
+
+SHARDING = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda x, i: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)), CAST(n AS BIGINT))) AS t),
+b AS (SELECT doc_id, md5(text) AS key, octet_length(encode(text)) + 16 AS size, list_transform(range(0, octet_length(encode(text))), lambda i: CAST(('0x' || substr(hex(encode(text)), 2 * i + 1, 2)) AS BIGINT)) AS l FROM d),
+r AS (SELECT doc_id, key, size, xor(list_reduce(l, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM b, crc),
+g AS (SELECT key, sum(size) AS bytes FROM r GROUP BY key),
+p AS (SELECT key, bytes, CAST(sum(bytes) OVER (ORDER BY key) AS BIGINT) AS upto FROM g),
+a AS (SELECT list([CAST(0 AS BIGINT), CAST(bytes AS BIGINT)] ORDER BY key) AS l, CAST(max(bytes) AS BIGINT) AS lo, CAST(sum(bytes) AS BIGINT) AS hi FROM g),
+s AS (SELECT lo, hi FROM a UNION ALL SELECT CASE WHEN ok THEN lo ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE hi END FROM (SELECT s.lo, s.hi, (s.lo + s.hi) // 2 AS mid, list_reduce(a.l, lambda c, x: CASE WHEN c[2] + x[2] > (s.lo + s.hi) // 2 THEN [c[1] + 1, x[2]] ELSE [c[1], c[2] + x[2]] END, [CAST(1 AS BIGINT), CAST(0 AS BIGINT)])[1] <= 40 AS ok FROM s, a WHERE s.lo < s.hi)),
+cap AS (SELECT min(hi) AS c FROM s),
+cut AS (SELECT 0 AS k, CAST(0 AS BIGINT) AS at UNION ALL SELECT k + 1, (SELECT max(upto) FROM p WHERE upto <= cut.at + cap.c) FROM cut, cap WHERE k < 39 AND cut.at < (SELECT max(upto) FROM p)),
+q AS (SELECT key, (SELECT count(*) FROM cut WHERE k > 0 AND cut.at < p.upto) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM r JOIN q USING (key)"""
+
+DECONTAMINATION = """
+WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]', ' ', 'g'), '[^ ]+') AS w FROM documents),
+v AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, unnest(range(0, greatest(1, len(w) - 4))) AS p, unnest(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM w WHERE len(w) > 0),
+vs AS (SELECT item_id, len(w) AS m, unnest(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM v WHERE len(w) >= 5),
+vc AS (SELECT item_id, m, s, count(*) AS c FROM vs GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, n, m, p FROM ds JOIN vc USING (s)),
+st AS (SELECT DISTINCT doc_id, item_id, n, m, unnest(range(greatest(0, least(p - (m - 5), greatest(0, n - m))), least(p, greatest(0, n - m)) + 1)) AS start FROM hit),
+k AS (SELECT st.doc_id, st.item_id, st.n, st.m, st.start, vc.s, least(count(*), any_value(vc.c)) AS shared FROM st JOIN ds ON ds.doc_id = st.doc_id AND ds.p BETWEEN st.start AND st.start + st.m - 5 JOIN vc ON vc.item_id = st.item_id AND vc.s = ds.s GROUP BY ALL),
+z AS (SELECT doc_id, item_id, n, m, start, sum(shared) AS l FROM k GROUP BY ALL),
+y AS (SELECT doc_id, item_id, start, least(m, n) AS words, l / CAST(least(m - 4, greatest(1, n - 4)) + m - 4 - l AS DOUBLE) AS sim FROM z),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS r FROM y WHERE sim >= 0.8)
+SELECT doc_id, item_id, start AS start_word, CAST(words AS BIGINT) AS n_words, sim AS similarity FROM x WHERE r = 1"""

@@ -30,6 +30,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": oracles.NEAR_DEDUP,
     "op4_katz": oracles.KATZ,
+    "op5_sharding": oracles.SHARDING,
+    "op7_decontamination": oracles.DECONTAMINATION,
     "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op10_quality_rules": oracles.QUALITY_RULES,
 }
