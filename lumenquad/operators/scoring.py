@@ -31,18 +31,21 @@ def answered(predictions: DataFrame, items: DataFrame) -> DataFrame:
     return joined.select("index", "pos", "type", code.alias("code"))
 
 
-def quads(codes: DataFrame) -> DataFrame:
-    """instance_id and the four codes, from index, pos and code (null: unusable). One shuffle, by instance.
+def quads(codes: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """instance_id and the four codes, from index, pos and code (null: unusable). One scan and one shuffle, by instance.
 
     Of rows with one index the last counts. An instance that lacks a role or has an unusable code is -1 throughout.
+    carry: columns that come along from the row of the first role.
     """
+    carry = carry or []
     keyed = codes.withColumn("instance_id", text.instance_id(F.col("index"))).withColumn("role", text.role(F.col("index")))
     picks = [F.max_by(F.coalesce("code", F.lit(-9)), F.when(F.col("role") == r, F.col("pos"))).alias(name) for r, name in enumerate(ROLES)]
+    picks += [F.max_by(c, F.when(F.col("role") == 0, F.col("pos"))).alias(c) for c in carry]
     got = keyed.groupBy("instance_id").agg(*picks)
     whole = F.lit(True)
     for name in ROLES:
         whole = whole & F.coalesce(F.col(name) >= -1, F.lit(False))
-    return got.select("instance_id", *(F.when(whole, F.col(n)).otherwise(-1).cast("int").alias(n) for n in ROLES))
+    return got.select("instance_id", *(F.when(whole, F.col(n)).otherwise(-1).cast("int").alias(n) for n in ROLES), *carry)
 
 
 def hits(one: str = "q0_i0", two: str = "q0_i1", three: str = "q1_i0", four: str = "q1_i1") -> dict[str, Column]:

@@ -62,10 +62,8 @@ def order_codes(t) -> DataFrame:
 
 
 def order_quads(t) -> DataFrame:
-    """Quads with the category of their first role: one shuffle, as both aggregates group by the instance."""
-    codes = order_codes(t)
-    category = codes.where(text.role(F.col("index")) == 0).select(text.instance_id(F.col("index")).alias("instance_id"), F.col("o_orderpriority").alias("category"))
-    return scoring.quads(codes).join(category, "instance_id", "left")
+    """Quads with the category of their first role."""
+    return scoring.quads(order_codes(t), ["o_orderpriority"]).withColumnRenamed("o_orderpriority", "category")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
