@@ -41,13 +41,13 @@ def category_id(path: Column) -> Column:
 def ablation(name: Column) -> Column:
     """Arm that a file's stem ends in; none otherwise."""
     out = F.lit("none")
-    for suffix, arm in reversed(ABLATIONS):
-        out = F.when(F.regexp_like(name, F.lit(f"{suffix}$")), arm).otherwise(out)
+    for arm, suffix in ABLATIONS.items():
+        out = F.when(F.regexp_like(name, F.lit(f"(?:{suffix})$")), arm).otherwise(out)
     return out
 
 
 def without_ablation(name: Column) -> Column:
-    return F.regexp_replace(name, f"(?:{'|'.join(s for s, _ in ABLATIONS)})$", "")
+    return F.regexp_replace(name, f"(?:{'|'.join(ABLATIONS.values())})$", "")
 
 
 def cell_of(file_name: Column) -> Column:

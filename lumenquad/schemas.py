@@ -41,8 +41,8 @@ TIE_RANK = {"uniform": 0, "random": 1, "hornet": 2, "f2cfull": 3, "f2c": 4}
 TABLE_BUDGETS = [1, 4, 8, 16, 24]
 #: Taxonomy of the clip number's first field.
 CATEGORIES = [*((i, "speed") for i in range(1, 8)), *((i, "magnitude") for i in range(8, 14)), (14, "direction (translational)"), (15, "direction (rotational)")]
-#: Suffixes of file names that mark an ablation arm, and the arm.
-ABLATIONS = [("_shuf\\d+", "shuffled_frames"), ("_shuffled_frames", "shuffled_frames"), ("_rev", "reversed_frames"), ("_reversed_frames", "reversed_frames"), ("_novid", "no_video"), ("_no_video", "no_video")]
+#: Suffixes of file names (patterns) that mark an ablation arm.
+ABLATIONS = {"shuffled_frames": r"_shuf\d+|_shuffled_frames", "reversed_frames": "_rev|_reversed_frames", "no_video": "_novid|_no_video"}
 #: Chance levels in percent.
 CHANCE = {"I_Acc": 6.25, "Q_Acc": 25.0, "V_Acc": 25.0, "Acc": 50.0, "mcq4": 25.0}
 
