@@ -59,19 +59,23 @@ class Counts(dict):
     def viterbi(self, text: str) -> tuple[int, float]:
         n = len(text)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.matcher.iter(text):
+        for end, match in self.matcher.iter(text):  # of the matches with one end the longest comes first
             ends[end].append(match)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            top, pieces, single = None, 0, False
-            for length, score in sorted(ends[i], reverse=True):
-                s = best[i + 1 - length] + score
-                if top is None or s > top:
-                    top, pieces = s, count[i + 1 - length] + 1
-                single = single or length == 1
-            if not single and (top is None or best[i] + self.unknown > top):
-                top, pieces = best[i] + self.unknown, count[i] + len(text[i].encode("utf-8", "replace"))
-            best[i + 1], count[i + 1] = top, pieces
+        for i, matches in enumerate(ends, 1):
+            if not matches:
+                best[i], count[i] = best[i - 1] + self.unknown, count[i - 1] + len(text[i - 1].encode("utf-8", "replace"))
+                continue
+            length, score = matches[0]
+            top, pieces = best[i - length] + score, count[i - length]
+            for length, score in matches[1:]:
+                s = best[i - length] + score
+                if s > top:
+                    top, pieces = s, count[i - length]
+            pieces += 1
+            if length > 1 and best[i - 1] + self.unknown > top:  # the shortest match is no single character
+                top, pieces = best[i - 1] + self.unknown, count[i - 1] + len(text[i - 1].encode("utf-8", "replace"))
+            best[i], count[i] = top, pieces
         return count[n], best[n]
 
     def __missing__(self, stretch: str) -> tuple[int, float]:
