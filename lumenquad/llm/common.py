@@ -7,6 +7,7 @@ import ctypes
 import functools
 import inspect
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,15 +19,12 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the separators of words in every contract here (bytes.split() uses the same set).
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: ASCII white space, which separates words (bytes.split() takes the same set), and the symbols that rules count.
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lumenquad-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -92,23 +90,6 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class WordHash(dict):
-    """64-bit hash of a word, kept per worker; emptied when it holds `most` words, so memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -130,11 +111,6 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def starts_of(counts: Iterable[int]) -> np.ndarray:
-    c = np.fromiter(counts, dtype=np.int64)
-    return np.concatenate([[0], np.cumsum(c)])
-
-
 def crc32(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
