@@ -12,7 +12,8 @@ and h further on, as far as the threshold. A place is compared over the corpus o
    compared by theirs.
 3. Documents with windows found in step 2 get their final spans.
 
-Names are 64-bit fingerprints (a pair of them settles a window). Results are exact but for a clash of these.
+Names are 64-bit fingerprints, and two of them must agree for a window to be settled: results are exact but for a
+clash of both.
 
 Defined cases: null text counts as empty; texts shorter than the window keep all; repeated rows are repeats of one
 another; an empty table gives no rows; other columns come along, and those called like a result column are replaced. A cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
@@ -191,8 +192,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
             pending = False
             if a is not None:
                 whole = blocks.find(known, a.whole)
-                live, settled = again[blocks.find(known, a.core)], again[whole]
-                for j in np.flatnonzero(live | settled):
+                live = again[blocks.find(known, a.core)]
+                settled = again[whole] & live  # two names must arise elsewhere: a clash of one settles nothing
+                for j in np.flatnonzero(live):
                     lo, hi = int(a.lo[j]), int(a.hi[j])
                     witness = bool(settled[j])
                     if witness:
@@ -230,7 +232,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         name = mix(window[at[row] + place] ^ mix(key[row] + (q[row] - place).astype(np.uint64)))
         witness = batches.column("witness").to_numpy(zero_copy_only=False)[row]
         order = np.argsort(name, kind="stable")
-        same = name[order[1:]] == name[order[:-1]]
+        longer = key[row][order]
+        same = (name[order[1:]] == name[order[:-1]]) & (longer[1:] == longer[:-1])
         hit = np.zeros(len(name), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
