@@ -5,10 +5,12 @@
 2. Each tree of the forest sorts the classes by its own order of the minhashes. Classes whose first `depth` values are
    alone in a tree drop out there (packed blocks of names tell). What shares them is a region; classes of a region with
    more than `LARGE` classes go by longer prefixes, each by the first that few enough share. Neighbours are compared on
-   whole signatures; each class proposes its best neighbour and its best one of lower id.
-3. Proposals are confirmed on full sets, and linked classes get components. Components that a region
-   holds apart, though signatures don't rule out a link, form families; within these all sets are compared block by
-   block, so that no link is lost for a class having proposed another, and only links that join components come out.
+   whole signatures; each class proposes its best neighbour and its best one of lower id. Beside that, the classes of a
+   large region form a chain by set size, whose links are proposed too.
+3. Proposals are confirmed on full sets, and linked classes get components. Components that a region holds apart,
+   though signatures don't rule out a link, form families (of a large region, what its chain holds together is compared
+   on signatures block by block); within these all sets are compared block by block, so that no link is lost for a class
+   having proposed another, and only links that join components come out.
 
 The number of trees makes a pair at the threshold share a region but for one in a million; the depth grows with the
 logarithm of the number of classes. Signatures rule a pair out below 4.5 standard deviations under the threshold.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import mix, pieces, shingle_hashes, shuffle_width, staged, text_bytes, trimmed, word_hashes
+from .common import mix, pieces, shingle_hashes, shuffle_width, staged, text_bytes, trim, trimmed, word_hashes
 from .graphs import components
 
 SIGNATURE = 96
@@ -149,11 +151,13 @@ def with_counts(rows: DataFrame, names_of: Callable[[pa.Table], np.ndarray], cho
     return rows.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def regions(classes: DataFrame, depth: int, trees: int) -> DataFrame:
-    """name, node, n, sig, tree: classes that share the first values with others in a tree.
+def regions(classes: DataFrame, depth: int, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """name, node, n, sig, tree: classes that share the first values with others in a tree; and the same of the regions
+    of more than LARGE classes, if any, as they are.
 
-    A region of more than LARGE classes takes deeper names, for each class the first at which it is small enough. Where
-    none is (up to equal signatures), it is dealt into parts of about that size by a hash of the class.
+    Such a region takes deeper names, for each class the first at which it is small enough. Where none is (up to equal
+    signatures), it is dealt into parts of about that size by a hash of the class. That serves the proposals only: what
+    it keeps apart is compared by chained() and apart().
     """
     order = orders(trees)
     entry = "name long, tree int, node long, n long, sig binary"
@@ -166,7 +170,7 @@ def regions(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     found = staged(with_counts(classes, lambda t: names_in_trees(_signatures(t), order, depth), first, entry + ", size long"), "near-entries")
     large = found.where(F.col("size") > LARGE)
     if large.isEmpty():
-        return found.drop("size")
+        return found.drop("size"), None
     depths = sorted({min(SIGNATURE, math.ceil(depth * 1.3**i)) for i in range(20)})
 
     def deeper(chunk: pa.Table, names: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -188,7 +192,97 @@ def regions(classes: DataFrame, depth: int, trees: int) -> DataFrame:
     rows = staged(rows, "near-large")
     tree = lambda t: t.column("tree").to_numpy()
     cut = with_counts(rows, lambda t: deep_names(_signatures(t), tree(t), order, depths), deeper, entry)
-    return found.where(F.col("size") <= LARGE).drop("size").unionByName(cut)
+    return found.where(F.col("size") <= LARGE).drop("size").unionByName(cut), large.select("name", "n", "node", "sig")
+
+
+def chained(large: DataFrame, share: float, least: int) -> DataFrame:
+    """a, b, near: neighbours by set size in each large region whose sizes allow a link; near: signatures do so too.
+
+    Between two classes that sizes allow to be linked lie only neighbours of that kind, so the chain holds them together.
+    """
+    spark = large.sparkSession
+    rows = large.repartitionByRange("name", "n", "node").sortWithinPartitions("name", "n", "node")
+    rows = rows.withColumn("part", F.spark_partition_id())
+
+    def pairs(name: np.ndarray, n: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = (name[1:] == name[:-1]) & (n[:-1] >= share * n[1:] - 1e-9)
+        return node[:-1][ok], node[1:][ok], ((sig[1:] == sig[:-1]).sum(1) >= least)[ok]
+
+    def columns(t: pa.Table) -> list[np.ndarray]:
+        return [*(t.column(c).to_numpy() for c in ("name", "n", "node")), _signatures(t)]
+
+    schema = "a long, b long, near boolean, part int, last boolean, name long, n long, node long, sig binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edge(row: pa.Table, last: bool) -> pa.RecordBatch:
+            one = {c: row.column(c).to_pylist() for c in ("part", "name", "n", "node", "sig")}
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array(one["part"], pa.int32()), pa.array([last]), pa.array(one["name"], pa.int64()), pa.array(one["n"], pa.int64()), pa.array(one["node"], pa.int64()), pa.array(one["sig"], pa.binary())], names=names)
+
+        names, before = [c.split(" ")[0] for c in schema.split(", ")], None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if not len(t):
+                continue
+            if before is None:
+                yield edge(t.slice(0, 1), False)
+            both = t if before is None else pa.concat_tables([before, t])
+            before = t.slice(len(t) - 1)
+            x, y, near = pairs(*columns(both))
+            none = lambda kind, k=len(x): pa.nulls(k, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(near, pa.bool_()), none(pa.int32()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], names=names)
+        if before is not None:
+            yield edge(before, True)
+        trim()
+
+    found = staged(rows.mapInArrow(run, schema), "near-chain")
+    # First and last row of each partition, two a task: they hold the chain together across partitions.
+    ends = found.where("last is not null").select("part", "last", "name", "n", "node", "sig").toArrow().sort_by([("part", "ascending"), ("last", "ascending")])
+    more = []
+    if len(ends):
+        outer = [x for x in range(1, len(ends) - 1, 2)]
+        for i in outer:
+            x, y, near = pairs(*columns(ends.slice(i, 2)))
+            more += zip(x.tolist(), y.tolist(), near.tolist(), strict=True)
+    links = found.where("a is not null").select("a", "b", "near")
+    return staged(links.unionByName(spark.createDataFrame(more, "a long, b long, near boolean")).distinct(), "near-chained")
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """components() of the links a, b; a list of known length below a bound is joined on the driver."""
+    if links.count() > BROADCAST_ROWS // 5:
+        return components(links)
+    t = links.toArrow()
+    a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():  # every node goes by the least root around, and that by its own
+        least = np.minimum(root[x], root[y])
+        for end in (root[x], root[y], x, y):
+            np.minimum.at(root, end, least)
+        while (root[root] != root).any():
+            root = root[root]
+    return links.sparkSession.createDataFrame(pa.table({"node": nodes, "component": nodes[root]}))
+
+
+def apart(chain: DataFrame, found: DataFrame, classes: DataFrame, share: float, least: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of the large regions: node, component of the classes that a chain of unlike components holds together, and their
+    links a, b between components that signatures and sizes allow; every pair of blocks of classes is compared."""
+    component = lambda c: F.coalesce(c, "node")
+    nodes = chain.select(F.col("a").alias("node")).unionByName(chain.select(F.col("b").alias("node"))).distinct()
+    nodes = staged(nodes.join(found, "node", "left").withColumn("component", component("component")), "near-held")
+    ends = chain.select("a", "b").join(nodes.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    unlike = staged(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-unlike")
+    if unlike.isEmpty():
+        return None
+    groups = joined(unlike).select(F.col("node").alias("component"), F.col("component").alias("held"))
+    nodes = staged(nodes.join(groups, "component").join(classes.select("node", "n", "sig"), "node"), "near-apart")
+    sizes = nodes.groupBy("held").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = nodes.join(sizes, "held").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("held", F.least("own", "other"), F.greatest("own", "other")).alias("name"), "node", "n", "sig", "component")
+    links = rows.groupBy("name").applyInArrow(trimmed(lambda t: forest(t, share, least)), "a long, b long").distinct()
+    return nodes.select("node", "component"), links
 
 
 def pairs_in(group: pa.Table, share: float, least: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,6 +387,14 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def forest(t: pa.Table, share: float, least: int) -> pa.Table:
+    """Links of a forest of the components in t that signatures and set sizes allow."""
+    c = t.column("component").to_numpy()
+    i, j, *_ = pairs_in(t, share, least, c)
+    tree = spanning(c[i], c[j])
+    return pa.table({"a": pa.array([x for x, _ in tree], pa.int64()), "b": pa.array([y for _, y in tree], pa.int64())})
+
+
 def links_within(members: DataFrame, sets: DataFrame, classes: DataFrame, buckets: int, percent: int, least: int) -> DataFrame:
     """Links a, b between different components of each family, at most one a merge in each part of the work.
 
@@ -358,12 +460,18 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     depth = max(4, round(math.log2(max(2, classes.count())) / 4.5))
     trees = math.ceil(math.log(1e-6) / math.log(1 - share**depth)) if share < 1 else 1
     least = max(1, math.floor(SIGNATURE * share - 4.5 * math.sqrt(SIGNATURE * share * (1 - share))))
-    entries = staged(regions(classes, depth, trees), "near-regions")
+    entries, large = regions(classes, depth, trees)
+    entries = staged(entries, "near-regions")
+    chain = None if large is None else chained(large, share, least)
     shared = entries.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
     proposals = shared.groupBy("bucket").applyInArrow(trimmed(lambda t: propose(t, share, least)), "node long, other long, agree int, lower boolean")
     best = staged(proposals.groupBy("node", "lower").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other")), "near-proposals")
-    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    sets = sets_of(docs, classes, best.select("node").distinct(), k)
+    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    if chain is not None:
+        pairs = pairs.unionByName(chain.where("near").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = staged(pairs.distinct(), "near-pairs")
+    proposed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(docs, classes, proposed, k)
     links = staged(confirmed(pairs, sets, percent), "near-links")
     found = staged(components(links), "near-components")
     # Components that the signatures still allow to be linked form families: each region names a forest of them.
@@ -371,18 +479,17 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     inside = staged(inside.select("name", "tree", "node", "n", "component"), "near-inside")
     mixed = inside.groupBy("name").agg(F.min("component").alias("m"), F.max("component").alias("x")).where(F.col("m") != F.col("x")).select("name")
     across = inside.join(mixed, "name").join(classes.select("node", "sig"), "node").withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
-
-    @trimmed
-    def forest(t: pa.Table) -> pa.Table:
-        c = t.column("component").to_numpy()
-        i, j, *_ = pairs_in(t, share, least, c)
-        tree = spanning(c[i], c[j])
-        return pa.table({"a": pa.array([x for x, _ in tree], pa.int64()), "b": pa.array([y for _, y in tree], pa.int64())})
-
-    near = staged(across.groupBy("bucket").applyInArrow(forest, "a long, b long").distinct(), "near-forest")
+    near, held = across.groupBy("bucket").applyInArrow(trimmed(lambda t: forest(t, share, least)), "a long, b long"), inside.select("node", "component")
+    if chain is not None and (kept_apart := apart(chain, found, classes, share, least)):
+        held, near = held.unionByName(kept_apart[0]), near.unionByName(kept_apart[1])
+    near = staged(near.distinct(), "near-forest")
     if not near.isEmpty():
-        families = components(near).select(F.col("node").alias("component"), F.col("component").alias("family"))
-        members = staged(inside.select("node", "component").distinct().join(families, "component"), "near-families")
+        families = joined(near).select(F.col("node").alias("component"), F.col("component").alias("family"))
+        members = staged(held.distinct().join(families, "component"), "near-families")
+        if chain is not None:  # classes of large regions may have had no proposal
+            others = staged(members.select("node").distinct().join(proposed, "node", "left_anti"), "near-others")
+            if not others.isEmpty():
+                sets = sets.unionByName(sets_of(docs, classes, others, k))
         more = staged(links_within(members, sets, classes, buckets, percent, least), "near-links")
         if not more.isEmpty():
             found = components(links.unionByName(more))
