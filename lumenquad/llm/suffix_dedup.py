@@ -103,22 +103,27 @@ def chunk_names(anchors: list[Anchors]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> DataFrame:
-    """For each block of names of a chunk: bits that tell which arise elsewhere, and which are first here."""
+    """For each block of names of a chunk: bits that tell which arise elsewhere, and which are first here.
+
+    Where a file of the table is split, several tasks may read rows of one chunk. Each run of rows that follow one another
+    in a task asks for itself, and `part`, its first row, tells the answers of a chunk apart.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, found = None, []
+        chunk, part, last, found = None, None, None, []
 
         def done():
             names, twice = chunk_names(found)
             parts = blocks.cut(names, buckets)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "chunk", "names", "twice"])
-
-        for batch in pieces(batches, 1):
-            for k, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                if k != chunk and found:
-                    yield done()
-                    found = []
-                chunk = k
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([part] * len(parts), pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "chunk", "part", "names", "twice"])
+
+        for batch in pieces(batches, 2):
+            for k, rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+                if k != chunk or rid != last + 1:
+                    if found:
+                        yield done()
+                    chunk, part, found = k, rid, []
+                last = rid
                 if len(raw) >= width:
                     found.append(Anchors(raw, width, span))
         if found:
@@ -126,7 +131,7 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
 
     @trimmed
     def answer(group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
+        group = group.sort_by([("chunk", "ascending"), ("part", "ascending")])
         parts = [blocks.unpack(x) for x in group.column("names").to_pylist()]
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(p)) for p, t in zip(parts, group.column("twice").to_pylist(), strict=True)]).astype(bool)
         names = np.concatenate(parts)
@@ -138,10 +143,10 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
         first[order[1:][same]] = False
         at = np.cumsum([0, *map(len, parts)])
         bits = [np.packbits(np.concatenate([again[a:b], first[a:b]])).tobytes() for a, b in zip(at, at[1:], strict=False)]
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    asked = table.select("_sd_chunk", "text").mapInArrow(ask, "bucket int, chunk long, names binary, twice binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, bits binary")
+    asked = table.select("_sd_chunk", "_sd_rid", "text").mapInArrow(ask, "bucket int, chunk long, part long, names binary, twice binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, part long, bucket int, bits binary")
 
 
 def spans_of(starts: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
@@ -180,17 +185,27 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         rows = rows.sort_by("_sd_rid")
         raws = text_bytes(rows.column("text"))
         anchors = [Anchors(r, width, span) if len(r) >= width else None for r in raws]
-        known, _ = chunk_names([a for a in anchors if a is not None])
-        answer = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
-        flags = np.zeros((2, len(known)), bool)
-        for bucket, a, b in blocks.cut(known, buckets):
-            flags[:, a:b] = np.unpackbits(np.frombuffer(answer[bucket], np.uint8), count=2 * (b - a)).reshape(2, -1)
-        again, unseen = flags
+        # Rows before the first part, or after a part that asked for nothing, are shorter than the window.
+        firsts = np.unique(bits.column("part").to_numpy())
+        part_of = np.searchsorted(firsts, rows.column("_sd_rid").to_numpy(), "right") - 1
+        answer = dict(zip(zip(bits.column("part").to_pylist(), bits.column("bucket").to_pylist(), strict=True), bits.column("bits").to_pylist(), strict=True))
+        assert len(answer) == len(bits), "two answers for one part of a chunk"
+        parts = []
+        for i, first_row in enumerate(firsts.tolist()):
+            known, _ = chunk_names([a for a, p in zip(anchors, part_of, strict=True) if a is not None and p == i])
+            flags = np.zeros((2, len(known)), bool)
+            for bucket, a, b in blocks.cut(known, buckets):
+                said = answer.pop((first_row, bucket))
+                assert len(said) == (2 * (b - a) + 7) // 8, "an answer for other names"
+                flags[:, a:b] = np.unpackbits(np.frombuffer(said, np.uint8), count=2 * (b - a)).reshape(2, -1)
+            parts.append((known, *flags))
+        assert not answer, "an answer for names that nobody has"
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "starts", "edges")}
-        for raw, a in zip(raws, anchors, strict=True):
+        for raw, a, part in zip(raws, anchors, part_of, strict=True):
             mask, edges = np.zeros(max(0, len(raw) - width + 1), bool), []
             pending = False
             if a is not None:
+                known, again, unseen = parts[part]
                 whole = blocks.find(known, a.whole)
                 live = again[blocks.find(known, a.core)]
                 settled = again[whole] & live  # two names must arise elsewhere: a clash of one settles nothing
