@@ -93,9 +93,9 @@ def resolved(rows: DataFrame, local: DataFrame, remote: DataFrame, key: str) ->
 
 
 def templated(rows: DataFrame, templates: DataFrame, name: str = "template", slot: str = "{question}") -> DataFrame:
-    """rows with the prompt of their template and its system text. templates: name, text, system; the list is short."""
+    """rows with the prompt of their template and its system text. templates: name, text, system."""
     t = templates.select(F.col("name").alias("_n"), F.col("text").alias("_t"), F.col("system").alias("_s"))
-    out = rows.join(F.broadcast(t), F.col(name) == F.col("_n"), "left")
+    out = rows.join(t, F.col(name) == F.col("_n"), "left")
     return out.withColumn("prompt", F.coalesce(F.replace("_t", F.lit(slot), F.col("question")), F.col("question"))).withColumn("system", F.coalesce("_s", F.lit(""))).drop("_n", "_t", "_s")
 
 

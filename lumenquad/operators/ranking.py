@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SAMPLERS, TIE_RANK
+from ..sources import staging
 
 
 def rank_of(value: Column, order: list[str], other: int = 99) -> Column:
@@ -39,12 +40,18 @@ def first_distinct(rows: DataFrame, key: str, order: str, most: int) -> DataFram
 
 
 def dense_index(rows: DataFrame, order: str, name: str = "index") -> DataFrame:
-    """0, 1, 2, ... in order: counts by range and an offset for each, so no task sees all rows."""
+    """0, 1, 2, ... in order: counts by range and an offset for each, so no task sees all rows.
+
+    The ranged rows are written once, with their part and place there: both sides of the join must see the same parts,
+    which two runs of one adaptive shuffle don't promise. The offsets are one row a part.
+    """
     spread = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
     marked = spread.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
+    marked = staging.written(marked, staging.new_path(rows.sparkSession, "numbered"))
     counts = marked.groupBy("_part").agg(F.max("_at").alias("_last"))
-    offsets = counts.select("_part", (F.coalesce(F.sum(F.col("_last") + 1).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    return marked.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    before = F.sum(F.col("_last") + 1).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return marked.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def finished_prefix(rows: DataFrame, position: str, done: str) -> DataFrame:

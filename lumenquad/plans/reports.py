@@ -139,7 +139,7 @@ def stacked(tables: list[DataFrame], names: DataFrame, order: list[Column]) -> D
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
-    shown = out.join(F.broadcast(names), "model", "left")
+    shown = out.join(names, "model", "left")
     return shown.withColumn("model", F.coalesce("display", "model")).drop("display").orderBy(*order)
 
 

@@ -78,6 +78,22 @@ def test_best_cell_ties(spark):
     assert tuple(ranking.best_cell(cells, ["model"]).first()) == ("m", 10.0, 60.0, "uniform-8", "hornet-24")
 
 
+def test_dense_index_keeps_wide_rows(spark):
+    """Wide and narrow runs of one adaptive shuffle have unlike parts."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        wide = spark.range(120_000, numPartitions=8).withColumn("pay", F.repeat(F.sha2(F.col("id").cast("string"), 256), 16))
+        got = ranking.dense_index(wide, "id")
+        assert got.agg(F.count("*"), F.count_if(F.col("id") == F.col("index")), F.max(F.length("pay"))).first() == (120_000, 120_000, 1024)
+        both = joins.by_position(wide.withColumnRenamed("pay", "a"), wide.select((-F.col("id")).alias("back"), "pay"), "id", "back")
+        assert both.agg(F.count("*"), F.sum(F.col("id") - F.col("back"))).first() == (120_000, 120_000 * 119_999)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_dense_index_and_prefix(spark):
     df = spark.createDataFrame([(i * 7, i != 31) for i in range(100)], "pos long, done boolean").repartition(7)
     assert [(r.pos, r["index"]) for r in ranking.dense_index(df, "pos").orderBy("pos").collect()] == [(i * 7, i) for i in range(100)]
