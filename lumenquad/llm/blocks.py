@@ -1,7 +1,8 @@
 """Packed blocks: sorted 64-bit names of one chunk of rows, cut by bucket, so that a shuffle moves a few large rows.
 
 A chunk asks for its names bucket by bucket; the task of a bucket sees each name once a chunk at most (a hot name is
-summed up where it arises) and answers every block in the order of its names.
+summed up where it arises) and answers every block in the order of its names. Buckets may be up to 2**31; once there are
+as many as names in a chunk, a block holds a name or so and the shuffle is that of plain rows.
 """
 
 from __future__ import annotations
@@ -9,15 +10,20 @@ from __future__ import annotations
 import numpy as np
 
 
-def bucket_edges(buckets: int) -> np.ndarray:
-    """Smallest name of each bucket but the first; buckets hold equal ranges of names."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each name, floor(name * buckets / 2**64): buckets hold equal ranges of names."""
+    n, low = np.uint64(buckets), np.uint64(0xFFFFFFFF)
+    high = names >> np.uint64(32)
+    return ((high * n + ((names & low) * n >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
 
 
 def cut(names: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the sorted names, without empty buckets."""
-    at = np.concatenate([[0], np.searchsorted(names, bucket_edges(buckets)), [len(names)]])
-    return [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+    """(bucket, from, to) of the sorted names, without empty buckets; linear in the names, whatever the buckets."""
+    if not len(names):
+        return []
+    bucket = bucket_of(names, buckets)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(names)], strict=True))
 
 
 def pack(names: np.ndarray) -> bytes:

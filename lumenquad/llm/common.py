@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import inspect
 import os
-import re
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -22,27 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_path, shared_dir, written  # noqa: F401
+
 #: ASCII white space, which separates words (bytes.split() takes the same set), and the symbols that rules count.
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Only a local master may do without: a temporary folder of this machine then stands in, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lumenquad-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Paths of the tables staged in the current scope, where there is one.
 _scope: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
 
@@ -69,12 +50,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The files outlive lost executors. They stay until the folder is cleared or their scope removed: a lazy result may
     read them late.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     if (paths := _scope.get()) is not None:
         paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -132,16 +111,46 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
+#: Bytes whose words are hashed at once; longer texts are cut between words.
+STRETCH = 1 << 20
+
+
 def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each; kept per worker."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(1 << 17, n)
-        _powers[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
-    return _powers
+    """Powers of the base and of its inverse modulo 2**64, at least n of each; up to STRETCH are kept per worker."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    size = max(1 << 17, n)
+    found = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
+    if size <= STRETCH + 1:
+        _powers[:] = found
+    return found
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text: differences of prefix sums of a polynomial over its bytes."""
+    """64-bit hashes of the words of a text, a stretch at a time; a word longer than a stretch is one."""
+    if len(raw) <= STRETCH:
+        return _hashes_of(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = at + STRETCH
+        if end < len(raw):
+            end = max(raw.rfind(x, at, end) for x in map(chr_byte, SPACES)) + 1 or _next_space(raw, end)
+        out.append(_hashes_of(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def chr_byte(x: int) -> bytes:
+    return bytes([x])
+
+
+def _next_space(raw: bytes, at: int) -> int:
+    found = [i for i in (raw.find(x, at) for x in map(chr_byte, SPACES)) if i >= 0]
+    return min(found) if found else len(raw)
+
+
+def _hashes_of(raw: bytes) -> np.ndarray:
+    """Hashes of words as differences of prefix sums of a polynomial over the bytes."""
     if not raw:
         return np.empty(0, np.uint64)
     a = np.frombuffer(raw + b" ", np.uint8)

@@ -2,22 +2,26 @@
 
 1. Each text becomes a set of word shingles, its 128-bit key and a signature of `SIGNATURE` minhashes. Texts with equal
    sets are one class, shown by its least doc_id.
-2. Each tree of the forest sorts the classes by its own order of the minhashes. Classes whose first `depth` values are
-   alone in a tree drop out there (packed blocks of names tell). What shares them is a region; classes of a region with
-   more than `LARGE` classes go by longer prefixes, each by the first that few enough share. Neighbours are compared on
-   whole signatures; each class proposes its best neighbour and its best one of lower id. Beside that, the classes of a
-   large region form a chain by set size, whose links are proposed too.
-3. Proposals are confirmed on full sets, and linked classes get components. Components that a region holds apart,
-   though signatures don't rule out a link, form families (of a large region, what its chain holds together is compared
-   on signatures block by block); within these all sets are compared block by block, so that no link is lost for a class
-   having proposed another, and only links that join components come out.
-
-The number of trees makes a pair at the threshold share a region but for one in a million; the depth grows with the
-logarithm of the number of classes. Signatures rule a pair out below 4.5 standard deviations under the threshold.
+2. Each tree of the forest takes the minhashes in an order of its own. Classes whose first `depth` values are alone in
+   a tree drop out there (packed blocks of names tell). What shares them is a region. Spark sorts the rest by tree and
+   signature; in that order the classes of a region stand by longest common prefix. A region of up to `RUN` classes is
+   compared as a whole; a larger one by the shallowest deeper prefix that so few share, and each class with the
+   `NEXT` ones that follow it. Each class proposes its best neighbour and its best one of lower id.
+3. Proposals are confirmed on full sets, and linked classes get components.
+4. Classes are contested that share a region with another component: one that signatures don't rule out, or any in a
+   region of over `RUN` classes, whose pairs weren't all compared. For these an exact prefix filter finds the rest:
+   two sets at the threshold share one of the rarest of their shingles, as many as the threshold lets a set lack, and
+   one more. Pairs that do so, in different components and possible by size and place, are confirmed on full sets.
+
+So what a tree's order or a run holds apart is compared in step 4, however large the region. The number of trees makes
+a pair at the threshold share a region but for one in a million; the depth grows with the logarithm of the number of
+classes. Signatures rule a pair out below 4.5 standard deviations under the threshold.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; fewer words than a
-shingle: the whole sequence is the shingle; rows with equal doc_id count as one document; a null doc_id has no
-component and is kept; an empty table gives no rows; other columns are ignored.
+shingle: the whole sequence is the shingle; very long texts are read whole, one at a time beyond 4 MB, and their sets
+held in one task, 8 bytes a shingle; rows with equal doc_id count as one document, with the links of each text; a null
+doc_id has no component and is kept; ties among neighbours go to the lower doc_id; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +40,13 @@ from .common import mix, pieces, shingle_hashes, shuffle_width, staged, text_byt
 from .graphs import components
 
 SIGNATURE = 96
-LARGE = 512
-BLOCK = 1024
-BROADCAST_ROWS = 500_000
+RUN = 128  # classes that are compared pair by pair, by default
+NEXT = 4
+STRETCH = 8  # runs of an order that a task holds, at least
+BROADCAST_ROWS = 250_000  # of 8 bytes
+NAMES = 4_000_000  # a bucket
 U = np.uint64
+ENTRY = "name long, size long, node long, n long, key binary"
 
 
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
@@ -82,17 +89,12 @@ def orders(trees: int) -> np.ndarray:
 
 def names_in_trees(sig: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Name of the first `depth` values of each row (first axis) in each tree (second axis)."""
-    return np.stack([deep_names(sig, np.full(len(sig), t), order, [depth])[:, 0] for t in range(len(order))], 1)
-
-
-def deep_names(sig: np.ndarray, tree: np.ndarray, order: np.ndarray, depths: list[int]) -> np.ndarray:
-    """Names of each row in its tree at several depths (ascending, second axis)."""
-    x = tree.astype(np.uint64) + U(1)
-    row, at, out = np.arange(len(sig)), 0, np.empty((len(sig), len(depths)), np.uint64)
-    for i, d in enumerate(depths):
-        for j in range(at, d):
-            x = mix(x * U(0x9E3779B97F4A7C15) + sig[row, order[tree, j]])
-        at, out[:, i] = d, x
+    out = np.empty((len(sig), len(order)), U)
+    for t, taken in enumerate(order):
+        x = np.full(len(sig), t + 1, U)
+        for j in taken[:depth]:
+            x = mix(x * U(0x9E3779B97F4A7C15) + sig[:, j])
+        out[:, t] = x
     return out
 
 
@@ -105,25 +107,37 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                 sig[i] = row.tobytes()
             keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
+            numbers = ([len(s) for s in sets], [x for x, _ in keys], [y for _, y in keys])
+            columns = [b.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "k1", "k2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def _signatures(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+def _signatures(table: pa.Table, column: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint16).reshape(-1, SIGNATURE)
 
 
-def with_counts(rows: DataFrame, names_of: Callable[[pa.Table], np.ndarray], choose: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def with_counts(
+    rows: DataFrame,
+    names_of: Callable[[pa.Table], np.ndarray],
+    choose: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table],
+    schema: str,
+    buckets: int,
+) -> DataFrame:
     """Per chunk of rows: names of its rows, how many rows bear each over all chunks, and what `choose` makes of it."""
-    buckets = shuffle_width(rows.sparkSession)
 
     @trimmed
     def ask(chunk: pa.Table) -> pa.Table:
         names, counts = np.unique(names_of(chunk), return_counts=True)
         parts = blocks.cut(names, buckets)
         k = chunk.column("chunk")[0].as_py()
-        return pa.table({"bucket": pa.array([p[0] for p in parts], pa.int32()), "chunk": pa.array([k] * len(parts), pa.int64()), "names": pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary())})
+        return pa.table({
+            "bucket": pa.array([p[0] for p in parts], pa.int32()),
+            "chunk": pa.array([k] * len(parts), pa.int64()),
+            "names": pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()),
+            "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary()),
+        })
 
     @trimmed
     def answer(group: pa.Table) -> pa.Table:
@@ -136,7 +150,8 @@ def with_counts(rows: DataFrame, names_of: Callable[[pa.Table], np.ndarray], cho
         total[order] = np.repeat(np.add.reduceat(counts[order], head), np.diff(np.append(head, len(order))))
         total = np.minimum(total, (1 << 32) - 1).astype("<u4")
         at = np.cumsum([0, *map(len, parts)])
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "counts": pa.array([total[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+        replies = [total[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "counts": pa.array(replies, pa.binary())})
 
     @trimmed
     def apply(chunk: pa.Table, said: pa.Table) -> pa.Table:
@@ -151,204 +166,159 @@ def with_counts(rows: DataFrame, names_of: Callable[[pa.Table], np.ndarray], cho
     return rows.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def regions(classes: DataFrame, depth: int, trees: int) -> tuple[DataFrame, DataFrame | None]:
-    """name, node, n, sig, tree: classes that share the first values with others in a tree; and the same of the regions
-    of more than LARGE classes, if any, as they are.
+def forest(classes: DataFrame, depth: int, trees: int, buckets: int) -> DataFrame:
+    """name, size, node, n, key: classes that share their first values with others in a tree, by region.
 
-    Such a region takes deeper names, for each class the first at which it is small enough. Where none is (up to equal
-    signatures), it is dealt into parts of about that size by a hash of the class. That serves the proposals only: what
-    it keeps apart is compared by chained() and apart().
+    key: the signature in the order of the tree; within a region all rows are of one tree.
     """
     order = orders(trees)
-    entry = "name long, tree int, node long, n long, sig binary"
 
-    def first(chunk: pa.Table, names: np.ndarray, counts: np.ndarray) -> pa.Table:
+    def shared(chunk: pa.Table, names: np.ndarray, counts: np.ndarray) -> pa.Table:
         row, tree = np.nonzero(counts > 1)
-        picked = {c: chunk.column(c).take(pa.array(row)).combine_chunks() for c in ("node", "n", "sig")}
-        return pa.table({"name": pa.array(names[row, tree].view(np.int64)), "tree": pa.array(tree, pa.int32())} | picked | {"size": pa.array(counts[row, tree])})
-
-    found = staged(with_counts(classes, lambda t: names_in_trees(_signatures(t), order, depth), first, entry + ", size long"), "near-entries")
-    large = found.where(F.col("size") > LARGE)
-    if large.isEmpty():
-        return found.drop("size"), None
-    depths = sorted({min(SIGNATURE, math.ceil(depth * 1.3**i)) for i in range(20)})
-
-    def deeper(chunk: pa.Table, names: np.ndarray, counts: np.ndarray) -> pa.Table:
-        fits = counts <= LARGE
-        # The first depth that fits, unless the class is alone there: then the last depth at which it isn't.
-        level = np.where(fits.any(1), fits.argmax(1), counts.shape[1] - 1)
-        row = np.arange(len(names))
-        alone = counts[row, level] == 1
-        level = np.where(alone & (level > 0), level - 1, level)
-        size = counts[row, level]
-        name, parts = names[row, level], np.maximum(1, -(-size // LARGE)).astype(np.uint64)
-        node = chunk.column("node").to_numpy().view(np.uint64)
-        name = np.where(parts > 1, mix(name + U(1) + mix(node) % parts), name)
-        keep = size > 1
-        at = pa.array(np.flatnonzero(keep))
-        return pa.table({"name": pa.array(name[keep].view(np.int64))} | {c: chunk.column(c).take(at).combine_chunks() for c in ("tree", "node", "n", "sig")})
-
-    rows = large.drop("size").withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), 14))
-    rows = staged(rows, "near-large")
-    tree = lambda t: t.column("tree").to_numpy()
-    cut = with_counts(rows, lambda t: deep_names(_signatures(t), tree(t), order, depths), deeper, entry)
-    return found.where(F.col("size") <= LARGE).drop("size").unionByName(cut), large.select("name", "n", "node", "sig")
-
-
-def chained(large: DataFrame, share: float, least: int) -> DataFrame:
-    """a, b, near: neighbours by set size in each large region whose sizes allow a link; near: signatures do so too.
-
-    Between two classes that sizes allow to be linked lie only neighbours of that kind, so the chain holds them together.
-    """
-    spark = large.sparkSession
-    rows = large.repartitionByRange("name", "n", "node").sortWithinPartitions("name", "n", "node")
-    rows = rows.withColumn("part", F.spark_partition_id())
-
-    def pairs(name: np.ndarray, n: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = (name[1:] == name[:-1]) & (n[:-1] >= share * n[1:] - 1e-9)
-        return node[:-1][ok], node[1:][ok], ((sig[1:] == sig[:-1]).sum(1) >= least)[ok]
-
-    def columns(t: pa.Table) -> list[np.ndarray]:
-        return [*(t.column(c).to_numpy() for c in ("name", "n", "node")), _signatures(t)]
-
-    schema = "a long, b long, near boolean, part int, last boolean, name long, n long, node long, sig binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edge(row: pa.Table, last: bool) -> pa.RecordBatch:
-            one = {c: row.column(c).to_pylist() for c in ("part", "name", "n", "node", "sig")}
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array(one["part"], pa.int32()), pa.array([last]), pa.array(one["name"], pa.int64()), pa.array(one["n"], pa.int64()), pa.array(one["node"], pa.int64()), pa.array(one["sig"], pa.binary())], names=names)
-
-        names, before = [c.split(" ")[0] for c in schema.split(", ")], None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if not len(t):
-                continue
-            if before is None:
-                yield edge(t.slice(0, 1), False)
-            both = t if before is None else pa.concat_tables([before, t])
-            before = t.slice(len(t) - 1)
-            x, y, near = pairs(*columns(both))
-            none = lambda kind, k=len(x): pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(near, pa.bool_()), none(pa.int32()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], names=names)
-        if before is not None:
-            yield edge(before, True)
-        trim()
-
-    found = staged(rows.mapInArrow(run, schema), "near-chain")
-    # First and last row of each partition, two a task: they hold the chain together across partitions.
-    ends = found.where("last is not null").select("part", "last", "name", "n", "node", "sig").toArrow().sort_by([("part", "ascending"), ("last", "ascending")])
-    more = []
-    if len(ends):
-        outer = [x for x in range(1, len(ends) - 1, 2)]
-        for i in outer:
-            x, y, near = pairs(*columns(ends.slice(i, 2)))
-            more += zip(x.tolist(), y.tolist(), near.tolist(), strict=True)
-    links = found.where("a is not null").select("a", "b", "near")
-    return staged(links.unionByName(spark.createDataFrame(more, "a long, b long, near boolean")).distinct(), "near-chained")
-
-
-def joined(links: DataFrame) -> DataFrame:
-    """components() of the links a, b; a list of known length below a bound is joined on the driver."""
-    if links.count() > BROADCAST_ROWS // 5:
-        return components(links)
-    t = links.toArrow()
-    a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    root = np.arange(len(nodes))
-    while (root[x] != root[y]).any():  # every node goes by the least root around, and that by its own
-        least = np.minimum(root[x], root[y])
-        for end in (root[x], root[y], x, y):
-            np.minimum.at(root, end, least)
-        while (root[root] != root).any():
-            root = root[root]
-    return links.sparkSession.createDataFrame(pa.table({"node": nodes, "component": nodes[root]}))
-
-
-def apart(chain: DataFrame, found: DataFrame, classes: DataFrame, share: float, least: int) -> tuple[DataFrame, DataFrame] | None:
-    """Of the large regions: node, component of the classes that a chain of unlike components holds together, and their
-    links a, b between components that signatures and sizes allow; every pair of blocks of classes is compared."""
-    component = lambda c: F.coalesce(c, "node")
-    nodes = chain.select(F.col("a").alias("node")).unionByName(chain.select(F.col("b").alias("node"))).distinct()
-    nodes = staged(nodes.join(found, "node", "left").withColumn("component", component("component")), "near-held")
-    ends = chain.select("a", "b").join(nodes.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-    unlike = staged(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-unlike")
-    if unlike.isEmpty():
-        return None
-    groups = joined(unlike).select(F.col("node").alias("component"), F.col("component").alias("held"))
-    nodes = staged(nodes.join(groups, "component").join(classes.select("node", "n", "sig"), "node"), "near-apart")
-    sizes = nodes.groupBy("held").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = nodes.join(sizes, "held").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("held", F.least("own", "other"), F.greatest("own", "other")).alias("name"), "node", "n", "sig", "component")
-    links = rows.groupBy("name").applyInArrow(trimmed(lambda t: forest(t, share, least)), "a long, b long").distinct()
-    return nodes.select("node", "component"), links
-
-
-def pairs_in(group: pa.Table, share: float, least: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, agreement) of rows of one region that signatures and set sizes allow; with labels: across them."""
-    sig = _signatures(group)
-    name, n = (group.column(c).to_numpy() for c in ("name", "n"))
-    o = np.lexsort((group.column("node").to_numpy(), name))
-    cuts = np.flatnonzero(np.diff(name[o], prepend=name[o[0]] - 1 if name[o[0]] > -(1 << 63) else 0)) if len(o) else np.empty(0, np.int64)
-    if len(o) and (not len(cuts) or cuts[0] != 0):
-        cuts = np.append(0, cuts)
-    sizes = np.diff(np.append(cuts, len(o)))
+        sig = _signatures(chunk)
+        keys = np.ascontiguousarray(sig[row[:, None], order[tree]]).view(f"V{2 * SIGNATURE}").ravel()
+        picked = {c: chunk.column(c).take(pa.array(row)).combine_chunks() for c in ("node", "n")}
+        name, size = pa.array(names[row, tree].view(np.int64)), pa.array(counts[row, tree])
+        return pa.table({"name": name, "size": size} | picked | {"key": pa.array([x.tobytes() for x in keys], pa.binary())})
+
+    return with_counts(classes, lambda t: names_in_trees(_signatures(t), order, depth), shared, ENTRY, buckets)
+
+
+def in_order(entries: DataFrame, most: int) -> DataFrame:
+    """Entries sorted by region and key. Regions of up to `most` classes lie whole in a partition; others are cut anywhere."""
+    large = F.col("size") > most
+    spread = entries.repartitionByRange("name", F.when(large, F.col("key")), F.when(large, F.col("node")))
+    return spread.sortWithinPartitions("name", "key", "node")
+
+
+def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of a partition in parts that hold regions whole; of one that goes on and on, parts that overlap."""
+    held = None
+    for b in batches:
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if held.num_rows < STRETCH * most:
+            continue
+        name = held.column("name").to_numpy()
+        new = np.flatnonzero(name[1:] != name[:-1])
+        if len(new):
+            yield held.slice(0, int(new[-1]) + 1)
+            held = held.slice(int(new[-1]) + 1)
+        else:
+            yield held
+            held = held.slice(held.num_rows - most)
+    if held is not None and held.num_rows:
+        yield held
+    trim()
+
+
+def runs_of(name: np.ndarray, sig: np.ndarray, most: int) -> np.ndarray:
+    """Number of the run of each row: its region or, beyond `most` rows, the shallowest deeper prefix that so few share."""
+    equal = sig[1:] == sig[:-1]
+    common = np.where(equal.all(1), SIGNATURE, equal.argmin(1))  # values shared with the row before
+    common[name[1:] != name[:-1]] = -1
+    run, open_, depth = np.zeros(len(name), np.int64), np.ones(len(name), bool), -1
+    while open_.any():
+        start = np.append(True, (common <= depth) | ~open_[1:] | ~open_[:-1])
+        here = np.cumsum(start) - 1
+        sizes = np.bincount(here)[here]
+        done = open_ & ((sizes <= most) | (depth >= SIGNATURE - 1))
+        run[done] = here[done] + (depth + 2) * (len(name) + 1)
+        open_ &= ~done
+        depth += 1
+    return run
+
+
+def pairs_in(t: pa.Table, share: float, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j, agreement) that signatures and sizes allow: of each run, and of neighbours in a region."""
+    name, n = t.column("name").to_numpy(), t.column("n").to_numpy()
+    sig = _signatures(t, "key")
+    run = runs_of(name, sig, most)
     out = []
 
     def check(i: np.ndarray, j: np.ndarray) -> None:
         ok = np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9
-        if labels is not None:
-            ok &= labels[i] != labels[j]
         i, j = i[ok], j[ok]
-        for a in range(0, len(i), 200_000):
-            x, y = i[a : a + 200_000], j[a : a + 200_000]
+        for a in range(0, len(i), 100_000):
+            x, y = i[a : a + 100_000], j[a : a + 100_000]
             agree = (sig[x] == sig[y]).sum(1)
             good = agree >= least
             out.append((x[good], y[good], agree[good]))
 
-    small = sizes <= 64
-    member = np.repeat(small, sizes)
-    left = np.repeat(cuts + sizes, sizes) - np.arange(len(o))  # rows from here to the end of the region
-    for k in range(1, int(sizes[small].max(initial=1))):
-        a = np.flatnonzero(member & (left > k))
-        check(o[a], o[a + k])
-    for c, s in zip(cuts[~small], sizes[~small], strict=True):
-        rows = o[c : c + s]
-        for k in range(1, s):
-            check(rows[:-k], rows[k:])
+    at = np.arange(len(name))
+    for k in range(1, max(most, NEXT + 1)):
+        at = at[at < len(name) - k]
+        mine = at[run[at] == run[at + k]]
+        near = at[(run[at] != run[at + k]) & (name[at] == name[at + k])] if k <= NEXT else at[:0]
+        if not len(mine) and not len(near) and k >= NEXT:
+            break
+        check(np.append(mine, near), np.append(mine, near) + k)
+        at = mine if k >= NEXT else at
     if not out:
-        z = np.empty(0, np.int64)
-        return z, z, z, group.column("node").to_numpy()
-    i, j, agree = (np.concatenate(x) for x in zip(*out, strict=True))
-    return i, j, agree, group.column("node").to_numpy()
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def propose(group: pa.Table, share: float, least: int) -> pa.Table:
-    """For each class its best neighbour, and its best one of lower id."""
-    i, j, agree, node = pairs_in(group, share, least)
-    a, b, s = np.concatenate([node[i], node[j]]), np.concatenate([node[j], node[i]]), np.concatenate([agree, agree])
-    kind = np.concatenate([np.zeros(len(a), bool), np.ones((b < a).sum(), bool)])
-    a, b, s = np.append(a, a[b < a]), np.append(b, b[b < a]), np.append(s, s[b < a])
-    o = np.lexsort((b, -s, kind, a))
-    o = o[(np.diff(a[o], prepend=-(1 << 62)) != 0) | (np.diff(kind[o].astype(int), prepend=-1) != 0)] if len(o) else o
-    return pa.table({"node": pa.array(a[o], pa.int64()), "other": pa.array(b[o], pa.int64()), "agree": pa.array(s[o], pa.int32()), "lower": pa.array(kind[o])})
+def proposals(entries: DataFrame, share: float, least: int, most: int) -> DataFrame:
+    """For each class its best neighbour, and its best one of lower id, in each part of an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stretches(batches, most):
+            i, j, agree = pairs_in(t, share, least, most)
+            node = t.column("node").to_numpy()
+            a, b, s = np.concatenate([node[i], node[j]]), np.concatenate([node[j], node[i]]), np.concatenate([agree, agree])
+            kind = np.concatenate([np.zeros(len(a), bool), np.ones((b < a).sum(), bool)])
+            a, b, s = np.append(a, a[b < a]), np.append(b, b[b < a]), np.append(s, s[b < a])
+            o = np.lexsort((b, -s, kind, a))
+            if len(o):
+                o = o[np.append(True, (np.diff(a[o]) != 0) | (np.diff(kind[o].astype(np.int8)) != 0))]
+            columns = [pa.array(a[o], pa.int64()), pa.array(b[o], pa.int64()), pa.array(s[o], pa.int32()), pa.array(kind[o])]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "other", "agree", "lower"])
+
+    found = in_order(entries, most).mapInArrow(run, "node long, other long, agree int, lower boolean")
+    return found.groupBy("node", "lower").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other"))
+
+
+def contested(entries: DataFrame, found: DataFrame, share: float, least: int, most: int) -> DataFrame:
+    """node, component of the classes that may have links to other components: see step 4."""
+    known = found.select("node", F.col("component").alias("joined"))
+    inside = entries.join(known, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined")
+    inside = staged(inside, "near-inside")
+    mixed = inside.groupBy("name").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("name")
+    across = inside.join(mixed, "name", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stretches(batches, most):
+            component = t.column("component").to_numpy()
+            i, j, _ = pairs_in(t, share, least, most)
+            apart = component[i] != component[j]
+            hit = t.column("size").to_numpy() > most
+            hit[i[apart]] = True
+            hit[j[apart]] = True
+            at = pa.array(np.flatnonzero(hit))
+            columns = [t.column(c).take(at).combine_chunks() for c in ("node", "component")]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "component"])
+
+    return in_order(across, most).mapInArrow(run, "node long, component long").distinct()
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, set (sorted shingle hashes) of the given classes, from one text of each."""
-    wanted = staged(nodes.join(classes.select("node", "k1", "k2"), "node"), "near-wanted")
     # A list of known length goes to all tasks only below a bound; beyond it both sides are shuffled.
-    few = wanted if wanted.count() > BROADCAST_ROWS else F.broadcast(wanted)
+    few = nodes if nodes.count() > BROADCAST_ROWS else F.broadcast(nodes)
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(few, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
             sets = [shingle_set(t, k) for t in text_bytes(b.column(1))]
-            ok = [i for i, (s, x, y) in enumerate(zip(sets, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if set_key(s) == (x, y)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok, pa.int64())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["node", "set"])
+            keys = [set_key(s) for s in sets]
+            columns = [b.column(0), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "k1", "k2", "set"])
 
-    return staged(rows.select("node", "text", "k1", "k2").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "near-sets")
+    sets = rows.mapInArrow(run, "node long, k1 long, k2 long, set binary")
+    # Of rows with the same doc_id, the one whose text is the class's.
+    wanted = classes.select("node", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    sets = sets.join(wanted.hint("merge"), "node").where("k1 = c1 and k2 = c2")
+    return sets.select("node", "set").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,144 +329,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = int((blocks.find(y, x) >= 0).sum()) if len(x) <= len(y) else int((blocks.find(x, y) >= 0).sum())
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                both = int((blocks.find(y, x) >= 0).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     ok.append(i)
             at = pa.array(ok, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
+        trim()
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs that join two trees of a forest, taken in order."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := root.setdefault(x, x)) != x:
-            root[x] = x = root.setdefault(y, y)
-        return x
-
-    out = []
-    for x, y in sorted(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))):
-        p, q = top(x), top(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
-def forest(t: pa.Table, share: float, least: int) -> pa.Table:
-    """Links of a forest of the components in t that signatures and set sizes allow."""
-    c = t.column("component").to_numpy()
-    i, j, *_ = pairs_in(t, share, least, c)
-    tree = spanning(c[i], c[j])
-    return pa.table({"a": pa.array([x for x, _ in tree], pa.int64()), "b": pa.array([y for _, y in tree], pa.int64())})
+    of = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name)).hint("merge")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def links_within(members: DataFrame, sets: DataFrame, classes: DataFrame, buckets: int, percent: int, least: int) -> DataFrame:
-    """Links a, b between different components of each family, at most one a merge in each part of the work.
+def sharing_rare(members: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs a, b of members (node, component) in different components that may be at the threshold: exact prefix filter.
 
-    A family is cut into blocks of about BLOCK classes, and each pair of blocks is one part: its sets are compared
-    exactly where signatures and sizes allow, and links only come out where they join what lay apart.
+    Shingles are ordered by how many members hold them, then by hash. Work grows with the squares of the numbers of
+    members that share a shingle among the rarest of both, which is how rare text keeps it near linear.
     """
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.join(sets, "node").join(classes.select("node", "sig"), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "set", "sig")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("family", "x", "y"), F.lit(4 * buckets)))
-
-    @trimmed
-    def test(t: pa.Table) -> pa.Table:
-        family, x, y, own, node, component = (t.column(c).to_numpy() for c in ("family", "x", "y", "own", "node", "component"))
-        raw, sig = t.column("set").to_pylist(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SIGNATURE)
-        o = np.lexsort((node, own, y, x, family))
-        head = np.flatnonzero((np.diff(family[o], prepend=family[o[0]] - 1) != 0) | (np.diff(x[o], prepend=-1) != 0) | (np.diff(y[o], prepend=-1) != 0))
-        out = []
-        for a, b in zip(head, np.append(head[1:], len(o)), strict=True):
-            rows = o[a:b]
-            parts = [np.frombuffer(raw[r], np.uint64) for r in rows]
-            n = np.array([len(p) for p in parts])
-            names, place = np.unique(np.concatenate(parts), return_inverse=True)
-            starts = np.cumsum(n) - n
-            mark = np.zeros(len(names), bool)
-            mine, group = component[rows].copy(), own[rows]
-            between = x[rows[0]] != y[rows[0]]
-            for i in range(len(rows) - 1):
-                ok = mine[i + 1 :] != mine[i]
-                if between:
-                    ok &= group[i + 1 :] != group[i]
-                ok &= 100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])
-                j = np.flatnonzero(ok) + i + 1
-                if len(j):
-                    j = j[(sig[rows[j]] == sig[rows[i]]).sum(1) >= least]
-                if not len(j):
-                    continue
-                mark[place[starts[i] : starts[i] + n[i]]] = True
-                if len(j) * 4 > len(rows):
-                    both = np.add.reduceat(mark[place], starts, dtype=np.int64)[j]
-                else:
-                    both = np.array([mark[place[starts[k] : starts[k] + n[k]]].sum() for k in j])
-                mark[place[starts[i] : starts[i] + n[i]]] = False
-                for k in j[100 * both >= percent * (n[i] + n[j] - both)]:
-                    if mine[k] != mine[i]:
-                        out.append((node[rows[i]], node[rows[k]]))
-                        mine[mine == mine[k]] = mine[i]
-        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
-
-    return rows.groupBy("bucket").applyInArrow(test, "a long, b long")
-
-
-def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
-    share = percent / 100
-    spark = docs.sparkSession
-    buckets = shuffle_width(spark)
+    rows = sets.join(members.hint("merge"), "node").withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), 9))
+    rows = staged(rows, "near-contested")
+    total = rows.agg(F.sum(F.octet_length("set"))).first()[0] or 0
+
+    def shingles(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column("set").to_pylist()), U)
+
+    def rare(t: pa.Table, names: np.ndarray, counts: np.ndarray) -> pa.Table:
+        n = np.array([len(x) // 8 for x in t.column("set").to_pylist()])
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((names, counts, row))
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        first = n - -(-percent * n // 100) + 1
+        pick = (place < first[row]) & (counts[order] > 1)  # a shingle that one member alone holds is shared with nobody
+        at, row = order[pick], row[pick]
+        picked = {c: t.column(c).take(pa.array(row)).combine_chunks() for c in ("node", "component")}
+        return pa.table({"shingle": pa.array(names[at].view(np.int64))} | picked | {"n": pa.array(n[row]), "at": pa.array(place[pick])})
+
+    found = with_counts(rows, shingles, rare, "shingle long, node long, component long, n long, at long", max(width, total // (8 * NAMES)))
+    found = staged(found, "near-rare")
+    x = found.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "at")))
+    y = found.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("node", "component", "n", "at")))
+    least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # shared from here on, at most
+    possible = (100 * least >= percent * most) & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n")))
+    both = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & possible
+    pairs = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & both)
+    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
+def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, run: int = RUN) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row. run: classes of a region that are compared pair by pair."""
+    share, width = percent / 100, shuffle_width(docs.sparkSession)
     rows = staged(signed(docs, k), "near-signed")
-    classes = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    full = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = staged(classes.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), 14)), "near-classes")
-    depth = max(4, round(math.log2(max(2, classes.count())) / 4.5))
+    count = classes.count()
+    depth = max(4, round(math.log2(max(2, count)) / 4.5))
     trees = math.ceil(math.log(1e-6) / math.log(1 - share**depth)) if share < 1 else 1
     least = max(1, math.floor(SIGNATURE * share - 4.5 * math.sqrt(SIGNATURE * share * (1 - share))))
-    entries, large = regions(classes, depth, trees)
-    entries = staged(entries, "near-regions")
-    chain = None if large is None else chained(large, share, least)
-    shared = entries.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
-    proposals = shared.groupBy("bucket").applyInArrow(trimmed(lambda t: propose(t, share, least)), "node long, other long, agree int, lower boolean")
-    best = staged(proposals.groupBy("node", "lower").agg(F.max_by("other", F.struct("agree", -F.col("other"))).alias("other")), "near-proposals")
-    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    if chain is not None:
-        pairs = pairs.unionByName(chain.where("near").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = staged(pairs.distinct(), "near-pairs")
-    proposed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(docs, classes, proposed, k)
-    links = staged(confirmed(pairs, sets, percent), "near-links")
-    found = staged(components(links), "near-components")
-    # Components that the signatures still allow to be linked form families: each region names a forest of them.
-    inside = entries.join(best.select("node").distinct(), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = staged(inside.select("name", "tree", "node", "n", "component"), "near-inside")
-    mixed = inside.groupBy("name").agg(F.min("component").alias("m"), F.max("component").alias("x")).where(F.col("m") != F.col("x")).select("name")
-    across = inside.join(mixed, "name").join(classes.select("node", "sig"), "node").withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
-    near, held = across.groupBy("bucket").applyInArrow(trimmed(lambda t: forest(t, share, least)), "a long, b long"), inside.select("node", "component")
-    if chain is not None and (kept_apart := apart(chain, found, classes, share, least)):
-        held, near = held.unionByName(kept_apart[0]), near.unionByName(kept_apart[1])
-    near = staged(near.distinct(), "near-forest")
-    if not near.isEmpty():
-        families = joined(near).select(F.col("node").alias("component"), F.col("component").alias("family"))
-        members = staged(held.distinct().join(families, "component"), "near-families")
-        if chain is not None:  # classes of large regions may have had no proposal
-            others = staged(members.select("node").distinct().join(proposed, "node", "left_anti"), "near-others")
-            if not others.isEmpty():
-                sets = sets.unionByName(sets_of(docs, classes, others, k))
-        more = staged(links_within(members, sets, classes, buckets, percent, least), "near-links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-    labels = classes.select("k1", "k2", "node").join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    out = rows.drop("sig").join(labels, ["k1", "k2"], "left")
+    entries = staged(forest(classes, depth, trees, max(width, count * trees // NAMES)), "near-forest")
+    nodes = staged(entries.select("node").distinct(), "near-nodes")
+    sets = staged(sets_of(docs, classes, nodes, k), "near-sets")
+    best = proposals(entries, share, least, run)
+    pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    found = components(confirmed(pairs, sets, percent))
+    members = contested(entries, found, share, least, run)
+    more = staged(confirmed(sharing_rare(members, sets, percent, width), sets, percent), "near-links")
+    if not more.isEmpty():  # links between components: these get components in their turn
+        label = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"{node}_in"))
+        ends = more.join(label("a").hint("merge"), "a", "left").join(label("b").hint("merge"), "b", "left")
+        upper = components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+        upper = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        lower = found.join(upper.hint("merge"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        lone = upper.join(found.select(F.col("node").alias("component")).hint("merge"), "component", "left_anti")
+        found = lower.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component")))
+    labels = classes.select("k1", "k2", "node").join(found.hint("merge"), "node", "left")
+    labels = labels.select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    out = rows.drop("sig").join(labels.hint("merge"), ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lumenquad.llm import near_dedup as nd
@@ -42,13 +43,11 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,k,large", [(1, 2, 1024), (2, 5, 1024), (3, 2, 8)])
-def test_equals_brute_force(spark, monkeypatch, seed, k, large):
-    monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "LARGE", large)
+@pytest.mark.parametrize("seed,k,run", [(1, 2, 1024), (2, 5, 128), (3, 2, 8), (4, 2, 2)])
+def test_equals_brute_force(spark, seed, k, run):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n int, node string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(df, k, 80).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_dedup(df, k, 80, run).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, k, 80)
 
 
@@ -57,3 +56,13 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in nd.near_dedup(df, 2).collect()), key=str)
     assert got == [(3, 3, True), (3, 3, True), (5, 3, False), (None, None, True)]
     assert nd.near_dedup(df.limit(0), 2).count() == 0
+
+
+def test_runs_by_common_prefix():
+    """Runs are regions, or deeper prefixes that few enough share; equal signatures can't be told apart."""
+    name = np.array([1] * 6 + [2] * 2)
+    sig = np.zeros((8, nd.SIGNATURE), np.uint16)
+    sig[2:6, 3], sig[3:6, 9] = 1, 1
+    r = nd.runs_of(name, sig, 3)
+    assert len({*r[:2]}) == 1 and len({*r[3:6]}) == 1 and len({*r[6:]}) == 1 and len(set(r.tolist())) == 4
+    assert len(set(nd.runs_of(name, sig, 8).tolist())) == 2

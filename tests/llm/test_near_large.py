@@ -19,8 +19,8 @@ def variants(n, words=3000, seed=5):
     return out
 
 
-def test_over_large_variants_of_one_text_are_one_group(spark):
-    texts = variants(nd.LARGE + 200) + ["another text of a few words", "one more that stands alone"]
+def test_over_a_thousand_variants_of_one_text_are_one_group(spark):
+    texts = variants(1200) + ["another text of a few words", "one more that stands alone"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in nd.near_dedup(df, 2, 80).collect()}
     n = len(texts)
@@ -28,10 +28,8 @@ def test_over_large_variants_of_one_text_are_one_group(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_capped_regions_equal_brute_force(spark, monkeypatch, seed):
-    """Copies at about the threshold, in regions far over LARGE."""
-    monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "LARGE", 2)
+def test_capped_regions_equal_brute_force(spark, seed):
+    """Copies at about the threshold, in regions far over the run."""
     r = random.Random(seed)
     texts = []
     for _ in range(4):
@@ -42,5 +40,5 @@ def test_capped_regions_equal_brute_force(spark, monkeypatch, seed):
                 copy[r.randrange(len(copy))] = f"w{r.randrange(300)}"
             texts.append(" ".join(copy[r.randrange(12) :]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in nd.near_dedup(df, 2, 80).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in nd.near_dedup(df, 2, 80, 2).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 2, 80)
