@@ -1,14 +1,22 @@
 """Quality classifier by positive-unlabelled learning.
 
 The model is linear in densities of a text (words, letters, symbols, repeats) and in the frequencies of its word
-shapes, and it is fitted by minimising the non-negative unbiased risk: trusted positives (label 1), unlabelled web text
-and the class prior estimated from the labelled sample. Labelled negatives take part in the prior and in the final
-calibration of the score only. Samples for fitting are bounded by parameters and picked by a hash of doc_id; scores
-cover all rows and whole texts.
-
-Defined cases: null and empty texts are scored as texts without words; documents with a null doc_id are scored and not
-held out; repeated label rows of one doc_id count once (the lowest label), null labels not at all; without labels of
-both kinds every score is the prior (0.5 without labels); an empty table gives no rows.
+shapes. It is fitted by minimising the non-negative unbiased risk of trusted positives (label 1), unlabelled web text
+and an estimated class prior; negatives take no part. The loss is the squared one, so the risk over any number of rows
+follows from the second moments of both sets: all unlabelled rows count, in one pass, and the minimum is exact.
+
+The prior is estimated from positives and unlabelled text alone: above any score, the unlabelled share is at least the
+prior times the positives' share, so the least quotient of the two, each taken at its two standard deviations, bounds
+it; only scores that at least half of the positives reach are looked at, as the tail is fitted to them. The ranking by
+score doesn't depend on the prior that it is computed from.
+
+Positives for fitting are bounded by `sample`, picked by a hash of doc_id. Scores cover all rows and whole texts.
+
+Defined cases: null and empty texts are scored as texts without words; very long texts are read whole, one at a time
+beyond 4 MB; documents with a null doc_id are scored, unlabelled and not held out; repeated rows count each; repeated
+label rows of one doc_id count once (the lowest label, so a tie of 0 and 1 is no positive), null labels not at all;
+without positives or rows every score is 0.5; equal texts have equal scores; an empty table gives no rows; columns
+called like a result are replaced, others come along.
 """
 
 from __future__ import annotations
@@ -22,12 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, SYMBOLS, crc_of_id, pieces, text_bytes, word_hashes
+from .common import SPACES, SYMBOLS, crc_of_id, pieces, staged, text_bytes, trim, word_hashes
 from .quality_rules import lines_of, repeated_words
 
 SHAPES = 256
+BINS = 4096
 #: Letters to a and A, digits to 0, bytes of other scripts to a; the rest stays.
-CLASSES = bytes(ord("a") if 97 <= i <= 122 or i >= 128 else ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else i for i in range(256))
+CLASSES = bytes(
+    ord("a") if 97 <= i <= 122 or i >= 128 else ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else i
+    for i in range(256)
+)
 COUNTED = (b"!", b"|", b",.;:", b"0123456789", b"@/\\_=~^", SYMBOLS, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"()[]{}\"'")
 PLAIN = 8 + len(COUNTED)
 
@@ -41,6 +53,7 @@ def shapes_of(text: bytes) -> np.ndarray:
 
 
 def features(texts: list[bytes]) -> np.ndarray:
+    """Rows of half-precision numbers: as a staged table holds them."""
     out = np.zeros((len(texts), PLAIN + SHAPES), np.float32)
     for i, text in enumerate(texts):
         h = word_hashes(text)
@@ -50,10 +63,12 @@ def features(texts: list[bytes]) -> np.ndarray:
             continue
         lines = lines_of(text)
         size = len(text.translate(None, SPACES))
-        out[i, :8] = (np.log1p(n), size / n, len(np.unique(h)) / n**0.8, 1 - len(set(lines)) / len(lines), repeated_words(h) / n, len(lines) / n, len(text.translate(None, bytes(range(128)))) / size, (h[1:] == h[:-1]).sum() / n)
+        out[i, :4] = (np.log1p(n), np.log1p(size / n), len(np.unique(h)) / n**0.8, 1 - len(set(lines)) / len(lines))
+        foreign = len(text.translate(None, bytes(range(128))))
+        out[i, 4:8] = (repeated_words(h) / n, len(lines) / n, foreign / size, (h[1:] == h[:-1]).sum() / n)
         out[i, 8:PLAIN] = [(len(text) - len(text.translate(None, x))) / size for x in COUNTED]
         out[i, PLAIN:] = np.sqrt(np.bincount(shapes_of(text), minlength=SHAPES) / n)
-    return out
+    return out.astype(np.float16)
 
 
 @dataclass
@@ -62,47 +77,72 @@ class Model:
     bias: float
     prior: float
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(np.float64) @ self.weights + self.bias
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = x.astype(np.float64) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
-def fit(x: np.ndarray, label: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> Model:
-    """label: 1, 0 or -1 (none) of each row; unlabelled: whether it's in the unlabelled sample."""
-    known = label >= 0
-    prior = float(np.clip(label[known].mean(), 0.01, 0.99)) if known.any() else 0.5
-    p, u = x[label == 1].astype(np.float64), x[unlabelled].astype(np.float64)
-    if not len(p) or not len(u):
-        return Model(np.zeros(x.shape[1]), float(np.log(prior / (1 - prior))), prior)
-    mean, sd = u.mean(0), u.std(0) + 1e-3
-    p, u = np.clip((p - mean) / sd, -8, 8), np.clip((u - mean) / sd, -8, 8)
-    w, b = np.zeros(x.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
-        sp, su = sigmoid(zp), sigmoid(zu)
-        # Logistic loss: gradients of the loss as class 1 (s - 1) and as class 0 (s).
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (sp - 1) / len(p), np.zeros(len(u))
-        if negative >= 0:
-            gp, gu = gp - prior * sp / len(p), su / len(u)
-        else:  # the risk of the negatives fell below nought: step back from it, as over-fitting drives it there
-            gp, gu = prior * sp / len(p), -su / len(u)
-        g = np.append(p.T @ gp + u.T @ gu + l2 * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    a, c = 1.0, 0.0
-    if (label == 0).any():  # scale and shift of the score on the labelled sample
-        z, y = np.clip((x[known] - mean) / sd, -8, 8) @ w + b, label[known].astype(np.float64)
-        for _ in range(50):
-            s = sigmoid(a * z + c)
-            h, r = s * (1 - s) + 1e-6, s - y
-            hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
-            d = np.linalg.solve(hess, [(r * z).sum() + 1e-3 * a, r.sum() + 1e-3 * c])
-            a, c = a - np.clip(d[0], -1, 1), c - np.clip(d[1], -2, 2)
-    return Model(a * w / sd, float(a * (b - (w * mean / sd).sum()) + c), prior)
+        """Near (1 + margin) / 2, the chance of label 1 that the squared loss aims at, and always between 0 and 1."""
+        return 1 / (1 + np.exp(-np.clip(2 * self.margins(x), -30, 30)))
+
+
+class Risk:
+    """Non-negative unbiased risk of weights w (the last one for the constant) under the squared loss (1 - y z)**2 / 4.
+
+    positives, unlabelled: mean of x x' over each set, where x ends in 1.
+    """
+
+    def __init__(self, positives: np.ndarray, unlabelled: np.ndarray, prior: float):
+        self.p, self.u, self.prior = positives, unlabelled, prior
+
+    @staticmethod
+    def loss(moments: np.ndarray, w: np.ndarray, y: int) -> float:
+        return float(1 - 2 * y * w @ moments[-1] + w @ moments @ w) / 4
+
+    def of_positives(self, w: np.ndarray) -> float:
+        return self.prior * self.loss(self.p, w, 1)
+
+    def of_negatives(self, w: np.ndarray) -> float:
+        """Unbiased, so it can fall below nought where the fit is too close."""
+        return self.loss(self.u, w, -1) - self.prior * self.loss(self.p, w, -1)
+
+    def value(self, w: np.ndarray) -> float:
+        return self.of_positives(w) + max(0.0, self.of_negatives(w))
+
+    def weighed(self, part: float, ridge: np.ndarray) -> np.ndarray:
+        """Minimum of the positives' risk and `part` of the negatives', with a ridge."""
+        matrix = self.prior * (1 - part) * self.p + part * self.u
+        return np.linalg.solve(matrix / 2 + ridge, (self.prior * (1 + part) * self.p[-1] - part * self.u[-1]) / 2)
+
+    def minimum(self, ridge: np.ndarray) -> np.ndarray:
+        """Where the negatives' risk would fall below nought, its part shrinks until it is nought."""
+        w, low, high = self.weighed(1.0, ridge), 0.0, 1.0
+        if self.of_negatives(w) < 0:
+            for _ in range(40):
+                part = (low + high) / 2
+                w = self.weighed(part, ridge)
+                low, high = (part, high) if self.of_negatives(w) > 0 else (low, part)
+        return w
+
+
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float = 1e-3) -> Model:
+    """From the mean of x x' of both sets; features are scaled by the unlabelled rows."""
+    mean = unlabelled[-1, :-1]
+    sd = np.sqrt(np.maximum(0, np.diag(unlabelled)[:-1] - mean**2)) + 1e-3
+    scale = np.diag(np.append(1 / sd, 1.0))
+    scale[:-1, -1] = -mean / sd
+    ridge = np.diag(np.append(np.full(len(mean), l2), 1e-9))
+    w = Risk(scale @ positives @ scale.T, scale @ unlabelled @ scale.T, prior).minimum(ridge)
+    return Model(w[:-1] / sd, float(w[-1] - (w[:-1] * mean / sd).sum()), prior)
+
+
+def prior_of(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """From the numbers of rows of both sets by bin of score, ascending."""
+    p, u = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (positives, unlabelled))
+    seen = p >= 0.5
+    p, u = p[seen], u[seen]
+    low = p - 2 * np.sqrt(p * (1 - p) / positives.sum())
+    high = u + 2 * np.sqrt(u * (1 - u) / unlabelled.sum())
+    return float(np.clip((high / np.maximum(low, 1e-9)).min(), 0.01, 0.99))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -113,27 +153,73 @@ def picked(doc_id: Column, seed: int, share: float) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
-    """Fits on about `sample` labelled and as many unlabelled rows (all rows if there are fewer)."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    n_docs, n_known = docs.count(), known.count()
-    if not n_docs:
-        return Model(np.zeros(PLAIN + SHAPES), 0.0, 0.5)
-    # The picked labels are about `sample` rows of two numbers, whatever the size of the tables.
-    known = known.where(picked(F.col("doc_id"), 1, min(1.0, sample / max(1, n_known))))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(~held_out(F.col("doc_id"))).join(F.broadcast(known), "doc_id", "left")
-    rows = rows.withColumn("unlabelled", F.coalesce(picked(F.col("doc_id"), 2, min(1.0, sample / n_docs)), F.lit(False))).where(F.col("unlabelled") | F.col("quality").isNotNull())
+def vectors(raw: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.float16).reshape(-1, PLAIN + SHAPES)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the features, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
             x = features(text_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "unlabelled", "x"])
-
-    got = rows.mapInArrow(run, "doc_id long, quality int, unlabelled boolean, x binary").toPandas().sort_values(["doc_id", "x"])
-    if got.empty:
-        return Model(np.zeros(PLAIN + SHAPES), 0.0, 0.5)
-    x = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1)
-    return fit(x, got.quality.fillna(-1).to_numpy(int), got.unlabelled.to_numpy(bool))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x binary")
+
+
+def train_on(rows: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
+    """Fits on all rows (doc_id, x) that aren't held out, as unlabelled, and on about `sample` positives among them."""
+    good = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    n = good.count()
+    # The picked labels are about `sample` numbers, whatever the size of the tables.
+    good = good.where(picked(F.col("doc_id"), 1, min(1.0, sample / max(1, n)))).select("doc_id", F.lit(True).alias("positive"))
+    rows = rows.where(~held_out(F.col("doc_id"))).join(F.broadcast(good), "doc_id", "left")
+    rows = rows.select(F.coalesce("positive", F.lit(False)).alias("positive"), "x")
+    size = PLAIN + SHAPES + 1
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size, size))
+        for b in batches:
+            x = np.ones((b.num_rows, size))
+            x[:, :-1] = vectors(b.column(1))
+            total[0] += x.T @ x
+            x = x[b.column(0).to_numpy(zero_copy_only=False)]
+            total[1] += x.T @ x
+        keys = [(k, i) for k in (0, 1) for i in range(size)]
+        values = pa.array([total[k, i, i:].tolist() for k, i in keys], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*keys, strict=True)] + [values], names=["kind", "i", "values"])
+        trim()
+
+    parts = rows.mapInArrow(moments, "kind int, i int, values array<double>").select("kind", "i", F.posexplode("values").alias("j", "value"))
+    t = parts.groupBy("kind", "i", "j").agg(F.sum("value").alias("value")).toArrow()  # as many rows as pairs of features
+    sums = np.zeros((2, size, size))
+    kind, i, j, value = (t.column(c).to_numpy() for c in ("kind", "i", "j", "value"))
+    sums[kind, i, i + j] = value
+    sums[kind, i + j, i] = value
+    if not sums[0, -1, -1] or not sums[1, -1, -1]:
+        return Model(np.zeros(size - 1), 0.0, 0.5)
+    unlabelled, positives = (m / m[-1, -1] for m in sums)
+    ranking = fit(positives, unlabelled, 0.5)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BINS), np.int64)
+        for b in batches:
+            at = (ranking.scores(vectors(b.column(1))) * BINS).astype(np.int64).clip(0, BINS - 1)
+            good = b.column(0).to_numpy(zero_copy_only=False)
+            counts += [np.bincount(at, minlength=BINS), np.bincount(at[good], minlength=BINS)]
+        kind, place = np.nonzero(counts)
+        columns = [pa.array(kind, pa.int32()), pa.array(place, pa.int32()), pa.array(counts[kind, place])]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "bin", "n"])
+
+    t = rows.mapInArrow(bins, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, BINS))
+    counts[t.column("kind").to_numpy(), t.column("bin").to_numpy()] = t.column("n").to_numpy()
+    return fit(positives, unlabelled, prior_of(counts[1], counts[0]))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
+    return train_on(staged(measured(docs), "quality-features"), labels, sample)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -151,7 +237,12 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = classify(docs, model, 0.7).drop("text")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_kept").cast("int").alias("predicted"))
+    rows = staged(measured(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality-features")
+    model = train_on(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(vectors(b.column(1))), pa.float64())], names=["doc_id", "score"])
+
+    scored = rows.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -36,6 +36,51 @@ def test_held_out_accuracy(spark):
     assert 0.6 < model.prior < 0.9
 
 
+def test_risk_and_minimum_equal_brute_force():
+    """The risk from moments equals the mean of losses over rows, and no other weights have a lower one."""
+    r = np.random.default_rng(3)
+    n, d = 400, 5
+    y = r.random(n) < 0.6
+    x = np.c_[r.normal(size=(n, d)) + 0.8 * y[:, None], np.ones(n)]
+    positive = y & (r.random(n) < 0.3)
+    moments = lambda a: a.T @ a / len(a)
+    for prior in (0.2, 0.6, 0.95):  # 0.95: the negatives' risk falls below nought
+        risk = qc.Risk(moments(x[positive]), moments(x), prior)
+
+        def brute(w, prior=prior):
+            z = x @ w
+            negatives = ((1 + z) ** 2 / 4).mean() - prior * ((1 + z[positive]) ** 2 / 4).mean()
+            return prior * ((1 - z[positive]) ** 2 / 4).mean() + max(0.0, negatives)
+
+        w = risk.minimum(np.eye(d + 1) * 1e-12)
+        assert abs(risk.value(w) - brute(w)) < 1e-9
+        for _ in range(300):
+            v = w + r.normal(size=d + 1) * 10.0 ** r.uniform(-4, 0)
+            assert abs(risk.value(v) - brute(v)) < 1e-9 and brute(v) >= brute(w) - 1e-7
+
+
+def test_prior_without_negatives(spark):
+    """Labels say nothing of the rest: the prior comes from positives and unlabelled rows."""
+    rows, labels = corpus(3000, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    good = spark.createDataFrame([x for x in labels if x[1]], "doc_id long, quality int, toxic int")
+    model = qc.train(docs, good)
+    truth = np.mean([not any(c in t for c in "*#%") for _, t, _ in rows])
+    assert abs(model.prior - truth) < 0.06
+    scored = {r.doc_id: r.quality_score for r in qc.classify(docs, model).collect()}
+    assert np.mean([(scored[d] >= 0.7) == (not any(c in t for c in "*#%")) for d, t, _ in rows]) > 0.97
+
+
+def test_ties_and_repeated_rows(spark):
+    rows, labels = corpus(300, 2)
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, source string")
+    both = spark.createDataFrame(labels + [(d, 0, 0) for d, _, _ in labels], "doc_id long, quality int, toxic int")
+    assert {r.quality_score for r in qc.classify(docs, qc.train(docs, both)).collect()} == {0.5}
+    got = qc.classify(docs, qc.train(docs, spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int"))).collect()
+    seen = {}
+    assert len(got) == 305 and all(seen.setdefault(r.doc_id, r.quality_score) == r.quality_score for r in got)
+
+
 def test_without_labels_or_rows(spark):
     rows, _ = corpus(40)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
