@@ -10,7 +10,13 @@ them. All but the last return the columns of their documents.
 5. packing into sequences of 2048 tokens.
 
 A stage may read tables that it staged in the shared folder until its result is written; the next stage removes them.
-Rows with equal doc_id are one document for stage 2; rows without doc_id stay there.
+
+Defined cases, beside those of the operators: null, empty and wordless texts are scored by stage 1 like others, and
+those that it keeps go through unlinked, unmatched and as one piece of one token; very long texts are read whole by
+each stage; empty tables of documents, labels or benchmark give no rows, scores of 0.5 (so no document is kept) or no
+leaks; rows with equal doc_id are one document for stage 2, of which each distinct text stays once if the document
+stays; rows without doc_id stay there; further columns come along as they are up to stage 5, whatever their names,
+unless called like a result of a stage, which then stands in their place until the stage ends.
 """
 
 from __future__ import annotations
@@ -52,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = gone if gone.count() > near_dedup.BROADCAST_ROWS else F.broadcast(gone)
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     if not verdicts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
     return kept.select(*docs.columns)
 
 
