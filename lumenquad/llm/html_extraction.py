@@ -1,17 +1,23 @@
 """Main text of web pages by suffix arrays of their hosts.
 
-Each page is cut into blocks by its markup; blocks of menus, headers, footers, sidebars, notices, adverts, forms and
-comments, as the markup declares them, are left out, and of a page with an article only the article is kept. The
-blocks' tokens of all pages of a host are then concatenated and their suffixes are ranked by prefix doubling up to
-`least` tokens. Strings of that many tokens on most pages of the host are boilerplate that the markup doesn't declare:
-blocks they cover go, and so do covered runs of that length inside a block; unique runs stay.
+Each page is cut into blocks by its markup. What HTML states by element is left out (menus, footers, asides, forms,
+scripts, a header outside an article), and what a class, id or role states as a whole: a name made up of words for such
+parts and of words for places ("ad", "cookie-notice", "sidebar left"), not one that only mentions them ("has-sidebar").
+A form or a part so named that holds the article is no such part itself.
 
-A string must be on `share` of at least `few` pages of the host, so an article that is copied on a host stays whole.
-Hosts of many pages are dealt, by page, into groups of about `group` pages; what most pages share is in each group.
+The blocks' tokens of all pages of a host are then concatenated and their suffixes are named by prefix doubling up to
+`least` tokens; in the array sorted by name, equal strings of that length are neighbours. A string is boilerplate if it
+is on `share` of the pages, `few` at least, and if two of them have a quarter of their text to themselves: copies of an
+article hold little but one another's text, so they stay whole. Blocks that boilerplate covers go, and so do covered runs of that
+length inside a block; unique runs stay.
+
+Hosts of any size are judged as one: their pages are dealt by page into groups of about `group`, each group names its
+boilerplate, and what most groups of the host name is taken from all of its pages.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own kind; unclosed and stray tags
-are closed as browsers do or ignored; repeated rows are pages of their own; an empty table gives no rows; other columns
-are ignored.
+are closed as browsers do or ignored; very long pages are parsed one at a time beyond 4 MB; repeated rows are pages of
+their own and, as copies of one another, stay whole; ties in the order of suffixes don't matter, as only equal names
+count; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,137 +29,223 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shuffle_width, staged, trimmed
+from .blocks import find
+from .common import mix, pieces, shuffle_width, staged, trimmed
 
 BROADCAST_HOSTS = 100_000
+OWN = 0.25  # share of a page's tokens that nothing often repeated covers
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-NAMES = re.compile(r"[^a-z0-9]+")
+MARKS = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of HTML: elements by their part in the page.
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav footer aside form button select svg canvas object dialog head menu header".split()) | RAW
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead"
+    " tr ul".split()
+)
 SPACED = frozenset(["br", "td", "th", "img", "option"])
-#: Words in class, id or role that declare a part other than the article.
-DECLARED = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond share sharing social related newsletter subscribe subscription popup modal login signup search searchbox pagination pager widget widgets complementary contentinfo".split())
-
-#: A header inside an article holds its title.
-DECLARED_INSIDE = DECLARED - {"header"}
+#: Words for parts of a page other than the article, and words that say where or how such a part stands.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo cookie cookies consent gdpr"
+    " notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments"
+    " disqus respond sharing social related newsletter subscribe subscription popup modal login signup searchbox"
+    " searchform pagination pager widget widgets complementary contentinfo".split()
+)
+PLACES = frozenset(
+    "site page global top bottom left right upper lower primary secondary main inner outer box bar block list area"
+    " section wrap wrapper container slot unit item links link form reader readers user users body thread".split()
+)
+COMMENTS = re.compile(r"\b(?:comments?|disqus|respond)\b", re.IGNORECASE)
+
+
+def declared(name: str, article: bool) -> bool:
+    """Whether a class, id or role as a whole names a part other than the article; a header in an article is its own."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    parts = [w for w in words if w in PARTS and not (article and w in ("header", "banner"))]
+    return bool(parts) and all(w in PARTS or w in PLACES for w in words)
+
+
+class Page:
+    """Blocks of a page as lists of (text, left-out elements around it)."""
+
+    def __init__(self, page: str):
+        self.blocks: list[list[tuple[str, tuple[int, ...]]]] = [[]]
+        self.whole: set[int] = set()  # left-out elements that hold the article: they aren't left out
+        self.kinds: dict[int, str] = {}  # left-out element: stated, named or form
+        self.stack: list[tuple[str, tuple[int, ...], bool]] = []  # element, left-out ones around it, in an article
+        self.parse(page)
+
+    def end_block(self) -> None:
+        if self.blocks[-1]:
+            self.blocks.append([])
+
+    def add(self, text: str) -> None:
+        self.blocks[-1].append((text, self.stack[-1][1] if self.stack else ()))
+
+    def pop_to(self, i: int) -> None:
+        while len(self.stack) > i:
+            if self.stack.pop()[0] in BLOCKS:
+                self.end_block()
+
+    def holds_article(self, out: tuple[int, ...]) -> None:
+        """An article starts inside these: forms and named parts are wrappers, unless a stated part is around."""
+        if all(self.kinds[k] != "stated" for k in out):
+            self.whole.update(out)
+
+    def parse(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = TAG.search(page, at)
+            if m is None:
+                self.add(page[at:])
+                break
+            if m.start() > at:
+                self.add(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            name = m[2].lower()
+            if m[1]:
+                self.close(name)
+                continue
+            if name in SPACED:
+                self.add(" ")
+            if name in BLOCKS:
+                self.close_before(name)
+                self.end_block()
+            if name in VOID:
+                continue
+            if name in RAW and not m[0].endswith("/>"):
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+                at = close.end() if close else n
+                continue
+            self.open(name, m[3] or "", m[0].endswith("/>"))
+
+    def close(self, name: str) -> None:
+        i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name), None)
+        if i is not None:
+            self.pop_to(i)
+        elif name in BLOCKS:
+            self.end_block()
+
+    def close_before(self, name: str) -> None:
+        """A block ends an open paragraph, and an item the one before."""
+        closes = ("p",) if name != "li" else ("p", "li")
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in closes:
+                self.pop_to(i)
+                break
+            if self.stack[i][0] in BLOCKS:
+                break
+
+    def open(self, name: str, attributes: str, closed: bool) -> None:
+        out, article = self.stack[-1][1:3] if self.stack else ((), False)
+        main, named = name in ("article", "main"), False
+        for a in MARKS.finditer(attributes) if name not in ("html", "body") else ():
+            value = a[2] or a[3] or a[4] or ""
+            names = [value] if a[1].lower() == "id" else value.split()
+            main = main or a[1].lower() == "role" and value.lower() == "main"
+            named = named or any(declared(x, article or name in ("article", "main")) for x in names)
+        stated = name in ASIDE and not (name == "header" and article)
+        if main and not named:
+            self.holds_article(out)
+        elif name == "h1":
+            self.holds_article(tuple(k for k in out if self.kinds[k] == "form"))
+        if stated or named:
+            k = len(self.kinds)
+            self.kinds[k] = "form" if name == "form" else "stated" if stated or COMMENTS.search(attributes) else "named"
+            out = (*out, k)
+        if not closed:
+            self.stack.append((name, out, article or main))
+
+    def texts(self) -> list[str]:
+        out = []
+        for block in self.blocks:
+            text = "".join(t for t, around in block if self.whole.issuperset(around))
+            if text := " ".join(html.unescape(text).split()):
+                out.append(text)
+        return out
 
 
 def blocks_of(page: str) -> list[str]:
-    """Blocks of the article, white space collapsed, in page order."""
-    outside: list[str] = []
-    inside: list[str] = []
-    text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it's left out, whether in an article
-    at = 0
-
-    def end_block() -> None:
-        if text:
-            out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if not out and (block := " ".join(html.unescape("".join(text)).split())):
-                (inside if article else outside).append(block)
-            text.clear()
-
-    def pop_to(i: int) -> None:
-        while len(stack) > i:
-            if stack[-1][0] in BLOCKS or (len(stack) > 1 and stack[-1][1:] != stack[-2][1:]) or (len(stack) == 1 and stack[-1][1]):
-                end_block()
-            stack.pop()
-
-    n = len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if i is not None:
-                pop_to(i)
-            elif name in BLOCKS:
-                end_block()
-            continue
-        if name in SPACED:
-            text.append(" ")
-        if name in BLOCKS:
-            closes = ("p",) if name != "li" else ("p", "li")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    pop_to(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-            end_block()
-        if name in VOID:
-            continue
-        out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        article = article or name in ("article", "main")
-        if not out:
-            out = name in ASIDE and not (name == "header" and article)
-            if not out and m[3] and name not in ("html", "body", "article", "main"):
-                for a in MARKS.finditer(m[3]):
-                    words = NAMES.split((a[1] or a[2] or a[3] or "").lower())
-                    if a[0][:4].lower() == "role" and "main" in words:
-                        article = True
-                    out = out or not (DECLARED_INSIDE if article else DECLARED).isdisjoint(words)
-        if name in RAW and not m[0].endswith("/>"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
-            continue
-        if out and (not stack or not stack[-1][1]) or article and (not stack or not stack[-1][2]):
-            end_block()
-        if not m[0].endswith("/>"):
-            stack.append((name, out, article))
-    end_block()
-    return inside or outside
-
-
-def suffix_names(ids: np.ndarray, least: int) -> np.ndarray:
-    """Ranks of the suffixes by their first `least` tokens: prefix doubling, stopped at the threshold."""
-    rank, h = ids, 1
+    """Blocks of the main text, white space collapsed, in page order."""
+    return Page(page).texts()
+
+
+def token_names(blocks: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit names of a page's tokens."""
+    out = []
+    for block in blocks:
+        for token in block.split(" "):
+            if (x := known.get(token)) is None:
+                x = known[token] = xxhash.xxh3_64_intdigest(token.encode())
+            out.append(x)
+    return np.array(out, np.uint64)
+
+
+def suffix_names(x: np.ndarray, least: int) -> np.ndarray:
+    """Names of the suffixes by their first `least` tokens: prefix doubling, stopped at the threshold."""
+    h = 1
     while h < least:
         step = min(h, least - h)
-        _, rank = np.unique(rank[:-step] * np.int64(rank.max() + 1) + rank[step:], return_inverse=True)
+        x = mix(x[:-step] * np.uint64(0x9E3779B97F4A7C15) + x[step:] + np.uint64(step))
         h += step
-    return rank
-
-
-def boilerplate(pages: list[list[list[str]]], least: int, share: float, few: int) -> list[np.ndarray] | None:
-    """For each page, which of its tokens lie in strings of `least` tokens found on most of the pages."""
-    lengths = np.array([sum(map(len, p)) for p in pages])
-    if len(pages) < few:
-        return None
-    number: dict[str, int] = {}
-    # A page ends in a token of its own, so no string runs over it.
-    ids = np.concatenate([np.array([*(number.setdefault(t, len(number)) for b in p for t in b), -1 - i], np.int64) for i, p in enumerate(pages)]) + len(pages)
-    if len(ids) < least:
-        return None
-    names = suffix_names(ids, least)
-    page = np.repeat(np.arange(len(pages)), lengths + 1)[: len(names)]
-    pairs = np.unique(names.astype(np.int64) * len(pages) + page) // len(pages)
-    common = np.bincount(pairs, minlength=int(names.max()) + 1) >= share * len(pages)
-    mark = np.zeros(len(ids) + 1, np.int32)
-    hit = np.flatnonzero(common[names])
-    if not len(hit):
-        return None
-    np.add.at(mark, hit, 1)
-    np.add.at(mark, hit + least, -1)
-    covered = np.cumsum(mark[:-1]) > 0
-    ends = np.cumsum(lengths + 1)
-    return [covered[b - n - 1 : b - 1] for b, n in zip(ends, lengths, strict=True)]
+    return x
+
+
+class Stream:
+    """The token streams of pages, one after the other, and the names of their strings of `least` tokens."""
+
+    def __init__(self, pages: list[list[str]], least: int):
+        known: dict[str, int] = {}
+        tokens = [token_names(p, known) for p in pages]
+        self.least, self.lengths = least, np.array([len(t) for t in tokens], np.int64)
+        # A page ends in `least` tokens of its own, so no string runs over it.
+        ends = mix(np.arange(1, len(pages) * least + 1, dtype=np.uint64) + np.uint64(1 << 60)).reshape(-1, least)
+        self.names = suffix_names(np.concatenate([x for t, e in zip(tokens, ends, strict=True) for x in (t, e)] + [ends[0]]), least)
+        self.starts = np.cumsum(self.lengths + least) - self.lengths - least
+        self.page = np.repeat(np.arange(len(pages)), self.lengths + least)
+        self.names = self.names[: len(self.page)]
+        self.inside = np.arange(len(self.page)) - self.starts[self.page] <= (self.lengths - least)[self.page]
+
+    def covered(self, marked: np.ndarray) -> np.ndarray:
+        """Tokens that lie in a string whose start is marked."""
+        change = np.zeros(len(marked) + self.least, np.int32)
+        at = np.flatnonzero(marked)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + self.least, -1)
+        return np.cumsum(change[: len(marked)]) > 0
+
+    def common(self, share: float, few: int) -> np.ndarray:
+        """Names of strings that are boilerplate of these pages."""
+        at = np.flatnonzero(self.inside)
+        order = at[np.lexsort((self.page[at], self.names[at]))]  # the suffix array, as far as `least` tokens tell
+        name, page = self.names[order], self.page[order]
+        new = np.append(True, name[1:] != name[:-1])
+        each = np.append(True, (name[1:] != name[:-1]) | (page[1:] != page[:-1]))
+        group = np.cumsum(new) - 1
+        often = np.bincount(group, weights=each, minlength=0) >= max(few, share * len(self.lengths) - 1e-9)
+        if not len(order) or not often.any():
+            return np.empty(0, np.uint64)
+        marked = np.zeros(len(self.names), bool)
+        marked[order[often[group]]] = True
+        covered = np.bincount(self.page, weights=self.covered(marked), minlength=len(self.lengths))
+        own = covered <= (1 - OWN) * self.lengths
+        amid = np.bincount(group, weights=each & own[page]) >= 2
+        return name[new][often & amid]
+
+    def gone(self, names: np.ndarray) -> list[np.ndarray]:
+        """For each page, which of its tokens lie in strings of these (sorted) names."""
+        covered = self.covered(self.inside & (find(names, self.names) >= 0))
+        return [covered[a : a + n] for a, n in zip(self.starts, self.lengths, strict=True)]
 
 
 def unique_words(block: list[str], gone: np.ndarray, least: int) -> list[str]:
@@ -176,27 +268,49 @@ def to_bundle(rows: pa.RecordBatch) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-def extract(pages: DataFrame, least: int = 6, share: float = 0.6, few: int = 10, group: int = 512) -> DataFrame:
+def groups_of(t: pa.Table) -> Iterator[tuple[str, int, int, pa.Table]]:
+    """Host, part, parts and the pages of each group in a bucket of bundles."""
+    t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("bundle").to_pylist()])
+    t = t.sort_by([("host", "ascending"), ("part", "ascending"), ("page_id", "ascending")])
+    keys = list(zip(*(t.column(c).to_pylist() for c in ("host", "part", "parts")), strict=True))
+    a = 0
+    for key, rows in itertools.groupby(keys):
+        n = len(list(rows))
+        yield *key, t.slice(a, n)
+        a += n
+
+
+def pages_in(rows: pa.Table) -> list[list[str]]:
+    return [x.split("\n") if x else [] for x in rows.column("blocks").to_pylist()]
+
+
+def extract(pages: DataFrame, least: int = 6, share: float = 0.6, few: int = 3, group: int = 512) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
+    host = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)
+    host = F.lower(F.coalesce(host, F.lit("")))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host)
     # Hosts of several groups: at most one for `group` pages. Their list goes to all tasks below a bound; beyond it,
     # it is copied to a few salts, so that the pages of one host meet it in several tasks.
-    large = staged(rows.groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")).where("parts > 1"), "large-hosts")
+    counts = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = staged(counts, "host-pages")
+    large = counts.select("host", F.ceil(F.col("pages") / group).cast("int").alias("parts")).where("parts > 1")
     salts = 1 if large.count() <= BROADCAST_HOSTS else 16
     salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = F.broadcast(salted) if salts == 1 else salted
+    buckets = max(4 * shuffle_width(pages.sparkSession), (counts.agg(F.sum("pages")).first()[0] or 0) // (4 * group))
+    bucket = lambda part: F.pmod(F.xxhash64("host", part), F.lit(buckets))
 
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    rows = rows.select("page_id", "url", "host", "part", F.pmod(F.xxhash64("host", "part"), F.lit(4 * shuffle_width(pages.sparkSession))).alias("bucket"), "html")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.col("parts")).cast("int"))
+    rows = rows.select("page_id", "url", "host", "part", "parts", bucket("part").alias("bucket"), "html")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of the pages, in compressed bundles by bucket: text makes up all of the shuffle."""
-        for b in pieces(batches, 5):
-            blocks = pa.array(["\n".join(blocks_of(x)) if x else "" for x in b.column(5).to_pylist()], pa.string())
-            cut = pa.RecordBatch.from_arrays([*b.columns[:4], blocks], names=["page_id", "url", "host", "part", "blocks"])
-            bucket = b.column(4).to_numpy()
+        for b in pieces(batches, 6):
+            blocks = pa.array(["\n".join(blocks_of(x)) if x else "" for x in b.column(6).to_pylist()], pa.string())
+            cut = pa.RecordBatch.from_arrays([*b.columns[:5], blocks], names=["page_id", "url", "host", "part", "parts", "blocks"])
+            bucket = b.column(5).to_numpy()
             found = np.unique(bucket)
             bundles = [to_bundle(cut.take(pa.array(np.flatnonzero(bucket == k)))) for k in found]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(bundles, pa.binary())], names=["bucket", "bundle"])
@@ -204,33 +318,48 @@ def extract(pages: DataFrame, least: int = 6, share: float = 0.6, few: int = 10,
     cut = rows.mapInArrow(parse, "bucket long, bundle binary")
 
     @trimmed
-    def clean(t: pa.Table) -> pa.Table:
-        t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("bundle").to_pylist()])
-        t = t.sort_by([("host", "ascending"), ("part", "ascending"), ("page_id", "ascending")])
-        keys = list(zip(t.column("host").to_pylist(), t.column("part").to_pylist(), strict=True))
-        texts = t.column("blocks").to_pylist()
-        out, a = [], 0
-        while a < len(keys):
-            b = a
-            while b < len(keys) and keys[b] == keys[a]:
-                b += 1
-            pages = [[x.split(" ") for x in s.split("\n")] if s else [] for s in texts[a:b]]
-            gone = boilerplate(pages, least, share, few)
-            for i, page in enumerate(pages):
-                if gone is None or not gone[i].any():
-                    out.append(texts[a + i].replace("\n", "\n\n"))
-                    continue
+    def ask(t: pa.Table) -> pa.Table:
+        out = []
+        for host, _, parts, rows in groups_of(t):
+            out += [(host, parts, x) for x in Stream(pages_in(rows), least).common(share, few).view(np.int64).tolist()]
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        kinds = (pa.string(), pa.int32(), pa.int64())
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("host", "parts", "name"), columns, kinds, strict=True)})
+
+    named = cut.groupBy("bucket").applyInArrow(ask, "host string, parts int, name long")
+    # What most groups of a host name: some times the tokens of a page at most, as a group names what most pages hold.
+    named = named.groupBy("host", "parts", "name").agg(F.count("*").alias("n")).where(2 * F.col("n") > F.col("parts"))
+    named = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    named = named.select(bucket("part").alias("bucket"), "host", "name")
+
+    @trimmed
+    def clean(t: pa.Table, named: pa.Table) -> pa.Table:
+        of_host: dict[str, list[int]] = {}
+        for host, name in zip(named.column("host").to_pylist(), named.column("name").to_pylist(), strict=True):
+            of_host.setdefault(host, []).append(name)
+        ids, urls, out = [], [], []
+        for host, _, _, rows in groups_of(t) if len(t) else ():
+            ids.append(rows.column("page_id"))
+            urls.append(rows.column("url"))
+            texts = rows.column("blocks").to_pylist()
+            if host not in of_host:
+                out += [x.replace("\n", "\n\n") for x in texts]
+                continue
+            pages = pages_in(rows)
+            names = np.unique(np.array(of_host[host], np.int64).view(np.uint64))
+            for page, gone in zip(pages, Stream(pages, least).gone(names), strict=True):
                 at, kept = 0, []
-                for block in page:
-                    left = unique_words(block, gone[i][at : at + len(block)], least)
-                    at += len(block)
-                    if left:
+                for block in (x.split(" ") for x in page):
+                    if left := unique_words(block, gone[at : at + len(block)], least):
                         kept.append(" ".join(left))
+                    at += len(block)
                 out.append("\n\n".join(kept))
-            a = b
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array(map(len, out), pa.int64())})
+        flat = lambda parts, kind: pa.array([x for p in parts for x in p.to_pylist()], kind)
+        texts, sizes = pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())
+        return pa.table({"page_id": flat(ids, pa.int64()), "url": flat(urls, pa.string()), "text": texts, "n_chars": sizes})
 
-    return cut.groupBy("bucket").applyInArrow(clean, "page_id long, url string, text string, n_chars long")
+    result = "page_id long, url string, text string, n_chars long"
+    return cut.groupBy("bucket").cogroup(named.groupBy("bucket")).applyInArrow(clean, result)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

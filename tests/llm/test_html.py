@@ -1,4 +1,9 @@
-from lumenquad.llm.html_extraction import blocks_of, extract
+import random
+
+import numpy as np
+import pytest
+
+from lumenquad.llm.html_extraction import Stream, blocks_of, extract
 
 
 def test_blocks():
@@ -29,3 +34,81 @@ def test_boilerplate_of_a_host_goes_and_copies_stay(spark):
     assert got[202].text == got[3].text and got[101].text == f"{menu}\n\ntext 1" and (got[200].text, got[201].n_chars, got[203].text) == ("", 0, "")
     assert {r.page_id: r.text for r in extract(df, group=8, few=3).collect()}[5] == got[5].text
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>Hello <button>Share</button> brave <span class='ad'>x</span> world</p>", ["Hello brave world"]),
+        ("<div class='layout has-sidebar'><nav>n</nav><article><p>a</p></article></div>", ["a"]),
+        ("<div class='sidebar'><article><p>a</p></article></div>", ["a"]),
+        ("<form id=aspnet><h1>T</h1><p>x</p></form>", ["T", "x"]),
+        ("<form><article><p>x</p></article></form><form>mail</form>", ["x"]),
+        ("<article><p id=share-prices>s</p><div class='related-work'>r</div></article>", ["s", "r"]),
+        ("<p>Intro</p><article>teaser</article><p>rest</p>", ["Intro", "teaser", "rest"]),
+        ("<article>a</article><aside><article>card</article></aside><div id=comments><article>first!</article></div>", ["a"]),
+        ("<div role=navigation>n</div><div class='site-footer'>f</div><div class='comment-list'>c</div><div class=adSlot2>b</div>", []),
+    ],
+)
+def test_markup_by_what_it_states(page, want):
+    assert blocks_of(page) == want
+
+
+def brute(pages, least, share, few):
+    """Tokens in strings of `least` tokens on enough pages, two of which have a quarter of their own text."""
+    flat = [[t for b in p for t in b.split(" ")] for p in pages]
+    on = {}
+    for i, p in enumerate(flat):
+        for a in range(len(p) - least + 1):
+            on.setdefault(tuple(p[a : a + least]), set()).add(i)
+
+    def cover(strings):
+        out = []
+        for p in flat:
+            gone = np.zeros(len(p), bool)
+            for a in range(len(p) - least + 1):
+                if tuple(p[a : a + least]) in strings:
+                    gone[a : a + least] = True
+            out.append(gone)
+        return out
+
+    often = {s for s, x in on.items() if len(x) >= max(few, share * len(pages))}
+    own = [4 * g.sum() <= 3 * len(g) for g in cover(often)]
+    return cover({s for s in often if sum(own[i] for i in on[s]) >= 2})
+
+
+def test_boilerplate_equals_brute_force():
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    changed = 0
+    for _ in range(60):
+        menus = [prose(r.randrange(3, 14)) for _ in range(3)]
+        pages = []
+        for _ in range(r.randrange(1, 12)):
+            page = [r.choice([*menus, prose(r.randrange(1, 25))]) for _ in range(r.randrange(0, 6))]
+            pages += [page] * r.choice([1, 1, 1, 3])
+        want = brute(pages, 4, 0.5, 3)
+        stream = Stream(pages, 4)
+        got = stream.gone(np.unique(stream.common(0.5, 3)))
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
+        changed += sum(x.any() for x in want)
+    assert changed > 50
+
+
+def test_host_of_many_groups_is_judged_as_one(spark):
+    """Undeclared boilerplate goes from every page of a large host, and an article copied there stays whole."""
+    menu = "Start page and all of our many nice topics of today"
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    rows = [(i, "http://big.example/", f"<div><div>{menu}</div><p>{own(i)}</p></div>") for i in range(200)]
+    rows += [(1000 + i, "http://big.example/", f"<p>{own(7)}</p>") for i in range(3)] + [(2000, "http://big.example/", f"<p>{'long ' * 200_000}{menu}</p>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), group=16).collect()}
+    assert all(got[i] == own(i) for i in range(200)) and all(got[1000 + i] == own(7) for i in range(3))
+    assert sum(menu in t for t in got.values()) == 0 and len(got) == 204
+
+
+def test_copies_on_a_small_host_stay(spark):
+    article = " ".join(f"word{k}" for k in range(40))
+    rows = [(i, "http://small.example/", f"<p>{article}</p>") for i in range(4)] + [(9, "http://small.example/", "<p>another page</p>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == article for i in range(4))
