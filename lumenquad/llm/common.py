@@ -126,18 +126,21 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return found
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, a stretch at a time; a word longer than a stretch is one."""
-    if len(raw) <= STRETCH:
-        return _hashes_of(raw)
-    out, at = [], 0
+def stretches_of(raw: bytes) -> Iterator[bytes]:
+    """A text in parts of about STRETCH bytes, cut after white space; a longer word stays whole."""
+    at = 0
     while at < len(raw):
         end = at + STRETCH
         if end < len(raw):
             end = max(raw.rfind(x, at, end) for x in map(chr_byte, SPACES)) + 1 or _next_space(raw, end)
-        out.append(_hashes_of(raw[at:end]))
+        yield raw[at:end] if at or end < len(raw) else raw
         at = end
-    return np.concatenate(out)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, a stretch at a time."""
+    parts = [_hashes_of(x) for x in stretches_of(raw)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def chr_byte(x: int) -> bytes:

@@ -1,6 +1,11 @@
 import random
 from collections import Counter
 
+import tracemalloc
+
+import numpy as np
+
+from lumenquad.llm import decontamination as dc
 from lumenquad.llm.decontamination import decontaminate, search
 
 
@@ -73,3 +78,42 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert search(d.limit(0), b).count() == 0 and search(d, b.limit(0)).count() == 0
     assert decontaminate(d, b.limit(0)).count() == len(docs)
+
+
+def test_index_prunes_and_loses_nothing_within_the_radius():
+    r = random.Random(6)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n)).encode()
+    items = dc.Items([(i, text(40)) for i in range(500)], 0.8)
+    prints = items.by_length[40][1]
+    windows = np.stack([items.total(dc.shingle_hashes(dc.words_of(text(40)), dc.SHINGLE)) > 0 for _ in range(100)])
+    assert sum(map(len, items.candidates(40, windows))) < 0.05 * 500 * 100
+    g = np.random.default_rng(1)
+    for i in range(200):
+        near = prints[i].copy()
+        flip = g.choice(dc.BITS, items.radius, replace=False)
+        near[flip] = ~near[flip]
+        assert i in items.candidates(40, near[None])[0]
+
+
+def test_long_text_with_items_at_both_ends_takes_bounded_memory():
+    r = random.Random(7)
+    item = " ".join(f"item{r.randrange(99)}" for _ in range(30))
+    words = [f"w{r.randrange(9999)}" for _ in range(100_000)]
+    raw = (item + " " + " ".join(words * 20) + " " + item).encode()
+    assert len(raw) > 10_000_000
+    items = dc.Items([(0, item.encode()), (1, b"nothing of this is anywhere in there at all")], 0.8)
+    tracemalloc.start()
+    assert items.of(raw) == [(0, 0, 30, 1.0)]
+    assert items.of(raw[200:]) == [(0, len(raw[200:].split()) - 30, 30, 1.0)]
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+
+
+def test_segments_equal_one_piece(monkeypatch):
+    docs, items = tables()
+    index = dc.Items([(i, (t or "").encode()) for i, t in items], 0.8)
+    texts = [" ".join((t or "") for _, t in docs[k : k + 30]).encode() for k in range(0, 90, 10)]
+    whole = [index.of(t) for t in texts]
+    monkeypatch.setattr(dc, "SEGMENT", 50)
+    monkeypatch.setattr(dc, "RUN", 16)
+    assert [index.of(t) for t in texts] == whole and sum(map(len, whole)) > 20
