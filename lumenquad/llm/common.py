@@ -44,6 +44,16 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_unused(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    for table in tables:
+        paths = {path.rsplit("/", 1)[0] for path in table.inputFiles()}
+        if (noted := _scope.get()) is not None:
+            noted[:] = [x for x in noted if not any(p.endswith(x.split("://")[-1].lstrip("/")) for p in paths)]
+        remove(spark, list(paths))
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back, which cuts its lineage.
 

@@ -11,7 +11,8 @@ A second round sums, for the contexts that held-out texts use, the seen mass and
 weights. Hot words are one entry a chunk.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as training; repeated rows count
-each; without training rows every word is unknown, with probability 1; an empty table gives no rows; other columns are
+each; very long texts are hashed a stretch at a time and their
+tokens held in one task; ties don't arise, as sums have no order; without training rows every word is unknown, with probability 1; an empty table gives no rows; other columns are
 ignored. Words are told apart by 64-bit hashes.
 """
 

@@ -5,7 +5,8 @@ measures are staged as narrow rows. Rule failures are counted by domain (the `so
 rates are shrunk with a beta prior fitted to all domains by moments, and each domain's verdict is joined back.
 
 Defined cases: null text counts as empty (no words: the base rule fails); a null source has no domain, so only the
-base rule speaks; repeated rows each count; an empty table gives no rows; other columns are ignored. Windows are told
+base rule speaks; very long texts are measured whole, one at a time beyond 4 MB; ties don't arise; repeated rows each
+count; an empty table gives no rows; other columns are ignored. Windows are told
 apart by 64-bit hashes within one text.
 """
 

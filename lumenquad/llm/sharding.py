@@ -6,8 +6,8 @@ greedy pass are used. Groups are never gathered: the driver holds totals by key
 splits further only those prefixes in which a cut of any capacity still possible can fall, until those are single
 groups. A group larger than a shard's share gets a shard of its own size at least; it isn't split, as it is atomic.
 
-Defined cases: null text counts as empty, of size 16; equal rows are distinct rows of one group; an empty table gives
-no rows; fewer groups than shards leave shards empty; other columns are ignored.
+Defined cases: null text counts as empty, of size 16; very long texts are hashed where they lie and never move; equal rows
+are distinct rows of one group, and ties (equal texts) go by doc_id, then in any order; an empty table gives no rows; fewer groups than shards leave shards empty; other columns are ignored.
 """
 
 from __future__ import annotations

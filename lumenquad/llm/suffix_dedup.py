@@ -15,8 +15,10 @@ and h further on, as far as the threshold. A place is compared over the corpus o
 Names are 64-bit fingerprints, and two of them must agree for a window to be settled: results are exact but for a
 clash of both.
 
-Defined cases: null text counts as empty; texts shorter than the window keep all; repeated rows are repeats of one
-another; an empty table gives no rows; other columns come along, and those called like a result column are replaced. A cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
+Defined cases: null text counts as empty; texts shorter than the window keep all; very long texts are named whole, some
+eight 8-byte arrays a byte at a time; of tied anchor names the leftmost counts; repeated rows are repeats of one
+another; an empty table gives no rows; other columns come along, and those called like a result column are replaced. A
+cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .common import mix, pieces, shuffle_width, staged, text_bytes, trimmed
+from .common import mix, pieces, remove_unused, shuffle_width, staged, text_bytes, trimmed
 
 GRAM = 32
 CHUNK_ROWS = 12  # bits: at most 4,096 rows a chunk
@@ -231,6 +233,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "_sd_starts": pa.array(out["starts"], pa.binary()), "_sd_edges": pa.array(out["edges"], kind)})
 
     settled = staged(table.groupBy("_sd_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, first), "suffix-settled")
+    remove_unused(spark, table)
 
     @trimmed
     def compare_windows(batches: pa.Table) -> pa.Table:
