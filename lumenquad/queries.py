@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cost, extract, pythonic, sampling, stats, text
-from .operators import joins, ranking, scoring, segments, vectors
+from .operators import joins, ranking, scoring, segments, vectors, work
 from .plans import reports
 from .schemas import CATEGORIES
+from .sources import staging
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,28 +191,112 @@ def mcq_sweep(t):
     return rounded(reports.mcq_sweep(scoring.mcq_scores(c, ["task_type"]).select("task_type", "n", "correct"), d, ["task_type"]), "short_Acc", "medium_Acc", "long_Acc")
 
 
-# --- extraction; patterns without look-around, which both engines share ---------------------------------------------
+# --- extraction: the functions as they are against SQL that consumes where they look around --------------------------
 
-YES_NO_SHARED = [r"(?i)(?:final answer|final|answer|prediction)\s*:\s*(yes|no)(?:[^a-z0-9_]|$)", r"(?i)(?:^|[^\p{L}\p{N}_])(yes|no)(?:[\s.,!?)]|$)"]
-LETTER_SHARED = [r"(?i)(?:option|choice)\s*:?\s*\(?\s*([ABCD])(?:[^\p{L}\p{N}_]|$)", r"(?i)[(\[{]\s*([ABCD])\s*[)\]}]", r"(?:^|[^A-Za-z0-9/])([ABCD])(?:[^A-Za-z0-9/]|$)"]
+_W = r"[^\p{L}\p{N}\p{M}_]"  # no part of a word
+_HEAD = r"(?:final answer|final|answer|prediction)"
 
 
-@query(f"SELECT conv_id, turn, CASE lower(coalesce({', '.join(f'nullif(regexp_extract(text, $p${p}$p$, 1), $p$$p$)' for p in YES_NO_SHARED)})) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 ELSE -1 END AS code FROM conversations")
+def _first(x: str, *patterns: str) -> str:
+    """SQL: group 1 of the first pattern that matches x, else null."""
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, $p${p}$p$, 1), '')" for p in patterns) + ")"
+
+
+def _sql_yes_no(x: str) -> str:
+    found = _first(x, rf"(?i){_HEAD}\s*[:：]\s*(yes|no)(?:{_W}|$)", rf"(?i)(?:^|{_W})(yes|no)(?:[\s.,!?)]|$)")
+    return f"CASE lower({found}) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 ELSE -1 END"
+
+
+def _sql_two_way(x: str) -> str:
+    alone = r"(?i)(?:^|[^A-Za-z0-9/])([AB])(?:[^A-Za-z0-9/]|$)"
+    split = rf"(?is)^(|.*?{_W})({_HEAD[3:-1]})(?:{_W}.*)?$"
+    part = lambda g: f"regexp_extract({x}, $p${split}$p$, {g})"
+    plain = _first(
+        x, rf"(?i){_HEAD}\s*[:：]\s*([AB])(?:{_W}|$)", rf"(?i)(?:option|choice)\s*[:：]?\s*([AB])(?:{_W}|$)", r"(?i)[(\[{]\s*([AB])\s*[)\]}]",
+        rf"(?i)(?:^|{_W})([AB])\s*[.)][\p{{L}}\p{{N}}\p{{M}}_]",
+    )
+    after = f"CASE WHEN {part(2)} <> '' THEN substr({x}, length({part(1)}) + length({part(2)}) + 1) END"
+    found = f"coalesce({plain}, {_first(part(1), alone)}, {_first(after, alone)}, {_first(x, alone)})"
+    return f"CASE upper({found}) WHEN 'A' THEN 1 WHEN 'B' THEN 0 ELSE -1 END"
+
+
+def _sql_four_way(x: str) -> str:
+    found = _first(
+        x, rf"(?i){_HEAD}\s*[:：]\s*\(?\s*([ABCD])(?:{_W}|$)", rf"(?i)(?:option|choice)\s*[:：]?\s*\(?\s*([ABCD])(?:{_W}|$)", r"(?i)[(\[{]\s*([ABCD])\s*[)\]}]",
+        r"(?:^|[^A-Za-z0-9])([ABCD])\s*[.)]", r"(?:^|[^A-Za-z0-9/])([ABCD])(?:[^A-Za-z0-9/]|$)",
+    )
+    return f"coalesce(instr('ABCD', upper({found})), 0) - 1"
+
+
+#: The options of all four-way items here.
+OPTIONS = ["A. one thing", "B. another thing", "C. a third thing.", "D. no"]
+
+
+def _sql_choice(x: str) -> str:
+    last = r"(?s)^(?:.*[^A-Za-z0-9])?(?:([B-D])(?:[^A-Za-z0-9].*)?|A(?:[^A-Za-z0-9\s].*|\s(?:[^a-z].*)?)?)$"
+    last_a = last.replace("([B-D])", "[B-D]").replace("|A(?:", "|(A)(?:")
+    found = _first(
+        x, rf"(?i)(?:^|{_W})(?:the\s+)?best\s+answer\s+is\s*[:.]?\s*[(\[]?([A-D])[)\]]?",
+        r"(?i)(?:final\s+answer|final|answer|prediction|option|choice)\s*[:：]\s*[(\[]?([A-D])[)\]]?",
+        r"^[(\[]?([A-D])[)\]]?\s*[.):]", r"^\s*([A-D])\s*$", r"[(\[{]\s*([A-D])\s*[)\]}]", last, last_a,
+    )
+    bodies = "['one thing', 'another thing', 'a third thing']"  # a body of under four letters is no quote
+    quoted = f"list_filter({bodies}, lambda o: contains(lower({x}), o))"
+    return f"CASE WHEN {found} IS NOT NULL THEN instr('ABCD', upper({found})) - 1 WHEN len({quoted}) = 1 THEN list_position({bodies}, {quoted}[1]) - 1 ELSE -1 END"
+
+
+_CLEAN = r"trim(regexp_replace(nfc_normalize(coalesce({0}, '')), '[\s\p{{Z}}]+', ' ', 'g'))"
+_TEXTS = f"(SELECT conv_id, turn, {_CLEAN.format('text')} AS x FROM conversations)"
+
+
+def _options() -> Column:
+    return F.array(*map(F.lit, OPTIONS))
+
+
+def _normalised(t) -> DataFrame:
+    return t("conversations").select("conv_id", "turn", pythonic.nfkc("text").alias("x"))
+
+
+@query(f"SELECT conv_id, turn, CAST({_sql_yes_no('x')} AS INT) AS code FROM {_TEXTS}")
 def extract_yes_no(t):
-    found = F.lower(extract.first_match(F.col("text"), YES_NO_SHARED))
-    return t("conversations").select("conv_id", "turn", F.when(found == "yes", 1).when(found == "no", 0).otherwise(-1).alias("code"))
+    return _normalised(t).select("conv_id", "turn", extract.yes_no(F.col("x")).cast("int").alias("code"))
+
+
+@query(f"SELECT conv_id, turn, CAST({_sql_two_way('x')} AS INT) AS code FROM {_TEXTS}")
+def extract_two_way(t):
+    return _normalised(t).select("conv_id", "turn", extract.two_way(F.col("x")).cast("int").alias("code"))
+
+
+@query(f"SELECT conv_id, turn, CAST({_sql_four_way('x')} AS INT) AS code FROM {_TEXTS}")
+def extract_four_way(t):
+    return _normalised(t).select("conv_id", "turn", extract.four_way(F.col("x")).alias("code"))
+
+
+@query(f"SELECT conv_id, turn, CAST({_sql_choice('x')} AS INT) AS code FROM {_TEXTS}")
+def extract_choice(t):
+    return _normalised(t).select("conv_id", "turn", extract.choice(F.col("x"), _options()).alias("code"))
 
 
-@query(f"SELECT conv_id, turn, CAST(coalesce(instr('ABCD', upper(coalesce({', '.join(f'nullif(regexp_extract(text, $p${p}$p$, 1), $p$$p$)' for p in LETTER_SHARED)}))), 0) - 1 AS INT) AS code FROM conversations")
-def extract_letter(t):
-    found = F.upper(extract.first_match(F.col("text"), LETTER_SHARED))
-    return t("conversations").select("conv_id", "turn", (F.coalesce(F.instr(F.lit("ABCD"), found), F.lit(0)) - 1).cast("int").alias("code"))
+#: Replies in which forms compete, stand at edges or look like answers and are none.
+REPLIES = [
+    "", "yes", "No.", "YES!", "yesterday no", "noon", "I know, yes", "Answer: no, not yes", "final answer : Yes", "prediction：no", "answer: nothing, yes?", "yes-no no",
+    "A", "b", "(A)", "[ b ]", "{C}", "A.", "B) since", "A/B", "a/b or B", "option B", "Choice: a", "choice d.", "Answer: (C)", "The best answer is: D", "best answer is (b)", "I think A or B; final answer C",
+    "A man walks by", "A man, B", "It shows A. Then B. Then C", "Answer is B", "B is the answer, not A", "final answer? maybe A", "no answer", "D)", "(D) because B", "x=A1 B2", "AB CD", "A B C D", "C: red", " D ",
+    "It is one thing", "another thing or one thing", "a third thing", "no", "élan A été B", "Ano", "noé", "é yes", "answer: Aé B", "the final answer: option C", "A)x", "1.A) b", "pick [c] or [d]", "Answer:b",
+]
+_REPLIES = "(VALUES " + ", ".join(f"({i}, $x${x}$x$)" for i, x in enumerate(REPLIES)) + ") AS r(k, raw)"
 
 
-@query(r"SELECT conv_id, turn, coalesce(list_extract(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([A-D])\b', 1), -1), '') AS last_letter, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([A-D])\b', 1)) AS n_letters FROM conversations")
-def extract_last_letter(t):
-    found = F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9])([A-D])(?:(?<=[A-D])(?![A-Za-z0-9_]))"), F.lit(1))
-    return t("conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")).alias("last_letter"), F.size(found).cast("long").alias("n_letters"))
+@query(
+    f"SELECT k, CAST({_sql_yes_no('x')} AS INT) AS yes_no, CAST({_sql_two_way('x')} AS INT) AS two_way, CAST({_sql_four_way('x')} AS INT) AS four_way, CAST({_sql_choice('x')} AS INT) AS choice"
+    f" FROM (SELECT CAST(k AS BIGINT) AS k, {_CLEAN.format('raw')} AS x FROM {_REPLIES})"
+)
+def extract_adversarial(t):
+    spark = t("region").sparkSession
+    x = F.col("x")
+    rows = spark.createDataFrame(list(enumerate(REPLIES)), "k long, raw string").select("k", pythonic.nfkc("raw").alias("x"))
+    found = {"yes_no": extract.yes_no(x), "two_way": extract.two_way(x), "four_way": extract.four_way(x), "choice": extract.choice(x, _options())}
+    return rows.select("k", *(c.cast("int").alias(k) for k, c in found.items()))
 
 
 def replies(t) -> DataFrame:
@@ -219,16 +304,26 @@ def replies(t) -> DataFrame:
     return c.withColumn("type", F.element_at(F.array(*map(F.lit, ("yes_no", "multiple_choice", "multiple_choice_4", "mcq4"))), (F.col("turn") % 4 + 1).cast("int")))
 
 
-@query()
+def _sql_answer(x: str, kind: str) -> str:
+    kinds = (("yes_no", _sql_yes_no), ("multiple_choice", _sql_two_way), ("multiple_choice_4", _sql_four_way), ("mcq4", _sql_choice))
+    return f"CASE WHEN {x} = '' THEN -1 " + " ".join(f"WHEN {kind} = '{k}' THEN {f(x)}" for k, f in kinds) + " END"
+
+
+_TYPES = "(['yes_no', 'multiple_choice', 'multiple_choice_4', 'mcq4'])[CAST(turn % 4 AS INT) + 1]"
+_BY_TYPE = f"SELECT conv_id AS index, turn, type, CAST({_sql_answer('x', 'type')} AS INT) AS code FROM (SELECT *, {_TYPES} AS type FROM {_TEXTS})"
+_LABEL = "CASE WHEN code < 0 THEN '' WHEN type = 'yes_no' THEN (['no', 'yes'])[code + 1] WHEN type = 'multiple_choice' THEN (['b', 'a'])[code + 1] ELSE substr('abcd', code + 1, 1) END"
+
+
+@query(f"SELECT *, {_LABEL} AS label FROM ({_BY_TYPE})")
 def extract_by_type(t):
-    r = replies(t).withColumn("options", F.array(F.lit("A. one thing"), F.lit("B. another thing"), F.lit("C. a third thing"), F.lit("D. nothing of this")))
-    code = extract.answer(F.col("norm"), F.col("type"), F.col("options"))
-    return r.withColumn("norm", pythonic.nfkc("model_output")).select("index", "turn", "type", code.alias("code")).withColumn("label", extract.label(F.col("code"), F.col("type")))
+    code = extract.answer(F.col("norm"), F.col("type"), _options())
+    r = replies(t).withColumn("norm", pythonic.nfkc("model_output"))
+    return r.select("index", "turn", "type", code.cast("int").alias("code")).withColumn("label", extract.label(F.col("code"), F.col("type")))
 
 
-@query()
+@query(f"SELECT conv_id, turn, x AS text FROM {_TEXTS}")
 def normalised_text(t):
-    return t("conversations").select("conv_id", "turn", pythonic.nfkc("text").alias("text"))
+    return _normalised(t).withColumnRenamed("x", "text")
 
 
 @query(r"SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM conversations")
@@ -660,10 +755,66 @@ def except_labelled(t):
     return t("documents").where("lang = 'en'").select("doc_id").subtract(t("labels").select("doc_id"))
 
 
-@query()
+def _sql_cache(renewed: str) -> str:
+    """A cache of 300 bytes for each key, request by request; item n has 10 + n bytes. renewed: what a hit makes of `held`."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id % 5 AS key, event_id AS pos, CAST(event_id % 40 AS INT) AS n, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS k FROM events),
+s AS (SELECT key, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, 0 AS n, CAST([] AS INT[]) AS held, false AS hit, CAST([] AS INT[]) AS gone FROM (SELECT DISTINCT key FROM e)
+UNION ALL SELECT key, k, pos, n, CASE WHEN hit THEN {renewed} ELSE list_append(held[cut + 1:], n) END, hit, CASE WHEN hit THEN [] ELSE held[1:cut] END FROM (
+SELECT e.key, e.k, e.pos, e.n, s.held, list_contains(s.held, e.n) AS hit, list_min(list_filter(range(0, len(s.held) + 1), lambda i: coalesce(list_sum(list_transform(s.held[i + 1:], lambda x: 10 + x)), 0) + 10 + e.n <= 300)) AS cut FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1))
+SELECT CAST(key AS VARCHAR) AS key, pos, 'v' || n AS item, hit, NOT hit AS admitted, coalesce(array_to_string(list_transform(gone, lambda x: 'v' || x), ' '), '') AS evicted FROM s WHERE k > 0"""
+
+
+def _requests(t) -> DataFrame:
+    n = F.col("event_id") % 40
+    return t("events").select((F.col("user_id") % 5).cast("string").alias("key"), F.col("event_id").alias("pos"), F.concat(F.lit("v"), n.cast("string")).alias("item"), (10 + n).alias("size"))
+
+
+@query(_sql_cache("list_append(list_filter(held, lambda x: x <> n), n)"))
 def cache_simulation(t):
-    r = t("events").select((F.col("user_id") % 5).cast("string").alias("key"), F.col("event_id").alias("pos"), F.concat(F.lit("v"), (F.col("event_id") % 40).cast("string")).alias("item"), (10 + F.col("event_id") % 40).alias("size"))
-    return incremental.cache_simulation(r, 300, "lru").withColumn("evicted", F.array_join("evicted", " "))
+    return incremental.cache_simulation(_requests(t), 300, "lru").withColumn("evicted", F.array_join("evicted", " "))
+
+
+@query(_sql_cache("held"))
+def fifo_memo(t):
+    return incremental.cache_simulation(_requests(t), 300, "fifo").withColumn("evicted", F.array_join("evicted", " "))
+
+
+@query("SELECT event_id, round(max(user_id % 50 - 0.5 * k) OVER (PARTITION BY event_type ORDER BY event_id) + 0.5 * k, 6) AS start FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)")
+def gated_calls(t):
+    calls = t("events").withColumn("at", (F.col("user_id") % 50).cast("double"))
+    return work.gated(calls, ["event_type"], "at", "event_id", 0.5).select("event_id", six(F.col("start")).alias("start"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'd/' || p_partkey || '/v' WHEN p_partkey % 6 = 5 THEN 'd/' || p_partkey || ' /v ' END AS file FROM part")
+def repaired_paths(t):
+    k = F.col("p_partkey")
+    blank = F.concat(F.lit("d/"), k.cast("string"), F.lit(" /v "))
+    plain = F.concat(F.lit("d/"), k.cast("string"), F.lit("/v"))
+    files = t("part").where("p_partkey % 3 < 2 or p_partkey % 6 = 5").select(F.when(k % 3 < 2, plain).otherwise(blank).alias("file"))
+    rows = t("part").select("p_partkey", F.when(k % 3 == 0, plain).otherwise(blank).alias("path"))
+    return work.repaired_paths(rows, files, "path").select("p_partkey", "file")
+
+
+@query("SELECT CASE WHEN starts_with(event_type, 'c') THEN 'c' WHEN starts_with(event_type, 'p') THEN 'p' ELSE 'other' END AS part, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS size FROM events GROUP BY 1")
+def groups_by_prefix(t):
+    return work.by_prefix(t("events"), "event_type", "user_id", ["c", "p"])
+
+
+@query("SELECT user_id AS video, CASE WHEN user_id % 2 = 0 THEN 'm1' ELSE 'm2' END AS model, CAST(3 AS INT) AS total, CASE WHEN user_id % 2 = 0 AND user_id % 3 = 0 THEN CAST(user_id AS DOUBLE) END AS first_number FROM (SELECT DISTINCT user_id FROM events)")
+def cached_embeddings(t):
+    wanted = t("events").select(F.col("user_id").alias("video")).distinct().select("video", F.when(F.col("video") % 2 == 0, "m1").otherwise("m2").alias("model"), F.lit(3).alias("total"))
+    # The cache holds vectors of one model only, an old version of each, and broken entries for all but every third.
+    vectors_of = lambda x: F.array(F.array(x), F.array(x), F.array(x))
+    now = F.when(F.col("video") % 3 == 0, vectors_of(F.col("video").cast("double"))).otherwise(F.array(F.array(F.lit(0.0))))
+    old = F.when(F.col("video") % 3 == 0, vectors_of(F.lit(-1.0))).otherwise(F.array(F.array(F.lit(0.0))))
+    entry = lambda e, at: wanted.select("video", F.lit("m1").alias("model"), "total", e.alias("embeddings"), F.lit(at).alias("written"))
+    kept = staging.written(entry(old, 1).unionByName(entry(now, 2)), staging.new_path(wanted.sparkSession, "embedding-cache"))
+    return work.with_cached(wanted, kept).select("video", "model", "total", F.col("embeddings")[0][0].alias("first_number"))
+
+
+@query("SELECT conv_id, turn, n FROM conversations JOIN (SELECT conv_id, 10 * conv_id AS n FROM conversations GROUP BY 1) USING (conv_id)")
+def work_once_a_key(t):
+    return work.once_a_key(t("conversations").select("conv_id", "turn"), ["conv_id"], lambda keys: keys.withColumn("n", 10 * F.col("conv_id")))
 
 
 @query()

@@ -50,7 +50,8 @@ def cache_simulation(requests: DataFrame, capacity: int, policy: str = "keep") -
     """What a cache of so many bytes would have done with each sequence of requests (key, pos, item, size).
 
     keep: an item that doesn't fit beside those kept is used and dropped, so a scan can't flush the cache; lru: the
-    least recently used go until it fits. An item larger than the cache is never admitted.
+    least recently used go until it fits; fifo: the first that came go, whether used since or not. An item larger than
+    the cache is never admitted.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -59,9 +60,10 @@ def cache_simulation(requests: DataFrame, capacity: int, policy: str = "keep") -
         for r in rows.sort_values("pos").itertuples():
             hit, gone, admitted = r.item in held, [], False
             if hit:
-                held.move_to_end(r.item)
+                if policy != "fifo":
+                    held.move_to_end(r.item)
             elif r.size <= capacity:
-                while policy == "lru" and sum(held.values()) + r.size > capacity:
+                while policy in ("lru", "fifo") and sum(held.values()) + r.size > capacity:
                     gone.append(held.popitem(last=False)[0])
                 if admitted := sum(held.values()) + r.size <= capacity:
                     held[r.item] = r.size
