@@ -76,3 +76,11 @@ def test_near_duplicates_of_repeated_rows(spark, folder):
     df = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11)] * 2 + [(2, "a b c d e f", "en", "s", 11), (None, "z", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, df, folder).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 1]
+
+
+def test_empty_tables_and_further_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_text string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
