@@ -1,19 +1,21 @@
-"""Language-model scoring by Katz backoff over word bigrams.
+"""Language-model scoring by Katz backoff over word n-grams, trigrams unless the parameter `order` says otherwise.
 
 Counts are discounted by Good-Turing (up to 5; above, a tenth of a count is taken, so every context keeps mass for
 backoff), and the backoff weight of each context makes its probabilities over the vocabulary and one unknown word sum
-to one. Evaluation is recursive: a seen pair by its discounted count, else backoff weight times the word's own
-probability, whose unseen mass belongs to the unknown word.
+to one. Evaluation is recursive: a seen n-gram by its discounted count, else the context's backoff weight times the
+probability after the context without its first word, down to the word's own, whose unseen mass belongs to the unknown
+word. One begin stands before each text, so the first word has a context of one, the second of two.
 
-Chunks are parts of the file blocks of the table, of bounded size. Each asks for its distinct words and pairs in packed blocks; bucket by bucket
-the corpus counts are summed and stored as a table (one row a bucket and chunk), and go back to the chunks that asked.
-A second round sums, for the contexts that held-out texts use, the seen mass and the words' own mass to backoff
-weights. Hot words are one entry a chunk.
+Chunks are parts of the file blocks of the table, of bounded size. Each asks for its distinct words, pairs and longer
+n-grams in packed blocks; bucket by bucket the corpus counts are summed and stored as a table (one row a length, bucket
+and chunk), and go back to the chunks that asked. A second round sums, for the contexts that held-out texts use, the
+seen mass and the shorter contexts' mass of the same words to backoff weights. Hot words are one entry a chunk.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id counts as training; repeated rows count
-each; very long texts are hashed a stretch at a time and their
-tokens held in one task; ties don't arise, as sums have no order; without training rows every word is unknown, with probability 1; an empty table gives no rows; other columns are
-ignored. Words are told apart by 64-bit hashes.
+each; very long texts are hashed a stretch at a time and their tokens held in one task; ties don't arise, as sums have
+no order; without training rows every word is unknown, with probability 1; an empty table gives no rows; other columns
+are ignored. Words and n-grams are told apart by 64-bit hashes. The query rounds its two sums to six places, as the
+order of a sum of doubles is free.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import crc_of_id, mix, pieces, shuffle_width, staged, text_bytes, trim, trimmed, word_hashes
+from .common import crc_of_id, mix, pieces, remove_unused, shuffle_width, staged, text_bytes, trim, trimmed, word_hashes
 
 U = np.uint64
 END, BEGIN = U(1), U(2)
 TOP = 5  # counts up to this are discounted by Good-Turing
 TAIL = 0.1
 CHUNK_BYTES = 4 << 20  # of a file block
-WORD, PAIR = 0, 1
+BUCKET_BYTES = 16 << 20  # of the texts whose names of one length fall into one bucket
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,7 +55,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Counts of counts of words or of pairs."""
+    """Counts of counts of the n-grams of one length."""
 
     n: np.ndarray
     distinct: int
@@ -87,33 +89,51 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Tokens of the texts of a chunk, its distinct words and pairs in order of their names."""
+    """Tokens of the texts of a chunk and its distinct n-grams of each length up to `order`, in order of their names.
 
-    def __init__(self, raws: list[bytes], held: np.ndarray):
+    For length k + 1: names[k]; of[k], the place of each token's n-gram among them, -1 where the text has too few words
+    before; lower[k] and context[k], the places of an n-gram without its first and without its last word among those of
+    length k. The begin is the context after the last word.
+    """
+
+    def __init__(self, raws: list[bytes], held: np.ndarray, order: int):
         hashes = [word_hashes(r.lower()) for r in raws]
         self.lengths = np.array([len(h) + 1 for h in hashes])
         tokens = np.concatenate([x for h in hashes for x in (h, [END])]).astype(np.uint64) if raws else np.empty(0, U)
         del hashes
-        ends = np.cumsum(self.lengths)
-        starts = ends - self.lengths
+        starts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(raws), dtype=np.int32), self.lengths)
         self.train = ~held[self.doc]
-        self.words, _, self.word = distinct(tokens)
-        self.context = np.empty(len(tokens), np.int32)  # place in words, or len(words) for the begin
-        self.context[1:] = self.word[:-1]
-        self.context[starts] = len(self.words)
-        before = np.append(tokens[:0], np.append(BEGIN, tokens[:-1])) if len(tokens) else tokens
-        before[starts] = BEGIN
-        names = mix(before * U(0x9E3779B97F4A7C15) + mix(tokens + U(0x5851F42D4C957F2D)))
-        del tokens, before
-        self.pairs, first, self.pair = distinct(names)
-        self.pair_word, self.pair_context = self.word[first], self.context[first]
+        words, _, at = distinct(tokens)
+        self.names, self.of, self.lower, self.context = [words], [at], [at[:0]], [at[:0]]
+        last = mix(tokens + U(0x5851F42D4C957F2D))
+        gram, has = tokens, np.ones(len(tokens), bool)
+        for k in range(1, order):
+            before = np.roll(gram, 1)
+            place = np.roll(self.of[-1], 1)
+            if k == 1:
+                before[starts], place[starts] = BEGIN, len(words)
+            else:
+                has = np.roll(has, 1)
+                has[starts] = False
+            gram = mix(before * U(0x9E3779B97F4A7C15) + last)
+            here = np.flatnonzero(has)
+            names, first, at = distinct(gram[here])
+            of = np.full(len(tokens), -1, np.int32)
+            of[here] = at
+            first = here[first]
+            self.lower.append(self.of[-1][first])
+            self.context.append(place[first])
+            self.names.append(names)
+            self.of.append(of)
 
     def counts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        used = np.zeros(len(self.words), bool)
-        used[self.word[~self.train]] = True
-        yield WORD, self.words, np.bincount(self.word[self.train], minlength=len(self.words)), used
-        yield PAIR, self.pairs, np.bincount(self.pair[self.train], minlength=len(self.pairs)), np.zeros(len(self.pairs), bool)
+        """Length less one, names, counts in training texts, and whether held-out texts have them, for each length."""
+        for k, (names, of) in enumerate(zip(self.names, self.of, strict=True)):
+            used = np.zeros(len(names), bool)
+            if k < len(self.names) - 1:  # the longest are no contexts
+                used[of[~self.train & (of >= 0)]] = True
+            yield k, names, np.bincount(of[self.train & (of >= 0)], minlength=len(names)), used
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -125,15 +145,16 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 BLOCK = "kind int, bucket int, chunk long, names binary, counts binary, used binary"
+SUMMED = "kind int, bucket int, chunk long, counts binary, bits binary, stats array<long>"
 
 
-def ask_counts(docs: DataFrame, buckets: int) -> DataFrame:
+def ask_counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, open_ = None, {}
 
         def done():
             for (_, chunk), (raws, held) in list(open_.items()):
-                yield from packed(chunk, Chunk(raws, np.array(held)))
+                yield from packed(chunk, Chunk(raws, np.array(held), order))
             open_.clear()
             trim()
 
@@ -141,7 +162,15 @@ def ask_counts(docs: DataFrame, buckets: int) -> DataFrame:
             for kind, names, counts, used in content.counts():
                 parts = blocks.cut(names, buckets)
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([planes(counts[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(used[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["kind", "bucket", "chunk", "names", "counts", "used"])
+                columns = {
+                    "kind": pa.array([kind] * n, pa.int32()),
+                    "bucket": pa.array([p[0] for p in parts], pa.int32()),
+                    "chunk": pa.array([chunk] * n, pa.int64()),
+                    "names": pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()),
+                    "counts": pa.array([planes(counts[a:b]) for _, a, b in parts], pa.binary()),
+                    "used": pa.array([np.packbits(used[a:b]).tobytes() for _, a, b in parts], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
         for b in pieces(batches, 3):
             for block, chunk, h, raw in zip(*(b.column(i).to_pylist() for i in range(3)), text_bytes(b.column(3)), strict=True):
@@ -199,79 +228,108 @@ def weigh(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "weights": pa.array([weight[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
 
-def score(docs: DataFrame, held: Column, stage: bool = True) -> DataFrame:
+def score(docs: DataFrame, held: Column, stage: bool = True, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; rows not held out train.
 
-    stage=False: docs is a plain read of files, which is read twice as it is instead of being copied first.
+    order: words of the longest n-grams, from 2. stage=False: docs is a plain read of files, which is read twice as it
+    is instead of being copied first.
     """
+    assert order >= 2
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = staged(docs, "katz-input") if stage else docs
-    docs = docs.withColumn("held_out", held).withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    docs = docs.withColumn("chunk", F.xxhash64("block", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / CHUNK_BYTES)))))
-    buckets = max(shuffle_width(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 40_000_000)
-    summed = ask_counts(docs, buckets).groupBy("kind", "bucket").applyInArrow(sum_counts, "kind int, bucket int, chunk long, counts binary, bits binary, stats array<long>")
+    block = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    part = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / CHUNK_BYTES)))
+    docs = docs.withColumn("held_out", held).withColumn("block", block).withColumn("chunk", F.xxhash64("block", part))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_width(spark), size // BUCKET_BYTES)
+    summed = ask_counts(docs, buckets, order).groupBy("kind", "bucket").applyInArrow(sum_counts, SUMMED)
     model = staged(summed, "katz-counts")
-    levels = {}
-    got = {r.kind: r for r in model.where("stats is not null").groupBy("kind").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(TOP + 4))).collect()}
-    for kind in (WORD, PAIR):
-        s = np.array([got[kind][f"s{i}"] if kind in got else 0 for i in range(TOP + 4)], np.int64)
-        levels[kind] = Level(s[: TOP + 2], int(s[-2]), int(s[-1]))
-    words, pairs = levels[WORD], levels[PAIR]
+    del summed
+    remove_unused(spark)
+    sums_of = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(TOP + 4)]
+    got = {r.kind: r for r in model.where("stats is not null").groupBy("kind").agg(*sums_of).collect()}
+    levels = []
+    for k in range(order):
+        s = np.array([got[k][f"s{i}"] if k in got else 0 for i in range(TOP + 4)], np.int64)
+        levels.append(Level(s[: TOP + 2], int(s[-2]), int(s[-1])))
+    words = levels[0]
     unknown = words.unseen()
     total, base_of = words.total, words.total + 0.1 * (words.distinct + 1)
 
     def evaluate(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(text_bytes(rows.column("text")), rows.column("held_out").to_numpy(zero_copy_only=False))
+        c = Chunk(text_bytes(rows.column("text")), rows.column("held_out").to_numpy(zero_copy_only=False), order)
         rows = rows.drop_columns(["text"])
-        said = {(k, b): (x, y) for k, b, x, y in zip(*(replies.column(n).to_pylist() for n in ("kind", "bucket", "counts", "bits")), strict=True)}
-        found = []
-        for kind, names in ((WORD, c.words), (PAIR, c.pairs)):
+        columns = [replies.column(n).to_pylist() for n in ("kind", "bucket", "counts", "bits")]
+        said = {(k, b): (x, y) for k, b, x, y in zip(*columns, strict=True)}
+        del columns
+        n, first, used = [], [], []
+        for k, names in enumerate(c.names):
             counts, bits = np.empty(len(names), np.int64), np.empty((2, len(names)), bool)
             for bucket, a, b in blocks.cut(names, buckets):
-                x, y = said[kind, bucket]
+                x, y = said.pop((k, bucket))
                 counts[a:b] = from_planes(x)
                 bits[:, a:b] = np.unpackbits(np.frombuffer(y, np.uint8), count=2 * (b - a)).reshape(2, -1)
-            found.append((counts, bits))
-        (word_n, (_, used)), (pair_n, (first, _)) = found
-        own = np.where(word_n > 0, words.kept(word_n) / max(1, total), unknown)
-        end = blocks.find(c.words, np.array([END], U))[0]
-        context_n = np.append(word_n, word_n[end])  # the begin stands before every end
-        seen = pair_n > 0
-        chance = np.where(seen, pairs.kept(pair_n) / np.maximum(1, context_n[c.pair_context]), own[c.pair_word])
-        n_docs, n_words = rows.num_rows, len(c.words)
+            n.append(counts)
+            first.append(bits[0])
+            used.append(bits[1])
+        assert not said, "an answer for names that nobody has"
+        n_docs = rows.num_rows
         by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=n_docs)
-        scores = by_doc(np.log10(chance)[c.pair])
-        base = by_doc(np.log10((word_n + 0.1) / base_of)[c.word])
-        known = by_doc((word_n > 0)[c.word].astype(float)).astype(np.int64)
-        # Contexts whose weights held-out texts may need: sums over pairs that are counted here and nowhere else.
-        here = seen & first
-        sums = [np.bincount(c.pair_context[here], weights=x[here], minlength=n_words + 1) for x in (chance, own[c.pair_word])]
-        wanted = np.append(used, True) & ((sums[0] > 0) | (np.append(used, True) & (context_n > 0)))
-        names = np.append(c.words, BEGIN)[wanted]
-        order = np.argsort(names)
-        names, sums = names[order], np.stack([s[wanted][order] for s in sums])
+        base = by_doc(np.log10((n[0] + 0.1) / base_of)[c.of[0]])
+        known = by_doc((n[0] > 0)[c.of[0]].astype(float)).astype(np.int64)
+        chance = np.where(n[0] > 0, words.kept(n[0]) / max(1, total), unknown)
+        log = np.log10(chance)[c.of[0]]
+        end = blocks.find(c.names[0], np.array([END], U))[0]
+        asked, backs = [], []  # contexts by level; for backed-off tokens: level, place and text
+        for k in range(1, order):
+            as_context = np.append(n[0], n[0][end]) if k == 1 else n[k - 1]  # the begin stands before every end
+            seen = n[k] > 0
+            direct = np.where(seen, levels[k].kept(n[k]) / np.maximum(1, as_context[c.context[k]]), 0.0)
+            # Weights: sums over n-grams that are counted here and nowhere else; the shorter n-gram of a seen one is seen.
+            here = seen & first[k]
+            sums = [np.bincount(c.context[k][here], x[here], len(as_context)) for x in (direct, chance[c.lower[k]])]
+            has = np.flatnonzero(c.of[k] >= 0)
+            gram = c.of[k][has]
+            hit = seen[gram]
+            log[has[hit]] = np.log10(direct[gram[hit]])
+            missed, context = has[~hit], c.context[k][gram[~hit]]
+            missed, context = missed[as_context[context] > 0], context[as_context[context] > 0]
+            wanted = (np.append(used[0], True) if k == 1 else used[k - 1]) & (sums[0] > 0)
+            wanted[context] = True
+            names = (np.append(c.names[0], BEGIN) if k == 1 else c.names[k - 1])[wanted]
+            place = np.full(len(as_context), -1, np.int64)
+            place[wanted] = np.arange(len(names)) + sum(len(x[0]) for x in asked)
+            asked.append((names, sums[0][wanted], sums[1][wanted]))
+            backs.append((place[context], c.doc[missed]))
+            chance = direct
+        names, *sums = (np.concatenate(x) for x in zip(*asked, strict=True))
+        by_name = np.argsort(names, kind="stable")
+        names, sums = names[by_name], np.stack(sums)[:, by_name]
         parts = blocks.cut(names, buckets)
         asks = [{"bucket": k, "names": blocks.pack(names[a:b]), "sums": np.ascontiguousarray(sums[:, a:b]).tobytes()} for k, a, b in parts]
         # Backed-off tokens of each text: places in the asked names.
-        back = ~seen[c.pair] & (context_n[c.context] > 0)
-        place = np.full(n_words + 1, -1, np.int32)
-        place[np.flatnonzero(wanted)[order]] = np.arange(len(names), dtype=np.int32)
-        cut = np.concatenate([[0], np.cumsum(np.bincount(c.doc[back], minlength=n_docs))])
-        backs = place[c.context[back]]
-        assert len(backs) == 0 or backs.min() >= 0
+        rank = np.empty(len(names), np.int32)
+        rank[by_name] = np.arange(len(names), dtype=np.int32)
+        place, doc = (np.concatenate(x) for x in zip(*backs, strict=True))
+        by_text = np.argsort(doc, kind="stable")
+        place = rank[place[by_text]]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))])
         out = pa.table({
-            "chunk": pa.array([rows.column("chunk")[0].as_py()] * n_docs, pa.int64()), "doc_id": rows.column("doc_id").combine_chunks(), "held_out": rows.column("held_out").combine_chunks(),
-            "n_tokens": pa.array(c.lengths, pa.int64()), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(scores),
-            "backs": pa.array([backs[a:b].tobytes() if b > a else None for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+            "chunk": pa.array([rows.column("chunk")[0].as_py()] * n_docs, pa.int64()),
+            "doc_id": rows.column("doc_id").combine_chunks(), "held_out": rows.column("held_out").combine_chunks(),
+            "n_tokens": pa.array(c.lengths, pa.int64()), "n_known": pa.array(known),
+            "base_score": pa.array(base), "score": pa.array(by_doc(log)),
+            "backs": pa.array([place[a:b].tobytes() if b > a else None for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
             "asks": pa.array([asks] + [None] * (n_docs - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("names", pa.binary()), ("sums", pa.binary())]))),
         })
-        del c, said, found, asks
+        del c, asks
         trim()
         return out
 
     half = "chunk long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, backs binary, asks array<struct<bucket:int,names:binary,sums:binary>>"
     halves = staged(docs.drop("block").groupBy("chunk").cogroup(model.drop("stats").groupBy("chunk")).applyInArrow(evaluate, half), "katz-halves")
+    remove_unused(spark, model)
     asks = halves.where("asks is not null").select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*")
     weights = asks.groupBy("bucket").applyInArrow(weigh, "bucket int, chunk long, weights binary")
 

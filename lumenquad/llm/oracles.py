@@ -20,22 +20,34 @@ c AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, CASE WHEN k.n = 0 THEN k.doc_id ELSE coalesce(c.component, r.node) END AS component_id, k.doc_id = CASE WHEN k.n = 0 THEN k.doc_id ELSE coalesce(c.component, r.node) END AS kept
 FROM k LEFT JOIN rep r ON r.h = k.h LEFT JOIN c ON c.node = r.node"""
 
+#: Good-Turing discount of count r from the counts of counts m[1] to m[6].
+_REST = "(6.0 * m[6] / m[1])"
+_DISC = f"(((r + 1) * m[r + 1] / CAST(r * m[r] AS DOUBLE) - {_REST}) / (1 - {_REST}))"
+_DISCOUNTS = f"list_transform(range(1, 6), lambda r: CASE WHEN m[r] > 0 AND m[1] > 0 AND {_REST} < 1 AND {_DISC} > 0 AND {_DISC} < 1 THEN {_DISC} ELSE 1 - 0.5 / r END)"
+_COUNTED = "sum(c) AS total, count(*) AS v, list_transform(range(1, 7), lambda r: len(list_filter(list(c), lambda x: x = r))) AS m"
+_KEPT = "CASE WHEN {0}.c > 5 THEN {0}.c - 0.1 ELSE disc[{0}.c] * {0}.c END"
+
+#: Trigrams x, a, b; ' ' is the begin, '' the end; the first word of a text has no x.
 KATZ = f"""
 WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), '') AS w FROM documents),
-t AS (SELECT doc_id, held_out, unnest(w) AS b, unnest(list_concat([' '], w[:-2])) AS a FROM d),
+t AS (SELECT doc_id, held_out, unnest(w) AS b, unnest(list_concat([' '], w[:-2])) AS a, unnest(list_concat([NULL, ' '], w[:-3])[:len(w)]) AS x FROM d),
 u AS (SELECT b, count(*) AS c FROM t WHERE NOT held_out GROUP BY b),
 p AS (SELECT a, b, count(*) AS c FROM t WHERE NOT held_out GROUP BY a, b),
-n AS (SELECT 0 AS k, sum(c) AS total, count(*) AS v, list_transform(range(1, 7), lambda r: len(list_filter(list(c), lambda x: x = r))) AS m FROM u UNION ALL SELECT 1, sum(c), count(*), list_transform(range(1, 7), lambda r: len(list_filter(list(c), lambda x: x = r))) FROM p),
-g AS (SELECT k, total, v, m, list_transform(range(1, 6), lambda r: CASE WHEN m[r] > 0 AND m[1] > 0 AND 6.0 * m[6] / m[1] < 1 AND ((r + 1) * m[r + 1] / CAST(r * m[r] AS DOUBLE) - 6.0 * m[6] / m[1]) / (1 - 6.0 * m[6] / m[1]) > 0 AND ((r + 1) * m[r + 1] / CAST(r * m[r] AS DOUBLE) - 6.0 * m[6] / m[1]) / (1 - 6.0 * m[6] / m[1]) < 1 THEN ((r + 1) * m[r + 1] / CAST(r * m[r] AS DOUBLE) - CAST(6 * m[6] AS DOUBLE) / m[1]) / (1 - CAST(6 * m[6] AS DOUBLE) / m[1]) ELSE 1 - 0.5 / r END) AS disc FROM n),
-q AS (SELECT u.b, u.c, (CASE WHEN u.c > 5 THEN u.c - 0.1 ELSE disc[u.c] * u.c END) / CAST(total AS DOUBLE) AS own FROM u, g WHERE k = 0),
+o AS (SELECT x, a, b, count(*) AS c FROM t WHERE NOT held_out AND x IS NOT NULL GROUP BY x, a, b),
+n AS (SELECT 0 AS k, {_COUNTED} FROM u UNION ALL SELECT 1, {_COUNTED} FROM p UNION ALL SELECT 2, {_COUNTED} FROM o),
+g AS (SELECT k, total, v, m, {_DISCOUNTS} AS disc FROM n),
+q AS (SELECT u.b, u.c, ({_KEPT.format("u")}) / CAST(total AS DOUBLE) AS own FROM u, g WHERE k = 0),
 z AS (SELECT 1 - sum(own) AS unseen FROM q),
 cx AS (SELECT b AS a, c FROM u WHERE b <> '' UNION ALL SELECT ' ', c FROM u WHERE b = ''),
-pp AS (SELECT p.a, p.b, (CASE WHEN p.c > 5 THEN p.c - 0.1 ELSE disc[p.c] * p.c END) / CAST(cx.c AS DOUBLE) AS chance, q.own FROM p JOIN cx USING (a) JOIN q ON q.b = p.b, g WHERE k = 1),
-al AS (SELECT a, (1 - sum(chance)) / (1 - sum(own)) AS alpha FROM pp GROUP BY a)
+pp AS (SELECT p.a, p.b, ({_KEPT.format("p")}) / CAST(cx.c AS DOUBLE) AS chance, q.own FROM p JOIN cx USING (a) JOIN q ON q.b = p.b, g WHERE k = 1),
+al AS (SELECT a, (1 - sum(chance)) / (1 - sum(own)) AS alpha FROM pp GROUP BY a),
+oo AS (SELECT o.x, o.a, o.b, ({_KEPT.format("o")}) / CAST(p.c AS DOUBLE) AS chance, pp.chance AS own FROM o JOIN p ON p.a = o.x AND p.b = o.a JOIN pp ON pp.a = o.a AND pp.b = o.b, g WHERE k = 2),
+ao AS (SELECT x, a, (1 - sum(chance)) / (1 - sum(own)) AS alpha FROM oo GROUP BY x, a)
 SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(q.c) AS n_known, CAST(any_value(g.total) AS BIGINT) AS train_tokens,
 round(sum(log10((coalesce(q.c, 0) + 0.1) / (g.total + 0.1 * (g.v + 1)))), 6) AS base_score,
-round(sum(log10(CASE WHEN pp.chance IS NOT NULL THEN pp.chance ELSE coalesce(al.alpha, 1) * coalesce(q.own, z.unseen) END)), 6) AS score
-FROM t JOIN g ON g.k = 0 CROSS JOIN z LEFT JOIN q ON q.b = t.b LEFT JOIN pp ON pp.a = t.a AND pp.b = t.b LEFT JOIN al ON al.a = t.a GROUP BY t.doc_id, t.held_out"""
+round(sum(log10(CASE WHEN oo.chance IS NOT NULL THEN oo.chance ELSE coalesce(ao.alpha, 1) * CASE WHEN pp.chance IS NOT NULL THEN pp.chance ELSE coalesce(al.alpha, 1) * coalesce(q.own, z.unseen) END END)), 6) AS score
+FROM t JOIN g ON g.k = 0 CROSS JOIN z LEFT JOIN q ON q.b = t.b LEFT JOIN pp ON pp.a = t.a AND pp.b = t.b LEFT JOIN al ON al.a = t.a
+LEFT JOIN oo ON oo.x = t.x AND oo.a = t.a AND oo.b = t.b LEFT JOIN ao ON ao.x = t.x AND ao.a = t.a GROUP BY t.doc_id, t.held_out"""
 
 SUFFIX_DEDUP = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
