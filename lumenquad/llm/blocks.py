@@ -8,6 +8,7 @@ as many as names in a chunk, a block holds a name or so and the shuffle is that
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 
 def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -36,6 +37,15 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Entropy-coded bytes: small numbers and bits take a fraction of what the shuffle's own codec leaves of them."""
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def loosen(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def find(names: np.ndarray, sought: np.ndarray) -> np.ndarray:
     """Place of each sought name in sorted names, -1 where it's absent."""
     if not len(names):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import inspect
 import os
+import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -51,7 +53,10 @@ def remove_unused(spark: SparkSession, *tables: DataFrame) -> None:
         if (noted := _scope.get()) is not None:
             noted[:] = [x for x in noted if not any(p.endswith(x.split("://")[-1].lstrip("/")) for p in paths)]
         remove(spark, list(paths))
-    spark._jvm.System.gc()
+    for _ in range(2):  # plans stay alive in Python's cycles, and a while in the events that tell of their end
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -137,11 +137,19 @@ class Chunk:
 
 
 def planes(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return blocks.squeeze(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def bits(x: np.ndarray) -> bytes:
+    return blocks.squeeze(np.packbits(x).tobytes())
+
+
+def from_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blocks.loosen(raw), np.uint8), count=n)
 
 
 def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(blocks.loosen(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
 BLOCK = "kind int, bucket int, chunk long, names binary, counts binary, used binary"
@@ -166,9 +174,9 @@ def ask_counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
                     "kind": pa.array([kind] * n, pa.int32()),
                     "bucket": pa.array([p[0] for p in parts], pa.int32()),
                     "chunk": pa.array([chunk] * n, pa.int64()),
-                    "names": pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()),
+                    "names": pa.array([blocks.squeeze(blocks.pack(names[a:b])) for _, a, b in parts], pa.binary()),
                     "counts": pa.array([planes(counts[a:b]) for _, a, b in parts], pa.binary()),
-                    "used": pa.array([np.packbits(used[a:b]).tobytes() for _, a, b in parts], pa.binary()),
+                    "used": pa.array([bits(used[a:b]) for _, a, b in parts], pa.binary()),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -189,10 +197,10 @@ def ask_counts(docs: DataFrame, buckets: int, order: int) -> DataFrame:
 def sum_counts(group: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's names for each block, with bits: first here of all blocks; used in held-out texts."""
     group = group.sort_by("chunk")
-    parts = [blocks.unpack(x) for x in group.column("names").to_pylist()]
+    parts = [blocks.unpack(blocks.loosen(x)) for x in group.column("names").to_pylist()]
     names = np.concatenate(parts)
     counts = np.concatenate([from_planes(x) for x in group.column("counts").to_pylist()])
-    used = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for p, x in zip(parts, group.column("used").to_pylist(), strict=True)])
+    used = np.concatenate([from_bits(x, len(p)) for p, x in zip(parts, group.column("used").to_pylist(), strict=True)])
     order = np.argsort(names, kind="stable")
     head = np.flatnonzero(np.diff(names[order], prepend=names[order[0]] + U(1)))
     sizes = np.diff(np.append(head, len(order)))
@@ -207,7 +215,7 @@ def sum_counts(group: pa.Table) -> pa.Table:
     return pa.table({
         "kind": group.column("kind"), "bucket": group.column("bucket"), "chunk": group.column("chunk"),
         "counts": pa.array([planes(counts[a:b]) for a, b in cuts], pa.binary()),
-        "bits": pa.array([np.packbits(np.concatenate([first[a:b], used[a:b]])).tobytes() for a, b in cuts], pa.binary()),
+        "bits": pa.array([bits(np.concatenate([first[a:b], used[a:b]])) for a, b in cuts], pa.binary()),
         "stats": pa.array([stats.tolist()] + [None] * (len(parts) - 1), pa.list_(pa.int64())),
     })
 
@@ -216,11 +224,11 @@ def sum_counts(group: pa.Table) -> pa.Table:
 def weigh(group: pa.Table) -> pa.Table:
     """Backoff weight of each context of a bucket, for each block that asked."""
     group = group.sort_by("chunk")
-    parts = [blocks.unpack(x) for x in group.column("names").to_pylist()]
+    parts = [blocks.unpack(blocks.loosen(x)) for x in group.column("names").to_pylist()]
     names = np.concatenate(parts)
-    sums = np.concatenate([np.frombuffer(x, np.float64).reshape(2, -1) for x in group.column("sums").to_pylist()], axis=1)
     order = np.argsort(names, kind="stable")
     head = np.flatnonzero(np.diff(names[order], prepend=names[order[0]] + U(1)))
+    sums = (np.concatenate([from_planes(x).view(np.float64) for x in group.column(c).to_pylist()]) for c in ("seen", "own"))
     seen, own = (np.add.reduceat(s[order], head) for s in sums)
     weight = np.empty(len(names))
     weight[order] = np.repeat((1 - seen) / (1 - own), np.diff(np.append(head, len(order))))
@@ -265,14 +273,14 @@ def score(docs: DataFrame, held: Column, stage: bool = True, order: int = 3) ->
         del columns
         n, first, used = [], [], []
         for k, names in enumerate(c.names):
-            counts, bits = np.empty(len(names), np.int64), np.empty((2, len(names)), bool)
+            counts, flags = np.empty(len(names), np.int64), np.empty((2, len(names)), bool)
             for bucket, a, b in blocks.cut(names, buckets):
                 x, y = said.pop((k, bucket))
                 counts[a:b] = from_planes(x)
-                bits[:, a:b] = np.unpackbits(np.frombuffer(y, np.uint8), count=2 * (b - a)).reshape(2, -1)
+                flags[:, a:b] = from_bits(y, 2 * (b - a)).reshape(2, -1)
             n.append(counts)
-            first.append(bits[0])
-            used.append(bits[1])
+            first.append(flags[0])
+            used.append(flags[1])
         assert not said, "an answer for names that nobody has"
         n_docs = rows.num_rows
         by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=n_docs)
@@ -305,9 +313,12 @@ def score(docs: DataFrame, held: Column, stage: bool = True, order: int = 3) ->
             chance = direct
         names, *sums = (np.concatenate(x) for x in zip(*asked, strict=True))
         by_name = np.argsort(names, kind="stable")
-        names, sums = names[by_name], np.stack(sums)[:, by_name]
+        names, sums = names[by_name], [s[by_name].view(np.uint64) for s in sums]
         parts = blocks.cut(names, buckets)
-        asks = [{"bucket": k, "names": blocks.pack(names[a:b]), "sums": np.ascontiguousarray(sums[:, a:b]).tobytes()} for k, a, b in parts]
+        asks = [
+            {"bucket": k, "names": blocks.squeeze(blocks.pack(names[a:b])), "seen": planes(sums[0][a:b]), "own": planes(sums[1][a:b])}
+            for k, a, b in parts
+        ]
         # Backed-off tokens of each text: places in the asked names.
         rank = np.empty(len(names), np.int32)
         rank[by_name] = np.arange(len(names), dtype=np.int32)
@@ -321,14 +332,17 @@ def score(docs: DataFrame, held: Column, stage: bool = True, order: int = 3) ->
             "n_tokens": pa.array(c.lengths, pa.int64()), "n_known": pa.array(known),
             "base_score": pa.array(base), "score": pa.array(by_doc(log)),
             "backs": pa.array([place[a:b].tobytes() if b > a else None for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
-            "asks": pa.array([asks] + [None] * (n_docs - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("names", pa.binary()), ("sums", pa.binary())]))),
+            "asks": pa.array([asks] + [None] * (n_docs - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("names", pa.binary()), ("seen", pa.binary()), ("own", pa.binary())]))),
         })
         del c, asks
         trim()
         return out
 
-    half = "chunk long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, backs binary, asks array<struct<bucket:int,names:binary,sums:binary>>"
-    halves = staged(docs.drop("block").groupBy("chunk").cogroup(model.drop("stats").groupBy("chunk")).applyInArrow(evaluate, half), "katz-halves")
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    half = f"chunk long, {result}, backs binary, asks array<struct<bucket:int,names:binary,seen:binary,own:binary>>"
+    rows = docs.drop("block").groupBy("chunk")
+    halves = staged(rows.cogroup(model.drop("stats").groupBy("chunk")).applyInArrow(evaluate, half), "katz-halves")
+    del rows
     remove_unused(spark, model)
     asks = halves.where("asks is not null").select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*")
     weights = asks.groupBy("bucket").applyInArrow(weigh, "bucket int, chunk long, weights binary")
@@ -342,7 +356,7 @@ def score(docs: DataFrame, held: Column, stage: bool = True, order: int = 3) ->
         rows = rows.set_column(rows.column_names.index("score"), "score", pa.array(rows.column("score").to_numpy() + np.array(more)))
         return rows.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = halves.drop("asks").groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = halves.drop("asks").groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(finish, result)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
