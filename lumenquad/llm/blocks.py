@@ -33,7 +33,7 @@ def pack(names: np.ndarray) -> bytes:
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(raw, np.uint8).reshape(8, len(raw) // 8)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 

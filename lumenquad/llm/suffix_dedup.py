@@ -9,11 +9,12 @@ and h further on, as far as the threshold. A place is compared over the corpus o
    windows are all found elsewhere together are settled. One row a chunk and bucket of names is shuffled, not one a byte.
 2. What is left lies at the edges of repeats. Its bytes, and one witness of each settled group, go by the names of the
    next longer strings, one before and one after the anchor, and there the single windows of `width` bytes are
-   compared by theirs.
+   compared by theirs. Where more than `split` anchors share a name, the chunks ask for the windows' names instead, each
+   once a chunk, dealt to tasks by name: no passage is one task, however many texts share it.
 3. Documents with windows found in step 2 get their final spans.
 
 Names are 64-bit fingerprints, and two of them must agree for a window to be settled: results are exact but for a
-clash of both.
+clash of both. A chunk is a run of rows of at most CHUNK_ROWS and, but for a single longer text, `chunk_bytes`.
 
 Defined cases: null text counts as empty; texts shorter than the window keep all; very long texts are named whole, some
 eight 8-byte arrays a byte at a time; of tied anchor names the leftmost counts; repeated rows are repeats of one
@@ -28,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,7 @@ from . import blocks
 from .common import mix, pieces, remove_unused, shuffle_width, staged, text_bytes, trimmed
 
 GRAM = 32
-CHUNK_ROWS = 12  # bits: at most 4,096 rows a chunk
+CHUNK_ROWS = 4096
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 U = np.uint64
 
@@ -90,23 +93,47 @@ class Anchors:
         self.whole = mix(mix(whole[self.lo] + U(7)) + whole[self.hi] * U(0x9E3779B97F4A7C15) + ((self.q - self.lo) * 1024 + self.hi - self.lo).astype(np.uint64))
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """docs as a table with a number for each row and its chunk: rows that follow one another in a partition."""
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+def prepared(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs as a table with a number for each row and its chunk, called by the number of its first row."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "_sd_rid", "_sd_chunk")
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return staged(docs.withColumn("_sd_rid", F.monotonically_increasing_id()).withColumn("_sd_chunk", F.shiftright("_sd_rid", CHUNK_ROWS)), "suffix-input")
+    at = docs.columns.index("text")
+    kind = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_sd_rid long, _sd_chunk long").fields])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = chunk = TaskContext.get().partitionId() << 33
+        held = 0
+        for batch in pieces(batches, at):
+            chunks = []
+            for size in pc.binary_length(batch.column(at)).to_pylist():
+                if row > chunk and (row - chunk == CHUNK_ROWS or held + size > chunk_bytes):
+                    chunk, held = row, 0
+                chunks.append(chunk)
+                row, held = row + 1, held + size
+            rows = pa.array(np.arange(row - batch.num_rows, row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(chunks, pa.int64())], names=kind.fieldNames())
+
+    return staged(docs.mapInArrow(number, kind), "suffix-input")
 
 
 def chunk_names(anchors: list[Anchors]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct names of a chunk, and whether each arises in it more than once."""
+    """Sorted distinct names of a chunk, and how often each arises in it, as a power of two that is no less."""
     every = np.concatenate([x for a in anchors for x in (a.core, a.whole)]) if anchors else np.empty(0, np.uint64)
     names, counts = np.unique(every, return_counts=True)
-    return names, counts > 1
+    return names, doublings(counts)
+
+
+def doublings(counts: np.ndarray) -> np.ndarray:
+    """The least power of two, as its exponent, that is no less than each count; 0 below 1."""
+    return np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> DataFrame:
+def compare_names(table: DataFrame, width: int, span: int, buckets: int, split: int) -> DataFrame:
     """For each block of names of a chunk: bits that tell which arise elsewhere, and which are first here.
 
+    `dealt` holds for each name the exponent of the number of parts in which windows beside it are compared: none where
+    no name of the block arises more than `split` times.
+
     Where a file of the table is split, several tasks may read rows of one chunk. Each run of rows that follow one another
     in a task asks for itself, and `part`, its first row, tells the answers of a chunk apart.
     """
@@ -115,9 +142,16 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
         chunk, part, last, found = None, None, None, []
 
         def done():
-            names, twice = chunk_names(found)
+            names, times = chunk_names(found)
             parts = blocks.cut(names, buckets)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()), pa.array([part] * len(parts), pa.int64()), pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "chunk", "part", "names", "twice"])
+            columns = {
+                "bucket": pa.array([p[0] for p in parts], pa.int32()),
+                "chunk": pa.array([chunk] * len(parts), pa.int64()),
+                "part": pa.array([part] * len(parts), pa.int64()),
+                "names": pa.array([blocks.pack(names[a:b]) for _, a, b in parts], pa.binary()),
+                "times": pa.array([blocks.squeeze(times[a:b].tobytes()) for _, a, b in parts], pa.binary()),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         for batch in pieces(batches, 2):
             for k, rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
@@ -135,20 +169,22 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int) -> Data
     def answer(group: pa.Table) -> pa.Table:
         group = group.sort_by([("chunk", "ascending"), ("part", "ascending")])
         parts = [blocks.unpack(x) for x in group.column("names").to_pylist()]
-        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(p)) for p, t in zip(parts, group.column("twice").to_pylist(), strict=True)]).astype(bool)
+        times = np.concatenate([np.frombuffer(blocks.loosen(t), np.uint8) for t in group.column("times").to_pylist()])
         names = np.concatenate(parts)
+        assert len(times) == len(names)
         order = np.argsort(names, kind="stable")
-        same = names[order[1:]] == names[order[:-1]]
-        again, first = twice.copy(), np.ones(len(names), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        first[order[1:][same]] = False
+        new = np.append(True, names[order[1:]] != names[order[:-1]])
+        total = np.add.reduceat(U(1) << times[order].astype(np.uint64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        again, first, deal = np.empty(len(names), bool), np.empty(len(names), bool), np.empty(len(names), np.uint8)
+        again[order], first[order], deal[order] = total > 1, new, doublings(total / split)
         at = np.cumsum([0, *map(len, parts)])
-        bits = [np.packbits(np.concatenate([again[a:b], first[a:b]])).tobytes() for a, b in zip(at, at[1:], strict=False)]
-        return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        cuts = list(zip(at, at[1:], strict=False))
+        bits = [np.packbits(np.concatenate([again[a:b], first[a:b]])).tobytes() for a, b in cuts]
+        dealt = [blocks.squeeze(deal[a:b].tobytes()) if deal[a:b].any() else None for a, b in cuts]
+        return pa.table({k: group.column(k) for k in ("chunk", "part", "bucket")} | {"bits": pa.array(bits, pa.binary()), "dealt": pa.array(dealt, pa.binary())})
 
-    asked = table.select("_sd_chunk", "_sd_rid", "text").mapInArrow(ask, "bucket int, chunk long, part long, names binary, twice binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, part long, bucket int, bits binary")
+    asked = table.select("_sd_chunk", "_sd_rid", "text").mapInArrow(ask, "bucket int, chunk long, part long, names binary, times binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, part long, bucket int, bits binary, dealt binary")
 
 
 def spans_of(starts: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
@@ -169,18 +205,109 @@ def outcome(raw: bytes, starts: np.ndarray, width: int) -> tuple[int, int, int,
     return len(raw), removed, len(spans), hashlib.sha256(left).hexdigest(), left
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept_sha256 instead of text; with keep_text also kept_text."""
+def window_names(edges: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start in the row's bytes and name of each window of the edges. The name tells its place beside the anchor too."""
+    raw = edges.column("bytes").to_pylist()
+    key = edges.column("key").to_numpy().view(np.uint64)
+    n = np.array([len(r) - width + 1 for r in raw], np.int64)
+    each = np.array([len(r) for r in raw], np.int64)
+    at = np.cumsum(each) - each
+    window = names_of(b"".join(raw), [width])[width]
+    row = np.repeat(np.arange(len(raw)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    q = edges.column("q").to_numpy()
+    return row, place, mix(window[at[row] + place] ^ mix(key[row] + (q[row] - place).astype(np.uint64)))
+
+
+def ranges(edges: pa.Table, row: np.ndarray, place: np.ndarray) -> pa.Table:
+    """Runs of window starts in texts, from rows of the edges and starts in their bytes, in order."""
+    place = place + edges.column("at").to_numpy()[row]
+    cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-9) != 1))
+    last = np.append(cut[1:], len(row)) - 1 if len(cut) else cut
+    rid = edges.column("rid").take(pa.array(row[cut])).combine_chunks()
+    return pa.table({"rid": rid, "lo": pa.array(place[cut], pa.int32()), "hi": pa.array(place[last], pa.int32())})
+
+
+def by_key(edges: pa.Table, row: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Key, exponent of its parts and windows of each key among the edges."""
+    key, deal = edges.column("key").to_numpy()[row], edges.column("deal").to_numpy()[row]
+    order = np.argsort(key, kind="stable")
+    for i in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        yield int(key[i[0]]), int(deal[i[0]]), i
+
+
+def compare_dealt(edges: DataFrame, width: int) -> DataFrame:
+    """Windows that arise more than once among edges (rid, chunk, key, deal, at, q, witness, bytes) of frequent keys.
+
+    A chunk asks for each name once; the task of a key's part answers with those that arise elsewhere or twice here.
+    """
+    block = "key long, part int, chunk long, names binary, twice binary, seen binary"
+
+    @trimmed
+    def ask(group: pa.Table) -> pa.Table:
+        row, _, name = window_names(group, width)
+        witness = group.column("witness").to_numpy(zero_copy_only=False)[row]
+        out = {k: [] for k in ("key", "part", "names", "twice", "seen")}
+        for key, deal, i in by_key(group, row):
+            names, counts = np.unique(name[i][~witness[i]], return_counts=True)
+            seen = np.unique(name[i][witness[i]])
+            own, others = ({p: (a, b) for p, a, b in blocks.cut(x, 1 << deal)} for x in (names, seen))
+            for p in sorted(own.keys() | others.keys()):
+                (a, b), (c, d) = own.get(p, (0, 0)), others.get(p, (0, 0))
+                block_of = (key, p, blocks.pack(names[a:b]), np.packbits(counts[a:b] > 1).tobytes(), blocks.pack(seen[c:d]))
+                for k, v in zip(out, block_of, strict=True):
+                    out[k].append(v)
+        binary = {k: pa.array(out[k], pa.binary()) for k in ("names", "twice", "seen")}
+        chunk = pa.array([group.column("chunk")[0].as_py()] * len(out["key"]), pa.int64())
+        return pa.table({"key": pa.array(out["key"], pa.int64()), "part": pa.array(out["part"], pa.int32()), "chunk": chunk} | binary)
+
+    @trimmed
+    def answer(group: pa.Table) -> pa.Table:
+        own = [blocks.unpack(x) for x in group.column("names").to_pylist()]
+        seen = [blocks.unpack(x) for x in group.column("seen").to_pylist()]
+        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)).astype(bool) for t, x in zip(group.column("twice").to_pylist(), own, strict=True)]
+        # A name is in a list once: it arises more than once if it is in two lists or twice in one.
+        listed, lists = np.unique(np.concatenate([*own, *seen]), return_counts=True)
+        again = listed[lists > 1]
+        found = [x[t | (blocks.find(again, x) >= 0)] for x, t in zip(own, twice, strict=True)]
+        said = pa.table({"chunk": group.column("chunk"), "key": group.column("key"), "names": pa.array(map(blocks.pack, found), pa.binary())})
+        return said.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+
+    @trimmed
+    def settle(group: pa.Table, said: pa.Table) -> pa.Table:
+        again: dict[int, list[np.ndarray]] = {}
+        for key, names in zip(said.column("key").to_pylist(), said.column("names").to_pylist(), strict=True):
+            again.setdefault(key, []).append(blocks.unpack(names))
+        if not group.num_rows:
+            return ranges(group, np.empty(0, np.int64), np.empty(0, np.int64))
+        row, place, name = window_names(group, width)
+        hit = np.zeros(len(name), bool)
+        for key, _, i in by_key(group, row):
+            if key in again:
+                hit[i] = blocks.find(np.sort(np.concatenate(again[key])), name[i]) >= 0
+        hit &= ~group.column("witness").to_numpy(zero_copy_only=False)[row]
+        return ranges(group, row[hit], place[hit])
+
+    asked = edges.groupBy("chunk").applyInArrow(ask, block)
+    said = asked.groupBy("key", "part").applyInArrow(answer, "chunk long, key long, names binary")
+    return edges.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(settle, "rid long, lo int, hi int")
+
+
+def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text: bool = False, split: int = 4096, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept_sha256 instead of text; with keep_text also kept_text.
+
+    `split` bounds the anchors whose windows one task compares, `chunk_bytes` the text of a chunk; they change no result.
+    """
     assert GRAM <= width - span <= width
     spark = docs.sparkSession
-    table = prepared(docs)
+    table = prepared(docs, chunk_bytes)
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // (span * 1_000_000))  # about four million names a bucket
     other = [f for f in table.schema.fields if f.name not in ("text", "_sd_rid", "_sd_chunk")]
     names = [f.name for f in other]
-    answers = compare_names(table, width, span, buckets)
-    edges_type = "array<struct<key:long,at:int,q:int,witness:boolean,bytes:binary>>"
-    first = T.StructType([*other, *T._parse_datatype_string(f"_sd_rid long, {RESULT}, text binary, _sd_starts binary, _sd_edges {edges_type}").fields])
+    answers = compare_names(table, width, span, buckets, split)
+    edges_type = "array<struct<key:long,deal:int,at:int,q:int,witness:boolean,bytes:binary>>"
+    first = T.StructType([*other, *T._parse_datatype_string(f"_sd_rid long, _sd_chunk long, {RESULT}, text binary, _sd_starts binary, _sd_edges {edges_type}, _sd_dealt {edges_type}").fields])
 
     @trimmed
     def settle(rows: pa.Table, bits: pa.Table) -> pa.Table:
@@ -190,26 +317,30 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         # Rows before the first part, or after a part that asked for nothing, are shorter than the window.
         firsts = np.unique(bits.column("part").to_numpy())
         part_of = np.searchsorted(firsts, rows.column("_sd_rid").to_numpy(), "right") - 1
-        answer = dict(zip(zip(bits.column("part").to_pylist(), bits.column("bucket").to_pylist(), strict=True), bits.column("bits").to_pylist(), strict=True))
+        part, bucket, said, deals = (bits.column(k).to_pylist() for k in ("part", "bucket", "bits", "dealt"))
+        answer = dict(zip(zip(part, bucket, strict=True), zip(said, deals, strict=True), strict=True))
         assert len(answer) == len(bits), "two answers for one part of a chunk"
         parts = []
         for i, first_row in enumerate(firsts.tolist()):
             known, _ = chunk_names([a for a, p in zip(anchors, part_of, strict=True) if a is not None and p == i])
-            flags = np.zeros((2, len(known)), bool)
+            flags, deal = np.zeros((2, len(known)), bool), np.zeros(len(known), np.uint8)
             for bucket, a, b in blocks.cut(known, buckets):
-                said = answer.pop((first_row, bucket))
+                said, deals = answer.pop((first_row, bucket))
                 assert len(said) == (2 * (b - a) + 7) // 8, "an answer for other names"
                 flags[:, a:b] = np.unpackbits(np.frombuffer(said, np.uint8), count=2 * (b - a)).reshape(2, -1)
-            parts.append((known, *flags))
+                if deals is not None:
+                    deal[a:b] = np.frombuffer(blocks.loosen(deals), np.uint8)
+            parts.append((known, *flags, deal))
         assert not answer, "an answer for names that nobody has"
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "starts", "edges")}
+        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "starts", "edges", "dealt")}
         for raw, a, part in zip(raws, anchors, part_of, strict=True):
-            mask, edges = np.zeros(max(0, len(raw) - width + 1), bool), []
+            mask, edges, dealt = np.zeros(max(0, len(raw) - width + 1), bool), [], []
             pending = False
             if a is not None:
-                known, again, unseen = parts[part]
+                known, again, unseen, deal = parts[part]
                 whole = blocks.find(known, a.whole)
-                live = again[blocks.find(known, a.core)]
+                core = blocks.find(known, a.core)
+                live = again[core]
                 settled = again[whole] & live  # two names must arise elsewhere: a clash of one settles nothing
                 for j in np.flatnonzero(live):
                     lo, hi = int(a.lo[j]), int(a.hi[j])
@@ -222,15 +353,17 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
                     pending = pending or not witness
                     q = int(a.q[j])
                     turn = min(max(q - a.half + 1, lo), hi + 1)  # first start that is less than `half` before the anchor
+                    into, parted = (dealt, int(deal[core[j]])) if deal[core[j]] else (edges, 0)
                     for key, x, y in ((a.early[j], lo, turn), (a.late[j], turn, hi + 1)):
                         if x < y:
-                            edges.append({"key": int(key.view(np.int64)), "at": x, "q": q - x, "witness": witness, "bytes": raw[x : y - 1 + width]})
+                            piece = raw[x : y - 1 + width]
+                            into.append({"key": int(key.view(np.int64)), "deal": parted, "at": x, "q": q - x, "witness": witness, "bytes": piece})
             n_bytes, removed, spans, digest, left = outcome(raw, mask, width)
-            for k, v in zip(out, (n_bytes, removed, spans, digest, raw if pending else left if keep_text else None, np.packbits(mask).tobytes() if pending else None, edges), strict=True):
+            for k, v in zip(out, (n_bytes, removed, spans, digest, raw if pending else left if keep_text else None, np.packbits(mask).tobytes() if pending else None, edges, dealt), strict=True):
                 out[k].append(v)
-        columns = {n: rows.column(n) for n in (*names, "_sd_rid")} | {k: pa.array(v, pa.int64()) for k, v in list(out.items())[:3]}
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
-        return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "_sd_starts": pa.array(out["starts"], pa.binary()), "_sd_edges": pa.array(out["edges"], kind)})
+        columns = {n: rows.column(n) for n in (*names, "_sd_rid", "_sd_chunk")} | {k: pa.array(v, pa.int64()) for k, v in list(out.items())[:3]}
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("deal", pa.int32()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
+        return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "_sd_starts": pa.array(out["starts"], pa.binary()), "_sd_edges": pa.array(out["edges"], kind), "_sd_dealt": pa.array(out["dealt"], kind)})
 
     settled = staged(table.groupBy("_sd_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, first), "suffix-settled")
     remove_unused(spark, table)
@@ -238,34 +371,24 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
     @trimmed
     def compare_windows(batches: pa.Table) -> pa.Table:
         """All windows of edges and witnesses in one bucket of longer names: which arise more than once."""
-        raw = batches.column("bytes").to_pylist()
-        key = batches.column("key").to_numpy().view(np.uint64)
-        n = np.array([len(r) - width + 1 for r in raw])
-        each = np.array([len(r) for r in raw])
-        at = np.cumsum(each) - each
-        window = names_of(b"".join(raw), [width])[width]
-        row = np.repeat(np.arange(len(raw)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        q = batches.column("q").to_numpy()
-        name = mix(window[at[row] + place] ^ mix(key[row] + (q[row] - place).astype(np.uint64)))
+        row, place, name = window_names(batches, width)
         witness = batches.column("witness").to_numpy(zero_copy_only=False)[row]
         order = np.argsort(name, kind="stable")
-        longer = key[row][order]
+        longer = batches.column("key").to_numpy()[row][order]
         same = (name[order[1:]] == name[order[:-1]]) & (longer[1:] == longer[:-1])
         hit = np.zeros(len(name), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
         hit &= ~witness
-        row, place = row[hit], place[hit] + batches.column("at").to_numpy()[row[hit]]
-        cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-9) != 1))
-        last = np.append(cut[1:], len(row)) - 1 if len(cut) else cut
-        return pa.table({"rid": batches.column("rid").take(pa.array(row[cut])).combine_chunks(), "lo": pa.array(place[cut], pa.int32()), "hi": pa.array(place[last], pa.int32())})
+        return ranges(batches, row[hit], place[hit])
 
     edges = settled.select(F.col("_sd_rid").alias("rid"), F.explode("_sd_edges").alias("e")).select("rid", "e.*")
+    dealt = settled.select(F.col("_sd_rid").alias("rid"), F.col("_sd_chunk").alias("chunk"), F.explode("_sd_dealt").alias("e"))
     edges = edges.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     found = edges.groupBy("bucket").applyInArrow(compare_windows, "rid long, lo int, hi int")
+    found = found.unionByName(compare_dealt(dealt.select("rid", "chunk", "e.*"), width))
     found = found.groupBy(F.col("rid").alias("_sd_rid")).agg(F.collect_list(F.struct("lo", "hi")).alias("_sd_found"))
-    pending = settled.where(F.col("_sd_starts").isNotNull()).drop("_sd_edges", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(found, "_sd_rid", "left")
+    pending = settled.where(F.col("_sd_starts").isNotNull()).drop("_sd_edges", "_sd_dealt", "_sd_chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(found, "_sd_rid", "left")
     last = T.StructType([*other, *T._parse_datatype_string(RESULT + ", text binary").fields])
 
     text_at = pending.columns.index("text")

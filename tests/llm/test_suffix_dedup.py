@@ -47,6 +47,18 @@ def test_equals_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+@pytest.mark.parametrize("split, chunk_bytes", [(1, 1 << 24), (8, 3000), (40, 1)])
+def test_frequent_names_dealt_to_parts(spark, split, chunk_bytes):
+    """Splits that deal all names, some and few, over chunks of all rows, some and one."""
+    r = random.Random(split)
+    texts = corpus(5)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(330))
+    texts += ["".join(r.choice("stuvw ") for _ in range(r.randrange(150))) + shared[: r.randrange(190, 331)] + str(i) * 60 for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = suffix_dedup(df, split=split, chunk_bytes=chunk_bytes).collect()
+    assert [tuple(x)[1:] for x in sorted(rows)] == brute(texts)
+
+
 def test_kept_text_and_empty_table(spark):
     texts = corpus(4)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
