@@ -131,8 +131,7 @@ def doublings(counts: np.ndarray) -> np.ndarray:
 def compare_names(table: DataFrame, width: int, span: int, buckets: int, split: int) -> DataFrame:
     """For each block of names of a chunk: bits that tell which arise elsewhere, and which are first here.
 
-    `dealt` holds for each name the exponent of the number of parts in which windows beside it are compared: none where
-    no name of the block arises more than `split` times.
+    `dealt` tells which names arise more than `split` times; there is none where the block has no such name.
 
     Where a file of the table is split, several tasks may read rows of one chunk. Each run of rows that follow one another
     in a task asks for itself, and `part`, its first row, tells the answers of a chunk apart.
@@ -175,12 +174,12 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int, split:
         order = np.argsort(names, kind="stable")
         new = np.append(True, names[order[1:]] != names[order[:-1]])
         total = np.add.reduceat(U(1) << times[order].astype(np.uint64), np.flatnonzero(new))[np.cumsum(new) - 1]
-        again, first, deal = np.empty(len(names), bool), np.empty(len(names), bool), np.empty(len(names), np.uint8)
-        again[order], first[order], deal[order] = total > 1, new, doublings(total / split)
+        again, first, deal = (np.empty(len(names), bool) for _ in range(3))
+        again[order], first[order], deal[order] = total > 1, new, total > split
         at = np.cumsum([0, *map(len, parts)])
         cuts = list(zip(at, at[1:], strict=False))
         bits = [np.packbits(np.concatenate([again[a:b], first[a:b]])).tobytes() for a, b in cuts]
-        dealt = [blocks.squeeze(deal[a:b].tobytes()) if deal[a:b].any() else None for a, b in cuts]
+        dealt = [np.packbits(deal[a:b]).tobytes() if deal[a:b].any() else None for a, b in cuts]
         return pa.table({k: group.column(k) for k in ("chunk", "part", "bucket")} | {"bits": pa.array(bits, pa.binary()), "dealt": pa.array(dealt, pa.binary())})
 
     asked = table.select("_sd_chunk", "_sd_rid", "text").mapInArrow(ask, "bucket int, chunk long, part long, names binary, times binary")
@@ -228,75 +227,81 @@ def ranges(edges: pa.Table, row: np.ndarray, place: np.ndarray) -> pa.Table:
     return pa.table({"rid": rid, "lo": pa.array(place[cut], pa.int32()), "hi": pa.array(place[last], pa.int32())})
 
 
-def by_key(edges: pa.Table, row: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Key, exponent of its parts and windows of each key among the edges."""
-    key, deal = edges.column("key").to_numpy()[row], edges.column("deal").to_numpy()[row]
-    order = np.argsort(key, kind="stable")
-    for i in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        yield int(key[i[0]]), int(deal[i[0]]), i
+def distinct(name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of name and check, as their first places, with the pair of each place and how often it arises."""
+    order = np.lexsort((check, name))
+    new = np.append(True, (np.diff(name[order]) != 0) | (np.diff(check[order]) != 0))[: len(order)]
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    return order[new], pair, np.bincount(pair, minlength=int(new.sum()))
 
 
-def compare_dealt(edges: DataFrame, width: int) -> DataFrame:
-    """Windows that arise more than once among edges (rid, chunk, key, deal, at, q, witness, bytes) of frequent keys.
+def compare_dealt(edges: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Windows that arise more than once among edges (rid, chunk, key, at, q, witness, bytes) beside frequent names.
 
-    A chunk asks for each name once; the task of a key's part answers with those that arise elsewhere or twice here.
+    A chunk asks for each window's name once, with 32 more bits of the longer name as a check. The task of a bucket of
+    names answers with those that arise elsewhere, or twice in the chunk. `times`: 0 for witnesses alone, 2 for twice.
     """
-    block = "key long, part int, chunk long, names binary, twice binary, seen binary"
+
+    def named(edges: pa.Table) -> tuple[np.ndarray, ...]:
+        row, place, name = window_names(edges, width)
+        key, q = edges.column("key").to_numpy().view(np.uint64), edges.column("q").to_numpy()
+        check = (mix(key[row] * U(0x9E3779B97F4A7C15) + (q[row] - place).astype(np.uint64)) >> U(32)).astype(np.uint32)
+        return row, place, name, check, edges.column("witness").to_numpy(zero_copy_only=False)[row]
 
     @trimmed
     def ask(group: pa.Table) -> pa.Table:
-        row, _, name = window_names(group, width)
-        witness = group.column("witness").to_numpy(zero_copy_only=False)[row]
-        out = {k: [] for k in ("key", "part", "names", "twice", "seen")}
-        for key, deal, i in by_key(group, row):
-            names, counts = np.unique(name[i][~witness[i]], return_counts=True)
-            seen = np.unique(name[i][witness[i]])
-            own, others = ({p: (a, b) for p, a, b in blocks.cut(x, 1 << deal)} for x in (names, seen))
-            for p in sorted(own.keys() | others.keys()):
-                (a, b), (c, d) = own.get(p, (0, 0)), others.get(p, (0, 0))
-                block_of = (key, p, blocks.pack(names[a:b]), np.packbits(counts[a:b] > 1).tobytes(), blocks.pack(seen[c:d]))
-                for k, v in zip(out, block_of, strict=True):
-                    out[k].append(v)
-        binary = {k: pa.array(out[k], pa.binary()) for k in ("names", "twice", "seen")}
-        chunk = pa.array([group.column("chunk")[0].as_py()] * len(out["key"]), pa.int64())
-        return pa.table({"key": pa.array(out["key"], pa.int64()), "part": pa.array(out["part"], pa.int32()), "chunk": chunk} | binary)
+        _, _, name, check, witness = named(group)
+        at, pair, counts = distinct(name, check)
+        own = np.bincount(pair[~witness], minlength=len(at)) > 0
+        times = np.where(own, np.minimum(counts, 2), 0).astype(np.uint8)
+        name, check = name[at], check[at]
+        parts = blocks.cut(name, buckets)
+        columns = {
+            "bucket": pa.array([p for p, _, _ in parts], pa.int32()),
+            "chunk": pa.array([group.column("chunk")[0].as_py()] * len(parts), pa.int64()),
+            "names": pa.array([blocks.pack(name[a:b]) for _, a, b in parts], pa.binary()),
+            "checks": pa.array([check[a:b].tobytes() for _, a, b in parts], pa.binary()),
+            "times": pa.array([times[a:b].tobytes() for _, a, b in parts], pa.binary()),
+        }
+        return pa.table(columns)
 
     @trimmed
     def answer(group: pa.Table) -> pa.Table:
-        own = [blocks.unpack(x) for x in group.column("names").to_pylist()]
-        seen = [blocks.unpack(x) for x in group.column("seen").to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)).astype(bool) for t, x in zip(group.column("twice").to_pylist(), own, strict=True)]
-        # A name is in a list once: it arises more than once if it is in two lists or twice in one.
-        listed, lists = np.unique(np.concatenate([*own, *seen]), return_counts=True)
-        again = listed[lists > 1]
-        found = [x[t | (blocks.find(again, x) >= 0)] for x, t in zip(own, twice, strict=True)]
-        said = pa.table({"chunk": group.column("chunk"), "key": group.column("key"), "names": pa.array(map(blocks.pack, found), pa.binary())})
-        return said.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+        names = [blocks.unpack(x) for x in group.column("names").to_pylist()]
+        name = np.concatenate(names)
+        check, times = (np.frombuffer(b"".join(group.column(k).to_pylist()), t) for k, t in (("checks", np.uint32), ("times", np.uint8)))
+        # A pair is in a chunk's list once: it arises more than once if it is in two lists or twice in one.
+        _, pair, lists = distinct(name, check)
+        again = ((lists[pair] > 1) | (times > 1)) & (times > 0)
+        at = np.cumsum([0, *map(len, names)])
+        found = [a + np.flatnonzero(again[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        said = {"names": [blocks.pack(name[i]) for i in found], "checks": [check[i].tobytes() for i in found]}
+        said = pa.table({"chunk": group.column("chunk")} | {k: pa.array(v, pa.binary()) for k, v in said.items()})
+        return said.filter(pa.array([len(i) > 0 for i in found], pa.bool_()))
 
     @trimmed
     def settle(group: pa.Table, said: pa.Table) -> pa.Table:
-        again: dict[int, list[np.ndarray]] = {}
-        for key, names in zip(said.column("key").to_pylist(), said.column("names").to_pylist(), strict=True):
-            again.setdefault(key, []).append(blocks.unpack(names))
-        if not group.num_rows:
-            return ranges(group, np.empty(0, np.int64), np.empty(0, np.int64))
-        row, place, name = window_names(group, width)
-        hit = np.zeros(len(name), bool)
-        for key, _, i in by_key(group, row):
-            if key in again:
-                hit[i] = blocks.find(np.sort(np.concatenate(again[key])), name[i]) >= 0
-        hit &= ~group.column("witness").to_numpy(zero_copy_only=False)[row]
+        row, place, name, check, witness = named(group)
+        if not said.num_rows:
+            return ranges(group, row[:0], place[:0])
+        again = np.concatenate([blocks.unpack(x) for x in said.column("names").to_pylist()])
+        checks = np.frombuffer(b"".join(said.column("checks").to_pylist()), np.uint32)
+        order = np.argsort(again, kind="stable")
+        at = blocks.find(again[order], name)
+        hit = (at >= 0) & (checks[order][at] == check) & ~witness
         return ranges(group, row[hit], place[hit])
 
-    asked = edges.groupBy("chunk").applyInArrow(ask, block)
-    said = asked.groupBy("key", "part").applyInArrow(answer, "chunk long, key long, names binary")
+    asked = edges.groupBy("chunk").applyInArrow(ask, "bucket int, chunk long, names binary, checks binary, times binary")
+    said = asked.groupBy("bucket").applyInArrow(answer, "chunk long, names binary, checks binary")
     return edges.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(settle, "rid long, lo int, hi int")
 
 
 def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text: bool = False, split: int = 4096, chunk_bytes: int = 16 << 20) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept_sha256 instead of text; with keep_text also kept_text.
 
-    `split` bounds the anchors whose windows one task compares, `chunk_bytes` the text of a chunk; they change no result.
+    Windows beside names that arise more than `split` times are compared by name, those of others by key; `chunk_bytes`
+    bounds the text of a chunk. They change no result.
     """
     assert GRAM <= width - span <= width
     spark = docs.sparkSession
@@ -306,7 +311,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
     other = [f for f in table.schema.fields if f.name not in ("text", "_sd_rid", "_sd_chunk")]
     names = [f.name for f in other]
     answers = compare_names(table, width, span, buckets, split)
-    edges_type = "array<struct<key:long,deal:int,at:int,q:int,witness:boolean,bytes:binary>>"
+    edges_type = "array<struct<key:long,at:int,q:int,witness:boolean,bytes:binary>>"
     first = T.StructType([*other, *T._parse_datatype_string(f"_sd_rid long, _sd_chunk long, {RESULT}, text binary, _sd_starts binary, _sd_edges {edges_type}, _sd_dealt {edges_type}").fields])
 
     @trimmed
@@ -323,13 +328,13 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         parts = []
         for i, first_row in enumerate(firsts.tolist()):
             known, _ = chunk_names([a for a, p in zip(anchors, part_of, strict=True) if a is not None and p == i])
-            flags, deal = np.zeros((2, len(known)), bool), np.zeros(len(known), np.uint8)
+            flags, deal = np.zeros((2, len(known)), bool), np.zeros(len(known), bool)
             for bucket, a, b in blocks.cut(known, buckets):
                 said, deals = answer.pop((first_row, bucket))
                 assert len(said) == (2 * (b - a) + 7) // 8, "an answer for other names"
                 flags[:, a:b] = np.unpackbits(np.frombuffer(said, np.uint8), count=2 * (b - a)).reshape(2, -1)
                 if deals is not None:
-                    deal[a:b] = np.frombuffer(blocks.loosen(deals), np.uint8)
+                    deal[a:b] = np.unpackbits(np.frombuffer(deals, np.uint8), count=b - a)
             parts.append((known, *flags, deal))
         assert not answer, "an answer for names that nobody has"
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "starts", "edges", "dealt")}
@@ -353,16 +358,16 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
                     pending = pending or not witness
                     q = int(a.q[j])
                     turn = min(max(q - a.half + 1, lo), hi + 1)  # first start that is less than `half` before the anchor
-                    into, parted = (dealt, int(deal[core[j]])) if deal[core[j]] else (edges, 0)
+                    into = dealt if deal[core[j]] else edges
                     for key, x, y in ((a.early[j], lo, turn), (a.late[j], turn, hi + 1)):
                         if x < y:
                             piece = raw[x : y - 1 + width]
-                            into.append({"key": int(key.view(np.int64)), "deal": parted, "at": x, "q": q - x, "witness": witness, "bytes": piece})
+                            into.append({"key": int(key.view(np.int64)), "at": x, "q": q - x, "witness": witness, "bytes": piece})
             n_bytes, removed, spans, digest, left = outcome(raw, mask, width)
             for k, v in zip(out, (n_bytes, removed, spans, digest, raw if pending else left if keep_text else None, np.packbits(mask).tobytes() if pending else None, edges, dealt), strict=True):
                 out[k].append(v)
         columns = {n: rows.column(n) for n in (*names, "_sd_rid", "_sd_chunk")} | {k: pa.array(v, pa.int64()) for k, v in list(out.items())[:3]}
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("deal", pa.int32()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32()), ("q", pa.int32()), ("witness", pa.bool_()), ("bytes", pa.binary())]))
         return pa.table(columns | {"kept_sha256": pa.array(out["kept_sha256"], pa.string()), "text": pa.array(out["text"], pa.binary()), "_sd_starts": pa.array(out["starts"], pa.binary()), "_sd_edges": pa.array(out["edges"], kind), "_sd_dealt": pa.array(out["dealt"], kind)})
 
     settled = staged(table.groupBy("_sd_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(settle, first), "suffix-settled")
@@ -386,7 +391,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
     dealt = settled.select(F.col("_sd_rid").alias("rid"), F.col("_sd_chunk").alias("chunk"), F.explode("_sd_dealt").alias("e"))
     edges = edges.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     found = edges.groupBy("bucket").applyInArrow(compare_windows, "rid long, lo int, hi int")
-    found = found.unionByName(compare_dealt(dealt.select("rid", "chunk", "e.*"), width))
+    found = found.unionByName(compare_dealt(dealt.select("rid", "chunk", "e.*"), width, buckets))
     found = found.groupBy(F.col("rid").alias("_sd_rid")).agg(F.collect_list(F.struct("lo", "hi")).alias("_sd_found"))
     pending = settled.where(F.col("_sd_starts").isNotNull()).drop("_sd_edges", "_sd_dealt", "_sd_chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256").join(found, "_sd_rid", "left")
     last = T.StructType([*other, *T._parse_datatype_string(RESULT + ", text binary").fields])
