@@ -102,3 +102,30 @@ z AS (SELECT doc_id, item_id, n, m, start, sum(shared) AS l FROM k GROUP BY ALL)
 y AS (SELECT doc_id, item_id, start, least(m, n) AS words, l / CAST(least(m - 4, greatest(1, n - 4)) + m - 4 - l AS DOUBLE) AS sim FROM z),
 x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) AS r FROM y WHERE sim >= 0.8)
 SELECT doc_id, item_id, start AS start_word, CAST(words AS BIGINT) AS n_words, sim AS similarity FROM x WHERE r = 1"""
+
+
+def _sized(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_sized, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_TREE = "SELECT k, 0, i, n, h FROM {0} UNION ALL SELECT k, lv + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM {1} WHERE n > 1 GROUP BY k, lv, i // 2"
+_STEP = "CASE WHEN s.h IS NULL THEN 'N' WHEN s.i % 2 = 1 THEN 'R' || s.h ELSE 'L' || s.h END"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(':' || lang, '') AS k, {_leaf("n_chars")} AS h, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS other FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+t(k, lv, i, n, h) AS ({_TREE.format("l", "t")}),
+r AS (SELECT k AS own, '' AS k, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(k, lv, i, n, h) AS ({_TREE.format("r", "u")}),
+a AS (SELECT k, x.i AS i, list({_STEP} ORDER BY lv) AS steps FROM (SELECT l.k, l.i, v.lv, xor(l.i >> v.lv, 1) AS j FROM l JOIN (SELECT DISTINCT k, lv FROM t WHERE n > 1) v ON v.k = l.k) x
+  LEFT JOIN (SELECT k AS sk, lv AS sl, i, h FROM t) s ON s.sk = x.k AND s.sl = x.lv AND s.i = x.j GROUP BY k, x.i),
+b AS (SELECT own, list({_STEP} ORDER BY lv) AS steps FROM (SELECT r.own, v.lv, xor(r.i >> v.lv, 1) AS j FROM r, (SELECT DISTINCT lv FROM u WHERE n > 1) v) x
+  LEFT JOIN (SELECT lv AS sl, i, h FROM u) s ON s.sl = x.lv AND s.i = x.j GROUP BY own),
+p AS (SELECT l.doc_id, l.h AS leaf, coalesce(l.other, l.h) AS checked, r.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+  FROM l JOIN r ON r.own = l.k LEFT JOIN a ON a.k = l.k AND a.i = l.i LEFT JOIN b ON b.own = l.k),
+f AS (SELECT *, list_reduce(steps, lambda x, s: CASE s[1] WHEN 'N' THEN sha256(x) WHEN 'L' THEN sha256(s[2:] || x) ELSE sha256(x || s[2:]) END, checked) AS folded FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f"""

@@ -6,6 +6,7 @@ from . import oracles
 from .decontamination import op7_decontamination
 from .html_extraction import op8_html_extraction
 from .katz import op4_katz
+from .merkle import op11_merkle_manifest
 from .near_dedup import op3_near_dedup
 from .packing import op1_packing
 from .quality_classifier import op2_quality_classifier
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": oracles.DECONTAMINATION,
     "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op10_quality_rules": oracles.QUALITY_RULES,
+    "op11_merkle_manifest": oracles.MERKLE,
 }
