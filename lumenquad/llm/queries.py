@@ -8,12 +8,14 @@ from .html_extraction import op8_html_extraction
 from .katz import op4_katz
 from .merkle import op11_merkle_manifest
 from .near_dedup import op3_near_dedup
+from .ogg import op13_ogg_media
 from .packing import op1_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sharding import op5_sharding
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op6_token_counts
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -27,6 +29,8 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ogg_media": op13_ogg_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
