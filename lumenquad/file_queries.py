@@ -11,6 +11,7 @@ from .functions import text
 from .plans import reports
 from .queries import _TEXTS, _sql_answer, query
 from .sources import readers, sinks, staging
+from .sources.keyed import KeyedCache
 from .streaming import incremental
 
 
@@ -156,7 +157,28 @@ def export_never_shrinks(t):
     sinks.replace_unless_smaller(df, path)
     shrunk = sinks.replace_unless_smaller(df.where("c_custkey % 2 = 0"), path)
     grew = sinks.replace_unless_smaller(df.unionByName(df), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n")).select("n", F.lit(shrunk).alias("shrunk"), F.lit(grew).alias("grew"))
+    return sinks.current(spark, path).agg(F.count("*").alias("n")).select("n", F.lit(shrunk).alias("shrunk"), F.lit(grew).alias("grew"))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id AS video FROM events), n AS (SELECT count(*) FILTER (video % 2 = 0) AS first_run, count(*) FILTER (video % 2 = 1) + count(*) FILTER (video % 6 = 0) AS second_run, count(*) FILTER (video % 6 = 0) AS half_done FROM u)
+SELECT video, 3 AS total, CAST(10 * video + CASE WHEN video % 6 = 0 THEN 2 WHEN video % 2 = 0 THEN 1 ELSE 2 END AS DOUBLE) AS first_number, first_run, second_run, CAST(0 AS BIGINT) AS third_run FROM u, n""")
+def self_filling_cache(t):
+    """Three fills: half of the keys, of which every third comes out broken; all keys; all again, which computes nothing.
+
+    A write that was never published, and broken entries put on top of good ones, change nothing.
+    """
+    spark, path = folder(t, "cache")
+    cache = KeyedCache(spark, path, ["video", "total"], F.size("embeddings") == F.col("total"))
+    wanted = t("events").select(F.col("user_id").alias("video"), F.lit(3).alias("total"))
+    vector = lambda n: F.array(*[F.array(10.0 * F.col("video") + F.lit(float(n)))] * 3)
+    broken = lambda n: F.slice(vector(n), 1, 2)
+    first = cache.filled(wanted.where("video % 2 = 0"), lambda k: k.withColumn("embeddings", F.when(F.col("video") % 6 == 0, broken(1)).otherwise(vector(1))))
+    second = cache.filled(wanted, lambda k: k.withColumn("embeddings", vector(2)))
+    cache.table.put(wanted.distinct().withColumn("embeddings", vector(3)))
+    cache.upsert(wanted.distinct().withColumn("embeddings", broken(4)))
+    third = cache.filled(wanted.distinct(), lambda k: k.withColumn("embeddings", vector(5)))
+    counts = {name: F.lit(run.computed).cast("long") for name, run in (("first_run", first), ("second_run", second), ("third_run", third))}
+    return third.rows.select("video", "total", F.col("embeddings")[0][0].alias("first_number")).withColumns(counts)
 
 
 @query("SELECT n_nationkey AS index, n_name AS video_path FROM nation")

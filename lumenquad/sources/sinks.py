@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .versions import ConflictError, VersionedTable
 
 
 def cells(rows: DataFrame, path: str) -> None:
@@ -51,18 +52,25 @@ def pretty_json(df: DataFrame, path: str, most: int = 10_000) -> None:
 
 
 def replace_unless_smaller(df: DataFrame, path: str) -> bool:
-    """Writes a table in place of the old one unless it has fewer rows; tells whether it did."""
-    spark: SparkSession = df.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs
-    target, fresh, old = (fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(str(fresh))
-    if system.exists(target):
-        if spark.read.parquet(str(fresh)).count() < spark.read.parquet(path).count():
-            system.delete(fresh, True)
+    """Publishes df as the next version of a table unless it has fewer rows; tells whether it did. `current` reads it.
+
+    If another writer comes first, its version is what counts: the sizes are compared again.
+    """
+    table = VersionedTable(df.sparkSession, path)
+    folder, rows = table.put(df)
+    while True:
+        base = table.current()
+        if base is not None and rows < base.rows:
+            table.drop(folder)
             return False
-        system.delete(old, True)
-        system.rename(target, old)
-    system.rename(fresh, target)
-    system.delete(old, True)
-    return True
+        try:
+            table.replace(folder, rows, base)
+        except ConflictError:
+            continue
+        table.vacuum()
+        return True
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table of versions; None if there are none yet."""
+    return VersionedTable(spark, path).read()

@@ -64,7 +64,7 @@ def test_sinks(spark, tmp_path):
     df = spark.range(10).withColumn("v", F.when(F.col("id") > 3, F.col("id") * 2))
     path = str(tmp_path / "t")
     assert sinks.replace_unless_smaller(df, path) and not sinks.replace_unless_smaller(df.limit(3), path)
-    assert spark.read.parquet(path).count() == 10 and sinks.replace_unless_smaller(df.union(df), path) and spark.read.parquet(path).count() == 20
+    assert sinks.current(spark, path).count() == 10 and sinks.replace_unless_smaller(df.union(df), path) and sinks.current(spark, path).count() == 20
     sinks.pretty_json(df.limit(2), str(tmp_path / "x.json"))
     assert len(json.loads((tmp_path / "x.json").read_text())) == 2
     sinks.table_csv(df, str(tmp_path / "csv"))
