@@ -264,15 +264,72 @@ def runs_of_file_names(t):
 
 @query("SELECT event_id AS index, event_type || '!' AS model_output FROM events")
 def resumed_stream(t):
-    """Two runs over files that overlap: each key is answered once, and the second run answers only what is new."""
+    """Three runs over files that overlap: each key is answered once, and a run answers only what is new."""
     spark, path = folder(t, "stream")
     rows = t("events").select(F.col("event_id").alias("index"), "event_type")
-    answer = lambda df: df.select("index", F.concat("event_type", F.lit("!")).alias("model_output"))
+    answer = lambda df: df.select("index", "event_type", F.concat("event_type", F.lit("!")).alias("model_output"))
     for part in ("index % 3 = 0", "index % 3 = 0 or index % 2 = 0", "index % 6 > 0"):
         rows.where(part).write.mode("append").parquet(f"{path}/in")
         items = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-        incremental.run_once(items, answer, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("index", "model_output")
+        incremental.answered_stream(items, answer, f"{path}/out", f"{path}/checkpoint", ["index"])
+    return sinks.current(spark, f"{path}/out").select("index", "model_output")
+
+
+_ITEMS = "SELECT event_id AS index, 'u' || user_id AS video_path, event_type FROM events UNION ALL SELECT event_id, 'w', event_type FROM events WHERE event_id % 11 = 0"
+
+
+def _items_of_events(t) -> DataFrame:
+    """Events as items; every eleventh index stands for two items, told apart by path."""
+    e = t("events").select(F.col("event_id").alias("index"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("video_path"), "event_type")
+    return e.unionByName(e.where("index % 11 = 0").withColumn("video_path", F.lit("w")))
+
+
+@query(f"SELECT index, video_path, event_type || '!' AS model_output, CAST(NULL AS VARCHAR) AS error, CAST(CASE WHEN index % 3 < 2 AND (index % 5 = 0 OR index % 7 = 0) THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM ({_ITEMS})")
+def failures_asked_again(t):
+    """In the first run every fifth answer is an error and every seventh blank; the second brings new items, old ones
+    once more, and asks again for what failed, and for nothing else."""
+    spark, path = folder(t, "again")
+    items = _items_of_events(t)
+    k = F.col("index")
+    good = F.concat("event_type", F.lit("!"))
+    failing = lambda df: df.withColumns({"model_output": F.when(k % 5 == 0, None).when(k % 7 == 0, "  ").otherwise(good), "error": F.when(k % 5 == 0, "RateLimit: 429")})
+    working = lambda df: df.withColumns({"model_output": good, "error": F.lit(None).cast("string")})
+    for part, answer in (("index % 3 < 2", failing), ("index % 3 > 0", working)):
+        items.where(part).write.mode("append").parquet(f"{path}/in")
+        incremental.answered_stream(spark.readStream.schema(items.schema).parquet(f"{path}/in"), answer, f"{path}/out", f"{path}/checkpoint")
+    attempts = sinks.current(spark, f"{path}/out").groupBy("index", "video_path").agg(F.count("*").alias("attempts"))
+    return incremental.results(spark, f"{path}/out").join(attempts, ["index", "video_path"]).select("index", "video_path", "model_output", "error", "attempts")
+
+
+@query(f"SELECT index, video_path, event_type || '?' AS model_output, CAST(1 AS BIGINT) AS answers, 2 AS cut_runs FROM ({_ITEMS})")
+def timeboxed_stream(t):
+    """Two runs whose time is up after one batch, and one that ends: together what one whole run gives."""
+    spark, path = folder(t, "boxed")
+    items = _items_of_events(t)
+    items.repartition(5).write.parquet(f"{path}/in")
+    answer = lambda df: df.withColumns({"model_output": F.concat("event_type", F.lit("?")), "error": F.lit(None).cast("string")})
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    runs = [incremental.answered_stream(stream, answer, f"{path}/out", f"{path}/checkpoint", seconds=s) for s in (0, 0, None)]
+    cut = sum(not r.finished for r in runs)
+    out = sinks.current(spark, f"{path}/out").groupBy("index", "video_path").agg(F.first("model_output").alias("model_output"), F.count("*").alias("answers"))
+    return out.withColumn("cut_runs", F.lit(cut))
+
+
+@query(f"SELECT index, video_path, event_type || CASE WHEN index % 97 = 5 THEN ' at last' ELSE ' at once' END AS model_output, CASE WHEN index % 97 = 5 THEN 'ValueError: no frames' END AS first_error FROM ({_ITEMS})")
+def isolated_failures(t):
+    """A model that raises on some items: the others of their batches are answered, and a second run asks only for those."""
+    spark, path = folder(t, "isolated")
+    items = _items_of_events(t)
+
+    def call(word, rows):
+        if word == "at once" and (rows["index"] % 97 == 5).any():
+            raise ValueError("no frames")
+        return rows["event_type"] + " " + word
+
+    staging.written(incremental.predicted(items, lambda: "at once", call), f"{path}/first")
+    first = spark.read.parquet(f"{path}/first")
+    second = incremental.predicted_again(items, first, lambda: "at last", call)
+    return second.drop("error").join(first.select("index", "video_path", F.col("error").alias("first_error")), ["index", "video_path"]).select("index", "video_path", "model_output", "first_error")
 
 
 @query("SELECT 'uniform' AS sampler, CAST(event_id % 3 AS INT) AS num_frames, count(*) AS n, CAST(sum(event_id % 2) AS BIGINT) AS correct FROM events GROUP BY ALL")

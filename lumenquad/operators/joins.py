@@ -35,9 +35,9 @@ def flagged(rows: DataFrame, index: DataFrame, key: str, flag: str = "present")
 
 
 def done_rows(previous: DataFrame) -> DataFrame:
-    """Rows of an earlier run that need no second call: some output and no error."""
+    """Rows of an earlier run that need no second call: some output and no error (a run without errors has no column)."""
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    return previous.where(filled("model_output") & ~filled("error"))
+    return previous.where(filled("model_output") & ~filled("error") if "error" in previous.columns else filled("model_output"))
 
 
 def to_do(items: DataFrame, previous: DataFrame, keys: list[str] | None = None) -> DataFrame:

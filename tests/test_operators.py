@@ -182,18 +182,6 @@ def test_runs_by_file_name(spark):
     assert [r.r and tuple(r.r) for r in got] == [("gpt_5_hi", "MAIN", "gpt_5_hi_main"), ("gpt_5", "MAIN", "gpt_5_main"), None, None]
 
 
-def test_incremental_runs(spark, tmp_path):
-    schema = "index long, question string"
-    source, sink, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
-    answer = lambda df: df.withColumn("model_output", F.upper("question"))
-    for part in ([(0, "a"), (1, "b")], [(1, "b"), (2, "c")]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
-        incremental.run_once(spark.readStream.schema(schema).parquet(source), answer, sink, marks).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [(0, "a", "A"), (1, "b", "B"), (2, "c", "C")]
-    ok = incremental.predicted(spark.createDataFrame([(0, "a")], schema), lambda: str.upper, lambda f, b: b.question.map(f)).first()
-    assert (ok.model_output, ok.error) == ("A", None)
-
-
 def test_size_guard(spark):
     assert joins.checked_size(spark.range(3), 3).count() == 3
     with pytest.raises(Exception, match="expected 4 rows, got 3"):
