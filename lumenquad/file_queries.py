@@ -4,13 +4,22 @@ and reads them back through the reader; SQL gives what should come out.
 
 from __future__ import annotations
 
+import http.server
+import json
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import parse_qs, urlparse
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
+from .operators import ranking
 from .plans import reports
 from .queries import _TEXTS, _sql_answer, query
-from .sources import readers, sinks, staging
+from .sources import archives, paged, readers, sinks, staging
 from .sources.keyed import KeyedCache
 from .streaming import incremental
 
@@ -199,6 +208,85 @@ def archive_index(t):
     return readers.archive_members(files).select("video_id", "zip")
 
 
+@query("""WITH m AS (SELECT p_partkey, 'z' || lpad(CAST(p_partkey // 300 AS VARCHAR), 9, '0') || '.zip' AS zip, regexp_replace(p_name, ' ', '_', 'g') || p_partkey % 500 AS video_id, p_name || ' ' || p_partkey AS content FROM part WHERE p_partkey % 4 <> 0)
+SELECT video_id, max(zip) AS zip, arg_max(content, p_partkey) AS content, CAST(octet_length(encode(arg_max(content, p_partkey))) AS BIGINT) AS size FROM m GROUP BY video_id""")
+def zip_members(t):
+    """Archives of 300 members each are written, found by their central directories, and the chosen members read back."""
+    spark, path = folder(t, "zips")
+    k = F.col("p_partkey")
+    stem = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), (k % 500).cast("string"))
+    ending = F.when(k % 4 == 0, ".txt").when(k % 4 == 1, ".MP4").otherwise(".webm")
+    zip_name = F.concat(F.lit("z"), F.lpad(F.floor(k / 300).cast("string"), 9, "0"), F.lit(".zip"))
+    rows = t("part").select(zip_name.alias("zip"), k.alias("place"), F.concat(F.lit("d/e/"), stem, ending).alias("member"), F.concat("p_name", F.lit(" "), k.cast("string")).alias("content"))
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        system, at = archives._system(path)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in group.sort_values("place").itertuples():
+                z.writestr(f"{r.place}/{r.member}", r.content)
+        system.create_dir(at)
+        with system.open_output_stream(f"{at}/{group['zip'].iloc[0]}") as f:
+            f.write(out.getvalue())
+        return group[["zip"]].head(1)
+
+    rows.groupBy("zip").applyInPandas(write, "zip string").count()
+    spark.dataSource.register(archives.ZipIndexSource)
+    chosen = readers.archive_members(spark.read.format("zip_index").load(path))
+    return archives.extracted(chosen).select("video_id", text.base_name(F.col("zip")).alias("zip"), F.col("content").cast("string").alias("content"), "size")
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS nation FROM customer")
+def paged_table(t):
+    """Rows of a local server that tells no total, hands out at most 150 rows a request and fails every third page once."""
+    spark, path = folder(t, "pages")
+    numbered = ranking.dense_index(t("customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("nation")), "c_custkey", "at")
+    staging.written(numbered, path)
+    spark.dataSource.register(paged.PagedSource)
+    with served(path, most=150) as url:
+        got = spark.read.format("paged_rows").option("url", url).option("page", 200).option("wait", 0.05).load()
+        got = staging.written(got, staging.new_path(spark, "paged"))
+    return got.select(F.from_json("value", "c_custkey long, c_name string, nation long").alias("r")).select("r.*")
+
+
+@contextmanager
+def served(path: str, most: int) -> Iterator[str]:
+    """A paged table over Parquet with dense numbers in `at`, of which a request reads its own rows only."""
+    from pyarrow import compute as pc
+    from pyarrow import dataset
+
+    files = dataset.dataset(path, format="parquet")
+    failed: set[int] = set()
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+            at, end = q["offset"], q["offset"] + min(q["length"], most)
+            status, body = 503, b""
+            if at // 200 % 3 != 1 or at in failed:
+                rows = files.to_table(filter=(pc.field("at") >= at) & (pc.field("at") < end)).sort_by("at").drop_columns("at").to_pylist()
+                status, body = 200, json.dumps({"rows": [{"row": r} for r in rows]}).encode()
+            failed.add(at)
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://127.0.0.1:{server.server_port}/rows"
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
 FACTS = f"""WITH x AS (SELECT conv_id * 100 + turn AS index, turn, x FROM {_TEXTS}),
 f AS (SELECT index, type, CASE WHEN index % 2 = 0 THEN 'yes' ELSE 'a' END AS gold, CAST({_sql_answer('x', 'type')} AS INT) AS code FROM (SELECT *, (['yes_no', 'multiple_choice', 'yes_no', 'mcq4'])[CAST(turn % 4 AS INT) + 1] AS type FROM x WHERE index % 7 <> 0)),
 l AS (SELECT *, CASE WHEN code < 0 THEN '' WHEN type = 'yes_no' THEN (['no', 'yes'])[code + 1] WHEN type = 'multiple_choice' THEN (['b', 'a'])[code + 1] ELSE substr('abcd', code + 1, 1) END AS extracted FROM f)

@@ -22,8 +22,9 @@ def with_selection(rows: DataFrame, selections: DataFrame) -> DataFrame:
 
 
 def by_path_or_name(rows: DataFrame, entries: DataFrame, path: str, key: str, value: str, order: str) -> DataFrame:
-    """rows with `value` of the entry whose key is the path, else of the first entry (by `order`) with its base name."""
-    exact = entries.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    """rows with `value` of the entry whose key is the path (the first by `order`, if several), else of the first entry
+    with its base name."""
+    exact = entries.groupBy(F.col(key).alias("_k")).agg(F.min_by(value, order).alias("_v"))
     names = entries.groupBy(text.base_name(F.col(key)).alias("_b")).agg(F.min_by(value, order).alias("_w"))
     out = rows.join(exact, F.col(path) == F.col("_k"), "left").join(names, text.base_name(F.col(path)) == F.col("_b"), "left")
     return out.withColumn(value, F.when(F.col("_k").isNotNull(), F.col("_v")).otherwise(F.col("_w"))).drop("_k", "_v", "_b", "_w")

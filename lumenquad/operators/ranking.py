@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import SAMPLERS, TIE_RANK
 from ..sources import staging
+from .scans import AT, Scan
 
 
 def rank_of(value: Column, order: list[str], other: int = 99) -> Column:
@@ -60,13 +61,23 @@ def finished_prefix(rows: DataFrame, position: str, done: str) -> DataFrame:
     return rows if gap is None else rows.where(F.col(position) < gap)
 
 
-def running_mean(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.avg(value).over(w))
+def running_mean(rows: DataFrame, by: list[str], order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Mean of the values up to each row of its key, over range parts; null before the first value."""
+    scan = Scan(rows, by, [order], parts)
+    out = scan.running_sum(scan.running_sum(scan.rows, F.col(value).cast("double"), "_sum"), F.col(value).isNotNull().cast("long"), "_n")
+    return scan.done(out.withColumn(name, F.try_divide("_sum", "_n")), "_sum", "_n")
 
 
-def next_distinct(rows: DataFrame, by: str, key: str, order: str, ahead: int) -> DataFrame:
-    """For each new key in order, within `by`: the next few new keys."""
+def next_distinct(rows: DataFrame, by: str, key: str, order: str, ahead: int, parts: int | None = None) -> DataFrame:
+    """For each new key in order, within `by`: the next few new keys.
+
+    A part's first few keys are its boundary record: those of the parts behind fill up what a part's last rows lack.
+    """
     firsts = rows.groupBy(by, key).agg(F.min(order).alias("_o"))
-    w = Window.partitionBy(by).orderBy("_o").rowsBetween(1, ahead)
-    return firsts.select(by, key, F.col("_o").alias("first_at"), F.collect_list(key).over(w).alias("next_keys"))
+    scan = Scan(firsts, [by], ["_o"], parts)
+    heads = scan.rows.withColumn("_place", F.row_number().over(scan.local)).where(F.col("_place") <= ahead)
+    states = scan.states(heads, _head=F.transform(F.array_sort(F.collect_list(F.struct(AT, key))), lambda x: x[key]))
+    behind = F.slice(F.flatten(F.collect_list("_head").over(scan.neighbours.rowsBetween(1, ahead))), 1, ahead)
+    own = F.collect_list(key).over(scan.local.rowsBetween(1, ahead))
+    out = scan.carried(scan.rows.withColumn("_own", own), states, _behind=behind)
+    return out.select(by, key, F.col("_o").alias("first_at"), F.slice(F.concat("_own", F.coalesce("_behind", F.slice("_own", 1, 0))), 1, ahead).alias("next_keys"))

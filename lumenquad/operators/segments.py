@@ -8,35 +8,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling
+from .scans import Scan
 
 
-def valleys(series: DataFrame, key: str = "key", pos: str = "pos", score: str = "score") -> DataFrame:
+def _marked(series: DataFrame, key: str, pos: str, score: str, parts: int | None) -> tuple[Scan, DataFrame]:
+    """Rows of a series in range parts, with whether they are a valley and whether they are its ends."""
+    scan = Scan(series, [key], [pos], parts)
+    rows = scan.with_neighbours(score, "_b", "_a")
+    end = F.col("_b").isNull() | F.col("_a").isNull()
+    return scan, rows.withColumn("_v", end | ((F.col(score) <= F.col("_b")) & (F.col(score) <= F.col("_a"))))
+
+
+def valleys(series: DataFrame, key: str = "key", pos: str = "pos", score: str = "score", parts: int | None = None) -> DataFrame:
     """Places no higher than both neighbours, and both ends."""
-    w = Window.partitionBy(key).orderBy(pos)
-    before, after = F.lag(score).over(w), F.lead(score).over(w)
-    return series.withColumn("_b", before).withColumn("_a", after).where(F.col("_b").isNull() | F.col("_a").isNull() | ((F.col(score) <= F.col("_b")) & (F.col(score) <= F.col("_a")))).drop("_a", "_b")
+    scan, rows = _marked(series, key, pos, score, parts)
+    return scan.done(rows.where("_v"), "_b", "_a", "_v")
 
 
-def basin_peaks(series: DataFrame, key: str = "key", pos: str = "pos", score: str = "score") -> DataFrame:
+def basin_peaks(series: DataFrame, key: str = "key", pos: str = "pos", score: str = "score", parts: int | None = None) -> DataFrame:
     """Highest place (ties: first) of each basin between valleys; a valley belongs to both of its basins."""
-    w = Window.partitionBy(key).orderBy(pos)
-    marked = series.withColumn("_b", F.lag(score).over(w)).withColumn("_a", F.lead(score).over(w))
-    valley = F.col("_b").isNull() | F.col("_a").isNull() | ((F.col(score) <= F.col("_b")) & (F.col(score) <= F.col("_a")))
-    marked = marked.withColumn("_v", valley.cast("int"))
+    scan, rows = _marked(series, key, pos, score, parts)
     # Basin number: valleys up to here. A valley that isn't the first closes the basin before it as well.
-    marked = marked.withColumn("_k", F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = F.when((F.col("_v") == 1) & F.col("_a").isNull() & (F.col("_k") > 1), F.array(F.col("_k") - 1)).when((F.col("_v") == 1) & (F.col("_k") > 1), F.array(F.col("_k") - 1, F.col("_k"))).otherwise(F.array("_k"))
+    marked = scan.running_sum(rows, F.col("_v").cast("long"), "_k")
+    both = F.when(F.col("_v") & F.col("_a").isNull() & (F.col("_k") > 1), F.array(F.col("_k") - 1)).when(F.col("_v") & (F.col("_k") > 1), F.array(F.col("_k") - 1, F.col("_k"))).otherwise(F.array("_k"))
     peaks = marked.select(key, pos, score, F.explode(both).alias("_k")).groupBy(key, "_k").agg(F.max_by(pos, F.struct(F.col(score), -F.col(pos))).alias(pos))
     return peaks.select(key, pos).distinct()
 
 
-def merged(clips: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", members: str | None = None, value: str | None = None) -> DataFrame:
+def merged(clips: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", members: str | None = None, value: str | None = None, parts: int | None = None) -> DataFrame:
     """Overlapping or touching intervals of a group become one: its bounds, their number, the least `value` and the
     union of the `members` arrays."""
-    w = Window.partitionBy(*by).orderBy(lo, hi)
-    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    scan = Scan(clips, by, [lo, hi], parts)
+    states = scan.states(scan.rows, _top=F.max(hi))
+    rows = scan.carried(scan.rows, states, _carry=F.max("_top").over(scan.parts_before))
+    reach = F.greatest(F.max(hi).over(scan.local.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
     new = F.coalesce(F.col(lo) > reach, F.lit(True))
-    island = clips.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = scan.running_sum(rows.withColumn("_new", new.cast("long")), F.col("_new"), "_island")
     more = [F.min(value).alias(value)] if value else []
     more += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(members)))).alias(members)] if members else []
     return island.groupBy(*by, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n_merged"), *more).drop("_island")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import AT, Scan
+
 
 def once_a_key(rows: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows with the columns of work(), which sees each distinct key once; list the question only if work depends on it."""
@@ -22,19 +24,28 @@ def with_cached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(whole, ["video", "model", "total"], "left")
 
 
-def gated(calls: DataFrame, by: list[str], at: str, order: str, gap: float) -> DataFrame:
+def gated(calls: DataFrame, by: list[str], at: str, order: str, gap: float, parts: int | None = None) -> DataFrame:
     """calls with `start`: when each may go, in order, no sooner than asked for and `gap` after the one before.
 
-    start(i) = max over j <= i of at(j) + gap * (i - j): one running maximum, no loop over calls.
+    start(i) = max over j <= i of at(j) + gap * (i - j): a running maximum of at(j) - gap * j, no loop over calls. Within
+    a part, places in the part serve as j; the maximum of earlier parts comes in places of the whole key.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    place = F.row_number().over(w)
-    slack = F.col(at) - F.lit(gap) * place
-    return calls.withColumn("_slack", slack).withColumn("start", F.max("_slack").over(w) + F.lit(gap) * place).drop("_slack")
+    scan = Scan(calls, by, [order], parts)
+    slack = F.col(at) - F.lit(gap) * F.col(AT)
+    states = scan.states(scan.rows, _n=F.count("*"), _first=F.min(AT), _top=F.max(slack))
+    before = F.coalesce(F.sum("_n").over(scan.parts_before), F.lit(0))
+    shift = F.lit(gap) * (F.col("_first") - before)
+    states = states.withColumn("_shift", shift).withColumn("_whole", F.col("_top") + shift)
+    rows = scan.carried(scan.rows, states, _carry=F.max("_whole").over(scan.parts_before) - F.col("_shift"))
+    return scan.done(rows.withColumn("start", F.greatest(F.max(slack).over(scan.running), "_carry") + F.lit(gap) * F.col(AT)), "_carry")
 
 
 def repaired_paths(rows: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    """rows with the file of their path, else of the path whose parts end in no blanks; null if neither is there."""
+    """rows with the file of their path, else of the path whose parts end in no blanks; null if neither is there.
+
+    A file that is listed twice is one file.
+    """
+    files = files.select("file").distinct()
     plain = F.rtrim(F.regexp_replace(F.col(path), r" +/", "/"))
     exact = files.select(F.col("file").alias("_f"))
     trimmed = files.select(F.col("file").alias("_g"))

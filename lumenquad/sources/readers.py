@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
 from ..functions import text
@@ -132,7 +133,7 @@ def first_readable(readers: list[Callable[[], DataFrame]]) -> DataFrame:
             df = read()
             df.schema  # noqa: B018 - a missing path or a bad footer fails here
             return df
-        except Exception as error:  # noqa: BLE001
+        except (PySparkException, Py4JJavaError, OSError) as error:  # Spark's and the file system's, no one's slip
             errors.append(str(error).splitlines()[0])
     raise FileNotFoundError("; ".join(errors))
 
@@ -147,41 +148,12 @@ def rows_of(spark: SparkSession, source: str, schema: str = schemas.MCQ_ITEM) ->
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """Media files of archives by the stem of their name; of equal stems the last archive counts.
+    """Media files of archives by the stem of their name; of equal stems the last archive counts, and its last entry.
 
-    files: zip, member, size.
+    files: zip, member, size, as of format("zip_index") (whose place in the archive, pos, tells which entry is last; by
+    the member's name where it's absent).
     """
     media = files.where(F.lower("member").rlike(r"\.(mp4|mkv|webm|mov|avi)$")).withColumn("video_id", text.stem(F.col("member")))
-    best = F.max_by(F.struct("zip", "member", "size"), F.struct("zip", "member")).alias("m")
+    values = [c for c in files.columns if c != "error"]
+    best = F.max_by(F.struct(*values), F.struct("zip", "pos" if "pos" in values else "member")).alias("m")
     return media.groupBy("video_id").agg(best).select("video_id", "m.*")
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.url, self.rows, self.page = options["url"], int(options["rows"]), int(options.get("page", 100))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(at) for at in range(0, self.rows, self.page)]
-
-    def read(self, partition: InputPartition):
-        import json
-        import urllib.request
-
-        mark = "&" if "?" in self.url else "?"
-        with urllib.request.urlopen(f"{self.url}{mark}offset={partition.value}&length={self.page}") as answer:
-            for row in json.load(answer).get("rows", []):
-                yield (json.dumps(row.get("row", row), ensure_ascii=False),)
-
-
-class PagedSource(DataSource):
-    """A REST table read page by page, a page a partition: format("paged_rows") with url, rows and page."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_rows"
-
-    def schema(self) -> str:
-        return "value string"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return PagedReader(self.options)

@@ -75,28 +75,3 @@ def test_sinks(spark, tmp_path):
     assert {r.frame_indices for r in spark.read.csv(str(tmp_path / "cells"), header=True).collect()} == {"1 2", None}
     assert {r.file for r in sinks.cell_names(facts, "m", "d").collect()} == {"m_d_per_question_uniform8.csv", "m_d_per_question_no_video.csv"}
     assert json.loads(sinks.metrics_json(spark.createDataFrame([("m", 1.5)], "model string, Acc double"), ["model"]).first().document) == {"Acc": 1.5, "_derived": True}
-
-
-def test_paged_source(spark):
-    import http.server
-    import threading
-    from urllib.parse import parse_qs, urlparse
-
-    class Pages(http.server.BaseHTTPRequestHandler):
-        def do_GET(self):  # noqa: N802
-            q = parse_qs(urlparse(self.path).query)
-            at, n = int(q["offset"][0]), int(q["length"][0])
-            body = json.dumps({"rows": [{"row": {"i": i}} for i in range(at, min(at + n, 250))]}).encode()
-            self.send_response(200)
-            self.end_headers()
-            self.wfile.write(body)
-
-        def log_message(self, *args):
-            pass
-
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    spark.dataSource.register(readers.PagedSource)
-    got = spark.read.format("paged_rows").option("url", f"http://127.0.0.1:{server.server_port}/").option("rows", 250).load()
-    assert sorted(json.loads(r.value)["i"] for r in got.collect()) == list(range(250))
-    server.shutdown()
