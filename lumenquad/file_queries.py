@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import ranking
+from .operators import joins, ranking
 from .plans import reports
 from .queries import _TEXTS, _sql_answer, query
 from .sources import archives, paged, readers, sinks, staging
@@ -340,14 +340,28 @@ def prepared_mcq(t):
     return out.select("pos", "index", "video_id", "duration", "answer", "video_path", "type")
 
 
-RUNS = ["mb_s_uniform8.json", "mb_large_s_uniform8.json", "mb_largest_t_random4_shuf7.json", "other_s_uniform8.json", "mb_u_uniform8.json", "/a/b/mb_large_tt_f2c16_novid.json"]
+#: Models as tokens, some of them the beginning of another one, and their folders; files of them, of no one, and of no set.
+_TOKENS = "SELECT replace(p_name, ' ', '_') || '_' || p_partkey || t.ending AS token, 'm' || p_partkey || t.mark AS folder FROM part, (VALUES ('', ''), ('_hi', '+'), ('_hi_res', '++')) AS t(ending, mark) WHERE t.ending = '' OR p_partkey % 3 = 0"
+_FILES = """SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '_hi' WHEN p_partkey % 6 = 3 THEN '_hi_res' WHEN p_partkey % 6 = 1 THEN '_hi' WHEN p_partkey % 6 = 2 THEN 'x' ELSE '' END
+|| CASE WHEN p_partkey % 5 = 0 THEN '_zzz' WHEN p_partkey % 5 = 1 THEN '_m' ELSE '_main' END AS stem FROM part"""
 
 
-@query("SELECT * FROM (VALUES ('mb_s_uniform8.json', 'mb', 'S'), ('mb_large_s_uniform8.json', 'mb_large', 'S'), ('/a/b/mb_large_tt_f2c16_novid.json', 'mb_large', 'T')) AS x(file, subject, dataset)")
+@query(f"""WITH k AS ({_TOKENS}), f AS ({_FILES}), j AS (SELECT p_partkey, stem, arg_max(token, length(token)) AS subject, arg_max(folder, length(token)) AS folder FROM f JOIN k ON stem = token OR starts_with(stem, token || '_') GROUP BY 1, 2),
+d AS (SELECT *, split_part(substr(stem, length(subject) + 2), '_', 1) AS t FROM j)
+SELECT '/r/' || stem || CASE WHEN p_partkey % 2 = 0 THEN '_uniform8.json' ELSE '_f2c16_pool4_novid.json' END AS file, subject, folder, 'MAIN' AS dataset, stem AS prefix FROM d WHERE t IN ('m', 'main')""")
 def runs_of_file_names(t):
-    names = t("region").sparkSession.createDataFrame([(n,) for n in RUNS], "file string")
-    run = text.run_of(F.col("file"), ["mb", "mb_large"], {"S": ["s"], "T": ["t", "tt"]})
-    return names.withColumn("run", run).where("run is not null").select("file", "run.subject", "run.dataset")
+    """File names of thousands of models, aliases among them, resolved by one look-up of their beginnings."""
+    k = F.col("p_partkey")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), k.cast("string"))
+    ends = F.array(*(F.struct(F.lit(e).alias("ending"), F.lit(m).alias("mark")) for e, m in (("", ""), ("_hi", "+"), ("_hi_res", "++"))))
+    tokens = t("part").select(k, name.alias("name"), F.explode(ends).alias("e")).where("e.ending = '' or p_partkey % 3 = 0")
+    subjects = tokens.select(F.concat("name", "e.ending").alias("token"), F.concat(F.lit("m"), k.cast("string"), F.col("e.mark")).alias("folder"))
+    ending = F.when(k % 6 == 3, "_hi_res").when((k % 6).isin(0, 1), "_hi").when(k % 6 == 2, "x").otherwise("")
+    token = F.when(k % 5 == 0, "_zzz").when(k % 5 == 1, "_m").otherwise("_main")
+    cell = F.when(k % 2 == 0, "_uniform8.json").otherwise("_f2c16_pool4_novid.json")
+    files = t("part").select(F.concat(F.lit("/r/"), name, ending, token, cell).alias("file"))
+    datasets = t("region").select(F.explode(F.array(F.lit("m"), F.lit("main"))).alias("token"), F.lit("MAIN").alias("dataset"))
+    return joins.runs_of(files, subjects, datasets).select("file", "subject", "folder", "dataset", "prefix")
 
 
 @query("SELECT event_id AS index, event_type || '!' AS model_output FROM events")

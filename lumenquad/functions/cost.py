@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PATCH = 32
+#: Fixed value: what a size over the cap on patches shrinks by, again and again.
+STEP = 0.98
 #: Greatest width, height and patches (0: no limit) at each level of detail; tokens a patch by model.
 DETAIL = {"low": (512, 512, 0), "high": (2048, 2048, 2500), "original": (65535, 65535, 0), "auto": (65535, 65535, 0)}
 MULTIPLIERS = {"gpt-5.6": 1.2, "gpt-5.5": 1.2, "gpt-5.4": 1.2}
@@ -44,39 +44,35 @@ def _patches(w: Column, h: Column) -> Column:
     return F.ceil(w / PATCH) * F.ceil(h / PATCH)
 
 
-@F.pandas_udf(T.LongType())
-def _capped(width: pd.Series, height: pd.Series, most: pd.Series) -> pd.Series:
-    """Patches of sizes over the cap: scaled by the root of the excess, then by 2 % steps until they fit."""
+def _capped(width: Column, height: Column, cap: int, longest: int) -> Column:
+    """Patches of sizes over the cap: scaled by the root of the excess, then by 2 % steps until they fit.
 
-    def patches(w: int, h: int) -> int:
-        return -(-w // PATCH) * -(-h // PATCH)
-
-    def fit(w: int, h: int, cap: int) -> int:
-        scale = math.sqrt(cap / patches(w, h))
-        while True:
-            w, h = max(1, int(w * scale)), max(1, int(h * scale))
-            if patches(w, h) <= cap or (w <= PATCH and h <= PATCH):
-                return patches(w, h)
-            scale = 0.98
-
-    return pd.Series([fit(int(w), int(h), int(m)) for w, h, m in zip(width, height, most, strict=True)], dtype="int64")
+    A fold over as many steps as a side of `longest` can take until it is one patch, so no size runs out of them; steps
+    behind the one that fits do nothing.
+    """
+    steps = max(0, math.ceil(math.log(max(1.0, longest / PATCH)) / -math.log(STEP))) + 1
+    size = lambda w, h: F.struct(w.cast("int").alias("w"), h.cast("int").alias("h"))
+    scaled = lambda side, s: F.greatest(F.lit(1), F.floor(side * s))
+    fits = lambda z: (_patches(z["w"], z["h"]) <= cap) | ((z["w"] <= PATCH) & (z["h"] <= PATCH))
+    root = F.sqrt(F.lit(float(cap)) / _patches(width, height))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), size(scaled(width, root), scaled(height, root)), lambda z, _: F.when(fits(z), z).otherwise(size(scaled(z["w"], F.lit(STEP)), scaled(z["h"], F.lit(STEP)))))
+    return F.transform(F.array(last), lambda z: _patches(z["w"], z["h"]))[0]
 
 
 def image_tokens(width: Column, height: Column, detail: str = "low", model: Column | str = "gpt-5.6") -> Column:
-    """Tokens of an image; 0 for an empty one. Only a detail with a cap on patches needs Python."""
+    """Tokens of an image; 0 for an empty one."""
     most_w, most_h, cap = DETAIL[detail]
     model = model if isinstance(model, Column) else F.lit(model)
     size = shrunk(F.greatest(width, F.lit(1)), F.greatest(height, F.lit(1)), most_w, most_h)
     patches = _patches(size["w"], size["h"])
     if cap:
         # Sizes that fit go through as they are.
-        patches = F.when(patches <= cap, patches).otherwise(_capped(size["w"], size["h"], F.lit(cap)))
+        patches = F.when(patches <= cap, patches).otherwise(_capped(size["w"], size["h"], cap, max(most_w, most_h)))
     return F.when((width <= 0) | (height <= 0), F.lit(0)).otherwise(F.ceil(patches * multiplier(model))).cast("long")
 
 
 def request_tokens(sizes: Column, text_tokens: int = 40, detail: str = "low", model: str = "gpt-5.6") -> Column:
-    """Prompt and all its images; sizes: array of [w, h]. For details without a cap on patches."""
-    assert not DETAIL[detail][2], "explode the sizes and sum image_tokens for a capped detail"
+    """Prompt and all its images; sizes: array of [w, h]."""
     each = F.transform(sizes, lambda s: image_tokens(s[0], s[1], detail, model))
     return F.lit(text_tokens) + F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import ABLATIONS
 
+#: Fixed value: sampler, budget and variant at the end of a prediction file's name.
 CELL = r"_(uniform|random|hornet|burst|f2cfull|f2c)(\d+)((?:_full|_noencoder)?(?:_pool\d+)?)$"
 #: What a question of each type ends in.
 SUFFIX = {"yes_no": " Please output Yes or No.", "multiple_choice": " Please output A or B.", "multiple_choice_4": " Please output A, B, C, or D."}
@@ -35,6 +36,7 @@ def stem(path: Column) -> Column:
 
 def category_id(path: Column) -> Column:
     """First field of a clip name like 15_05_1.mp4, null for other names."""
+    # Fixed value: the form of such names.
     return F.nullif(F.regexp_extract(base_name(path), r"(\d+)_\d+_\d+\.mp4$", 1), F.lit("")).cast("int")
 
 
@@ -122,6 +124,7 @@ def redact(text: Column) -> Column:
 
 def retry_delay(message: Column) -> Column:
     """Seconds a message asks to wait for, null if it doesn't."""
+    # Fixed value: how services word it.
     return F.nullif(F.regexp_extract(message, r"(?iU)retry[_-]?delay['\"]?\s*[:=]\s*['\"]?(\d+(?:\.\d+)?)s", 1), F.lit("")).cast("double")
 
 
@@ -143,22 +146,7 @@ def escape_html(text: Column) -> Column:
     return out
 
 
-def longest_token(name: Column, tokens: list[str]) -> Column:
-    """The longest of the tokens that a name starts with (alone or before an underscore), null for none."""
-    out = F.lit(None).cast("string")
-    for t in sorted(tokens, key=lambda t: (len(t), t)):
-        out = F.when((name == t) | F.startswith(name, F.lit(f"{t}_")), t).otherwise(out)
-    return out
-
-
-def run_of(file_name: Column, subjects: list[str], datasets: dict[str, list[str]]) -> Column:
-    """struct(subject, dataset, prefix) of a prediction file: the longest subject, then a token of an item set; null
-    if either isn't known. prefix: what stands before the cell."""
-    name = F.regexp_replace(base_name(file_name), r"\.json$", "")
-    subject = longest_token(name, subjects)
-    rest = F.split_part(F.ltrim(F.substring(name, F.length(subject) + 1, F.length(name)), F.lit("_")), F.lit("_"), F.lit(1))
-    dataset = F.lit(None).cast("string")
-    for known, tokens in datasets.items():
-        dataset = F.when(rest.isin(*tokens), known).otherwise(dataset)
-    prefix = F.regexp_replace(without_ablation(name), CELL, "")
-    return F.when(subject.isNotNull() & dataset.isNotNull(), F.struct(subject.alias("subject"), dataset.alias("dataset"), prefix.alias("prefix")))
+def token_prefixes(name: Column) -> Column:
+    """A name's beginnings that end at an underscore or with it: all that a token it starts with can be."""
+    words = F.split(name, "_")
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), "_"))

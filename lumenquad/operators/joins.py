@@ -30,6 +30,34 @@ def by_path_or_name(rows: DataFrame, entries: DataFrame, path: str, key: str, va
     return out.withColumn(value, F.when(F.col("_k").isNotNull(), F.col("_v")).otherwise(F.col("_w"))).drop("_k", "_v", "_b", "_w")
 
 
+def longest_prefix(names: DataFrame, name: str, tokens: DataFrame, token: str) -> DataFrame:
+    """names (distinct values of a column) with the columns of the longest token each starts with, alone or before an
+    underscore; names without one are left out.
+
+    A name's own beginnings are looked up, so the list of tokens may be of any length; a token listed twice counts once.
+    """
+    rest = [c for c in tokens.columns if c != token]
+    one = tokens.groupBy(F.col(token).alias("_p")).agg(*(F.min_by(c, F.struct(*rest)).alias(c) for c in rest))
+    tried = names.select(name).distinct().select(name, F.explode(text.token_prefixes(F.col(name))).alias("_p"))
+    best = tried.join(one, "_p").groupBy(name).agg(F.max_by(F.struct(F.col("_p").alias(token), *rest), F.length("_p")).alias("_r"))
+    return best.select(name, "_r.*")
+
+
+def runs_of(files: DataFrame, subjects: DataFrame, datasets: DataFrame) -> DataFrame:
+    """files (column file) with subject, folder, dataset and prefix of each prediction file's name; others are left out.
+
+    subjects: token, folder - names and aliases of models, the longest that fits counts. datasets: token, dataset - what
+    may stand behind it. prefix: what stands before the cell, an arm's ending apart. A file listed twice stays two rows.
+    """
+    stem = F.regexp_replace(text.base_name(F.col("file")), r"\.json$", "")
+    rows = files.withColumn("_stem", stem)
+    found = longest_prefix(rows, "_stem", subjects.select(F.col("token").alias("subject"), "folder"), "subject")
+    behind = F.split_part(F.ltrim(F.substring("_stem", F.length("subject") + 1, F.length("_stem")), F.lit("_")), F.lit("_"), F.lit(1))
+    known = datasets.groupBy("token").agg(F.min("dataset").alias("dataset"))
+    found = found.withColumn("token", behind).join(known, "token").drop("token")
+    return rows.join(found.withColumn("prefix", F.regexp_replace(text.without_ablation(F.col("_stem")), text.CELL, "")), "_stem").drop("_stem")
+
+
 def flagged(rows: DataFrame, index: DataFrame, key: str, flag: str = "present") -> DataFrame:
     """rows with whether their key is in the index (any number of times)."""
     return rows.join(index.select(key).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -288,15 +288,17 @@ _REPLIES = "(VALUES " + ", ".join(f"({i}, $x${x}$x$)" for i, x in enumerate(REPL
 
 
 @query(
-    f"SELECT k, CAST({_sql_yes_no('x')} AS INT) AS yes_no, CAST({_sql_two_way('x')} AS INT) AS two_way, CAST({_sql_four_way('x')} AS INT) AS four_way, CAST({_sql_choice('x')} AS INT) AS choice"
-    f" FROM (SELECT CAST(k AS BIGINT) AS k, {_CLEAN.format('raw')} AS x FROM {_REPLIES})"
+    f"SELECT conv_id, turn, CAST({_sql_yes_no('x')} AS INT) AS yes_no, CAST({_sql_two_way('x')} AS INT) AS two_way, CAST({_sql_four_way('x')} AS INT) AS four_way, CAST({_sql_choice('x')} AS INT) AS choice"
+    f" FROM (SELECT c.conv_id, c.turn, {_CLEAN.format('raw')} AS x FROM conversations c JOIN {_REPLIES} ON r.k = (c.conv_id * 7 + c.turn) % {len(REPLIES)})"
 )
 def extract_adversarial(t):
-    spark = t("region").sparkSession
+    """Every turn gets one of the replies that are hard to read."""
     x = F.col("x")
-    rows = spark.createDataFrame(list(enumerate(REPLIES)), "k long, raw string").select("k", pythonic.nfkc("raw").alias("x"))
+    replies = F.array(*map(F.lit, REPLIES))
+    raw = F.get(replies, F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(REPLIES))).cast("int"))
+    rows = t("conversations").select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", pythonic.nfkc("raw").alias("x"))
     found = {"yes_no": extract.yes_no(x), "two_way": extract.two_way(x), "four_way": extract.four_way(x), "choice": extract.choice(x, _options())}
-    return rows.select("k", *(c.cast("int").alias(k) for k, c in found.items()))
+    return rows.select("conv_id", "turn", *(c.cast("int").alias(k) for k, c in found.items()))
 
 
 def replies(t) -> DataFrame:
@@ -638,10 +640,30 @@ def image_tokens(t):
     return p.select("p_partkey", s["w"].alias("w"), s["h"].alias("h"), cost.image_tokens(F.col("w"), F.col("h"), "low").alias("low_tokens"), cost.image_tokens(F.col("w"), F.col("h"), "original").alias("original_tokens"))
 
 
-@query()
+_OVER = "(ceil(w / 32) * ceil(h / 32) > 2500 AND (w > 32 OR h > 32))"
+#: Sizes that a box of 2048 lets through, then shrunk step by step while they hold over 2500 patches.
+CAPPED = f"""WITH RECURSIVE s AS (SELECT p_partkey, p_size * 97 + p_partkey % 61 AS w, p_size * 83 + p_partkey % 17 AS h FROM part), r AS (SELECT *, least(2048.0::DOUBLE / w, 2048.0::DOUBLE / h) AS f FROM s),
+b AS (SELECT p_partkey, CAST(CASE WHEN w <= 2048 AND h <= 2048 THEN w ELSE greatest(1, floor(w * f)) END AS INT) AS w, CAST(CASE WHEN w <= 2048 AND h <= 2048 THEN h ELSE greatest(1, floor(h * f)) END AS INT) AS h FROM r),
+c AS (SELECT p_partkey, w, h, sqrt(2500.0::DOUBLE / (ceil(w / 32) * ceil(h / 32))) AS f, ceil(w / 32) * ceil(h / 32) > 2500 AS more FROM b
+UNION ALL SELECT p_partkey, w, h, 0.98::DOUBLE, {_OVER} FROM (SELECT p_partkey, CAST(greatest(1, floor(w * f)) AS INT) AS w, CAST(greatest(1, floor(h * f)) AS INT) AS h FROM c WHERE more))
+SELECT p_partkey, CAST(ceil(ceil(w / 32) * ceil(h / 32) * 1.2::DOUBLE) AS BIGINT) AS tokens FROM c WHERE NOT more"""
+
+
+def _large_sizes(t) -> DataFrame:
+    k = F.col("p_partkey")
+    return t("part").select("p_partkey", (F.col("p_size") * 97 + k % 61).alias("w"), (F.col("p_size") * 83 + k % 17).alias("h"))
+
+
+@query(CAPPED)
 def image_tokens_capped(t):
-    p = t("part").select("p_partkey", (F.col("p_size") * 97).alias("w"), (F.col("p_size") * 83).alias("h"))
-    return p.select("p_partkey", cost.image_tokens(F.col("w"), F.col("h"), "high").alias("tokens"))
+    return _large_sizes(t).select("p_partkey", cost.image_tokens(F.col("w"), F.col("h"), "high").alias("tokens"))
+
+
+@query(f"SELECT p_partkey % 100 AS request, CAST(40 + sum(tokens) AS BIGINT) AS tokens FROM ({CAPPED}) GROUP BY 1")
+def capped_requests(t):
+    """Requests of many large images, each capped."""
+    sizes = _large_sizes(t).groupBy((F.col("p_partkey") % 100).alias("request")).agg(F.collect_list(F.array("w", "h")).alias("sizes"))
+    return sizes.select("request", cost.request_tokens(F.col("sizes"), detail="high").alias("tokens"))
 
 
 @query("SELECT o_custkey, CAST(40 + sum(CAST(ceil(ceil((1 + o_orderkey % 400) / 32.0) * ceil((1 + o_orderkey % 300) / 32.0) * 1.2::DOUBLE) AS BIGINT)) AS BIGINT) AS tokens FROM orders GROUP BY 1")

@@ -177,9 +177,14 @@ def test_preparation(spark):
 
 
 def test_runs_by_file_name(spark):
-    names = ["gpt_5_hi_main_uniform8_rev.json", "gpt_5_main_random4.json", "gpt_5_zzz_random4.json", "other_main_random4.json"]
-    got = spark.createDataFrame([(n,) for n in names], "f string").select(text.run_of(F.col("f"), ["gpt_5", "gpt_5_hi"], {"MAIN": ["main", "m"]}).alias("r")).collect()
-    assert [r.r and tuple(r.r) for r in got] == [("gpt_5_hi", "MAIN", "gpt_5_hi_main"), ("gpt_5", "MAIN", "gpt_5_main"), None, None]
+    names = ["gpt_5_hi_main_uniform8_rev.json", "/x/gpt_5_main_random4.json", "gpt_5_zzz_random4.json", "other_main_random4.json", "gpt_55_main_random4.json", "gpt_5.json", "gpt_5__m_uniform8_full_pool4.json", "", None]
+    files = spark.createDataFrame([(n, 1) for n in [*names, names[0]]], "file string, more int")
+    subjects = spark.createDataFrame([("gpt_5", "GPT"), ("gpt_5_hi", "GPT-high"), ("gpt_5", "later")], "token string, folder string")
+    datasets = spark.createDataFrame([("main", "MAIN"), ("m", "MAIN"), ("m", "MAIN")], "token string, dataset string")
+    got = joins.runs_of(files, subjects, datasets).select("file", "subject", "folder", "dataset", "prefix", "more").collect()
+    assert sorted(map(tuple, got)) == sorted([
+        *[(names[0], "gpt_5_hi", "GPT-high", "MAIN", "gpt_5_hi_main", 1)] * 2, (names[1], "gpt_5", "GPT", "MAIN", "gpt_5_main", 1), (names[6], "gpt_5", "GPT", "MAIN", "gpt_5__m", 1),
+    ])
 
 
 def test_size_guard(spark):
