@@ -68,12 +68,14 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i
 m AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-x AS (SELECT *, base_failed OR n_symbols > 0.5 * n_words OR 100 * n_dup_lines > 60 * len(l) AS rules_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (rules_failed) AS k FROM x WHERE source IS NOT NULL GROUP BY source),
-b AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS a FROM b),
-y AS (SELECT source, (k + m * a) / (n + a) AS host_rate FROM h, s)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept, x.source, round(host_rate, 6) AS host_rate FROM x LEFT JOIN y ON y.source = x.source"""
+x AS (SELECT *, base_failed OR sf OR lf AS af FROM (SELECT *, n_symbols > 0.5 * n_words AS sf, 100 * n_dup_lines > 60 * len(l) AS lf FROM f)),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM (SELECT source, unnest(['a', 's', 'l']) AS rule, unnest([af, sf, lf]) AS failed FROM x WHERE source IS NOT NULL) GROUP BY 1, 2),
+b AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM h GROUP BY rule),
+s AS (SELECT rule, m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS a FROM b),
+q AS (SELECT source, rule, (k + m * a) / (n + a) AS mean, n + a AS size FROM h JOIN s USING (rule)),
+y AS (SELECT source, max(mean) FILTER (rule = 'a') AS host_rate, max(low) FILTER (rule = 'a') > 0.5 AS bad, max(low) FILTER (rule = 's') >= 0.01 AS hs, max(low) FILTER (rule = 'l') >= 0.01 AS hl FROM (SELECT *, mean - 2 * sqrt(mean * (1 - mean) / (size + 1)) AS low FROM q) GROUP BY source),
+z AS (SELECT x.*, host_rate, coalesce(bad OR (sf AND hs) OR (lf AND hl), false) AS host_gone FROM x LEFT JOIN y ON y.source = x.source)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT host_gone AS kept, source, round(host_rate, 6) AS host_rate, host_gone FROM z"""
 
 SHARDING = """
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),

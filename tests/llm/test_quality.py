@@ -120,3 +120,45 @@ def test_hosts_are_shrunk(spark):
     assert not got[1000].kept and got[1000].host_rate > 0.5 and got[1].kept
     # Two pages of a small host: its rate is drawn to that of all hosts.
     assert abs(got[2001].host_rate - 0.5) > 0.01 and got[2001].kept
+
+
+def plain_verdicts(rows):
+    """Verdicts of (source, rules_failed, symbols_failed, lines_failed) by domain, in plain arithmetic."""
+    hosts = sorted({s for s, *_ in rows if s is not None})
+    count = {s: [sum(r[0] == s for r in rows)] + [sum(r[0] == s and r[k] for r in rows) for k in (1, 2, 3)] for s in hosts}
+    low, mean = {s: [] for s in hosts}, {}
+    for k in (1, 2, 3):
+        rates = [count[s][k] / count[s][0] for s in hosts]
+        m, v = np.mean(rates), np.var(rates)
+        strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v else 1000.0
+        for s in hosts:
+            size = count[s][0] + strength
+            p = (count[s][k] + m * strength) / size
+            low[s].append(p - 2 * np.sqrt(p * (1 - p) / (size + 1)))
+            mean.setdefault(s, p)
+    return {s: (mean[s], low[s][0] > 0.5, low[s][1] >= 0.01, low[s][2] >= 0.01) for s in hosts}
+
+
+def test_hosts_of_mixed_quality_decide_documents(spark):
+    """A habit of symbols or repeated lines drops what fails that rule; an accident of a clean host stays, and so does
+    every clean document of a host that isn't bad as a whole."""
+    r = random.Random(6)
+    clean = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    kinds = {"clean": clean, "short": lambda: "too short", "symbols": lambda: " ".join(f"### w{r.randrange(10**6)}" for _ in range(60)), "lines": lambda: "\n".join(["again"] * 12 + [f"own line {r.randrange(10**9)} of it {k}" for k in range(4)] + [clean()])}
+    mix = {"tidy": {"clean": 400, "symbols": 1, "lines": 1, "short": 8}, "wiki": {"clean": 300, "symbols": 1}, "noisy": {"clean": 150, "symbols": 60}, "forum": {"clean": 150, "lines": 40, "short": 20, "symbols": 1}, "junk": {"clean": 20, "symbols": 100, "short": 60}, "small": {"clean": 3, "symbols": 1}, None: {"clean": 20, "symbols": 5, "lines": 2}}
+    rows = [(s, kind) for s, n in mix.items() for kind, k in n.items() for _ in range(k)]
+    df = spark.createDataFrame([(i, kinds[kind](), s) for i, (s, kind) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    got = {x.doc_id: x for x in quality_rules(df).collect()}
+    assert len(got) == len(rows)
+    want = plain_verdicts([(s, got[i].rules_failed, got[i].symbols_failed, got[i].lines_failed) for i, (s, _) in enumerate(rows)])
+    decided = 0
+    for i, (s, kind) in enumerate(rows):
+        x = got[i]
+        assert (x.base_failed, x.symbols_failed, x.lines_failed) == (kind == "short", kind == "symbols", kind == "lines"), kind
+        mean, bad, habit_s, habit_l = want.get(s, (None, False, False, False))
+        gone = bad or (kind == "symbols" and habit_s) or (kind == "lines" and habit_l)
+        assert x.host_gone == gone and x.kept == (kind != "short" and not gone) and (mean is None or abs(x.host_rate - mean) < 1e-9)
+        decided += gone and kind != "short"
+    verdicts = {s: v[1:] for s, v in want.items()}
+    assert verdicts["junk"][0] and not any(verdicts["tidy"]) and not any(verdicts["wiki"]) and verdicts["noisy"] == (False, True, False) and verdicts["forum"] == (False, False, True)
+    assert decided == 120 + 60 + 40
