@@ -11,8 +11,13 @@ is on `share` of the pages, `few` at least, and if two of them have a quarter of
 article hold little but one another's text, so they stay whole. Blocks that boilerplate covers go, and so do covered runs of that
 length inside a block; unique runs stay.
 
-Hosts of any size are judged as one: their pages are dealt by page into groups of about `group`, each group names its
-boilerplate, and what most groups of the host name is taken from all of its pages.
+Hosts of any size are judged as one, and alike for every `group`: their pages are dealt by page into groups of about that
+size. A string on the share of all pages is on that share of some group's; what a group has so is a candidate, which
+every group counts on its own pages, and the sums decide. The second test, of pages with text to themselves, is counted
+and summed the same way, on what passed the first. A host that is one group is decided where it lies.
+
+Strings are looked at by their first `least` tokens alone. That loses nothing: each part of that length of a longer
+repeated string is on as many pages as the whole, so the longest repeated strings and these parts cover the same tokens.
 
 Defined cases: null and empty html give an empty text; a null url is a host of its own kind; unclosed and stray tags
 are closed as browsers do or ignored; very long pages are parsed one at a time beyond 4 MB; repeated rows are pages of
@@ -224,23 +229,34 @@ class Stream:
         np.add.at(change, at + self.least, -1)
         return np.cumsum(change[: len(marked)]) > 0
 
-    def common(self, share: float, few: int) -> np.ndarray:
-        """Names of strings that are boilerplate of these pages."""
+    def repeated(self, bar: float) -> np.ndarray:
+        """Sorted names of the strings that are on so many of these pages."""
         at = np.flatnonzero(self.inside)
         order = at[np.lexsort((self.page[at], self.names[at]))]  # the suffix array, as far as `least` tokens tell
         name, page = self.names[order], self.page[order]
         new = np.append(True, name[1:] != name[:-1])
         each = np.append(True, (name[1:] != name[:-1]) | (page[1:] != page[:-1]))
-        group = np.cumsum(new) - 1
-        often = np.bincount(group, weights=each, minlength=0) >= max(few, share * len(self.lengths) - 1e-9)
-        if not len(order) or not often.any():
+        if not len(order):
             return np.empty(0, np.uint64)
-        marked = np.zeros(len(self.names), bool)
-        marked[order[often[group]]] = True
+        return name[new][np.bincount(np.cumsum(new) - 1, weights=each) >= bar - 1e-9]
+
+    def pages_with(self, names: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """On how many of these pages (among those marked) each of the sorted names is."""
+        place = find(names, self.names)
+        at = np.flatnonzero(self.inside & (place >= 0) & (True if among is None else among[self.page]))
+        pairs = np.unique(place[at].astype(np.int64) * len(self.lengths) + self.page[at])
+        return np.bincount(pairs // max(1, len(self.lengths)), minlength=len(names))
+
+    def own(self, names: np.ndarray) -> np.ndarray:
+        """Pages a quarter of whose tokens lie in none of these strings."""
+        marked = self.inside & (find(names, self.names) >= 0)
         covered = np.bincount(self.page, weights=self.covered(marked), minlength=len(self.lengths))
-        own = covered <= (1 - OWN) * self.lengths
-        amid = np.bincount(group, weights=each & own[page]) >= 2
-        return name[new][often & amid]
+        return covered <= (1 - OWN) * self.lengths
+
+    def common(self, share: float, few: int) -> np.ndarray:
+        """Names of strings that are boilerplate, where these pages are a whole host."""
+        names = self.repeated(max(few, share * len(self.lengths)))
+        return names[self.pages_with(names, self.own(names)) >= 2] if len(names) else names
 
     def gone(self, names: np.ndarray) -> list[np.ndarray]:
         """For each page, which of its tokens lie in strings of these (sorted) names."""
@@ -316,27 +332,66 @@ def extract(pages: DataFrame, least: int = 6, share: float = 0.6, few: int = 3,
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(bundles, pa.binary())], names=["bucket", "bundle"])
 
     cut = rows.mapInArrow(parse, "bucket long, bundle binary")
+    names_of = "host string, parts int, name long, pages long"
+
+    def rows_of(found: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pa.Table:
+        """host, parts, name, pages of each name of each (host, parts, names, pages)."""
+        sizes = [len(x) for _, _, x, _ in found]
+        flat = lambda k, kind: pa.array(np.concatenate([np.asarray(f[k]).astype(np.int64, casting="unsafe") for f in found]) if found else [], kind)
+        each = lambda k, kind: pa.array([f[k] for f, n in zip(found, sizes, strict=True) for _ in range(n)], kind)
+        return pa.table({"host": each(0, pa.string()), "parts": each(1, pa.int32()), "name": flat(2, pa.int64()), "pages": flat(3, pa.int64())})
+
+    def names_by_host(t: pa.Table) -> dict[str, np.ndarray]:
+        out: dict[str, list[int]] = {}
+        for host, name in zip(t.column("host").to_pylist(), t.column("name").to_pylist(), strict=True):
+            out.setdefault(host, []).append(name)
+        return {h: np.unique(np.array(x, np.int64).view(np.uint64)) for h, x in out.items()}
 
     @trimmed
     def ask(t: pa.Table) -> pa.Table:
+        """The boilerplate of hosts that lie here whole, and the candidates of others."""
         out = []
         for host, _, parts, rows in groups_of(t):
-            out += [(host, parts, x) for x in Stream(pages_in(rows), least).common(share, few).view(np.int64).tolist()]
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        kinds = (pa.string(), pa.int32(), pa.int64())
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("host", "parts", "name"), columns, kinds, strict=True)})
-
-    named = cut.groupBy("bucket").applyInArrow(ask, "host string, parts int, name long")
-    # What most groups of a host name: some times the tokens of a page at most, as a group names what most pages hold.
-    named = named.groupBy("host", "parts", "name").agg(F.count("*").alias("n")).where(2 * F.col("n") > F.col("parts"))
-    named = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    named = named.select(bucket("part").alias("bucket"), "host", "name")
+            s = Stream(pages_in(rows), least)
+            names = s.common(share, few) if parts == 1 else s.repeated(share * len(s.lengths))
+            out.append((host, parts, names.view(np.int64), np.zeros(len(names), np.int64)))
+        return rows_of(out)
+
+    def counting(own: bool):
+        @trimmed
+        def count(t: pa.Table, named: pa.Table) -> pa.Table:
+            """On how many pages of a group each name of its host is; own: of those with text to themselves."""
+            wanted, out = names_by_host(named), []
+            for host, _, parts, rows in groups_of(t) if len(t) and wanted else ():
+                if host in wanted:
+                    s, names = Stream(pages_in(rows), least), wanted[host]
+                    out.append((host, parts, names.view(np.int64), s.pages_with(names, s.own(names) if own else None)))
+            return rows_of(out)
+
+        return count
+
+    def dealt(names: DataFrame) -> DataFrame:
+        """Names of a host for all its groups."""
+        each = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return each.select(bucket("part").alias("bucket"), "host", "name")
+
+    def summed(names: DataFrame, own: bool) -> DataFrame:
+        """Pages of the whole host by name, from the groups' counts."""
+        counted = cut.groupBy("bucket").cogroup(dealt(names).groupBy("bucket")).applyInArrow(counting(own), names_of)
+        return counted.groupBy("host", "parts", "name").agg(F.sum("pages").alias("n"))
+
+    named = cut.groupBy("bucket").applyInArrow(ask, names_of)
+    if not large.isEmpty():
+        candidates = named.where("parts > 1").select("host", "parts", "name").distinct()
+        often = summed(candidates, False).join(counts, "host")
+        often = often.where(F.col("n") >= F.greatest(F.lit(float(few)), share * F.col("pages")) - 1e-9).select("host", "parts", "name")
+        decided = summed(often, True).where("n >= 2").select("host", "parts", "name")
+        named = named.where("parts = 1").select("host", "parts", "name").unionByName(decided)
+    named = dealt(named)
 
     @trimmed
     def clean(t: pa.Table, named: pa.Table) -> pa.Table:
-        of_host: dict[str, list[int]] = {}
-        for host, name in zip(named.column("host").to_pylist(), named.column("name").to_pylist(), strict=True):
-            of_host.setdefault(host, []).append(name)
+        of_host = names_by_host(named)
         ids, urls, out = [], [], []
         for host, _, _, rows in groups_of(t) if len(t) else ():
             ids.append(rows.column("page_id"))
@@ -346,8 +401,7 @@ def extract(pages: DataFrame, least: int = 6, share: float = 0.6, few: int = 3,
                 out += [x.replace("\n", "\n\n") for x in texts]
                 continue
             pages = pages_in(rows)
-            names = np.unique(np.array(of_host[host], np.int64).view(np.uint64))
-            for page, gone in zip(pages, Stream(pages, least).gone(names), strict=True):
+            for page, gone in zip(pages, Stream(pages, least).gone(of_host[host]), strict=True):
                 at, kept = 0, []
                 for block in (x.split(" ") for x in page):
                     if left := unique_words(block, gone[at : at + len(block)], least):

@@ -112,3 +112,37 @@ def test_copies_on_a_small_host_stay(spark):
     rows = [(i, "http://small.example/", f"<p>{article}</p>") for i in range(4)] + [(9, "http://small.example/", "<p>another page</p>")]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == article for i in range(4))
+
+
+@pytest.mark.parametrize("percent,stays", [(55, True), (58, True), (60, False), (65, False), (100, False)])
+def test_equal_for_every_group_size(spark, percent, stays):
+    """A sentence on a share of a host's pages goes from all of them or from none, however the pages are dealt."""
+    line = "Read more about our seven other offers of the week"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(25))
+    r = random.Random(percent)
+    n = 40
+    on = set(r.sample(range(n), n * percent // 100))
+    assert len(on) * 100 >= 60 * n or stays
+    rows = [(i, "http://h.example/", f"<div><p>{own(i)}</p>{f'<p>{line}</p>' if i in on else ''}</div>") for i in range(n)]
+    # A small host beside it, and pages that copy one article.
+    rows += [(100 + i, "http://s.example/", f"<p>{own(100 + i)}</p><p>{line}</p>") for i in range(4)] + [(200 + i, "http://c.example/", f"<p>{own(7)}</p>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = [{x.page_id: x.text for x in extract(df, group=g).collect()} for g in (512, 8, 5, 2)]
+    assert all(f == found[0] for f in found[1:])
+    for i in range(n):
+        assert found[0][i] == (f"{own(i)}\n\n{line}" if i in on and stays else own(i))
+    assert all(found[0][100 + i] == own(100 + i) for i in range(4)) and all(found[0][200 + i] == own(7) for i in range(30))
+
+
+def test_known_articles_amid_unmarked_boilerplate(spark):
+    """Plain divs all through: what repeats on the host goes, the articles come back whole."""
+    r = random.Random(9)
+    word = lambda: r.choice("time year people way day man thing woman life child world school state family student".split()) + str(r.randrange(60))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    top, bottom, middle = (f"{k} {prose(12)}" for k in ("top", "bottom", "middle"))
+    articles = [[prose(r.randrange(20, 60)) for _ in range(r.randrange(2, 6))] for _ in range(60)]
+    page = lambda a: f"<div>{top}</div>" + "".join(f"<div>{p}</div>" for p in a[:2]) + f"<div>{middle}</div>" + "".join(f"<div>{p}</div>" for p in a[2:]) + f"<div>{bottom}</div>"
+    df = spark.createDataFrame([(i, "https://news.example/a", page(a)) for i, a in enumerate(articles)], "page_id long, url string, html string")
+    for group in (512, 16):
+        got = {x.page_id: x.text for x in extract(df, group=group).collect()}
+        assert all(got[i] == "\n\n".join(a) for i, a in enumerate(articles))
