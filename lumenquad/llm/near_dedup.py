@@ -42,6 +42,7 @@ from .graphs import components
 SIGNATURE = 96
 RUN = 128  # classes that are compared pair by pair, by default
 NEXT = 4
+LIST = 1024  # members of a component that hold a shingle, a row
 STRETCH = 8  # runs of an order that a task holds, at least
 BROADCAST_ROWS = 250_000  # of 8 bytes
 NAMES = 4_000_000  # a bucket
@@ -345,8 +346,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def sharing_rare(members: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs a, b of members (node, component) in different components that may be at the threshold: exact prefix filter.
 
-    Shingles are ordered by how many members hold them, then by hash. Work grows with the squares of the numbers of
-    members that share a shingle among the rarest of both, which is how rare text keeps it near linear.
+    Shingles are ordered by how many members hold them, then by hash. Work grows with the pairs of members of different
+    components that share a shingle among the rarest of both: members of one component are met as lists, not in pairs,
+    so a crowd of templated pages that is linked already costs what its rows do.
     """
     rows = sets.join(members.hint("merge"), "node").withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), 9))
     rows = staged(rows, "near-contested")
@@ -367,15 +369,35 @@ def sharing_rare(members: DataFrame, sets: DataFrame, percent: int, width: int)
         return pa.table({"shingle": pa.array(names[at].view(np.int64))} | picked | {"n": pa.array(n[row]), "at": pa.array(place[pick])})
 
     found = with_counts(rows, shingles, rare, "shingle long, node long, component long, n long, at long", max(width, total // (8 * NAMES)))
-    found = staged(found, "near-rare")
-    x = found.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("node", "component", "n", "at")))
-    y = found.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("node", "component", "n", "at")))
-    least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # shared from here on, at most
-    possible = (100 * least >= percent * most) & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n")))
-    both = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & possible
-    pairs = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & both)
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    return across(lists_of(staged(found, "near-rare")), percent)
+
+
+def lists_of(found: DataFrame) -> DataFrame:
+    """shingle, component, members: the members of a component that hold a shingle, in lists of about LIST.
+
+    A shingle that only one component holds has none: nothing is to be found by it.
+    """
+    mixed = found.groupBy("shingle").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m <> x").select("shingle")
+    rows = staged(found.join(mixed.hint("merge"), "shingle", "left_semi"), "near-mixed")
+    large = rows.groupBy("shingle", "component").agg(F.ceil(F.count("*") / LIST).cast("long").alias("parts")).where("parts > 1")
+    rows = rows.join(large.hint("merge"), ["shingle", "component"], "left")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    lists = rows.groupBy("shingle", "component", part.alias("part")).agg(F.collect_list(F.struct("n", "at", "node")).alias("members"))
+    return lists.select("shingle", "component", "members")
+
+
+def across(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b from lists of different components: what is joined are lists, so a component meets itself nowhere."""
+    x, y = lists.select("shingle", F.col("component").alias("c"), F.col("members").alias("xs")), lists.select("shingle", F.col("component").alias("d"), F.col("members").alias("ys"))
+    lists_met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (x["c"] < y["d"])).select(F.explode("xs").alias("x"), "ys")
+
+    def possible(p, q):
+        least, most = F.least(p["n"], q["n"]), F.greatest(p["n"], q["n"])
+        left = F.least(p["n"] - p["at"], q["n"] - q["at"])  # shared from here on, at most
+        return (100 * least >= percent * most) & ((100 + percent) * left >= percent * (p["n"] + q["n"]))
+
+    pairs = lists_met.select("x", F.explode(F.filter("ys", lambda q: possible(F.col("x"), q))).alias("y"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, run: int = RUN) -> DataFrame:
