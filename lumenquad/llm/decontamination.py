@@ -17,7 +17,8 @@ Words are compared without case and ASCII punctuation.
 Defined cases: null, empty and wordless texts match nothing, nor do such items; an item of fewer words than a shingle
 is one shingle; a document shorter than an item is one window; very long texts are read in stretches of SEGMENT words
 that overlap by the longest item, and windows in stretches of RUN, so memory doesn't grow with the windows; of windows
-of equal similarity the first counts; repeated rows, of documents or items, are matched each; empty tables give no rows,
+of equal similarity the first counts; repeated documents are matched each; of an id's several texts the best match
+counts, so an item is found once a document; empty tables give no rows,
 or keep all documents; clashing column names of the benchmark never meet those of the documents.
 """
 
@@ -212,12 +213,15 @@ def index_of(items: Broadcast, threshold: float) -> Items:
 
 
 def slices(benchmark: DataFrame) -> Iterator[Broadcast]:
-    """The items in parts of about SLICE_BYTES each, one on the driver at a time; executors fetch what they need."""
+    """The items in parts of about SLICE_BYTES each, one on the driver at a time; executors fetch what they need.
+
+    They are dealt by id, so that texts of one id are judged together, in one slice as in several.
+    """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / SLICE_BYTES))
     for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
         yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in part.collect()])
 
 

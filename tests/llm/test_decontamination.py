@@ -117,3 +117,15 @@ def test_segments_equal_one_piece(monkeypatch):
     monkeypatch.setattr(dc, "SEGMENT", 50)
     monkeypatch.setattr(dc, "RUN", 16)
     assert [index.of(t) for t in texts] == whole and sum(map(len, whole)) > 20
+
+
+def test_an_item_of_several_texts_is_found_once_whatever_the_slices(spark, monkeypatch):
+    r = random.Random(12)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    items = [(i, prose(20)) for i in range(30)] + [(i, prose(25)) for i in range(10)]
+    docs = [(d, f"{prose(30)} {items[d % 30][1]} {prose(5)} {items[30 + d % 10][1]} {prose(9)}") for d in range(20)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, search(df, bench).collect()))
+    monkeypatch.setattr(dc, "SLICE_BYTES", 700)
+    cut = search(df, bench)
+    assert sorted(map(tuple, cut.collect())) == whole and len({x[:2] for x in whole}) == len(whole) and decontaminate(df, bench).count() == 0
