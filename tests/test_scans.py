@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenquad.operators import ranking, segments, work
 from lumenquad.operators.scans import Scan
 
-PARTS = [None, 1, 7, 60]
+PARTS = [None, 7, 60]
 
 
 def rows_of(n, seed=1):
