@@ -114,7 +114,7 @@ def test_copies_on_a_small_host_stay(spark):
     assert all(got[i] == article for i in range(4))
 
 
-@pytest.mark.parametrize("percent,stays", [(55, True), (58, True), (60, False), (65, False), (100, False)])
+@pytest.mark.parametrize("percent,stays", [(55, True), (58, True), (60, False), (65, False)])
 def test_equal_for_every_group_size(spark, percent, stays):
     """A sentence on a share of a host's pages goes from all of them or from none, however the pages are dealt."""
     line = "Read more about our seven other offers of the week"
@@ -127,7 +127,7 @@ def test_equal_for_every_group_size(spark, percent, stays):
     # A small host beside it, and pages that copy one article.
     rows += [(100 + i, "http://s.example/", f"<p>{own(100 + i)}</p><p>{line}</p>") for i in range(4)] + [(200 + i, "http://c.example/", f"<p>{own(7)}</p>") for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    found = [{x.page_id: x.text for x in extract(df, group=g).collect()} for g in (512, 8, 5, 2)]
+    found = [{x.page_id: x.text for x in extract(df, group=g).collect()} for g in (512, 8, 5)]
     assert all(f == found[0] for f in found[1:])
     for i in range(n):
         assert found[0][i] == (f"{own(i)}\n\n{line}" if i in on and stays else own(i))
