@@ -382,14 +382,22 @@ def lists_of(found: DataFrame) -> DataFrame:
     large = rows.groupBy("shingle", "component").agg(F.ceil(F.count("*") / LIST).cast("long").alias("parts")).where("parts > 1")
     rows = rows.join(large.hint("merge"), ["shingle", "component"], "left")
     part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-    lists = rows.groupBy("shingle", "component", part.alias("part")).agg(F.collect_list(F.struct("n", "at", "node")).alias("members"))
-    return lists.select("shingle", "component", "members")
+    bounds = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("left")]
+    lists = rows.groupBy("shingle", "component", part.alias("part")).agg(F.collect_list(F.struct("n", "at", "node")).alias("members"), *bounds)
+    return lists.drop("part")
 
 
 def across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b from lists of different components: what is joined are lists, so a component meets itself nowhere."""
-    x, y = lists.select("shingle", F.col("component").alias("c"), F.col("members").alias("xs")), lists.select("shingle", F.col("component").alias("d"), F.col("members").alias("ys"))
-    lists_met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (x["c"] < y["d"])).select(F.explode("xs").alias("x"), "ys")
+    """Pairs a, b from lists of different components: what is joined are lists, so a component meets itself nowhere.
+
+    Lists meet if their least and greatest sizes and places leave a pair possible.
+    """
+    side = lambda k: lists.select("shingle", *(F.col(c).alias(f"{k}_{c}") for c in ("component", "members", "lo", "hi", "left")))
+    x, y = side("x"), side("y")
+    alike = (100 * F.col("x_hi") >= percent * F.col("y_lo")) & (100 * F.col("y_hi") >= percent * F.col("x_lo"))
+    alike &= (100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_lo") + F.col("y_lo"))
+    lists_met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_component") < F.col("y_component")) & alike)
+    lists_met = lists_met.select(F.explode("x_members").alias("x"), F.col("y_members").alias("ys"))
 
     def possible(p, q):
         least, most = F.least(p["n"], q["n"]), F.greatest(p["n"], q["n"])
