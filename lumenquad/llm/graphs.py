@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, trim
 
+AT_ONCE = 1 << 20  # links
+
 
 def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of the links a, b and the least node of the component of each."""
@@ -26,7 +28,7 @@ def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
-def contracted(links: DataFrame, most: int = 1 << 20) -> DataFrame:
+def contracted(links: DataFrame, most: int = AT_ONCE) -> DataFrame:
     """Stars u, v (v the least) that join what the links a, b join, for parts of up to `most` links of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +63,11 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its least node) for every node of the links (a, b). No group of links is gathered."""
+def components(links: DataFrame, rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
+    """node, component (its least node) for every node of the links (a, b).
+
+    Up to `at_once` links, by count, are joined by one task (16 bytes each); of more, no group of links is gathered.
+    """
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -71,9 +76,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         got = staged(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "links")
         return got, tuple(seen.get.values())
 
-    edges, state = kept(contracted(links).distinct())
+    links = staged(links.select("a", "b"), "links")
+    whole = links.count() <= at_once
+    edges, state = kept(contracted(links.coalesce(1), at_once) if whole else contracted(links).distinct())
     for _ in range(rounds):
-        if not state[0]:
+        if whole or not state[0]:
             break
         large = _star(both(edges), False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         edges, now = kept(_star(both(large), True).distinct())

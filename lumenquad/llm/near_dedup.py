@@ -11,7 +11,8 @@
 4. Classes are contested that share a region with another component: one that signatures don't rule out, or any in a
    region of over `RUN` classes, whose pairs weren't all compared. For these an exact prefix filter finds the rest:
    two sets at the threshold share one of the rarest of their shingles, as many as the threshold lets a set lack, and
-   one more. Pairs that do so, in different components and possible by size and place, are confirmed on full sets.
+   one more. Pairs that do so, in different components and possible by size and place, are confirmed on full sets: at
+   first two members a shingle and component, whose links join most of what belongs together, then all that is apart.
 
 So what a tree's order or a run holds apart is compared in step 4, however large the region. The number of trees makes
 a pair at the threshold share a region but for one in a million; the depth grows with the logarithm of the number of
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -343,12 +344,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def sharing_rare(members: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs a, b of members (node, component) in different components that may be at the threshold: exact prefix filter.
+def rare_shingles(members: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """shingle, node, component, n, at: of each member (node, component) the rarest shingles, with its size and their places.
 
-    Shingles are ordered by how many members hold them, then by hash. Work grows with the pairs of members of different
-    components that share a shingle among the rarest of both: members of one component are met as lists, not in pairs,
-    so a crowd of templated pages that is linked already costs what its rows do.
+    Two members at the threshold share one of them. Shingles are ordered by how many members hold them, then by hash.
     """
     rows = sets.join(members.hint("merge"), "node").withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), 9))
     rows = staged(rows, "near-contested")
@@ -369,7 +368,27 @@ def sharing_rare(members: DataFrame, sets: DataFrame, percent: int, width: int)
         return pa.table({"shingle": pa.array(names[at].view(np.int64))} | picked | {"n": pa.array(n[row]), "at": pa.array(place[pick])})
 
     found = with_counts(rows, shingles, rare, "shingle long, node long, component long, n long, at long", max(width, total // (8 * NAMES)))
-    return across(lists_of(staged(found, "near-rare")), percent)
+    return staged(found, "near-rare")
+
+
+def possible(p: Column, q: Column, percent: int) -> Column:
+    """Whether sizes n of two members, and places of a shingle that they share, leave them at the threshold."""
+    least, most = F.least(p["n"], q["n"]), F.greatest(p["n"], q["n"])
+    left = F.least(p["n"] - p["at"], q["n"] - q["at"])  # shared from here on, at most
+    return (100 * least >= percent * most) & ((100 + percent) * left >= percent * (p["n"] + q["n"]))
+
+
+def first_met(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different components that may be at the threshold, of two members a shingle and component.
+
+    The members differ from shingle to shingle, so a class that has links into a crowd meets many of it.
+    """
+    member, by = F.struct("n", "at", "node"), F.xxhash64("shingle", "node")
+    two = rare.groupBy("shingle", "component").agg(F.min_by(member, by).alias("p"), F.max_by(member, by).alias("q"))
+    two = staged(two.select("shingle", "component", F.explode(F.array_distinct(F.array("p", "q"))).alias("m")), "near-two")
+    x, y = (two.select("shingle", F.col("component").alias(f"{k}_in"), F.col("m").alias(k)) for k in ("x", "y"))
+    apart = (x["shingle"] == y["shingle"]) & (F.col("x_in") < F.col("y_in")) & possible(x["x"], y["y"], percent)
+    return x.join(y.hint("merge"), apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def lists_of(found: DataFrame) -> DataFrame:
@@ -397,15 +416,23 @@ def across(lists: DataFrame, percent: int) -> DataFrame:
     alike = (100 * F.col("x_hi") >= percent * F.col("y_lo")) & (100 * F.col("y_hi") >= percent * F.col("x_lo"))
     alike &= (100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_lo") + F.col("y_lo"))
     lists_met = x.join(y.hint("merge"), (x["shingle"] == y["shingle"]) & (F.col("x_component") < F.col("y_component")) & alike)
-    lists_met = lists_met.select(F.explode("x_members").alias("x"), F.col("y_members").alias("ys"))
+    # Members that no member of the other list can match don't become rows.
+    fit = lambda m: (100 * m["n"] >= percent * F.col("y_lo")) & (100 * F.col("y_hi") >= percent * m["n"])
+    meets = lambda m: fit(m) & ((100 + percent) * F.least(m["n"] - m["at"], "y_left") >= percent * (m["n"] + F.col("y_lo")))
+    lists_met = lists_met.select(F.explode(F.filter("x_members", meets)).alias("x"), F.col("y_members").alias("ys"))
+    pairs = lists_met.select("x", F.explode(F.filter("ys", lambda q: possible(F.col("x"), q, percent))).alias("y"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    def possible(p, q):
-        least, most = F.least(p["n"], q["n"]), F.greatest(p["n"], q["n"])
-        left = F.least(p["n"] - p["at"], q["n"] - q["at"])  # shared from here on, at most
-        return (100 * least >= percent * most) & ((100 + percent) * left >= percent * (p["n"] + q["n"]))
 
-    pairs = lists_met.select("x", F.explode(F.filter("ys", lambda q: possible(F.col("x"), q))).alias("y"))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of `found` after links a, b between components, or from them to classes without one."""
+    label = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"{node}_in"))
+    ends = links.join(label("a").hint("merge"), "a", "left").join(label("b").hint("merge"), "b", "left")
+    upper = components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    upper = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    lower = found.join(upper.hint("merge"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    lone = upper.join(found.select(F.col("node").alias("component")).hint("merge"), "component", "left_anti")
+    return staged(lower.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component"))), "near-found")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, run: int = RUN) -> DataFrame:
@@ -426,15 +453,17 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, run: int = RUN) -
     pairs = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     found = components(confirmed(pairs, sets, percent))
     members = contested(entries, found, share, least, run)
-    more = staged(confirmed(sharing_rare(members, sets, percent, width), sets, percent), "near-links")
-    if not more.isEmpty():  # links between components: these get components in their turn
-        label = lambda node: found.select(F.col("node").alias(node), F.col("component").alias(f"{node}_in"))
-        ends = more.join(label("a").hint("merge"), "a", "left").join(label("b").hint("merge"), "b", "left")
-        upper = components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
-        upper = upper.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        lower = found.join(upper.hint("merge"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        lone = upper.join(found.select(F.col("node").alias("component")).hint("merge"), "component", "left_anti")
-        found = lower.unionByName(lone.select(F.col("component").alias("node"), F.col("top").alias("component")))
+    rare = rare_shingles(members, sets, percent, width)
+    met = staged(first_met(rare, percent), "near-met")
+    links = staged(confirmed(met, sets, percent), "near-first")
+    if not links.isEmpty():
+        found = joined(found, links)
+        rare = rare.withColumnRenamed("component", "before").join(found.hint("merge"), "node", "left")
+        rare = rare.withColumn("component", F.coalesce("component", "before")).drop("before")
+    rest = across(lists_of(rare), percent).join(met.hint("merge"), ["a", "b"], "left_anti")
+    links = staged(confirmed(rest, sets, percent), "near-links")
+    if not links.isEmpty():
+        found = joined(found, links)
     labels = classes.select("k1", "k2", "node").join(found.hint("merge"), "node", "left")
     labels = labels.select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = rows.drop("sig").join(labels.hint("merge"), ["k1", "k2"], "left")

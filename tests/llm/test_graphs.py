@@ -1,6 +1,6 @@
 import random
 
-from lumenquad.llm.graphs import components
+from lumenquad.llm.graphs import AT_ONCE, components
 
 
 def test_equals_union_find(spark):
@@ -17,6 +17,8 @@ def test_equals_union_find(spark):
         x, y = find(a), find(b)
         top[max(x, y)] = min(x, y)
     r.shuffle(edges)
-    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for at_once in (AT_ONCE, 0):  # by one task, by stars
+        links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        got = {x.node: x.component for x in components(links, at_once=at_once).collect()}
+        assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+        assert components(spark.createDataFrame([], "a long, b long"), at_once=at_once).count() == 0
