@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling
@@ -92,82 +92,86 @@ def two_lobes(points: np.ndarray, aspect: float = 0.41, rounds: int = 60, least_
     return None if share < least_share or np.linalg.norm(means[0] - means[1]) < least_gap else own
 
 
-def anchors_of(scores: np.ndarray, positions: np.ndarray, k: int, seed: int = 0) -> list[int]:
-    """Basin peaks of one series, thinned to k by clusters in time."""
-    n = len(scores)
-    if n <= 1:
-        return list(range(n))
-    k = max(1, min(k, n))
-    inner = [i for i in range(1, n - 1) if scores[i] <= scores[i - 1] and scores[i] <= scores[i + 1]]
-    edges = [0, *inner, n - 1]
-    peaks = sorted({a + int(np.argmax(scores[a : b + 1])) for a, b in zip(edges, edges[1:], strict=False) if b > a})
-    if len(peaks) <= k:
-        return peaks
-    own = kmeans_1d(positions[peaks], k, np.random.default_rng(seed))
-    by_score = sorted(peaks, key=lambda i: -scores[i])
-    chosen = list({own[peaks.index(i)]: i for i in reversed(by_score)}.values())
+def clustered(scores: np.ndarray, positions: np.ndarray, k: int, seed: int = 0) -> list[int]:
+    """Places of k of these peaks, in order: the best of each cluster in time, and the next best where clusters are fewer."""
+    own = kmeans_1d(positions, k, np.random.default_rng(seed))
+    by_score = sorted(range(len(scores)), key=lambda i: -scores[i])
+    chosen = list({own[i]: i for i in reversed(by_score)}.values())
     chosen += [i for i in by_score if i not in chosen][: k - len(chosen)]
     return sorted(chosen)[:k]
 
 
-def clip_length(center: int, scores: np.ndarray, features: np.ndarray, most: int, redundancy: float, length: float) -> int:
-    """Length of the best window: mean score, less mean similarity of its pairs, plus a bonus for length; ties: short."""
-    n, best, found = len(scores), -np.inf, 1
-    for size in range(1, most + 1):
-        half = (size - 1) // 2
-        lo, hi = max(0, center - half), min(n - 1, center + size - 1 - half)
-        lo = max(0, min(lo, hi - size + 1))
-        hi = min(n - 1, max(hi, lo + size - 1))
-        f = features[lo : hi + 1]
-        m = len(f)
-        total = f.sum(0)
-        alike = (total @ total - (f * f).sum()) / (m * (m - 1)) if m > 1 else 0.0
-        value = scores[lo : hi + 1].mean() - redundancy * alike + length * size / most
-        if value > best:
-            best, found = value, size
-    return found
+def clip_lengths(anchors: DataFrame, series: DataFrame, redundancy: float = 0.5, length: float = 0.05) -> DataFrame:
+    """anchors (key, pos, n, most) with `length`: that of the best window around each, 1 to `most` rows of its series.
 
+    Best is mean score, less mean similarity of the window's pairs, plus a bonus for length; ties: the shortest. An anchor
+    meets only the rows that its windows may hold, at most 2 * most - 1, so a series of any length is no single task. The
+    pairs' mean comes from the sum of the vectors. Null scores and vectors are left out of the means.
+    """
+    first = F.greatest(F.lit(0), F.col("pos") - F.col("most") + 1)
+    last = F.least(F.col("n") - 1, F.col("pos") + F.col("most") - 1)
+    near = anchors.select("key", F.col("pos").alias("_c"), F.explode(F.sequence(first, last)).alias("pos")).join(series.select("key", "pos", "score", "embedding"), ["key", "pos"])
+    near = near.groupBy("key", F.col("_c").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "score", "embedding"))).alias("_near"))
+
+    def dot(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda s, e: s + e.cast("double") * e)
+
+    def value(size: Column) -> Column:
+        w = sampling.window_of(F.col("pos").cast("int"), size, F.col("n").cast("int"))
+        rows = F.filter("_near", lambda r: (r["pos"] >= w["lo"]) & (r["pos"] <= w["hi"]))
+        scores = F.filter(F.transform(rows, lambda r: r["score"].cast("double")), lambda x: x.isNotNull())
+        vectors = F.filter(F.transform(rows, lambda r: r["embedding"].cast("array<double>")), lambda x: x.isNotNull())
+        total = F.aggregate(vectors, F.array().cast("array<double>"), lambda t, v: F.zip_with(t, v, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+        m = F.size(vectors)
+        own = F.aggregate(vectors, F.lit(0.0), lambda s, v: s + dot(v))
+        alike = F.when(m > 1, (dot(total) - own) / (m * (m - 1))).otherwise(0.0)
+        mean = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(scores), F.lit(1))
+        return F.struct((mean - redundancy * alike + length * size / F.col("most")).alias("value"), (-size).alias("size"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("most")), value))
+    return anchors.join(near, ["key", "pos"]).withColumn("length", -best["size"]).drop("_near")
+
+
+def thinned(peaks: DataFrame, budget: int, anchor_ratio: float = 1.0, seed: int = 0) -> DataFrame:
+    """peaks (key, pos, score, video_index, n) of each series thinned to its share of the budget, with their `count`.
+
+    Series within it keep all their peaks, without Python. Of others only the peaks meet in a group, to be clustered by
+    time (anchors_of).
+    """
+    k = F.least(F.lit(max(1, round(anchor_ratio * budget))), F.col("n"))
+    # A series' number of peaks by an aggregate, which combines before its shuffle, not by a window over the rows.
+    sized = peaks.join(peaks.groupBy("key").agg(F.count("*").alias("_peaks")), "key").withColumn("_k", k)
+
+    def thin(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        return rows.iloc[clustered(rows.score.to_numpy(float), rows.video_index.to_numpy(int), int(rows["_k"].iloc[0]), seed)]
 
-PLAN = "key string, frame int, scale double"
+    many = sized.where(F.col("_peaks") > F.col("_k")).groupBy("key").applyInPandas(thin, sized.schema)
+    kept = sized.where(F.col("_peaks") <= F.col("_k")).unionByName(many)
+    return kept.withColumn("count", F.least("_peaks", F.col("_k"))).drop("_peaks", "_k")
+
+
+def scaled_clips(anchors: DataFrame, budget: int, s_max: float = 2.0) -> DataFrame:
+    """anchors (pos, n, count, length) with the window lo, hi of their length, its scale s and the scale's group s_key."""
+    s = F.least(F.lit(float(s_max)), F.greatest(F.lit(1.0), F.sqrt(F.col("count") * F.col("length") / max(budget, 1))))
+    w = sampling.window_of(F.col("pos").cast("int"), F.col("length"), F.col("n").cast("int"))
+    return anchors.withColumn("lo", w["lo"]).withColumn("hi", w["hi"]).withColumn("s", s).withColumn("s_key", F.bround("s", 3))
 
 
 def segment(series: DataFrame, budget: int, anchor_ratio: float = 1.0, s_max: float = 2.0, redundancy: float = 0.5, length: float = 0.05, seed: int = 0) -> DataFrame:
     """Frames and scales for each series: anchors, best clip lengths, merged clips of one resolution, least scale.
 
-    series: key, pos, score, video_index, embedding. A series is one video's candidates, at most a few hundred rows.
+    series: key, pos (0, 1, 2, ...), score, video_index (ascending with pos), embedding. Peaks and merging run over range
+    parts, lengths by anchor, so a series may be of any length; see thinned() for the one step by series. A row is
+    listed once; an empty table gives no rows.
     """
-
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        scores, index = rows.score.to_numpy(float), rows.video_index.to_numpy(int)
-        features = np.stack(rows.embedding.to_numpy()).astype(float)
-        anchors = anchors_of(scores, index, min(max(1, round(anchor_ratio * budget)), len(rows)), seed)
-        count = len(anchors)
-        most = max(1, round(s_max**2 * budget / count))
-        clips: dict[float, list[tuple[list[int], float]]] = {}
-        for a in anchors:
-            size = clip_length(a, scores, features, most, redundancy, length)
-            s = float(np.clip(np.sqrt(count * size / max(budget, 1)), 1.0, s_max))
-            half = (size - 1) // 2
-            lo, hi = max(0, a - half), min(len(rows) - 1, a + size - 1 - half)
-            lo = max(0, min(lo, hi - size + 1))
-            hi = min(len(rows) - 1, max(hi, lo + size - 1))
-            clips.setdefault(round(s, 3), []).append((index[lo : hi + 1].tolist(), s))
-        frames: dict[int, float] = {}
-        for group in clips.values():
-            islands: list[tuple[set[int], float]] = []
-            for idxs, s in sorted(group):
-                if islands and idxs[0] <= max(islands[-1][0]):
-                    islands[-1] = (islands[-1][0] | set(idxs), min(islands[-1][1], s))
-                else:
-                    islands.append((set(idxs), s))
-            for idxs, s in islands:
-                for i in idxs:
-                    frames[i] = min(s, frames.get(i, s))
-        found = sorted(frames.items())
-        return pd.DataFrame({"key": [rows.key.iloc[0]] * len(found), "frame": [i for i, _ in found], "scale": [s for _, s in found]})
-
-    return series.groupBy("key").applyInPandas(plan, PLAN)
+    n = series.groupBy("key").agg(F.count("*").alias("n"))
+    peaks = basin_peaks(series.select("key", "pos", "score")).join(series.select("key", "pos", "score", "video_index"), ["key", "pos"]).join(n, "key")
+    most = F.greatest(F.lit(1), F.rint(F.lit(s_max**2 * budget) / F.col("count"))).cast("int")
+    anchors = clip_lengths(thinned(peaks, budget, anchor_ratio, seed).withColumn("most", most), series, redundancy, length)
+    clips = merged(scaled_clips(anchors, budget, s_max).select("key", "s_key", "lo", "hi", "s"), ["key", "s_key"], value="s")
+    plan = frame_plan(clips.withColumn("idxs", F.sequence("lo", "hi"))).withColumnRenamed("frame", "pos")
+    return plan.join(series.select("key", "pos", "video_index"), ["key", "pos"]).select("key", F.col("video_index").alias("frame"), F.col("s").alias("scale"))
 
 
 def clip_windows(anchors: DataFrame, n: str = "n", center: str = "pos", length: str = "length") -> DataFrame:

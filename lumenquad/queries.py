@@ -609,12 +609,42 @@ def clip_windows(t):
     return segments.clip_windows(p).select("p_partkey", "lo", "hi", sampling.crops(F.col("length") / 4).alias("crops"))
 
 
+SHOTS = """e AS (SELECT vec_id // 50 AS key, vec_id % 50 AS pos, embedding[1]::DOUBLE AS score, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT key, pos, score, list_transform(e, lambda x: CAST(x / sqrt(list_dot_product(e, e)) AS FLOAT)::DOUBLE) AS f FROM e)"""
+SHOT_PEAKS = f"""{SHOTS}, z AS (SELECT key, count(*) AS n FROM u GROUP BY 1), nb AS (SELECT *, lag(score) OVER (PARTITION BY key ORDER BY pos) AS b, lead(score) OVER (PARTITION BY key ORDER BY pos) AS a FROM u), v AS (SELECT key, pos FROM nb WHERE a IS NULL OR b IS NULL OR (score <= a AND score <= b)),
+r AS (SELECT key, pos AS lo, lead(pos) OVER (PARTITION BY key ORDER BY pos) AS hi FROM v), p AS (SELECT DISTINCT key, pos FROM (SELECT r.key, r.lo, arg_max(u.pos, struct_pack(sc := u.score, p := -u.pos)) AS pos FROM r JOIN u ON u.key = r.key AND u.pos BETWEEN r.lo AND r.hi WHERE hi IS NOT NULL GROUP BY 1, 2) UNION SELECT key, 0 FROM z WHERE n = 1)"""
+#: From anchors a (key, c, n, most) to their lengths l: all pairs of each window, where the engine takes sums of vectors.
+LENGTHS = """d AS (SELECT x.key, x.pos AS i, y.pos AS j, list_dot_product(x.f, y.f) AS dot FROM u x JOIN u y ON x.key = y.key AND x.pos < y.pos),
+w0 AS (SELECT *, unnest(range(1, most + 1)) AS size FROM a), w1 AS (SELECT *, greatest(0, c - (size - 1) // 2) AS lo, least(n - 1, c + size - 1 - (size - 1) // 2) AS hi FROM w0), w2 AS (SELECT * REPLACE (greatest(0, least(lo, hi - size + 1)) AS lo) FROM w1), w AS (SELECT * REPLACE (least(n - 1, greatest(hi, lo + size - 1)) AS hi) FROM w2),
+sc AS (SELECT w.key, c, size, most, avg(score) AS mean FROM w JOIN u ON u.key = w.key AND u.pos BETWEEN lo AND hi GROUP BY ALL), al AS (SELECT w.key, c, size, 2 * sum(dot) / any_value((hi - lo + 1) * (hi - lo)) AS alike FROM w JOIN d ON d.key = w.key AND d.i >= lo AND d.j <= hi GROUP BY ALL),
+l AS (SELECT key, c, arg_max(size, struct_pack(v := mean - 0.5 * coalesce(alike, 0) + 0.05 * size / most, s := -size)) AS length FROM sc LEFT JOIN al USING (key, c, size) GROUP BY 1, 2)"""
+WINDOW = "greatest(0, least(greatest(0, c - (length - 1) // 2), least(n - 1, c + length - 1 - (length - 1) // 2) - length + 1))"
+
+
+def shot_series(t) -> DataFrame:
+    v, n = t("embeddings"), 50
+    return v.select((F.col("vec_id") / n).cast("int").cast("string").alias("key"), (F.col("vec_id") % n).cast("int").alias("pos"), F.element_at("embedding", 1).cast("double").alias("score"), (F.col("vec_id") % n * 30).cast("int").alias("video_index"), vectors.unit(F.col("embedding")).cast("array<float>").alias("embedding"))
+
+
 @query()
 def segmented_series(t):
-    v = t("embeddings")
-    n = 50
-    series = v.select((F.col("vec_id") / n).cast("int").cast("string").alias("key"), (F.col("vec_id") % n).cast("int").alias("pos"), F.element_at("embedding", 1).cast("double").alias("score"), (F.col("vec_id") % n * 30).cast("int").alias("video_index"), vectors.unit(F.col("embedding")).cast("array<float>").alias("embedding"))
-    return segments.segment(series, 8)
+    return segments.segment(shot_series(t), 8)
+
+
+@query(f"WITH {SHOTS}, z AS (SELECT key, count(*) AS n FROM u GROUP BY 1), a AS (SELECT key, pos AS c, n, 1 + pos % 9 AS most FROM u JOIN z USING (key)), {LENGTHS} SELECT CAST(key AS VARCHAR) AS key, CAST(c AS INT) AS pos, CAST(length AS INT) AS length FROM l")
+def clip_lengths(t):
+    series = shot_series(t)
+    n = series.groupBy("key").agg(F.count("*").alias("n"))
+    anchors = series.select("key", "pos", (1 + F.col("pos") % 9).cast("int").alias("most")).join(n, "key")
+    return segments.clip_lengths(anchors, series).select("key", "pos", "length")
+
+
+@query(f"""WITH {SHOT_PEAKS}, k AS (SELECT key, count(*) AS count FROM p GROUP BY 1), a AS (SELECT p.key, p.pos AS c, n, count, greatest(1, CAST(round_even(4.0 * 40 / count, 0) AS INT)) AS most FROM p JOIN z USING (key) JOIN k USING (key)), {LENGTHS},
+g AS (SELECT key, {WINDOW} AS lo, least(n - 1, greatest(least(n - 1, c + length - 1 - (length - 1) // 2), {WINDOW} + length - 1)) AS hi, least(2, greatest(1, sqrt(count * length / 40.0::DOUBLE))) AS s FROM l JOIN a USING (key, c)),
+gr AS (SELECT *, round(s, 3) AS s_key, max(hi) OVER (PARTITION BY key, round(s, 3) ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g), gi AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key, s_key ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM gr), m AS (SELECT key, min(lo) AS lo, max(hi) AS hi, min(s) AS s FROM gi GROUP BY key, s_key, island),
+f AS (SELECT key, unnest(range(lo, hi + 1)) AS pos, s FROM m) SELECT CAST(key AS VARCHAR) AS key, CAST(30 * pos AS INT) AS frame, round(min(s), 6) AS scale FROM f GROUP BY key, pos""")
+def segmented_peaks(t):
+    """The whole segmentation at a budget that holds all peaks, so that nothing is drawn at random."""
+    return rounded(segments.segment(shot_series(t), 40), "scale")
 
 
 # --- vectors and cost -----------------------------------------------------------------------------------------------

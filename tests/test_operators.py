@@ -116,8 +116,6 @@ def test_peaks_equal_plain_python(spark):
     for x in segments.basin_peaks(df).collect():
         got.setdefault(x.key, []).append(x.pos)
     assert {k: sorted(v) for k, v in got.items()} == {k: brute_peaks([float(x) for x in s]) for k, s in enumerate(series)}
-    for s in series:
-        assert segments.anchors_of(np.array(s, float), np.arange(len(s)), len(s)) == brute_peaks([float(x) for x in s])
 
 
 def test_intervals_merge(spark):
