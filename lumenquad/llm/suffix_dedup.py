@@ -16,10 +16,10 @@ and h further on, as far as the threshold. A place is compared over the corpus o
 Names are 64-bit fingerprints, and two of them must agree for a window to be settled: results are exact but for a
 clash of both. A chunk is a run of rows of at most CHUNK_ROWS and, but for a single longer text, `chunk_bytes`.
 
-Defined cases: null text counts as empty; texts shorter than the window keep all; very long texts are named whole, some
-eight 8-byte arrays a byte at a time; of tied anchor names the leftmost counts; repeated rows are repeats of one
-another; an empty table gives no rows; other columns come along, and those called like a result column are replaced. A
-cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
+Defined cases: null text counts as empty; texts shorter than the window keep all; very long texts are named a
+piece at a time, and some numbers an anchor are held of them; of tied anchor names the leftmost counts; repeated rows are
+repeats of one another; an empty table gives no rows; other columns come along, and those called like a result column are
+replaced. A cut inside a character drops its remaining bytes from `kept_text`, not from the digest.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from .common import mix, pieces, remove_unused, shuffle_width, staged, text_byte
 
 GRAM = 32
 CHUNK_ROWS = 4096
+PIECE = 1 << 20  # window starts whose bytes are named at a time
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 U = np.uint64
 
@@ -71,26 +72,40 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors q of one text with the first and last window start lo, hi of each, and their names."""
+    """Anchors q of one text with the first and last window start lo, hi of each, and their names.
 
-    def __init__(self, raw: bytes, width: int, span: int):
-        core, half = width - span, span // 2
-        names = names_of(raw, sorted({GRAM, core, core + half, width}))
+    Bytes are named `piece` window starts at a time, so what is held of a long text is some numbers an anchor, not a byte.
+    """
+
+    def __init__(self, raw: bytes, width: int, span: int, piece: int = PIECE):
+        assert width <= piece < (1 << 24) - span
+        self.half = span // 2
         starts = len(raw) - width + 1
+        parts = [self.part(raw, a, min(a + piece, starts), width, span) for a in range(0, starts, piece)]
+        lo, hi, q, core, early, late, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # An anchor on both sides of a cut is one: it starts with the first side and ends with the second.
+        again = np.append(False, q[1:] == q[:-1])
+        last = np.append(~again[1:], True)
+        self.lo, self.q, self.core, self.early = (x[~again] for x in (lo, q, core, early))
+        self.hi, self.late = hi[last], late[last]
+        places = ((self.q - self.lo) * 1024 + self.hi - self.lo).astype(np.uint64)
+        self.whole = mix(mix(left[~again] + U(7)) + right[last] * U(0x9E3779B97F4A7C15) + places)
+
+    def part(self, raw: bytes, a: int, b: int, width: int, span: int) -> tuple[np.ndarray, ...]:
+        """Anchors of the windows that start in a .. b - 1, and the names of the first and last window of each."""
+        core, half = width - span, self.half
+        names = names_of(raw[a : b + width - 1], sorted({GRAM, core, core + half, width}))
+        n = b - a
         # 40 bits of the 32-byte name and the place: the least is the leftmost of the least names.
-        packed = (names[GRAM][: starts + span - 1] & ~U(0xFFFFFF)) | (np.arange(starts + span - 1, dtype=np.uint64) & U(0xFFFFFF))
+        packed = (names[GRAM][: n + span - 1] & ~U(0xFFFFFF)) | np.arange(n + span - 1, dtype=np.uint64)
         low = (sliding_min(packed, span) & U(0xFFFFFF)).astype(np.int64)
-        i = np.arange(starts)
-        low += (i - low + (1 << 24) - 1 >> 24) << 24  # texts of over 2**24 bytes
-        first = np.flatnonzero(np.diff(low, prepend=-1))
-        self.lo, self.hi, self.q = first, np.append(first[1:], starts) - 1, low[first]
-        self.core = names[core][self.q]
+        lo = np.flatnonzero(np.diff(low, prepend=-1))
+        hi, q = np.append(lo[1:], n) - 1, low[lo]
         # Windows that start at least `half` before the anchor share the longer string that starts `half` before it;
-        # the others share the longer string that starts at it.
-        self.half, longer = half, names[core + half]
-        self.early, self.late = longer[np.maximum(self.q - half, 0)], longer[np.minimum(self.q, len(longer) - 1)]
-        whole = names[width]
-        self.whole = mix(mix(whole[self.lo] + U(7)) + whole[self.hi] * U(0x9E3779B97F4A7C15) + ((self.q - self.lo) * 1024 + self.hi - self.lo).astype(np.uint64))
+        # the others share the longer string that starts at it. A string beyond the part belongs to no window in it.
+        whole, longer = names[width], names[core + half]
+        early, late = longer[np.maximum(q - half, 0)], longer[np.minimum(q, len(longer) - 1)]
+        return lo + a, hi + a, q + a, names[core][q], early, late, whole[lo], whole[hi]
 
 
 def prepared(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -188,11 +203,12 @@ def compare_names(table: DataFrame, width: int, span: int, buckets: int, split:
 
 def spans_of(starts: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by windows at the given starts (a mask)."""
-    s = np.flatnonzero(starts)
-    if not len(s):
+    change = np.flatnonzero(np.diff(np.asarray(starts, bool), prepend=False, append=False))
+    first, last = change[::2], change[1::2] - 1
+    if not len(first):
         return []
-    breaks = np.flatnonzero(np.diff(s) > width)
-    return [(int(a), int(b) + width) for a, b in zip(s[np.append(0, breaks + 1)], s[np.append(breaks, len(s) - 1)], strict=True)]
+    new = np.append(True, first[1:] - last[:-1] > width)
+    return [(int(a), int(b) + width) for a, b in zip(first[new], last[np.append(new[1:], True)], strict=True)]
 
 
 def outcome(raw: bytes, starts: np.ndarray, width: int) -> tuple[int, int, int, str, bytes]:
@@ -388,7 +404,9 @@ def suffix_dedup(docs: DataFrame, width: int = 200, span: int = 104, keep_text:
         return ranges(batches, row[hit], place[hit])
 
     edges = settled.select(F.col("_sd_rid").alias("rid"), F.explode("_sd_edges").alias("e")).select("rid", "e.*")
-    dealt = settled.select(F.col("_sd_rid").alias("rid"), F.col("_sd_chunk").alias("chunk"), F.explode("_sd_dealt").alias("e"))
+    # A text longer than a chunk asks by stretches of that length; which rows ask together changes no answer.
+    stretch = F.xxhash64("chunk", F.floor(F.col("e.at") / chunk_bytes))
+    dealt = settled.select(F.col("_sd_rid").alias("rid"), F.col("_sd_chunk").alias("chunk"), F.explode("_sd_dealt").alias("e")).withColumn("chunk", stretch)
     edges = edges.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     found = edges.groupBy("bucket").applyInArrow(compare_windows, "rid long, lo int, hi int")
     found = found.unionByName(compare_dealt(dealt.select("rid", "chunk", "e.*"), width, buckets))
