@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling
+from ..sources import staging
 from .scans import Scan
 
 
@@ -92,6 +93,35 @@ def two_lobes(points: np.ndarray, aspect: float = 0.41, rounds: int = 60, least_
     return None if share < least_share or np.linalg.norm(means[0] - means[1]) < least_gap else own
 
 
+def lobes(points: DataFrame, by: str, x: str = "x", y: str = "y", aspect: float = 0.41, rounds: int = 60, least_share: float = 0.15, least_gap: float = 0.18) -> DataFrame:
+    """points with `lobe` 0 or 1: the two clusters of each key's points (y weighs less), as two_lobes() finds them for one
+    key; null where they are few, uneven or close, for a null key and for points without both places.
+
+    A round is one aggregate over all points and leaves four means a key, written so that no round's plan holds the one
+    before; rounds end when no mean moves. A key's points are never one task's: their sums combine before the shuffle.
+    """
+    spark = points.sparkSession
+    rows = points.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double") * aspect})
+    placed = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).select(by, "_x", "_y")
+    seeds = dict(zip(("_ax", "_ay", "_bx", "_by"), (v * w for m in LOBE_SEEDS for v, w in zip(m, (1.0, aspect), strict=True)), strict=True))
+    means = placed.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") >= 20).withColumns({c: F.lit(v) for c, v in seeds.items()})
+    far = lambda a, b: (F.col("_x") - F.col(a)) * (F.col("_x") - F.col(a)) + (F.col("_y") - F.col(b)) * (F.col("_y") - F.col(b))
+    second = far("_ax", "_ay") >= far("_bx", "_by")
+    for _ in range(rounds):
+        sums = [F.avg(F.when(second if c[1] == "b" else ~second, F.col(f"_{c[2]}"))).alias(f"{c}2") for c in seeds]
+        fresh = placed.join(means, by).groupBy(by, "_n", *seeds).agg(*sums, F.count_if(second).alias("_second"))
+        moved = F.greatest(*(F.abs(F.coalesce(f"{c}2", c) - F.col(c)) for c in seeds))
+        fresh = fresh.select(by, "_n", "_second", moved.alias("_moved"), *(F.coalesce(f"{c}2", c).alias(c) for c in seeds))
+        found = staging.written(fresh, staging.new_path(spark, "lobes"))
+        means = found.drop("_moved", "_second")
+        if found.where("_moved > 1e-12").isEmpty():
+            break
+    share = F.least(F.col("_second"), F.col("_n") - F.col("_second")) / F.col("_n")
+    gap = F.hypot(F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by"))
+    apart = found.where((share >= least_share) & (gap >= least_gap)).select(by, *seeds)
+    return rows.join(apart, by, "left").withColumn("lobe", F.when(F.col("_ax").isNotNull() & F.col("_x").isNotNull(), second.cast("int"))).drop("_x", "_y", *seeds)
+
+
 def clustered(scores: np.ndarray, positions: np.ndarray, k: int, seed: int = 0) -> list[int]:
     """Places of k of these peaks, in order: the best of each cluster in time, and the next best where clusters are fewer."""
     own = kmeans_1d(positions, k, np.random.default_rng(seed))

@@ -647,6 +647,22 @@ def segmented_peaks(t):
     return rounded(segments.segment(shot_series(t), 40), "scale")
 
 
+_FIRST = "((p.x - u1) * (p.x - u1) + (p.y - v1) * (p.y - v1) < (p.x - u2) * (p.x - u2) + (p.y - v2) * (p.y - v2))"
+
+
+def _sql_mean(side: str, axis: str, old: str) -> str:
+    return f"coalesce(list_avg(list_transform(list_filter(pts, lambda p: {side}{_FIRST}), lambda p: p.{axis})), {old})"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT user_id, event_id, (event_id % 97) / 97.0::DOUBLE AS x, 0.41::DOUBLE * (value / 100) AS y FROM events), g AS (SELECT user_id, list(struct_pack(x := x, y := y) ORDER BY event_id) AS pts FROM q WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
+r AS (SELECT user_id, pts, 0 AS i, 0.15::DOUBLE AS u1, 0.75 * 0.41::DOUBLE AS v1, 0.55::DOUBLE AS u2, 0.45 * 0.41::DOUBLE AS v2 FROM g UNION ALL SELECT user_id, pts, i + 1, {_sql_mean('', 'x', 'u1')}, {_sql_mean('', 'y', 'v1')}, {_sql_mean('NOT ', 'x', 'u2')}, {_sql_mean('NOT ', 'y', 'v2')} FROM r WHERE i < 60),
+m AS (SELECT *, len(pts) AS n, len(list_filter(pts, lambda p: {_FIRST})) AS first FROM r WHERE i = 60), a AS (SELECT * FROM m WHERE least(first, n - first) / n >= 0.15 AND sqrt((u1 - u2) * (u1 - u2) + (v1 - v2) * (v1 - v2)) >= 0.18)
+SELECT p.user_id, event_id, CASE WHEN u1 IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL THEN CAST(NOT {_FIRST} AS INT) END AS lobe FROM q p LEFT JOIN a ON a.user_id = p.user_id""")
+def two_lobes(t):
+    e = t("events").select("user_id", "event_id", ((F.col("event_id") % 97) / F.lit(97.0)).alias("x"), (F.col("value") / 100).alias("y"))
+    return segments.lobes(e, "user_id").select("user_id", "event_id", "lobe")
+
+
 # --- vectors and cost -----------------------------------------------------------------------------------------------
 
 

@@ -84,3 +84,18 @@ def test_lengths_leave_null_scores_and_vectors_out(spark):
 def test_clusters_keep_the_best_of_each(spark):
     assert segments.clustered(np.array([1.0, 5.0, 2.0, 9.0]), np.array([0, 1, 100, 101]), 2) == [1, 3]
     assert segments.clustered(np.array([1.0, 1.0, 1.0]), np.array([0, 1, 2]), 1) == [0]
+
+
+def test_lobes_equal_one_key_at_a_time(spark):
+    r = np.random.default_rng(1)
+    blob = lambda x, y, n: r.normal((x, y), 0.03, (n, 2))
+    sets = {"apart": np.concatenate([blob(0.1, 0.5, 30), blob(0.8, 0.5, 30)]), "uneven": np.concatenate([blob(0.1, 0.5, 95), blob(0.8, 0.5, 5)]), "close": blob(0.4, 0.5, 60), "few": blob(0.4, 0.5, 19), "wide": r.random((200, 2)), "same": np.full((25, 2), 0.3)}
+    rows = [(k, i, float(x), float(y)) for k, p in sets.items() for i, (x, y) in enumerate(p)]
+    df = spark.createDataFrame([*rows, ("apart", 900, None, 0.5), (None, 901, 0.1, 0.1)], "key string, i int, x double, y double").repartition(3)
+    got = {(x.key, x.i): x.lobe for x in segments.lobes(df, "key").collect()}
+    assert len(got) == df.count() and got["apart", 900] is None and got[None, 901] is None
+    for key, p in sets.items():
+        want = segments.two_lobes(p)
+        assert [got[key, i] for i in range(len(p))] == ([None] * len(p) if want is None else want.tolist())
+    assert {k for k, p in sets.items() if segments.two_lobes(p) is not None} >= {"apart", "wide"}
+    assert segments.lobes(df.limit(0), "key").count() == 0
