@@ -81,15 +81,23 @@ class Anchors:
         assert width <= piece < (1 << 24) - span
         self.half = span // 2
         starts = len(raw) - width + 1
-        parts = [self.part(raw, a, min(a + piece, starts), width, span) for a in range(0, starts, piece)]
-        lo, hi, q, core, early, late, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [list(self.part(raw, a, min(a + piece, starts), width, span)) for a in range(0, starts, piece)]
+
+        def column() -> np.ndarray:
+            """The parts' next array; theirs are let go, so that two columns are never held twice."""
+            return np.concatenate([p.pop(0) for p in parts])
+
         # An anchor on both sides of a cut is one: it starts with the first side and ends with the second.
+        q = column()
         again = np.append(False, q[1:] == q[:-1])
-        last = np.append(~again[1:], True)
-        self.lo, self.q, self.core, self.early = (x[~again] for x in (lo, q, core, early))
-        self.hi, self.late = hi[last], late[last]
+        first, last = ~again, np.append(~again[1:], True)
+        self.q = q[first]
+        del q, again
+        self.lo, self.hi, self.core = column()[first], column()[last], column()[first]
+        self.early, self.late = column()[first], column()[last]
+        left, right = column()[first], column()[last]
         places = ((self.q - self.lo) * 1024 + self.hi - self.lo).astype(np.uint64)
-        self.whole = mix(mix(left[~again] + U(7)) + right[last] * U(0x9E3779B97F4A7C15) + places)
+        self.whole = mix(mix(left + U(7)) + right * U(0x9E3779B97F4A7C15) + places)
 
     def part(self, raw: bytes, a: int, b: int, width: int, span: int) -> tuple[np.ndarray, ...]:
         """Anchors of the windows that start in a .. b - 1, and the names of the first and last window of each."""
@@ -105,7 +113,7 @@ class Anchors:
         # the others share the longer string that starts at it. A string beyond the part belongs to no window in it.
         whole, longer = names[width], names[core + half]
         early, late = longer[np.maximum(q - half, 0)], longer[np.minimum(q, len(longer) - 1)]
-        return lo + a, hi + a, q + a, names[core][q], early, late, whole[lo], whole[hi]
+        return q + a, lo + a, hi + a, names[core][q], early, late, whole[lo], whole[hi]
 
 
 def prepared(docs: DataFrame, chunk_bytes: int) -> DataFrame:
