@@ -81,12 +81,32 @@ def shuffled_named(items: pd.Series, video_path: pd.Series, seed: pd.Series) ->
     return pd.Series([permute(*x) for x in zip(items, video_path, seed, strict=True)])
 
 
+def half_tail(n: int, k: int) -> float:
+    """P(X <= k) of n fair coins, for 2 * k < n; exact integers for short sums.
+
+    Else the term of k by Stirling's series times the sum of the terms relative to it, from k down. The sum ends where all
+    that is left is below its rounding, after some multiple of sqrt(n) terms.
+    """
+    if n <= 1000 or k < 16:
+        return math.ldexp(float(sum(math.comb(n, i) for i in range(k + 1))), -n)
+    d = (n - 2 * k) / n
+    excess = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    far = n / 2 * ((1 - d) * math.log1p(-d) + (1 + d) * math.log1p(d))
+    own = math.sqrt(n / (2 * math.pi * k * (n - k))) * math.exp(excess(n) - excess(k) - excess(n - k) - far)
+    total, last, at = 1.0, 1.0, 0
+    # Ratios fall, so what is left is at most a geometric series from the last term on.
+    while at < k and last * (k - at) > 1e-17 * total * (n - 2 * k + 1 + 2 * at):
+        m = np.arange(at, min(k, at + (1 << 14)), dtype=float)
+        terms = last * np.cumprod((k - m) / (n - k + 1 + m))
+        total, last, at = total + float(terms.sum()), float(terms[-1]), at + len(m)
+    return own * total
+
+
 @F.pandas_udf(T.DoubleType())
 def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.Series:
     """Two-sided exact test on discordant pairs: twice the binomial tail of the lesser count, at most 1."""
 
     def p(x, y):
-        n, k = int(x + y), int(min(x, y))
-        return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+        return 1.0 if x == y else min(1.0, 2 * half_tail(int(x) + int(y), int(min(x, y))))
 
     return pd.Series([p(*x) for x in zip(b, c, strict=True)])
