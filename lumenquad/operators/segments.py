@@ -38,12 +38,17 @@ def basin_peaks(series: DataFrame, key: str = "key", pos: str = "pos", score: st
 
 def merged(clips: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", members: str | None = None, value: str | None = None, parts: int | None = None) -> DataFrame:
     """Overlapping or touching intervals of a group become one: its bounds, their number, the least `value` and the
-    union of the `members` arrays."""
-    scan = Scan(clips, by, [lo, hi], parts)
+    union of the `members` arrays.
+
+    Null bounds come last: a row without `lo` joins the group's last interval, and a null `hi` reaches nowhere. Rows of
+    equal bounds have one order for all steps, so ties don't change the result.
+    """
+    clips = clips.withColumns({"_no_lo": F.col(lo).isNull(), "_no_hi": F.col(hi).isNull()})
+    scan = Scan(clips, by, ["_no_lo", lo, "_no_hi", hi], parts)
     states = scan.states(scan.rows, _top=F.max(hi))
     rows = scan.carried(scan.rows, states, _carry=F.max("_top").over(scan.parts_before))
     reach = F.greatest(F.max(hi).over(scan.local.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
-    new = F.coalesce(F.col(lo) > reach, F.lit(True))
+    new = F.coalesce(reach.isNull() | (F.col(lo) > reach), F.lit(False))
     island = scan.running_sum(rows.withColumn("_new", new.cast("long")), F.col("_new"), "_island")
     more = [F.min(value).alias(value)] if value else []
     more += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(members)))).alias(members)] if members else []

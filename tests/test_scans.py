@@ -98,6 +98,37 @@ def test_intervals(spark, parts):
     assert sorted(map(tuple, got.select("k", "lo", "hi", "n_merged").collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("parts", PARTS)
+def test_intervals_without_bounds(spark, parts):
+    """Null bounds come last, as in the query's SQL: (5, 7) and (5, null) are one interval, and so is a null one behind."""
+    r = random.Random(7)
+    clips = [(k, None if r.random() < 0.1 else lo, None if r.random() < 0.2 else lo + r.randrange(4)) for _ in range(150) for k, lo in [(r.choice(["hot"] * 4 + ["b"]), r.randrange(300))]]
+    clips += [("one", 5, None), ("one", 5, 7), ("one", None, 9), ("one", None, None), ("open", 1, None), ("open", 2, None), ("open", 2, 3), ("none", None, None), ("none", None, None)]
+    want = []
+    for k in {c[0] for c in clips}:
+        islands, reach = [], None
+        for _, lo, hi in sorted((c for c in clips if c[0] == k), key=lambda c: [(x is None, x or 0) for x in c[1:]]):
+            if reach is None or (lo is not None and lo > reach):
+                islands.append([lo, hi, 0])
+            own = islands[-1]
+            own[1] = hi if own[1] is None else own[1] if hi is None else max(own[1], hi)
+            own[2] += 1
+            reach = hi if reach is None else reach if hi is None else max(reach, hi)
+        want += [(k, *x) for x in islands]
+    assert {x for x in want if x[0] in ("one", "none")} == {("one", 5, 9, 4), ("none", None, None, 1)}
+    got = segments.merged(spark.createDataFrame(clips, "k string, lo int, hi int").repartition(3), ["k"], parts=parts)
+    assert sorted(map(tuple, got.select("k", "lo", "hi", "n_merged").collect()), key=str) == sorted(want, key=str)
+
+
+def test_equal_intervals_are_one(spark):
+    """Many rows of equal bounds, as in repeated tables: however they are dealt, no interval overlaps or touches another."""
+    df = spark.range(6000).select((F.col("id") % 3).alias("k"), (F.col("id") % 5 * 10).alias("lo"), (F.col("id") % 5 * 10 + 1 + F.col("id") % 7).alias("hi"), (F.col("id") % 50).alias("s"))
+    want = {(k, lo, lo + 7, 400) for k in range(3) for lo in range(0, 50, 10)}
+    for parts in PARTS:
+        got = segments.merged(df.repartition(5, "s"), ["k"], value="s", parts=parts).collect()
+        assert len(got) == len(want) and {(x.k, x.lo, x.hi, x.n_merged) for x in got} == want
+
+
 def test_states_are_few(spark):
     """Only keys that go over a border have states, however many keys there are."""
     df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
